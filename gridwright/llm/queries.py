@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .lines import OP4_SQL, op4_line_dedup
+from .near import op5_near_duplicates
 
-QUERIES = {"op4_line_dedup": op4_line_dedup}
+QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_near_duplicates": op5_near_duplicates,
+}
 SQL = {"op4_line_dedup": OP4_SQL}
