@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .lines import OP4_SQL, op4_line_dedup
 from .near import op5_near_duplicates
+from .pieces import op1_sentencepiece
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
 }
