@@ -5,10 +5,12 @@ from __future__ import annotations
 from .lines import OP4_SQL, op4_line_dedup
 from .near import op5_near_duplicates
 from .pieces import op1_sentencepiece
+from .quality import op9_quality
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op9_quality": op9_quality,
 }
 SQL = {"op4_line_dedup": OP4_SQL}
