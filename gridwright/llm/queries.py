@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .leaks import op7_decontamination
 from .lines import OP4_SQL, op4_line_dedup
 from .near import op5_near_duplicates
 from .pieces import op1_sentencepiece
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_decontamination": op7_decontamination,
     "op9_quality": op9_quality,
 }
 SQL = {"op4_line_dedup": OP4_SQL}
