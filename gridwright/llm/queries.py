@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat_format
 from .leaks import op7_decontamination
+from .licences import op10_licences
 from .lines import OP4_SQL, op4_line_dedup
 from .near import op5_near_duplicates
 from .pieces import op1_sentencepiece
@@ -12,7 +14,9 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_chat_format": op6_chat_format,
     "op7_decontamination": op7_decontamination,
     "op9_quality": op9_quality,
+    "op10_licences": op10_licences,
 }
-SQL = {"op4_line_dedup": OP4_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL}
