@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .words import U, batches, hash_words, mix
 
-SAMPLE = 4000
+SAMPLE = 2000
 WORD_DIMS = 4096
 RANK = 8
 STEPS = 120
@@ -156,10 +156,14 @@ def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         blobs = _texts(batch.column("_text"))
         for s in batches([len(x) for x in blobs]):
+            n = s.stop - s.start
             rows, places, values = features(blobs[s])
-            x = np.zeros((s.stop - s.start, DIMS), np.float32)
-            np.add.at(x, (rows, places), values)
-            yield pa.RecordBatch.from_arrays([batch.column("_y").slice(s.start, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], ["_y", "_x"])
+            order = np.argsort(rows, kind="stable")
+            edge = np.searchsorted(rows[order], np.arange(n + 1))
+            places, values = places[order].astype(np.int16), values[order].astype(np.float32)
+            parts = [(places[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            columns = [pa.array([p[i] for p in parts], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("_y").slice(s.start, n), *columns], ["_y", "_places", "_values"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Machine:
@@ -167,11 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = rows.select("_text", "_y").mapInArrow(_extract, "_y int, _x binary").limit(2 * sample).toArrow()
-    x = np.frombuffer(b"".join(found.column("_x").to_pylist()), np.float32).reshape(-1, DIMS)
-    y = np.array(found.column("_y").to_pylist(), np.float32)
-    order = np.lexsort((x @ np.cos(np.arange(DIMS, dtype=np.float32)), y))  # the same sums whatever the order of arrival
-    return fit(x[order], y[order])
+    found = rows.select("_text", "_y").mapInArrow(_extract, "_y int, _places binary, _values binary").limit(2 * sample).collect()
+    found.sort(key=lambda r: (r["_y"], bytes(r["_values"]), bytes(r["_places"])))  # the same sums whatever the order of arrival
+    x = np.zeros((len(found), DIMS), np.float32)
+    for row, r in zip(x, found, strict=True):
+        np.add.at(row, np.frombuffer(r["_places"], np.int16), np.frombuffer(r["_values"], np.float32))
+    return fit(x, np.array([r["_y"] for r in found], np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
