@@ -49,6 +49,8 @@ class Ledger:
         removed: doc_ids (and versions) to take out. A batch name that is committed already is left as it is."""
         if name in self.batches:
             return
+        # counted once: the rows are read for the change and again for the ids that they revise
+        counts = self.scratch.save(counts, f"counts-{name}") if counts is not None else None
         before, signed = self.state(), counts
         if before is not None:
             for now, key in ((counts, ["doc_id", "tokenizer"]), (removed, ["doc_id", "tokenizer"])):
@@ -61,6 +63,8 @@ class Ledger:
             return
         net = signed.groupBy("doc_id", *GROUP).agg(*[F.sum(v).alias(v) for v in VALUES]).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
         rows = self.scratch.save(net, f"signed-{name}")
+        if counts is not None:
+            self.scratch.drop(f"counts-{name}")
         sums = rows.groupBy(*GROUP).agg(*[F.sum(v).alias(v) for v in VALUES])
         self.batches[name] = (rows, self.scratch.save(sums.coalesce(1), f"sums-{name}"))
 
