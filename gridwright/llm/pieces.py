@@ -18,6 +18,7 @@ place, as the format defines.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -92,6 +93,21 @@ class Vocabulary:
     pair_keys: np.ndarray
     pair_made: np.ndarray
     symbols: int
+    name: str
+
+    def rank_of_pair(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair x, y; NEVER where there is none. The pairs lie in an open hash table."""
+        key = x * self.symbols + y
+        slot = pair_slot(key, len(self.pair_keys))
+        out = np.full(len(key), NEVER)
+        row = np.arange(len(key))
+        while len(row):
+            found = self.pair_keys[slot]
+            hit = found == key
+            out[row[hit]] = self.pair_made[slot[hit]]
+            go = ~hit & (found >= 0)
+            row, key, slot = row[go], key[go], (slot[go] + 1) & (len(self.pair_keys) - 1)
+        return out
 
     def compatible(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether merging leaves x and y as neighbours: undo both, last merge first, and look for one across that came before."""
@@ -100,10 +116,7 @@ class Vocabulary:
         x, y = x.copy(), y.copy()
         limit = np.full(len(x), NEVER) if limit is None else limit.copy()
         while len(row):
-            key = x * self.symbols + y
-            at = np.searchsorted(self.pair_keys, key)
-            at[at == len(self.pair_keys)] = 0
-            across = np.where(self.pair_keys[at] == key, self.pair_made[at], NEVER)
+            across = self.rank_of_pair(x, y)
             mx, my = self.made[x], self.made[y]
             fine = across >= limit
             ended = fine & (mx < 0) & (my < 0)
@@ -116,6 +129,25 @@ class Vocabulary:
         return ok
 
 
+def pair_slot(key: np.ndarray, size: int) -> np.ndarray:
+    """First slot of each key in a table of `size` slots, a power of two."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+def pair_table(key: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table of distinct keys, an eighth full at most, in which a free slot holds -1."""
+    size = 1 << (8 * len(key) + 1).bit_length()
+    keys, values = np.full(size, -1, np.int64), np.full(size, NEVER)
+    row, slot = np.arange(len(key)), pair_slot(key, size)
+    while len(row):
+        free = keys[slot] < 0
+        keys[slot[free]] = key[row[free]]
+        values[slot[free]] = made[row[free]]
+        lost = keys[slot] != key[row]
+        row, slot = row[lost], (slot[lost] + 1) & (size - 1)
+    return keys, values
+
+
 @lru_cache(maxsize=4)
 def load(path: str = MODEL) -> Vocabulary:
     with open(path, "rb") as f:
@@ -153,13 +185,12 @@ def load(path: str = MODEL) -> Vocabulary:
     cuts = [(len(p), plain[p], symbol[p[:i]], symbol[p[i:]], rank[p]) for p in long for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
     cut = np.array(cuts, np.int64).reshape(-1, 5)
     key = cut[:, 2] * symbols + cut[:, 3]
-    order = np.argsort(key)
     codes = {c: i + 1 for i, c in enumerate(chars)}
     depth = -(-max(map(len, long), default=1) // 4) * 4
     v = Vocabulary(
         pieces, [], np.full(256, -1, np.int64), kinds.index(2), prefix, all(SPACE not in p.lstrip(SPACE) and ("\n" not in p or len(p) == 1) for p in plain),
         codes, np.array([symbols - 1, *(symbol[c] for c in chars)], np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, depth // 4), np.int64), depth,
-        made, left, right, key[order], cut[order, 4], symbols,
+        made, left, right, *pair_table(key, cut[:, 4]), symbols, hashlib.sha256(data).hexdigest(),
     )
     reached = made < 0
     for n in np.unique(cut[:, 0]):  # shorter pieces' last merges are known
@@ -185,7 +216,7 @@ def load(path: str = MODEL) -> Vocabulary:
 def suffix_array(keys: np.ndarray) -> np.ndarray:
     """Order of the suffixes by the `keys` columns, each of which packs four characters at its place."""
     n = len(keys)
-    order = np.argsort(keys[:, 0], kind="stable")
+    order = np.argsort(keys[:, 0])
     width = 4
     at = keys[:, 0]
     while True:
@@ -197,7 +228,7 @@ def suffix_array(keys: np.ndarray) -> np.ndarray:
         later = np.zeros(n, np.int64)
         later[: n - width] = new[width:] + 1
         at = new * (n + 1) + later
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         width *= 2
 
 
@@ -249,7 +280,7 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     symbol = np.concatenate([v.long_ids[piece], v.char_symbols[codes[single]]])
     word = np.repeat(np.arange(len(words)), sizes + 1)
     reach = end - begin[word[start]]
-    order = np.argsort(reach, kind="stable")
+    order = np.argsort(reach.astype(np.int16) if sizes.max() < 1 << 15 else reach, kind="stable")
     start, end, symbol = start[order], end[order], symbol[order]
     steps = np.searchsorted(reach[order], np.arange(1, sizes.max() + 2))
 
@@ -288,51 +319,74 @@ class _Memo(dict):
     def __init__(self, v: Vocabulary):
         super().__init__()
         self.v = v
-        self.done = 0
+        self.new: list[str] = []
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.split = re.compile(f"\n|[ {SPACE}]*[^ {SPACE}\n]+|[ {SPACE}]+" if v.by_word else "(?s).+").findall
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
     def encode_new(self) -> None:
-        new = [w.replace(" ", SPACE) for w in list(self)[self.done :]]
+        new = [w.replace(" ", SPACE) for w in self.new]
         flats, sizes = [self.flat], [self.sizes]
         for s in batches([len(w) + 1 for w in new], PART_CHARS):
             ids, n = encode_words(self.v, new[s])
             flats.append(ids.astype(np.int32))
             sizes.append(n)
-        self.flat, self.sizes, self.done = np.concatenate(flats), np.concatenate(sizes), len(self)
-        self.first = np.cumsum(self.sizes) - self.sizes
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.flat, self.sizes, self.new = np.concatenate(flats), np.concatenate(sizes), []
+
+    def words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, and how many each text has. Null and empty texts have none.
+
+        Most texts are cut at their spaces and the tokens made distinct; a token stands for itself with the space before it. Texts
+        with other runs of spaces, or none put before them, are cut by the pattern.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |  |{SPACE}"), not (self.v.prefix and self.v.by_word))
+        plain = texts.filter(pc.invert(pc.or_(odd, pc.equal(texts, ""))))
+        tokens = pc.split_pattern(plain, " ")
+        coded = tokens.flatten().dictionary_encode()
+        split = [self.split(" " + t) if "\n" in t else (" " + t,) for t in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        number, n = self._join([self[w] for ws in split for w in ws], np.array([len(ws) for ws in split], np.int64), coded.indices.to_numpy())
+        ends = np.cumsum(np.r_[0, n])[tokens.offsets.to_numpy()]
+        if len(plain) == len(texts):
+            return number, np.diff(ends)
+        cut = [number[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        cut.reverse()
+        every = []
+        for other, text in zip(odd.to_pylist(), texts.to_pylist(), strict=True):
+            found = self.split((" " if self.v.prefix else "") + text) if other and text else []
+            every.append(np.array([self[w] for w in found], np.int64) if other or not text else cut.pop())
+        return np.concatenate(every), np.array([len(x) for x in every], np.int64)
+
+    @staticmethod
+    def _join(flat: list[int] | np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of the given sizes, kept one after another in flat, that `which` names; and the size of each."""
+        n, first = sizes[which], np.cumsum(sizes) - sizes
+        at = np.arange(n.sum()) + np.repeat(first[which] - np.cumsum(n) + n, n)
+        return np.asarray(flat, np.int64 if isinstance(flat, list) else None)[at], n
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
-        numbers, counts = [], []
-        for x in texts:
-            found = self.split((" " if self.v.prefix else "") + x) if x else []
-            numbers.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
-            counts.append(len(found))
-        if self.done < len(self):
+        number, counts = self.words(texts)
+        if self.new:
             self.encode_new()
-        number = np.concatenate(numbers)
-        n = self.sizes[number] if len(number) else np.zeros(0, np.int64)
-        total = np.cumsum(np.r_[0, n])
-        at = np.arange(total[-1]) + np.repeat(self.first[number] - total[:-1], n) if len(number) else np.zeros(0, np.int64)
-        edge = np.cumsum([0, *counts])
-        return self.flat[at], np.diff(total[edge])
+        ids, n = self._join(self.flat, self.sizes, number)
+        return ids, np.diff(np.cumsum(np.r_[0, n])[np.cumsum(np.r_[0, counts])])
 
 
-_memos: dict[int, _Memo] = {}
+_memos: dict[str, _Memo] = {}
 
 
 def memo_of(shared) -> _Memo:
-    """This worker's memo for a broadcast vocabulary; begun anew when it has grown large."""
+    """This worker's memo for a broadcast model; begun anew when it has grown large."""
     v = shared.value
-    memo = _memos.get(id(v))
+    memo = _memos.get(v.name)
     if memo is None or len(memo) > MEMO_WORDS:
         _memos.clear()
-        memo = _memos[id(v)] = _Memo(v)
+        memo = _memos[v.name] = _Memo(v)
     return memo
 
 
@@ -350,7 +404,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", model: str
             size = pc.binary_length(batch.column(text)).to_pylist()
             for s in batches([n or 0 for n in size]):
                 part = batch.slice(s.start, s.stop - s.start)
-                flat, n = memo_of(shared).encode([x or "" for x in part.column(text).to_pylist()])
+                flat, n = memo_of(shared).encode(part.column(text).cast(pa.string()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists], [*rest, ids])
 
@@ -363,15 +417,16 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", model:
     rest = [c for c in df.columns if c != text]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, prefix = shared.value.bytes_of, shared.value.prefix
+        table, prefix = pa.array(shared.value.bytes_of, pa.binary()), shared.value.prefix
         for batch in it:
             size = pc.list_value_length(batch.column(ids)).to_pylist()
             for s in batches([4 * (n or 0) for n in size]):
                 part = batch.slice(s.start, s.stop - s.start)
-                texts = []
-                for x in part.column(ids).to_pylist():
-                    joined = b"".join(map(table.__getitem__, x or ()))
-                    texts.append((joined[1:] if prefix and joined[:1] == b" " else joined).decode("utf-8", "replace"))
+                lists = part.column(ids)
+                found = table.take(lists.flatten())  # the pieces' bytes one after another
+                joined = b"".join(found.to_pylist()) if found.null_count else found.buffers()[2].to_pybytes() if len(found) else b""
+                edge = np.frombuffer(found.buffers()[1], np.int32)[np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy()])] if len(found) else np.zeros(len(part) + 1, np.int64)
+                texts = [joined[a + (prefix and joined[a : min(a + 1, b)] == b" ") : b].decode("utf-8", "replace") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, text])
 
     return df.mapInArrow(run, _with(df.select(*rest).schema, text, "string"))

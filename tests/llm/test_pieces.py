@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -30,7 +31,7 @@ def random_texts(n=400):
 def test_ids_equal_the_library(model):
     texts = TEXTS + random_texts()
     memo = pieces._Memo(pieces.load())
-    flat, n = memo.encode(texts)
+    flat, n = memo.encode(pa.array(texts))
     at = 0
     for x, k in zip(texts, n.tolist(), strict=True):
         assert flat[at : at + k].tolist() == model.encode(x), repr(x)
