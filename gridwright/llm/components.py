@@ -22,20 +22,26 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return hung.where(F.col("_a") != F.col("_b")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether no node hangs under two, or hangs under one and holds others. A link's _b is the lesser, so each is then the least."""
+    ends = links.select(F.col("_a").alias("_n"), F.lit(1).alias("_up"), F.lit(0).alias("_down"))
+    ends = ends.unionByName(links.select(F.col("_b").alias("_n"), F.lit(0).alias("_up"), F.lit(1).alias("_down")))
+    nodes = ends.groupBy("_n").agg(F.sum("_up").alias("_up"), F.max("_down").alias("_down"))
+    most = nodes.where("_up > 0").agg(F.max(F.col("_up") + F.col("_down"))).first()[0]
+    return most is None or most == 1
+
+
 def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """_a (node), _b (least node of its component) for every node that has a link, the least node itself left out.
 
     links: columns _a, _b of any ordered type. Alternates large and small stars, each written to the shared folder, until
-    the links no longer change: a number of rounds that grows as the logarithm of the longest path.
+    every node hangs under one node that hangs under none: a number of rounds that grows as the logarithm of the longest path.
     """
     links = links.where(F.col("_a") != F.col("_b"))
     links = scratch.save(links.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), f"{name}0")
-    sign = F.xxhash64("_a", "_b").cast("decimal(38,0)")
-    before, step = None, 0
-    while True:
-        now = links.agg(F.count("*"), F.sum(sign)).first()
-        if tuple(now) == before or not now[0]:
-            return links
-        before, step = tuple(now), step + 1
+    step = 0
+    while not _settled(links):
+        step += 1
         links = scratch.save(_star(_star(links, True), False), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")
+    return links
