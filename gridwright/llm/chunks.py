@@ -1,13 +1,17 @@
-"""Substring dedup: content-defined chunks by a gear hash, deduplicated by digest.
+"""Substring dedup: content-defined cuts by a gear hash find candidates, and every passage of over 50 words is held whole.
 
-A chunk ends where a gear hash of the last 32 bytes falls below a bound, on average every AVERAGE bytes; a cut depends on those
-bytes only, so insertions elsewhere don't move it. A chunk's digest in more than one document makes it repeated, and
-repeated chunks that follow each other make a span. Spans of MIN_WORDS words or more are returned: a repeated passage of
-over 50 words holds one, since only its ends fall into chunks of their own.
+A window is MIN_WORDS (51) words that follow each other, taken as its bytes. Its cut is the word end, among those with a
+whole CHUNK of words before them in the window, whose gear hash of the last 32 bytes is least (the first, if several are): it
+depends on the window's bytes only, so all copies of a window are cut at the same word, and no text is without cuts. The
+chunk is the CHUNK words before the cut. Windows whose chunk's digest stands in one document only can't be repeated; the
+others are compared whole, by a 64-bit hash.
 
-Cases: null and empty texts have no chunks; a text without a cut is one chunk; rows with equal doc_id and text are one
-document; a chunk repeated within one document alone is not repeated; the first document of a span (least doc_id) keeps
-it when spans are dropped.
+A window in more than one document is repeated. Its holder is the first other document (least doc_id) that has it, or, in the
+first document itself, the last. Repeated windows with one holder that overlap at one distance from the holder's text make a
+span, so the holder has the whole span, byte for byte. Spans of one document may overlap where their holders differ.
+
+Cases: null and empty texts and texts of 50 words or less have no spans; rows with equal doc_id and text are one document; a
+window repeated within one document alone is not repeated; the first document of a window keeps it when spans are dropped.
 """
 
 from __future__ import annotations
@@ -16,82 +20,146 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, split_join
-from .words import _SPACE, batches, mix
+from .words import _SPACE, U, batches, mix, powers
 
-AVERAGE = 32
-WINDOW = 32
-MIN_WORDS = 18
+MIN_WORDS = 51
+#: Words of a chunk: with the bytes between them over 32, the bytes of a gear hash.
+CHUNK = 17
+PAD = b"\n" * 32
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _GEAR[0] = 0
 
 
-def cuts(blobs: list[bytes]) -> list[np.ndarray]:
-    """For each text the ends of its chunks."""
-    b = np.frombuffer(b"".join(x + bytes(WINDOW) for x in blobs), np.uint8)
-    h = _GEAR[b]
-    for step in (1, 2, 4, 8, 16):  # the hash of 2 * step bytes from two of step bytes
-        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    found = np.flatnonzero(h < np.uint32((1 << 32) // AVERAGE)) + 1
-    out, at = [], 0
-    for x in blobs:
-        a, z = np.searchsorted(found, (at, at + len(x)), side="right")
-        ends = found[a:z] - at
-        out.append(ends if len(ends) and ends[-1] == len(x) or not x else np.r_[ends, len(x)])
-        at += len(x) + WINDOW
-    return out
-
-
-def _chunk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
-    for batch in it:
-        blobs = [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-        for s in batches([len(x) for x in blobs]):
-            part = blobs[s]
-            ends = cuts(part)
-            n = [len(e) for e in ends]
-            digests, words, starts = [], [], []
-            for x, e in zip(part, ends, strict=True):
-                begin = np.r_[0, e[:-1]] if len(e) else e
-                starts.append(begin)
-                digests += [digest(x[i:j]) for i, j in zip(begin.tolist(), e.tolist(), strict=True)]
-                gap = _SPACE[np.frombuffer(x, np.uint8)]
-                fresh = np.r_[0, np.cumsum(~gap & np.r_[True, gap[:-1]])] if len(x) else np.zeros(1, int)
-                words.append(np.diff(fresh[np.r_[0, e]]) if len(e) else e)
-            take = pa.array(np.repeat(np.arange(s.start, s.stop), n))
-            every = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(take), batch.column("_row").take(take), pa.array(np.array(digests, np.uint64).view(np.int64)),
-                 pa.array(every([np.arange(k) for k in n]), pa.int32()), pa.array(every(starts), pa.int32()), pa.array(every(ends), pa.int32()), pa.array(every(words), pa.int32())],
-                ["_id", "_row", "_digest", "_no", "_start", "_end", "_words"],
-            )
+class Cut:
+    """The words of some texts, their windows and each window's cut."""
+
+    def __init__(self, blobs: list[bytes], min_words: int = MIN_WORDS):
+        b = np.frombuffer(PAD + b"".join(x + PAD for x in blobs), np.uint8)
+        gap = _SPACE[b]
+        self.starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        self.ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        edge = len(PAD) + np.cumsum([0, *[len(x) + len(PAD) for x in blobs]])
+        self.owner = np.searchsorted(edge, self.starts, side="right") - 1
+        self.edge = edge
+        up, self.down = powers(len(b))
+        self.total = np.r_[U(0), np.cumsum((b.astype(U) + U(1)) * up)]
+        h = _GEAR[b]
+        for step in (1, 2, 4, 8, 16):  # the hash of 2 * step bytes from two of step bytes
+            h[step:] = h[step:] + (h[:-step] << np.uint32(step))
+        n = max(len(self.starts) - min_words + 1, 0)
+        self.windows = np.flatnonzero(self.owner[:n] == self.owner[len(self.owner) - n :])
+        width, have = min_words - CHUNK + 1, 1
+        least = h[self.ends - 1].astype(U) << U(32) | np.arange(len(self.ends), dtype=U)
+        while have < width:  # the least of a window from those of two shorter ones
+            step = min(have, width - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        self.cuts = (least[self.windows + CHUNK - 1] & U(0xFFFFFFFF)).astype(np.int64)
+        self.min_words = min_words
+
+    def digest(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from a word's start to a word's end."""
+        a, z = self.starts[first], self.ends[last]
+        return mix((self.total[z] - self.total[a]) * self.down[a] + (z - a).astype(U)).view(np.int64)
+
+    def place(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Bytes of the text before a place."""
+        return (at - self.edge[self.owner[word]]).astype(np.int32)
+
+
+def _parts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, Cut]]:
+    blobs = [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
+    for s in batches([len(x) for x in blobs]):
+        cut = Cut(blobs[s], min_words)
+        if len(cut.windows):
+            yield s.start, cut
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (_id, _row) with _doc, their rank by _id and _row: sorted in range parts, whose totals are summed up."""
+    placed = rows.orderBy("_id", "_row").select("_id", "_row", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    placed = scratch.save(placed, "numbers")
+    before, total = [], 0
+    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):  # one row a part
+        before.append((part, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    return placed.join(F.broadcast(offsets), "_part").select("_id", "_row", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("_doc"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, start_byte, end_byte, n_words, n_chunks, first_doc_id, _row of every span that other documents hold too."""
+    """doc_id, start_byte, end_byte, n_words, n_windows, first_doc_id, other_doc_id, _row, _kept of every span: first_doc_id has
+    all its windows first, other_doc_id is another document's that has the span whole; _kept if the document is the first."""
     scratch = Scratch(docs.sparkSession)
+    if min_words <= CHUNK:
+        raise ValueError(f"min_words must be over {CHUNK}")
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
     rows = rows.select("_id", F.xxhash64("_id", "_text").alias("_row"), "_text")
     kind = rows.schema["_id"].dataType.simpleString()
-    found = scratch.save(rows.mapInArrow(_chunk, f"_id {kind}, _row long, _digest long, _no int, _start int, _end int, _words int"), "chunks")
-    repeated = found.groupBy("_digest").agg(F.min("_row").alias("_a"), F.max("_row").alias("_b"), F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    repeated = scratch.save(repeated.where("_a != _b").select("_digest", "_first", "_n"), "repeated")
-    hits = split_join(found, repeated, ["_digest"], "_n").groupBy("_row", "_no").agg(*[F.min(c).alias(c) for c in ("_id", "_start", "_end", "_words", "_first")])
-    run = F.col("_no") - F.row_number().over(Window.partitionBy("_row").orderBy("_no"))
-    spans = hits.withColumn("_run", run).groupBy("_row", "_run").agg(
-        F.min("_id").alias("doc_id"), F.min("_start").alias("start_byte"), F.max("_end").alias("end_byte"), F.sum("_words").alias("n_words"),
-        F.count("*").alias("n_chunks"), F.min("_first").alias("first_doc_id"),
+
+    def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for start, cut in _parts(batch, min_words):
+                last = np.unique(cut.cuts)
+                take = pa.array(cut.owner[last] + start)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").take(take), batch.column("_row").take(take), pa.array(cut.digest(last - (CHUNK - 1), last)), pa.array(cut.place(cut.ends[last], last))],
+                    ["_id", "_row", "_digest", "_cut"],
+                )
+
+    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            docs, held = batch.column("_doc").to_numpy(), batch.column("_cuts")
+            flat, size = held.flatten().to_numpy(), np.diff(held.offsets.to_numpy())
+            held = np.repeat(np.arange(len(size)), size) << 32 | flat
+            for start, cut in _parts(batch, min_words):
+                hit = np.isin((cut.owner[cut.cuts] + start) << 32 | cut.place(cut.ends[cut.cuts], cut.cuts), held)
+                first = cut.windows[hit]
+                last = first + min_words - 1
+                key = docs[cut.owner[first] + start] << 32 | cut.place(cut.starts[first], first)
+                number = first - np.searchsorted(cut.owner, cut.owner[first])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cut.digest(first, last)), pa.array(key, pa.int64()), pa.array(cut.place(cut.ends[last], last)), pa.array(number, pa.int32())], ["_window", "_key", "_end", "_no"]
+                )
+
+    found = scratch.save(rows.mapInArrow(chunks, f"_id {kind}, _row long, _digest long, _cut int"), "chunks")
+    common = found.groupBy("_digest").agg(F.min("_row").alias("_a"), F.max("_row").alias("_b"), F.count("*").alias("_n"))
+    common = scratch.save(common.where("_a != _b").select("_digest", "_n"), "common")
+    held = split_join(found, common, ["_digest"], "_n", "left_semi").groupBy("_row").agg(F.min("_id").alias("_id"), F.collect_set("_cut").alias("_cuts"))
+    held = scratch.save(held, "held")
+    scratch.drop("chunks", "common")
+    numbers = _numbered(held.select("_id", "_row"), scratch)
+    texts = rows.select("_row", "_text").join(held.select("_row", "_cuts").join(numbers.select("_row", "_doc"), "_row"), "_row")
+    each = scratch.save(texts.select("_doc", "_text", "_cuts").mapInArrow(windows, "_window long, _key long, _end int, _no int"), "windows")
+    scratch.drop("held")
+    doc = lambda c: F.shiftright(c, 32)
+    repeated = each.groupBy("_window").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), F.count("*").alias("_n"))
+    repeated = scratch.save(repeated.where(doc("_first") != doc("_last")), "repeated")
+    hits = split_join(each, repeated, ["_window"], "_n").select(
+        doc("_key").alias("_doc"), F.col("_key").bitwiseAND(0xFFFFFFFF).alias("_start"), "_end", "_no", "_key", F.when(doc("_key") == doc("_first"), F.col("_last")).otherwise(F.col("_first")).alias("_holder")
+    )
+    hits = hits.select("_doc", "_start", "_end", "_no", (F.col("_holder") - F.col("_key")).alias("_far"), (doc("_holder") > F.col("_doc")).alias("_kept"))
+    # the holder's number and place less the document's own: one distance is one holder
+    line = Window.partitionBy("_doc", "_far").orderBy("_start")
+    fresh = F.when(F.col("_start") <= F.lag("_end").over(line), 0).otherwise(1)
+    spans = hits.withColumn("_fresh", fresh).withColumn("_span", F.sum("_fresh").over(line)).groupBy("_doc", "_far", "_span").agg(
+        F.min("_start").cast("int").alias("start_byte"), F.max("_end").alias("end_byte"), (F.max("_no") - F.min("_no") + min_words).cast("long").alias("n_words"),
+        F.countDistinct("_start").alias("n_windows"), F.first("_kept").alias("_kept"),
     )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "start_byte", "end_byte", "n_words", "n_chunks", "first_doc_id", "_row")
+    spans = spans.withColumn("_other", doc(F.col("_doc") * (1 << 32) + F.col("start_byte") + F.col("_far")))
+    names = lambda n, d, *more: numbers.select(F.col("_doc").alias(d), F.col("_id").alias(n), *more)
+    spans = spans.join(names("doc_id", "_doc", "_row"), "_doc").join(names("other_doc_id", "_other"), "_other")
+    first = F.when(F.col("_kept"), F.col("doc_id")).otherwise(F.col("other_doc_id")).alias("first_doc_id")
+    return spans.select("doc_id", "start_byte", "end_byte", "n_words", "n_windows", first, "other_doc_id", "_row", "_kept")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the spans that a document with a smaller doc_id holds as well."""
-    spans = repeated_spans(docs, min_words, text, doc_id).where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    """docs without the spans that a document before them (by doc_id) holds as well."""
+    spans = repeated_spans(docs, min_words, text, doc_id).where("not _kept")
     gone = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_gone"))
     rows = docs.select(F.struct("*").alias("_all"), F.xxhash64(F.col(doc_id), F.coalesce(text, F.lit(""))).alias("_row")).join(gone, "_row", "left")
 
@@ -103,7 +171,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
                 b, at, kept = x.encode(), 0, []
                 for g in gone:
                     kept.append(b[at : g["start_byte"]])
-                    at = g["end_byte"]
+                    at = max(at, g["end_byte"])
                 x = b"".join([*kept, b[at:]]).decode("utf-8", "ignore")
             out.append(x)
         import pandas as pd
@@ -114,4 +182,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("_row")
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("_row", "_kept")
