@@ -57,3 +57,18 @@ def test_spans_are_those_of_brute_force(spark):
         span = texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]]
         assert r["other_doc_id"] != r["doc_id"] and span in texts[r["other_doc_id"]].encode()
         assert all(min(owners[w]) == r["first_doc_id"] for a, z, w in windows(texts[r["doc_id"]]) if (a, z) in want[r["doc_id"]] and (r["start_byte"], r["end_byte"]) == (a, z))
+
+
+def test_every_first_window_stays(spark):
+    docs = corpus()
+    kept = dict(chunks.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    texts, first = dict(docs), {}
+    for i, t in docs:
+        for _, _, w in windows(t or ""):
+            first.setdefault(w, i)
+    gone = {i: [(a, z) for a, z, w in windows(t or "") if first[w] != i] for i, t in docs}
+    for i, t in docs:
+        if t is not None:
+            drop = {x for a, z in gone[i] for x in range(a, z)}
+            assert kept[i].encode() == bytes(c for x, c in enumerate(t.encode()) if x not in drop)
+    assert kept[505] is None and kept[502].strip() == "" and texts[500] == kept[500]
