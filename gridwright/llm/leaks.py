@@ -1,13 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 The benchmark is the query set and is taken in blocks of about BLOCK_BYTES; each block is held against all documents, whole.
-Of every two neighbouring word trigrams of an item, the one in fewer documents (counted over the whole corpus) is a seed.
-Seeds found in a document at about the same offset from an item mark a window, and the window is aligned with the
-item: a word that agrees scores 1, a word replaced, dropped or put in costs 0.5. The score is the best local alignment over
-the item's length, and pairs that reach CUT are returned, so a copy with up to about a third of its words edited is found.
+A seed is two words of an item, next to each other or with one word between, and stands in a document in either form, so a
+word replaced, dropped or put in between doesn't hide it. A seed found in a document marks a window, and windows with
+enough of the item's words are aligned with it: a word that agrees scores 1, a word replaced, dropped or put in costs 0.5.
+The score is the best local alignment over the item's length, and pairs that reach CUT are returned.
+
+No such pair is lost, for items of three words or more. With n words, M that agree and E edits between them, CUT asks for
+M - E / 2 >= n / 2, so E <= 2 M - n <= n. Of the M - 1 steps from one agreeing word to the next at most E / 2 hold two edits or
+more, so M - 1 - E / 2 >= n / 2 - 1 steps are seeds, at as many of the item's n - 1 first words. Any n // 2 + 1 first
+words hold one of them: those whose pairs are in the fewest documents (counted over the whole corpus) are taken.
 
 Cases: words are runs of ASCII letters and digits and of other characters than ASCII, lower-cased; items without a
-word and documents without a seed match nothing; an item of under three words is one seed; null ids pass through;
+word and documents without a seed match nothing; an item of under three words is one seed and must stand there whole, with at most one word between; null ids pass through;
 repeated rows give repeated pairs; no item is too common to match.
 """
 
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, batches, chain, hash_words
+from .words import U, _PRIME, batches, hash_words, mix
 
 BLOCK_BYTES = 4 << 20
 CUT = 0.5
@@ -52,8 +57,10 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    return chain(h, min(3, len(h)))
+def _pairs(h: np.ndarray, step: int) -> np.ndarray:
+    """A hash of each word and the step-th after it; with step 0 of each word alone."""
+    n = max(len(h) - step, 0)
+    return mix(mix(h[:n]) * U(_PRIME) + h[step:]) if step else mix(h + U(1))
 
 
 def _batches_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -62,22 +69,22 @@ def _batches_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.n
         yield s, *word_hashes(blobs[s])
 
 
-def _hits(h: np.ndarray, owner: np.ndarray, grams: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def _hits(h: np.ndarray, owner: np.ndarray, grams: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Word positions where one of the sorted grams starts, and the gram's number."""
     where, which = [], []
-    for k in sizes:
-        if len(h) < k:
+    for k in steps:
+        if len(h) <= k:
             continue
-        g = chain(h, k)
+        g = _pairs(h, k)
         at = np.searchsorted(grams, g)
         at[at == len(grams)] = 0
-        hit = np.flatnonzero((grams[at] == g) & (owner[: len(g)] == owner[k - 1 :]))
+        hit = np.flatnonzero((grams[at] == g) & (owner[: len(g)] == owner[k:]))
         where.append(hit)
         which.append(at[hit])
     return (np.concatenate(where), np.concatenate(which)) if where else (np.zeros(0, np.int64),) * 2
 
 
-def _document_counts(docs: DataFrame, grams: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+def _document_counts(docs: DataFrame, grams: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
     """In how many documents each gram stands, over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(grams)
 
@@ -85,7 +92,7 @@ def _document_counts(docs: DataFrame, grams: np.ndarray, sizes: tuple[int, ...])
         total = np.zeros(len(shared.value), np.int64)
         for batch in it:
             for _, h, owner in _batches_of(batch):
-                where, which = _hits(h, owner, shared.value, sizes)
+                where, which = _hits(h, owner, shared.value, steps)
                 pairs = np.unique(owner[where] * len(total) + which)
                 total += np.bincount(pairs % len(total), minlength=len(total))
         found = np.flatnonzero(total)
@@ -105,24 +112,37 @@ class Block:
         h, owner = word_hashes([(r[1] or "").encode() for r in rows])
         edge = np.searchsorted(owner, np.arange(len(rows) + 1))
         self.words = [h[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        grams = [_grams(w) if len(w) else np.zeros(0, U) for w in self.words]
-        self.sizes = tuple(sorted({min(3, len(w)) for w in self.words if len(w)}))
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, U)
+        grams = [[_pairs(w, k) for k in ((1, 2) if len(w) > 1 else (0,))] for w in self.words]
+        self.steps = (0,) * any(len(w) == 1 for w in self.words) + (1, 2) * any(len(w) > 1 for w in self.words)
+        self.grams = np.unique(np.concatenate([x for g in grams for x in g])) if grams else np.zeros(0, U)
         if not len(self.grams):
             return
-        counts = _document_counts(docs, self.grams, self.sizes)
+        counts = _document_counts(docs, self.grams, self.steps)
         self.seeds = defaultdict(list)
-        self.least = []
         for item, g in enumerate(grams):
-            number = np.searchsorted(self.grams, g)
-            rare = {min(p, p + 1, key=lambda i: (counts[number[i]], i)) for p in range(len(g) - 1)} if len(g) > 1 else set(range(len(g)))
-            for p in rare:
-                self.seeds[int(number[p])].append((item, p))
-            self.least.append(2 if len(rare) >= 5 else 1)
+            numbers = [np.searchsorted(self.grams, x) for x in g]
+            total = counts[numbers[0]]
+            for x in numbers[1:]:
+                total[: len(x)] += counts[x]
+            for p in np.argsort(total, kind="stable")[: len(self.words[item]) // 2 + 1].tolist():
+                for x in numbers:
+                    if p < len(x) and counts[x[p]]:
+                        self.seeds[int(x[p])].append((item, p))
+        self.salts = mix(np.arange(1, len(rows) + 1, dtype=U))
+        self.members = np.unique(np.concatenate([mix(np.unique(w) ^ s) for w, s in zip(self.words, self.salts, strict=True)]))
+
+    def shared(self, h: np.ndarray, windows: list[tuple]) -> np.ndarray:
+        """How many words of each window its item has."""
+        size = np.array([x[3] - x[2] for x in windows])
+        first = np.cumsum(size) - size
+        words = h[np.arange(size.sum()) + np.repeat(np.array([x[2] for x in windows]) - first, size)]
+        key = mix(words ^ np.repeat(self.salts[[x[1] for x in windows]], size))
+        at = np.minimum(np.searchsorted(self.members, key), len(self.members) - 1)
+        return np.add.reduceat((self.members[at] == key).astype(np.int64), first)
 
     def match(self, h: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(row, item, score, first word and word after the window) of pairs that reach the cut."""
-        where, which = _hits(h, owner, self.grams, self.sizes)
+        where, which = _hits(h, owner, self.grams, self.steps)
         begin = np.searchsorted(owner, np.arange(owner[-1] + 2)) if len(owner) else None
         found = defaultdict(list)
         for w, g in zip(where.tolist(), which.tolist(), strict=True):
@@ -131,14 +151,16 @@ class Block:
         windows = []
         for (row, item), hits in found.items():
             n = len(self.words[item])
-            slack = 8 + n // 2
+            slack = n + 1  # no more words than n are put in
             hits.sort()
             start = 0
             for i in range(1, len(hits) + 1):
                 if i == len(hits) or hits[i][0] - hits[i - 1][0] > slack:
-                    if len({p for _, p in hits[start:i]}) >= self.least[item]:
-                        windows.append((row, item, max(hits[start][0] - slack, int(begin[row])), min(hits[i - 1][0] + n + slack, int(begin[row + 1]))))
+                    windows.append((row, item, max(hits[start][0] - slack, int(begin[row])), min(hits[i - 1][0] + n + slack, int(begin[row + 1]))))
                     start = i
+        windows = [
+            x for s in batches([x[3] - x[2] for x in windows], 1 << 20) for x, k in zip(windows[s], self.shared(h, windows[s]).tolist(), strict=True) if 2 * k >= len(self.words[x[1]])
+        ]
         windows.sort(key=lambda x: (x[3] - x[2], len(self.words[x[1]])))
         best: dict[tuple[int, int], tuple] = {}
         for s in batches([(x[3] - x[2]) * 4 for x in windows], 1 << 20):

@@ -47,3 +47,30 @@ def test_empty_tables(spark):
     assert [tuple(r)[:3] for r in leaks.contaminated(docs, items).collect()] == [(1, 1, 1.0)]
     assert leaks.decontaminate(docs, items.limit(0)).count() == 1
     assert leaks.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_every_copy_that_reaches_the_cut_is_found(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(600)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(rng.choice([3, 4, 16, 20, 25, 40])) for _ in range(40)]
+    docs = []
+    for i in range(240):
+        item, kind, new = rng.choice(items), i % 6, lambda: "new%d" % rng.randrange(10**6)
+        if kind < 3:
+            rate = (0.2, 0.25, 0.33)[kind]
+            copy = [y for x in item for y in (([new()], [], [x, new()])[rng.randrange(3)] if rng.random() < rate else [x])]
+        elif kind < 5:  # every third or fourth word replaced
+            copy = [new() if j % kind == kind - 1 else x for j, x in enumerate(item)]
+        else:  # a word put in after every word
+            copy = [y for x in item for y in (x, new())]
+        docs.append((i, say(30) + copy + say(30)))
+    want = set()
+    for i, d in docs:
+        for k, item in enumerate(items):
+            if len(set(d) & set(item)) * 2 >= len(item) and slow(item, d) >= len(item) / 2:
+                want.add((i, k))
+    out = leaks.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    )
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == want and len(want) > 150
