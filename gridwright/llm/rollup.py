@@ -2,15 +2,18 @@
 
 A batch brings the documents' present state (or their removal). Against the state before it, every document gives +1
 for what it is now and -1 for what it was; those deltas are summed by source, language and tokenizer version and added to the
-totals. Each batch lives in a folder named after its id, written in overwrite mode and followed by a marker, so a batch
-that is committed again, or again after a crash, changes nothing.
+totals. Each batch lives in a folder of the ledger named after its id, written in overwrite mode and followed by a marker. A
+ledger that is opened on the folder again has the batches with a marker; what a crash left without one counts for nothing
+and is overwritten. So a batch that is committed again, or again after a crash, changes nothing. One driver writes at a time.
 
 Cases: a null text has 0 tokens; null sources and languages are groups of their own; rows with equal doc_id in a batch add
-up; a removal of an unknown document changes nothing; groups that fall to no documents leave the totals.
+up; a document both revised and removed in a batch is taken back once and stands as revised; a removal of an unknown document changes nothing; groups that fall to no documents leave the totals.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +31,34 @@ def token_counts(docs: DataFrame, tokenizer: str, model: str = MODEL) -> DataFra
 
 
 class Ledger:
-    """Committed batches: signed rows for each document, and their sums."""
-
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.batches = scratch, {}
+    """Committed batches: signed rows for each document, and their sums, in a shared folder that outlives the driver.
+
+    folder: where they are; without it they are in scratch and go with it."""
+
+    def __init__(self, scratch: Scratch, folder: str | None = None):
+        self.scratch, self.folder = scratch, (folder or f"{scratch.root}/ledger").rstrip("/")
+        self.batches = {}
+        root, fs = self._at("")
+        if fs.exists(root):
+            for found in fs.listStatus(root):
+                self._open(unquote(found.getPath().getName().removeprefix("batch-")))
+
+    def _at(self, path: str):
+        """A path in the folder and its file system."""
+        spark = self.scratch.spark
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    @staticmethod
+    def _name(name: str) -> str:
+        return f"batch-{quote(name, safe='')}"
+
+    def _open(self, name: str) -> bool:
+        """Whether the batch has its marker; if so, it counts."""
+        marker, fs = self._at(f"{self._name(name)}/_COMMITTED")
+        if name not in self.batches and fs.exists(marker):
+            self.batches[name] = tuple(self.scratch.spark.read.parquet(f"{self.folder}/{self._name(name)}/{part}") for part in ("signed", "sums"))
+        return name in self.batches
 
     def state(self, without: str | None = None) -> DataFrame | None:
         """What each document counts for now."""
@@ -47,26 +74,32 @@ class Ledger:
     def commit(self, name: str, counts: DataFrame | None = None, removed: DataFrame | None = None) -> None:
         """counts: revised or new rows; a document's rows of the same tokenizer version before it are taken back.
         removed: doc_ids (and versions) to take out. A batch name that is committed already is left as it is."""
-        if name in self.batches:
+        if self._open(name):
             return
         # counted once: the rows are read for the change and again for the ids that they revise
-        counts = self.scratch.save(counts, f"counts-{name}") if counts is not None else None
+        counts = self.scratch.save(counts, f"counts-{quote(name, safe='')}") if counts is not None else None
         before, signed = self.state(), counts
-        if before is not None:
-            for now, key in ((counts, ["doc_id", "tokenizer"]), (removed, ["doc_id", "tokenizer"])):
-                if now is not None:
-                    seen = now.select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
-                    old = before.join(seen, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tokenizer") == F.col("_tokenizer")), "left_semi")
-                    back = old.select("doc_id", *GROUP, *[F.negative(v).alias(v) for v in VALUES])
-                    signed = back if signed is None else signed.unionByName(back)
-        if signed is None:
+        keys = [x.select(F.col("doc_id").alias("_doc_id"), F.col("tokenizer").alias("_tokenizer")) for x in (counts, removed) if x is not None]
+        if before is not None and keys:
+            seen = (keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1])).distinct()
+            old = before.join(seen, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("tokenizer").eqNullSafe(F.col("_tokenizer")), "left_semi")
+            back = old.select("doc_id", *GROUP, *[F.negative(v).alias(v) for v in VALUES])
+            signed = back if signed is None else signed.unionByName(back)
+        if signed is None and removed is None:
             return
+        if signed is None:  # nothing to take out yet; the batch is committed all the same
+            nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
+            signed = removed.select("doc_id", *nothing, F.col("tokenizer"), *[F.lit(0).cast("long").alias(v) for v in VALUES]).where("false")
         net = signed.groupBy("doc_id", *GROUP).agg(*[F.sum(v).alias(v) for v in VALUES]).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
-        rows = self.scratch.save(net, f"signed-{name}")
+        place = f"{self.folder}/{self._name(name)}"
+        net.write.mode("overwrite").parquet(f"{place}/signed")
+        rows = self.scratch.spark.read.schema(net.schema).parquet(f"{place}/signed")
+        rows.groupBy(*GROUP).agg(*[F.sum(v).alias(v) for v in VALUES]).coalesce(1).write.mode("overwrite").parquet(f"{place}/sums")
+        marker, fs = self._at(f"{self._name(name)}/_COMMITTED")
+        fs.createNewFile(marker)
         if counts is not None:
-            self.scratch.drop(f"counts-{name}")
-        sums = rows.groupBy(*GROUP).agg(*[F.sum(v).alias(v) for v in VALUES])
-        self.batches[name] = (rows, self.scratch.save(sums.coalesce(1), f"sums-{name}"))
+            self.scratch.drop(f"counts-{quote(name, safe='')}")
+        self._open(name)
 
     def totals(self) -> DataFrame:
         rows = None
@@ -77,10 +110,16 @@ class Ledger:
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     """All documents go in; then every text is counted anew without white space at its ends, as a revision of the same
-    version; both batches are sent twice."""
+    version; then some documents are taken out and put in again. Every batch is sent twice, the second time to a ledger that
+    is opened anew."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    ledger = Ledger(Scratch(spark))
-    for name, rows in (("insert", docs), ("revise", docs.withColumn("text", F.btrim("text", F.lit(" \t\n\r\x0b\x0c"))))):
+    bare = docs.withColumn("text", F.btrim("text", F.lit(" \t\n\r\x0b\x0c")))
+    some = bare.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0)
+    version = "piece_bpe_32k"
+    out = some.select("doc_id", F.lit(version).alias("tokenizer"))
+    scratch = Scratch(spark)
+    for name, rows, removed in (("insert", docs, None), ("revise", bare, None), ("remove", None, out), ("reinsert", some, None)):
         for _ in range(2):
-            ledger.commit(name, token_counts(rows, "piece_bpe_32k"))
+            ledger = Ledger(scratch)
+            ledger.commit(name, None if rows is None else token_counts(rows, version), removed)
     return ledger.totals()
