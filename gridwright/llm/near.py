@@ -211,6 +211,13 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row: groups of texts linked by den * |a & b| >= num * |a | b|."""
+    return _grouped(docs, k, num, den, text, doc_id).select(
+        F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept")
+    )
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str) -> DataFrame:
+    """_id, _th (the text's hash), _n, _component, _root (the group; null without words) for each row."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
@@ -247,14 +254,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, te
 
     names = classes.join(trees.select(F.col("_a").alias("_key"), F.col("_b").alias("_root")), "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
     lowest = names.groupBy("_root").agg(F.min("_low").alias("_component"), F.count("*").alias("_members"))
-    named = split_join(names.select("_key", "_root", "_copies"), lowest, ["_root"], "_members").select("_key", "_component", "_copies")
+    named = split_join(names.select("_key", "_root", "_copies"), lowest, ["_root"], "_members").select("_key", "_root", "_component", "_copies")
     named = scratch.save(named, "named")
     scratch.drop("sets", "weight", "shared")
-    full = split_join(base.where("_n > 0").select("_id", "_key", "_n"), named, ["_key"], "_copies").select("_id", "_n", "_component")
-    out = full.unionByName(base.where("_n = 0").select("_id", "_n", F.col("_id").alias("_component")))
-    return out.select(
-        F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept")
-    )
+    full = split_join(base.where("_n > 0").select("_id", "_th", "_key", "_n"), named, ["_key"], "_copies").select("_id", "_th", "_n", "_component", "_root")
+    none = F.lit(None).cast("binary").alias("_root")
+    return full.unionByName(base.where("_n = 0").select("_id", "_th", "_n", F.col("_id").alias("_component"), none))
 
 
 def _big_clusters(sets: DataFrame, big: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -290,11 +295,13 @@ def _big_clusters(sets: DataFrame, big: DataFrame, num: int, den: int, scratch:
 def dedup_near(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each group, the one with the least doc_id. Rows without a word, and those whose group has
     null doc_ids only, all stay; of rows with equal doc_id in a group one stays."""
-    verdict = near_duplicates(docs, k, num, den, text, doc_id).where("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.max("n_shingles").alias("_kept_n"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    one = rows.join(verdict, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_kept_id")))
-    single = one.where(F.col("_kept_id").isNotNull() & (F.col("_kept_n") > 0)).dropDuplicates(["_kept_id"])
-    rest = one.where(F.col("_kept_id").isNull() | (F.col("_kept_n") == 0))
+    free = F.col("_id").isNull() | (F.col("_n") == 0)
+    kept = _grouped(docs, k, num, den, text, doc_id).where(F.col("_id").eqNullSafe(F.col("_component")))
+    kept = kept.groupBy("_id", "_root", F.when(free, F.col("_th")).alias("_own")).agg(F.min("_th").alias("_kept_th"))
+    verdict = kept.select(F.col("_id").alias("_kept_id"), "_kept_th", F.col("_own").isNotNull().alias("_free"))
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"))
+    one = rows.join(verdict, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_kept_id")) & (F.col("_th") == F.col("_kept_th")))
+    single, rest = one.where("not _free").dropDuplicates(["_kept_id", "_kept_th"]), one.where("_free")
     return single.unionByName(rest).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -75,3 +75,9 @@ def test_superminhash_estimates_the_overlap():
     s = near.superminhash([a, a[:200], a[:3], a[:3]])
     assert abs((s[0] == s[1]).mean() - 0.5) < 0.12
     assert (s[2] == s[3]).all()
+
+
+def test_rows_with_one_doc_id_in_several_groups(spark):
+    rows = [(1, "a b c d"), (1, "p q r s"), (5, "e f g h"), (5, "i j k l"), (2, "i j k l"), (None, "m n o p"), (None, "t u v w"), (9, "t u v w")]
+    out = near.dedup_near(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100)
+    assert sorted((r[0] or 0, r[1]) for r in out.collect()) == [(0, "m n o p"), (1, "a b c d"), (1, "p q r s"), (2, "i j k l"), (5, "e f g h"), (9, "t u v w")]
