@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import U, _PRIME, batches, hash_words, mix
+from .words import _PRIME, U, batches, hash_words, mix, texts_of
 
 BLOCK_BYTES = 4 << 20
 CUT = 0.5
@@ -64,9 +65,8 @@ def _pairs(h: np.ndarray, step: int) -> np.ndarray:
 
 
 def _batches_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    blobs = [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-    for s in batches([len(x) for x in blobs]):
-        yield s, *word_hashes(blobs[s])
+    for s, blobs in texts_of(batch):
+        yield s, *word_hashes(blobs)
 
 
 def _hits(h: np.ndarray, owner: np.ndarray, grams: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     kinds = (rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word long, end_word long"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     items = benchmark.select("item_id", "text")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out = spark.createDataFrame([], schema)
@@ -196,11 +197,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                     take = ids.take(pa.array([s.start + x[0] for x in found], pa.int64()))
                     item = [shared.value.ids[x[1]] for x in found]
                     yield pa.RecordBatch.from_pydict(
-                        {"doc_id": take, "item_id": pa.array(item, batch_type), "score": pa.array([x[2] for x in found], pa.float64())}
+                        {"doc_id": take, "item_id": pa.array(item, item_type), "score": pa.array([x[2] for x in found], pa.float64())}
                         | {c: pa.array([x[i] for x in found], pa.int64()) for i, c in ((3, "first_word"), (4, "end_word"))}
                     )
 
-        batch_type = pa.string() if kinds[1] == "string" else pa.int64() if kinds[1] == "bigint" else pa.int32()
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 

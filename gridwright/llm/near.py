@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import Scratch, split_join
-from .words import U, batches, mix, shingles
+from .words import U, batches, mix, shingles, texts_of
 
 HASHES = 120
 CLUSTER_BYTES = 8 << 20
@@ -88,16 +89,11 @@ def set_key(s: np.ndarray) -> bytes:
         return np.array([mix(s ^ U(0x5BF03635)).sum(dtype=U) + U(len(s)), mix(s * U(0x9E3779B97F4A7C15) + U(7)).sum(dtype=U)]).tobytes()
 
 
-def _lowered(column: pa.Array) -> list[bytes]:
-    return [(x or b"").lower() for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _describe(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            blobs = _lowered(batch.column("_text"))
-            for s in batches([len(x) for x in blobs]):
-                sets = shingles(blobs[s], k)
+            for s, blobs in texts_of(batch):
+                sets = shingles([x.lower() for x in blobs], k)
                 full = [i for i, x in enumerate(sets) if len(x)]
                 signs = short(superminhash([sets[i] for i in full]))
                 keys, sigs = [None] * len(sets), [None] * len(sets)
@@ -133,11 +129,10 @@ def _sets(k: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            blobs = _lowered(batch.column("_text"))
-            for s in batches([len(x) for x in blobs]):
-                part = batch.slice(s.start, s.stop - s.start)
+            for s, blobs in texts_of(batch):
+                part = batch.slice(s.start, len(blobs))
                 want = part.column("_key").to_pylist()
-                sets = shingles(blobs[s], k)
+                sets = shingles([x.lower() for x in blobs], k)
                 hit = [i for i, x in enumerate(sets) if len(x) and set_key(x) == want[i]]
                 kept = part.take(pa.array(hit, pa.int64()))
                 names = [c for c in part.schema.names if c != "_text"]
@@ -191,13 +186,15 @@ def _verify(num: int, den: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at = [], None
-        for batch in it:
-            for g, *row in zip(batch.column("_group").to_pylist(), *(batch.column(c).to_pylist() for c in names), strict=True):
-                if g != at and group:
-                    yield emit(group)
-                    group = []
-                at = g
-                group.append(tuple(row))
+        for whole in it:
+            for s in batches(pc.binary_length(whole.column("_set")).to_pylist()):
+                batch = whole.slice(s.start, s.stop - s.start)
+                for g, *row in zip(batch.column("_group").to_pylist(), *(batch.column(c).to_pylist() for c in names), strict=True):
+                    if g != at and group:
+                        yield emit(group)
+                        group = []
+                    at = g
+                    group.append(tuple(row))
         if group:
             yield emit(group)
 

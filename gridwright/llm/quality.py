@@ -8,8 +8,9 @@ Features of a text, all from the text itself: its distinct lower-cased words has
 repeated neighbours, words and lines, share of the commonest word, length as metadata), each cut into ten bins of
 which one is on. Labels, language, source and doc_id are never features.
 
-The model is fitted on the driver on SAMPLE labelled rows at most, those with the least hash of doc_id: the sample's
-bound in memory is SAMPLE times the number of features, whatever the corpus. Scoring covers all rows and whole texts.
+The model is fitted on the driver on SAMPLE labelled rows at most, those of the labels with the least hash of doc_id, and where their
+doc_ids stand in several rows those with the least hash of doc_id and text: the sample is the same however the rows are dealt, and
+its bound in memory is SAMPLE times the number of features, whatever the corpus. Scoring covers all rows and whole texts.
 
 Cases: null and empty texts have no words and the statistics' first bins; with no usable labels every score is 0.5, with
 one class only that class's rate, smoothed; several labels for a doc_id all count; rows whose label or doc_id is null
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, batches, hash_words, mix
+from .words import U, hash_words, mix, texts_of
 
 SAMPLE = 2000
 WORD_DIMS = 4096
@@ -148,30 +149,27 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0)) == 0
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        blobs = _texts(batch.column("_text"))
-        for s in batches([len(x) for x in blobs]):
-            n = s.stop - s.start
-            rows, places, values = features(blobs[s])
+        for s, blobs in texts_of(batch):
+            n = len(blobs)
+            rows, places, values = features(blobs)
             order = np.argsort(rows, kind="stable")
             edge = np.searchsorted(rows[order], np.arange(n + 1))
             places, values = places[order].astype(np.int16), values[order].astype(np.float32)
             parts = [(places[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             columns = [pa.array([p[i] for p in parts], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("_y").slice(s.start, n), *columns], ["_y", "_places", "_values"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.start, n) for c in ("_y", "_h")), *columns], ["_y", "_h", "_places", "_values"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Machine:
-    """Fit on the labelled rows that are not held out, `sample` of them at most (the least hashes of doc_id)."""
+    """Fit on the labelled rows that are not held out, `sample` of them at most (the least hashes)."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = rows.select("_text", "_y").mapInArrow(_extract, "_y int, _places binary, _values binary").limit(2 * sample).collect()
+    rows = rows.select("_text", "_y", F.xxhash64("_id", F.coalesce("_text", F.lit(""))).alias("_h"))
+    # rows that agree in hash and label are copies: whichever of them the bound takes, the sample is the same
+    found = rows.mapInArrow(_extract, "_y int, _h long, _places binary, _values binary").orderBy("_h", "_y").limit(sample).collect()
     found.sort(key=lambda r: (r["_y"], bytes(r["_values"]), bytes(r["_places"])))  # the same sums whatever the order of arrival
     x = np.zeros((len(found), DIMS), np.float32)
     for row, r in zip(x, found, strict=True):
@@ -180,21 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1; a column that has the name already is replaced."""
+    """docs with a score from 0 to 1; a column that has the name already is replaced. Only the text goes to Python, and only the score comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    rest = [c for c in docs.columns if c != out]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            blobs = _texts(batch.column(text))
-            for s in batches([len(x) for x in blobs]):
-                n = s.stop - s.start
-                z = shared.value.score(*features(blobs[s]), n)
-                part = batch.slice(s.start, n)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(z, pa.float64())], [*rest, out])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), f"`{out}` double"])
-    return docs.select(*rest).mapInArrow(run, schema)
+
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in texts:
+            batch = pa.RecordBatch.from_arrays([x], ["_text"])
+            yield pa.array(np.concatenate([np.zeros(0), *(shared.value.score(*features(blobs), len(blobs)) for _, blobs in texts_of(batch))]))
+
+    return docs.withColumn(out, scores(F.col(text)))
 
 
 #: A document is rejected below this score.

@@ -6,9 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
-PIECE = 1 << 21
+#: Bytes of text that a task turns into arrays at a time; they take some fifty times as much.
+PIECE = 1 << 19
 _PRIME = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -45,6 +48,13 @@ def batches(sizes: list[int], limit: int = PIECE) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def texts_of(batch: pa.RecordBatch, column: str = "_text", limit: int = PIECE) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of a batch's rows of about `limit` bytes together, one row at least, with their texts (null: empty). One run is held at a time."""
+    texts = batch.column(column)
+    for s in batches(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit):
+        yield s, [x or b"" for x in texts.slice(s.start, s.stop - s.start).cast(pa.binary()).to_pylist()]
+
+
 def _pieces(blob: bytes) -> Iterator[bytes]:
     """A long text cut between words."""
     at = 0
