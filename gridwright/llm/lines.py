@@ -1,9 +1,9 @@
 """Line dedup, with DataFrame functions alone.
 
 Every line's key is hashed; hashes are range-partitioned and sorted by document and position, so each key's
-occurrences stream past once. What comes back is a sparse bitmap of lines for each document, never text. Keys with more
-than a thousandth of all occurrences (fewer than a thousand keys) don't go through the range partitions: their
-document counts are summed in two steps and broadcast.
+occurrences stream past once. What comes back is a sparse bitmap of lines for each document, never text. Hot keys
+(shared.hot_limit: few, however large the table) don't go through the range partitions: their document counts are summed in
+two steps and broadcast.
 
 Cases: a null or empty text is one empty line; a null doc_id is a document like others; rows with equal doc_id and
 equal text are one document and get the same bitmap; empty keys (blank lines) are never dropped; further columns
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HOT_SHARE, Scratch
+from .shared import Scratch, hot_limit
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,7 +60,7 @@ def drop_bitmaps(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     key, place = ["_h1", "_h2"], ["_doc", "_text", "_pos"]
 
     counts = found.groupBy(*key).count()
-    limit = max(found.count() // HOT_SHARE, 10_000)
+    limit = hot_limit(found.count())  # Parquet's own row counts
     hot = scratch.save(counts.where(F.col("count") > limit).select(*key), "hot")
 
     # the rest: range partitions of the hash, sorted by document and position

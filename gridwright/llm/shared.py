@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset, a local session (tests) gets a temporary one and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -47,19 +49,22 @@ class Scratch:
             pass
 
 
-#: A key is hot if it has more than one row in HOT_SHARE; fewer than HOT_SHARE keys can be hot.
-HOT_SHARE = 1000
+HOT_SHARE, LEAST_HOT, MOST_HOT, HOT_KEYS = 1000, 1000, 4_000_000, 1_000_000
+
+
+def hot_limit(total: int) -> int:
+    """A key with more rows than this, of `total`, is hot: a thousandth of all, within bounds on the rows that a cool key may bring to one
+    task. However large the table, fewer than HOT_KEYS keys are hot, so a table of them may be broadcast."""
+    return max(min(max(total // HOT_SHARE, LEAST_HOT), MOST_HOT), total // HOT_KEYS)
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """left joined with right, whose `weight` says how many rows of left have its key at most.
 
-    right has one row for each key. Keys with more than a thousandth of all weight are fewer than a thousand,
-    so that side is broadcast and its rows of left don't move; the rest is an ordinary shuffled join.
-    how: inner or left_semi.
+    right has one row for each key. Hot keys (hot_limit) are few, so that side is broadcast and its rows of left don't move;
+    the rest is an ordinary shuffled join. how: inner or left_semi.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = max(total // HOT_SHARE, 10_000)
+    limit = hot_limit(right.agg(F.sum(weight)).first()[0] or 0)
     hot, cool = right.where(F.col(weight) > limit), right.where(F.col(weight) <= limit)
     hot_rows = left.join(F.broadcast(hot), keys, how)
     cool_rows = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cool, keys, how)

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from gridwright.llm import components, shared
 from gridwright.llm.components import connected_components
 from gridwright.llm.shared import Scratch
 
@@ -18,7 +21,10 @@ def least_of(links):
     return {x: find(x) for x in list(root)}
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_components_equal_union_find(spark, monkeypatch, limit):
+    monkeypatch.setattr(shared, "hot_limit", lambda total: limit)
+    monkeypatch.setattr(components, "hot_limit", lambda total: limit)
     rng = random.Random(3)
     path = [(i, i + 1) for i in range(40)]
     stars = [(100, 100 + i) for i in range(1, 30)]
