@@ -36,8 +36,11 @@ from .words import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = np.int64(1) << 40
-PART_CHARS = 1 << 19
-MEMO_WORDS = 400_000
+PART_CHARS = 1 << 18
+#: Characters of a long word that are relaxed from one beginning, and of those before them.
+SEGMENT, OVERLAP = 1024, 256
+#: A worker's memo is begun anew when it holds this many words, or characters.
+MEMO_WORDS, MEMO_CHARS = 400_000, 8_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -226,7 +229,7 @@ def suffix_array(keys: np.ndarray) -> np.ndarray:
         if width >= 4 * keys.shape[1]:
             return order
         later = np.zeros(n, np.int64)
-        later[: n - width] = new[width:] + 1
+        later[: max(n - width, 0)] = new[width:] + 1
         at = new * (n + 1) + later
         order = np.argsort(at)
         width *= 2
@@ -260,11 +263,11 @@ def occurrences(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[np.repeat(first, n) + within], piece
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, and how many each has. Words are not empty."""
+def _relaxed(v: Vocabulary, words: list[str], known: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """The words' codes, the place where each word begins and its length, and for every place the piece of the encoding that ends there
+    and where that piece begins. Words are not empty. known: pieces that end at the first places of the words, where they are known."""
     sizes = np.array([len(w) for w in words])
-    joined = "\0".join(words) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
     begin = np.cumsum(np.r_[0, sizes[:-1] + 1])
     distinct, back_to = np.unique(points, return_inverse=True)
     codes = np.array([v.char_codes.get(chr(c), 0) for c in distinct.tolist()], np.int64)[back_to]
@@ -285,6 +288,9 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     steps = np.searchsorted(reach[order], np.arange(1, sizes.max() + 2))
 
     last, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
+    if known:
+        last[1 : len(known) + 1] = known
+        steps = steps[len(known) :]
     for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
         s, e, y = start[a:b], end[a:b], symbol[a:b]
         before = last[s]
@@ -292,19 +298,72 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
         rest = np.flatnonzero(~ok)
         ok[rest] = v.compatible(before[rest], y[rest])
         last[e[ok]], back[e[ok]] = y[ok], s[ok]
-    on_path = np.zeros(len(codes) + 1, bool)
-    at = gaps.copy()
-    origin = begin
+    return begin, sizes, last, back
+
+
+def _long_word(v: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every place of a long word the piece that ends there and where it begins.
+
+    Segments are relaxed side by side, each from some characters before its first place. What ends at a place depends on the `depth`
+    places before it and nothing else, so a segment that agrees there with the one before it is right from there on. Where none does,
+    segments begun at each of the next `depth` places are tried (runs of one character), then the segment is relaxed from what is known.
+    """
+    n, depth = len(text), v.depth
+    last, back = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+    edges = [*range(0, n, SEGMENT), n]
+    todo = list(range(len(edges) - 1))
+    shifts = (0,)
+    while todo:
+        ready = []
+        for k in todo[: max(1, PART_CHARS // (SEGMENT + OVERLAP) // len(shifts))]:
+            ready += [(k, a, edges[k + 1]) for a in sorted({max(edges[k] - OVERLAP - x, 0) for x in shifts})]
+        begin, _, found, came = _relaxed(v, [text[a:z] for _, a, z in ready])
+        failed = None
+        for i, (k, a, z) in enumerate(ready):
+            if k != todo[0]:
+                continue
+            low, at = edges[k], begin[i] - a
+            if a and not np.array_equal(found[at + low - depth + 1 : at + low + 1], last[low - depth + 1 : low + 1]):
+                failed = k
+                if i + 1 < len(ready) and ready[i + 1][0] == k:
+                    continue
+                break
+            last[low + 1 : z + 1], back[low + 1 : z + 1] = found[at + low + 1 : at + z + 1], came[at + low + 1 : at + z + 1] - at
+            todo.pop(0)
+            failed = None
+            if not todo:
+                break
+        if failed is None:
+            continue
+        if len(shifts) == 1:
+            shifts = tuple(range(depth))
+            continue
+        low, z = edges[failed], edges[failed + 1]
+        _, _, found, came = _relaxed(v, [text[low - depth : z]], last[low - depth + 1 : low + 1].tolist())
+        last[low + 1 : z + 1], back[low + 1 : z + 1] = found[depth + 1 : z - low + depth + 1], came[depth + 1 : z - low + depth + 1] + low - depth
+        todo.pop(0)
+    return last, back
+
+
+def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and how many each has. Words are not empty."""
+    if len(words) == 1 and len(words[0]) > 4 * SEGMENT:
+        begin, sizes, (last, back) = np.zeros(1, np.int64), np.array([len(words[0])]), _long_word(v, words[0])
+    else:
+        begin, sizes, last, back = _relaxed(v, words)
+    on_path = np.zeros(len(last), bool)
+    at, origin = begin + sizes, begin
     while len(at):
         on_path[at] = True
         at = back[at]
         more = at > origin
         at, origin = at[more], origin[more]
     place = np.flatnonzero(on_path)
-    ids, owner = last[place], word[place - 1]
+    ids, owner = last[place], np.repeat(np.arange(len(words)), sizes + 1)[place - 1]
     odd = np.flatnonzero(ids >= len(v.pieces))
     if len(odd):  # characters without a piece
-        parts = [[v.byte_ids[b] if v.byte_ids[b] >= 0 else v.unknown for b in joined[i].encode()] for i in (place[odd] - 1).tolist()]
+        chars = [words[w][p - begin[w] - 1] for w, p in zip(owner[odd].tolist(), place[odd].tolist(), strict=True)]
+        parts = [[v.byte_ids[b] if v.byte_ids[b] >= 0 else v.unknown for b in c.encode()] for c in chars]
         n = np.ones(len(ids), np.int64)
         n[odd] = [len(p) for p in parts]
         ids, owner, first = np.repeat(ids, n), np.repeat(owner, n), np.cumsum(n) - n
@@ -320,6 +379,7 @@ class _Memo(dict):
         super().__init__()
         self.v = v
         self.new: list[str] = []
+        self.chars = 0
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.split = re.compile(f"\n|[ {SPACE}]*[^ {SPACE}\n]+|[ {SPACE}]+" if v.by_word else "(?s).+").findall
 
@@ -331,10 +391,12 @@ class _Memo(dict):
     def encode_new(self) -> None:
         new = [w.replace(" ", SPACE) for w in self.new]
         flats, sizes = [self.flat], [self.sizes]
-        for s in batches([len(w) + 1 for w in new], PART_CHARS):
+        # a long word is a part by itself
+        for s in batches([len(w) + 1 + PART_CHARS * (len(w) > 4 * SEGMENT) for w in new], PART_CHARS):
             ids, n = encode_words(self.v, new[s])
             flats.append(ids.astype(np.int32))
             sizes.append(n)
+        self.chars += sum(map(len, new))
         self.flat, self.sizes, self.new = np.concatenate(flats), np.concatenate(sizes), []
 
     def words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +446,7 @@ def memo_of(shared) -> _Memo:
     """This worker's memo for a broadcast model; begun anew when it has grown large."""
     v = shared.value
     memo = _memos.get(v.name)
-    if memo is None or len(memo) > MEMO_WORDS:
+    if memo is None or len(memo) > MEMO_WORDS or memo.chars > MEMO_CHARS:
         _memos.clear()
         memo = _memos[v.name] = _Memo(v)
     return memo

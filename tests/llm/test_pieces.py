@@ -52,3 +52,16 @@ def test_odd_rows(spark):
     assert sorted((r.decoded, len(r.token_ids)) for r in out.collect())[:2] == [("", 0), ("", 0)]
     assert [r.decoded for r in out.where("doc_id is null").collect()] == ["a  b\n"] * 2
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_long_unbroken_words_equal_the_library(model):
+    rng = random.Random(7)
+    v = pieces.load()
+    texts = [
+        "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(20_000)), "=" * 9_001, "x y " + "-" * 6_000 + " z " + "q" * 4_097, "".join(rng.choice(v.pieces[300:]).strip(pieces.SPACE) for _ in range(3_000)),
+        "".join(rng.choice("日本語🤖é") for _ in range(6_000)), "ab" * 3_000,
+    ]
+    flat, n = pieces._Memo(v).encode(pa.array(texts))
+    edge = [0, *n.cumsum().tolist()]
+    for i, x in enumerate(texts):
+        assert flat[edge[i] : edge[i + 1]].tolist() == model.encode(x), i
