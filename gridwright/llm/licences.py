@@ -1,18 +1,23 @@
 """License scans: a positional index of rare words.
 
-Every template is a run of words; its postings say which word stands where. The words' IDF is counted over all documents.
-In a document, the occurrences of a template's rarest words give candidate offsets (place in the document less place in the
-template); the template's words are then held against the document at that offset, and its mandatory phrases must stand
-there in full. A phrase stands somewhere exactly if its rarest word does with the others around it, so plain phrases
-are found at every place. A label's score is the share of the template's IDF that agrees at its best offset.
-
-Cases: null and empty texts have no words and no labels; places overlap freely; equal rows give equal rows; the tables of
-templates are small constants, shipped to every task.
+All templates' words make one vocabulary, and every word of it knows at which places of which templates it stands. The words' IDF is
+counted over all documents. A block of documents is looked up in the vocabulary once, however many templates there are; what
+comes out is a posting list of each licence word, by position. A template is looked at in a file only if the file has all words
+of its mandatory phrases. Then, from the word of highest IDF on, the phrases' posting lists are intersected by relative
+position: word number i of a phrase must stand i places after the first. What is left are the places where the phrase stands in
+full, and no others; plain phrases end there, so they are found at every place.
+
+A template with all its mandatory phrases gives its label. Its score is the share of its IDF that agrees: each of its words is
+held against the file at the distance of the nearest phrase, so words put in or dropped between two phrases cost only themselves.
+
+Cases: null and empty texts have no words and no labels; places overlap freely; equal rows give equal rows; the templates are
+a bounded table of constants, shipped to every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +25,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .leaks import GAP
-from .words import batches, hash_words
+from .words import hash_words, texts_of
+
+
+class Template(NamedTuple):
+    label: str
+    text: str
+    #: Phrases of the text that must stand in a file in full.
+    phrases: tuple[str, ...]
+
 
 #: Phrases and the labels that they give.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label: (template, mandatory phrases of it)
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    "mit": ("released under the mit license", ("mit license",)),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    "lgpl": ("gnu lesser general public license", ("gnu lesser general public license",)),
-    "agpl": ("gnu affero general public license", ("gnu affero general public license",)),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ("cc by nc",)),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ("cc by sa",)),
-    "cc0": ("cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-}
-ANCHORS = 3
+#: Public licence notices as they are written, lower-cased and without punctuation.
+TEMPLATES = (
+    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    Template("mit", "released under the mit license", ("mit license",)),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        ("permission is hereby granted free of charge", "deal in the software without restriction"),
+    ),
+    Template("no-warranty", "the software is provided as is without warranty of any kind express or implied", ("without warranty of any kind",)),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ("redistribution and use in source and binary forms",),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify and or distribute this software for any purpose", "with or without fee is hereby granted"),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        ("without any express or implied warranty", "in no event will the authors be held liable"),
+    ),
+    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    Template(
+        "gpl-notice",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("under the terms of the gnu general public license", "published by the free software foundation"),
+    ),
+    Template("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
+    Template("agpl", "gnu affero general public license", ("gnu affero general public license",)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    Template("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+)
 
 
 def _words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,24 +88,37 @@ def _phrase(x: str) -> np.ndarray:
     return _words([x.encode()])[0]
 
 
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in a list that isn't empty and rises."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 class Index:
-    """Templates with their anchors: the places of their rarest words."""
+    """The vocabulary, its IDF, and for each template its words, weights and mandatory phrases."""
 
-    def __init__(self, templates: dict[str, tuple[str, tuple[str, ...]]], base: dict[str, str], idf: dict[int, float]):
+    def __init__(self, templates: tuple[Template, ...], base: dict[str, str], vocabulary: np.ndarray, idf: np.ndarray):
+        self.vocabulary, self.idf = vocabulary, idf
         self.items = []
-        every = [(label, phrase, (phrase,), True) for phrase, label in base.items()] + [(label, t, must, False) for label, (t, must) in templates.items()]
-        for label, text, must, plain in every:
-            h = _phrase(text)
-            weight = np.array([idf.get(int(x), 1.0) for x in h])
+        for plain, t in [(True, Template(label, phrase, (phrase,))) for phrase, label in base.items()] + [(False, Template(*t)) for t in templates]:
+            word = np.searchsorted(vocabulary, _phrase(t.text))
             spans = []
-            for m in must:
-                p = _phrase(m)
-                at = next(i for i in range(len(h)) if (h[i : i + len(p)] == p).all() and i + len(p) <= len(h))
-                spans += range(at, at + len(p))
-            need = np.array(sorted(set(spans)))
-            # a match holds every mandatory word, so its rarest ones are enough to find it
-            anchors = need[np.argsort(-weight[need], kind="stable")][: 1 if plain else ANCHORS]
-            self.items.append((label, h, weight, need, anchors, plain))
+            for p in t.phrases:
+                p = np.searchsorted(vocabulary, _phrase(p))
+                at = next(i for i in range(len(word) - len(p) + 1) if (word[i : i + len(p)] == p).all())
+                spans.append((at, len(p)))
+            spans.sort(key=lambda s: -idf[word[s[0] : s[0] + s[1]]].max())  # the phrase with the rarest word leads
+            near = np.abs(np.arange(len(word))[:, None] - np.array([a + (n - 1) / 2 for a, n in spans])).argmin(axis=1)
+            need = np.unique(np.concatenate([word[a : a + n] for a, n in spans]))
+            self.items.append((t.label, plain, word, spans, near, need))
+
+    def _places(self, posting: list[np.ndarray], word: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Where a phrase begins: its words' postings, rarest first, intersected by relative position."""
+        found = None
+        for i in np.argsort(-self.idf[word], kind="stable").tolist():
+            found = posting[word[i]] - i if found is None else found[_among(found + i, posting[word[i]])]
+            if not len(found):
+                return found
+        return found[owner[found] == owner[found + len(word) - 1]]
 
     def scan(self, h: np.ndarray, owner: np.ndarray, n: int) -> list[tuple]:
         """For each of n texts: places, first and last of the plain phrases, their labels, all labels, score."""
@@ -76,43 +127,69 @@ class Index:
         base: list[set] = [set() for _ in range(n)]
         labels: list[set] = [set() for _ in range(n)]
         score = np.zeros(n)
-        for label, words, weight, need, anchors, plain in self.items:
-            found = np.unique(np.concatenate([np.flatnonzero(h == words[a]) - a for a in anchors]))
-            if not len(found):
+        at = np.searchsorted(self.vocabulary, h)
+        at[at == len(self.vocabulary)] = 0
+        place = np.flatnonzero(self.vocabulary[at] == h)
+        order = np.argsort(at[place], kind="stable")
+        posting = np.split(place[order], np.searchsorted(at[place][order], np.arange(1, len(self.vocabulary))))
+        holders = {}  # files of each word, made when a template asks for them
+        for label, plain, word, spans, near, need in self.items:
+            files = None
+            for w in need[np.argsort(-self.idf[need], kind="stable")].tolist():
+                if not len(posting[w]):
+                    files = np.zeros(0, np.int64)
+                    break
+                own = holders[w] if w in holders else holders.setdefault(w, np.unique(owner[posting[w]]))
+                files = own if files is None else files[_among(files, own)]
+                if not len(files):
+                    break
+            if not len(files):
+                continue
+            wanted = np.zeros(n, bool)
+            wanted[files] = True
+            found = []
+            for a, k in spans:
+                x = self._places(posting, word[a : a + k], owner)
+                found.append(x[wanted[owner[x]]])
+                wanted = np.bincount(owner[found[-1]], minlength=n) > 0  # files without the phrase are done with
+            lead = found[0][wanted[owner[found[0]]]]
+            if not len(lead):
                 continue
-            place = found[:, None] + np.arange(len(words))
-            inside = (place >= 0) & (place < len(h))
-            place = np.where(inside, place, 0)
-            row = owner[place[:, need[0]]] if len(h) else found
-            agree = inside & (h[place] == words) & (owner[place] == row[:, None])
-            full = agree[:, need].all(axis=1)
-            share = (agree * weight).sum(axis=1) / weight.sum()
-            for at, r, s in zip(found[full].tolist(), row[full].tolist(), share[full].tolist(), strict=True):
+            row = owner[lead]
+            gaps = np.empty((len(lead), len(spans)), np.int64)  # distance of file and template at each phrase
+            for j, (x, (a, _)) in enumerate(zip(found, spans, strict=True)):
+                x = x[wanted[owner[x]]]
+                hope = np.clip(lead - spans[0][0] + a, begin[row], begin[row + 1] - 1)
+                right = np.minimum(np.searchsorted(x, hope), len(x) - 1)
+                left = np.maximum(right - 1, 0)
+                far = [np.where(owner[x[s]] == row, np.abs(x[s] - hope), len(h)) for s in (left, right)]
+                gaps[:, j] = np.where(far[0] < far[1], x[left], x[right]) - a
+            where = np.arange(len(word)) + gaps[:, near]
+            inside = (where >= 0) & (where < len(h))
+            where = np.where(inside, where, 0)
+            agree = inside & (h[where] == self.vocabulary[word]) & (owner[where] == row[:, None])
+            share = (agree * self.idf[word]).sum(axis=1) / self.idf[word].sum()
+            for p, r, s in zip(lead.tolist(), row.tolist(), share.tolist(), strict=True):
                 labels[r].add(label)
-                score[r] = max(score[r], s)
+                score[r] = max(score[r], min(s, 1.0))
                 if plain:
                     base[r].add(label)
-                    starts[r].append(at - int(begin[r]))
+                    starts[r].append(p - int(begin[r]))
         lists = lambda x: ",".join(sorted(x))
         return [(int(begin[i + 1] - begin[i]), len(s), min(s, default=None), max(s, default=None), lists(base[i]), lists(labels[i]), float(score[i])) for i, s in enumerate(starts)]
 
 
-def _blobs(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-
-
-def word_idf(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
+def word_idf(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """log((N + 1) / (documents with the word + 1)) of the vocabulary's words, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.unique(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         total, rows = np.zeros(len(v), np.int64), 0
         for batch in it:
-            blobs = _blobs(batch)
-            rows += len(blobs)
-            for s in batches([len(x) for x in blobs]):
-                h, owner = _words(blobs[s])
+            rows += batch.num_rows
+            for _, blobs in texts_of(batch):
+                h, owner = _words(blobs)
                 at = np.searchsorted(v, h)
                 at[at == len(v)] = 0
                 hit = v[at] == h
@@ -120,26 +197,24 @@ def word_idf(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(v)), -1], pa.int64()), pa.array([*total.tolist(), rows], pa.int64())], ["w", "n"])
 
     counts = {w: n for w, n in docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n")).collect()}  # one row a template word
-    return {int(x): float(np.log((counts.get(-1, 0) + 1) / (counts.get(i, 0) + 1))) + 1e-9 for i, x in enumerate(shared.value)}
+    return np.array([np.log((counts.get(-1, 0) + 1) / (counts.get(i, 0) + 1)) + 1e-9 for i in range(len(vocabulary))])
 
 
-def scan_licences(docs: DataFrame, templates=None, base=None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan_licences(docs: DataFrame, templates=TEMPLATES, base=None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
-    templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
+    base = BASE if base is None else base
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    vocabulary = np.concatenate([_phrase(x) for x in [*base, *(t for t, _ in templates.values())]])
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates, base, word_idf(rows.select("_text"), vocabulary)))
+    vocabulary = np.unique(np.concatenate([_phrase(x) for x in [*base, *(t[1] for t in templates)]]))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates, base, vocabulary, word_idf(rows.select("_text"), vocabulary)))
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            blobs = _blobs(batch)
-            for s in batches([len(x) for x in blobs]):
-                n = s.stop - s.start
-                found = shared.value.scan(*_words(blobs[s]), n)
+            for s, blobs in texts_of(batch):
+                found = shared.value.scan(*_words(blobs), len(blobs))
                 columns = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.start, n), *columns], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.start, len(blobs)), *columns], ["doc_id", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from gridwright.llm import licences
@@ -31,3 +32,31 @@ def test_templates(spark):
     rows = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
     assert rows[1].labels == "mit" and rows[1].score > 0.999 and rows[2].labels == "" and rows[3].labels == "apache-2.0" and 0 < rows[3].score < 1
     assert licences.scan_licences(docs.limit(0)).count() == 0
+
+
+def stands(words, phrase):
+    p = phrase.split()
+    return any(words[i : i + len(p)] == p for i in range(len(words) - len(p) + 1))
+
+
+def test_labels_equal_brute_force(spark):
+    rng = random.Random(5)
+    every = [w for t in licences.TEMPLATES for w in t.text.split()]
+    docs = []
+    for i in range(400):
+        words = [rng.choice(every) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(licences.TEMPLATES).text.split()
+            t = [w if rng.random() > 0.05 else rng.choice(["", "x y", rng.choice(every)]) for w in t]
+            at = rng.randint(0, len(words))
+            words[at:at] = t
+        docs.append((i, " ".join(words)))
+    docs += [(1000, "w " * 100_000 + licences.TEMPLATES[2].text + " z" * 100_000), (1001, licences.TEMPLATES[2].text.replace("documentation files", "papers and other files"))]
+    labels = set()
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        words = text.split()
+        want = {t.label for t in licences.TEMPLATES if all(stands(words, p) for p in t.phrases)} | {x for p, x in licences.BASE.items() if stands(words, p)}
+        assert set(filter(None, got[i].labels.split(","))) == want, i
+        labels |= want
+    assert len(labels) > 12 and got[1000].score > 0.999 and 0.8 < got[1001].score < 1
