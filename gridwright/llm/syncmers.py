@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
 from .words import U, batches, chain, mix
 
 K, S, BINS = 12, 5, 128
+#: Code points that a task turns into arrays at a time, and bytes of text in a block.
+PIECE, BLOCK_BYTES, MOST_BLOCKS = 1 << 18, 256 << 20, 4096
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -57,11 +59,14 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """A row of BINS numbers below 2**16, or NONE, for each text."""
-    owner, _, h = anchors(texts)
+    """A row of BINS numbers below 2**16, or NONE, for each text. Long texts are taken in parts that share K - 1 code points."""
+    parts = [(i, x[a : a + PIECE + K - 1]) for i, x in enumerate(texts) for a in range(0, max(len(x) - K + 1, 1), PIECE)]
     out = np.full((len(texts), BINS), np.iinfo(U).max, U)
-    x = mix(h)
-    np.minimum.at(out.reshape(-1), owner * BINS + (x % U(BINS)).astype(np.int64), x >> U(8))
+    for s in batches([len(x) for _, x in parts], PIECE):
+        owner, _, h = anchors([x for _, x in parts[s]])
+        x = mix(h)
+        row = np.array([i for i, _ in parts[s]], np.int64)[owner]
+        np.minimum.at(out.reshape(-1), row * BINS + (x % U(BINS)).astype(np.int64), x >> U(8))
     return np.where(out == np.iinfo(U).max, NONE, (mix(out) >> U(48)).astype(np.uint32))
 
 
@@ -81,23 +86,25 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            for s in batches([len(x) for x in texts], 1 << 20):
+            for s in batches(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), PIECE):
                 part = batch.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(render(fingerprints(texts[s])))], [*rest, out])
+                texts = [x or "" for x in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(render(fingerprints(texts)))], [*rest, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), f"`{out}` string"])
     return docs.select(*rest).mapInArrow(run, schema)
 
 
-def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, _text in blocks of falling doc_id, sorted in each block and followed by the next block's first row (_extra).
 
-    Blocks are cut at quantiles of doc_id, so texts are shuffled once; only each block's first doc_id comes to the driver.
+    Blocks are cut at quantiles of doc_id, a task each and MOST_BLOCKS at most, so texts are shuffled once; only each block's first
+    doc_id comes to the driver.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id").where("doc_id is not null")
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, min(size // BLOCK_BYTES, MOST_BLOCKS))
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 1 / (4 * blocks))))
     block = F.lit(len(cuts)) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id")))
     rows = docs.withColumn("_block", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(block).cast("int"))
@@ -110,7 +117,7 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = spark.createDataFrame(firsts)
     heads = rows.join(F.broadcast(first), "_block").where(order == F.col("_first")).drop("_first").dropDuplicates(["_block"])
     tails = heads.withColumn("_block", goes_to[F.col("_block")]).withColumn("_extra", F.lit(True))
-    return rows.withColumn("_extra", F.lit(False)).unionByName(tails).repartition("_block").sortWithinPartitions("_block", "_extra", F.desc_nulls_last("doc_id"), F.xxhash64("_text"))
+    return rows.withColumn("_extra", F.lit(False)).unionByName(tails).repartitionByRange(len(names), "_block").sortWithinPartitions("_block", "_extra", F.desc_nulls_last("doc_id"), F.xxhash64("_text"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -129,20 +136,22 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, size, held = [], 0, None
-        for batch in it:
-            for block, doc, text, extra in zip(*(batch.column(c).to_pylist() for c in ("_block", "doc_id", "_text", "_extra")), strict=True):
-                if held is not None and held[0] == block:
-                    items.append((held[1], held[2], text))
-                    size += len(held[2]) * 3
-                    if size > 1 << 20:
-                        yield pairs(items)
-                        items, size = [], 0
-                held = None if extra else (block, doc, text)
+        for whole in it:
+            for s in batches(pc.binary_length(whole.column("_text")).to_pylist(), PIECE):
+                batch = whole.slice(s.start, s.stop - s.start)
+                for block, doc, text, extra in zip(*(batch.column(c).to_pylist() for c in ("_block", "doc_id", "_text", "_extra")), strict=True):
+                    if held is not None and held[0] == block:
+                        items.append((held[1], held[2], text))
+                        size += len(held[2])
+                        if size > PIECE:
+                            yield pairs(items)
+                            items, size = [], 0
+                    held = None if extra else (block, doc, text)
         if items:
             yield pairs(items)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(rows, Scratch(docs.sparkSession)).select("_block", "doc_id", "_text", "_extra").mapInArrow(run, schema)
+    return with_next(rows).select("_block", "doc_id", "_text", "_extra").mapInArrow(run, schema)
 
 
 def op2_syncmers(spark, sf_dir: str) -> DataFrame:
