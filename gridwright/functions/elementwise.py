@@ -213,3 +213,84 @@ def hermite_h(x, n): return _recur(x, n, _one, lambda x: 2 * x, lambda x, k, a,
 def hermite_he(x, n): return _recur(x, n, _one, lambda x: x, lambda x, k, a, b: x * b - (k - 1) * a)
 def laguerre_l(x, n): return _recur(x, n, _one, lambda x: 1 - x, lambda x, k, a, b: ((2 * k - 1 - x) * b - (k - 1) * a) / k)
 def legendre_p(x, n): return _recur(x, n, _one, lambda x: x, lambda x, k, a, b: ((2 * k - 1) * x * b - (k - 1) * a) / k)
+def shifted_chebyshev_u(x, n): return chebyshev_u(2 * _d(x) - 1, n)
+def shifted_chebyshev_v(x, n): return chebyshev_v(2 * _d(x) - 1, n)
+def shifted_chebyshev_w(x, n): return chebyshev_w(2 * _d(x) - 1, n)
+
+
+# more gradients
+def hardswish_backward(g, x): return F.when(_d(x) <= -3, 0.0).when(_d(x) < 3, _d(g) * (_d(x) / 3 + 0.5)).otherwise(_d(g))
+def mish_backward(g, x):
+    t = F.tanh(softplus(x))
+    return _d(g) * (t + _d(x) * sigmoid(x) * (1 - t * t))
+def gelu_tanh_backward(g, x):
+    x, k = _d(x), math.sqrt(2 / math.pi)
+    t = F.tanh(k * (x + 0.044715 * x * x * x))
+    return _d(g) * (0.5 * (1 + t) + 0.5 * x * (1 - t * t) * k * (1 + 3 * 0.044715 * x * x))
+def glu_backward(g, a, b):
+    """Gradients of both halves."""
+    s = sigmoid(b)
+    return F.struct((_d(g) * s).alias("a"), (_d(g) * _d(a) * s * (1 - s)).alias("b"))
+def glu_jvp(da, db, a, b):
+    """Tangent of glu for tangents of both halves."""
+    s = sigmoid(b)
+    return _d(da) * s + _d(a) * s * (1 - s) * _d(db)
+def glu_backward_jvp(dg, g, da, db, a, b):
+    """Tangent of glu's gradients for tangents of the gradient that comes in and of both halves."""
+    s = sigmoid(b)
+    slope = s * (1 - s)
+    first = _d(dg) * s + _d(g) * slope * _d(db)
+    second = _d(dg) * _d(a) * slope + _d(g) * _d(da) * slope + _d(g) * _d(a) * slope * (1 - 2 * s) * _d(db)
+    return F.struct(first.alias("a"), second.alias("b"))
+def hardshrink_backward(g, x, l=0.5): return softshrink_backward(g, x, l)
+def prelu_backward(g, x, w):
+    """Gradients of the input and of the weight."""
+    return F.struct(F.when(_d(x) > 0, _d(g)).otherwise(_d(w) * _d(g)).alias("x"), F.when(_d(x) > 0, 0.0).otherwise(_d(x) * _d(g)).alias("w"))
+def rrelu_with_noise(x, noise): return F.when(_d(x) <= 0, _d(x) * _d(noise)).otherwise(_d(x))
+def rrelu_with_noise_backward(g, x, noise): return F.when(_d(x) <= 0, _d(g) * _d(noise)).otherwise(_d(g))
+def dropout_backward(g, mask, scale): return F.when(mask, _d(g) * float(scale)).otherwise(0.0)
+def masked_scale(x, mask, scale): return F.when(mask, _d(x) * float(scale)).otherwise(0.0)
+def mse_backward(g, a, b): return 2 * _d(g) * (_d(a) - _d(b))
+def smooth_l1_backward(g, a, b, beta=1.0):
+    x = _d(a) - _d(b)
+    return F.when(x <= -beta, -_d(g)).when(x >= beta, _d(g)).otherwise(_d(g) * x / beta)
+def huber_backward(g, a, b, delta=1.0):
+    x = _d(a) - _d(b)
+    return F.when(x <= -delta, -delta * _d(g)).when(x >= delta, delta * _d(g)).otherwise(_d(g) * x)
+def bce_backward(g, p, y): return div(_d(g) * (_d(p) - _d(y)), F.greatest((1 - _d(p)) * _d(p), F.lit(1e-12)))
+
+
+# complex numbers: structs of re and im
+def complex_(re, im): return F.struct(_d(re).alias("re"), _d(im).alias("im"))
+def polar(size, angle): return complex_(_d(size) * F.cos(_d(angle)), _d(size) * F.sin(_d(angle)))
+def view_as_real(z): return F.array(z["re"], z["im"])
+def view_as_complex(a): return complex_(F.get(a, F.lit(0)), F.get(a, F.lit(1)))
+def conj(z): return complex_(z["re"], -z["im"])
+def complex_abs(z): return F.hypot(z["re"], z["im"])
+def angle(z):
+    """Of a complex number, or of a real one: 0 or pi, NaN for NaN."""
+    if isinstance(z, tuple):
+        return F.when(F.isnan(z[0]), NAN).when(_d(z[0]) < 0, math.pi).otherwise(0.0)
+    return F.atan2(z["im"], z["re"])
+def sgn(z):
+    """z over its size; 0 stays 0."""
+    n = complex_abs(z)
+    return complex_(F.when(n == 0, 0.0).otherwise(div(z["re"], n)), F.when(n == 0, 0.0).otherwise(div(z["im"], n)))
+
+
+# parts of the floating-point form
+def frexp(x):
+    """Mantissa in [0.5, 1) with the sign, and exponent; 0, infinities and NaN are their own mantissas with exponent 0."""
+    x = _d(x)
+    guess = (F.floor(F.log2(F.abs(x))) + 1).cast("int")
+    odd = (x == 0) | F.isnan(x) | (F.abs(x) == INF)
+    scaled = x / F.pow(F.lit(2.0), guess)  # the logarithm may be off by one next to a power of two
+    fixed = F.when(F.abs(scaled) >= 1, guess + 1).when(F.abs(scaled) < 0.5, guess - 1).otherwise(guess)
+    return F.struct(F.when(odd, x).otherwise(x / F.pow(F.lit(2.0), fixed)).alias("mantissa"), F.when(odd, 0).otherwise(fixed).cast("int").alias("exponent"))
+def ldexp(x, n): return _d(x) * F.pow(F.lit(2.0), _d(n))
+
+
+def foreach(f, columns, *others):
+    """f over a list of columns; each further argument is a list of as many, or one value for all."""
+    rest = [o if isinstance(o, (list, tuple)) else [o] * len(columns) for o in others]
+    return [f(c, *(o[i] for o in rest)) for i, c in enumerate(columns)]

@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import elementwise
+
 NAN = float("nan")
+REACH = 256.0
 
 
 # reductions as aggregate expressions
@@ -85,26 +88,61 @@ def cummin(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
 
 
 def logcumsumexp(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    top = F.max(value).over(Window.partitionBy(*keys))
+    """log of the running sum of exponentials. Rows are taken in epochs in which the running maximum stays within one step of REACH, so no term
+    that counts underflows; the epochs' totals, a row each, carry on from one to the next."""
     w = _by(keys, at).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_m", top).withColumn("logcumsumexp", F.log(F.sum(F.exp(F.col(value) - F.col("_m"))).over(w)) + F.col("_m")).drop("_m")
+    top = F.max(value).over(w)
+    rows = df.withColumn("_e", F.floor(top / REACH).cast("double"))
+    shift = (F.col("_e") + 1) * REACH
+    term = F.exp(F.col(value) - shift)
+    own = elementwise.log(F.sum(term).over(_by([*keys, "_e"], at).rowsBetween(Window.unboundedPreceding, 0))) + shift
+    totals = rows.groupBy(*keys, "_e").agg(F.sum(term).alias("_t")).select(*keys, "_e", (elementwise.log(F.col("_t")) + shift).alias("_t"))
+    earlier = totals.select(*keys, F.col("_e").alias("_before"), F.col("_t").alias("_bt"))
+    pairs = totals.select(*keys, "_e").join(earlier, keys).where("_before < _e")
+    most = pairs.groupBy(*keys, "_e").agg(F.max("_bt").alias("_most"))
+    carry = pairs.join(most, [*keys, "_e"]).groupBy(*keys, "_e").agg((F.max("_most") + F.log(F.sum(F.exp(F.col("_bt") - F.col("_most"))))).alias("_carry"))
+    out = rows.join(carry, [*keys, "_e"], "left").withColumn("_own", own)
+    both = F.when(F.col("_carry").isNull(), F.col("_own")).otherwise(elementwise.logaddexp(F.col("_own"), F.col("_carry")))
+    return out.withColumn("logcumsumexp", both).select(*df.columns, "logcumsumexp")
+
+
+def cut_points(df: DataFrame, at: str, parts: int) -> list:
+    """Values that cut `at` into `parts` ranges of about as many rows, from a sample of some 200 rows a range. They decide balance, not results."""
+    column = F.col(at)
+    known = column.isNotNull() & ~F.isnan(column) if dict(df.dtypes)[at] in ("double", "float") else column.isNotNull()
+    rows = df.select(at).where(known)
+    sample = sorted(r[0] for r in rows.sample(min(1.0, 200.0 * parts / max(rows.count(), 1)), seed=1).collect())
+    return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+
+
+def global_scan(df: DataFrame, at: str, parts: int, **values: Column) -> DataFrame:
+    """Running sums over the whole table without one task for all rows: sums within ranges of `at`, then the ranges' offsets, `parts` rows at most."""
+    cuts = cut_points(df, at, parts)
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(at))) if cuts else F.lit(0)
+    dealt = df.withColumn("_part", F.when(F.col(at).isNull(), F.lit(-1)).otherwise(part)).withColumns({f"_v_{n}": v for n, v in values.items()})
+    sums = dealt.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(n) for n in values])
+    before = sums.select("_part").alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part")
+    before = before.agg(*[F.coalesce(F.sum(f"b.{n}"), F.lit(0)).alias(f"_b_{n}") for n in values])
+    w = Window.partitionBy("_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(before), "_part").select(*df.columns, *[(F.sum(f"_v_{n}").over(w) + F.col(f"_b_{n}")).alias(n) for n in values])
+    return out
 
 
 def global_cumsum(df: DataFrame, at: str, value: str, parts: int) -> DataFrame:
-    """A running sum over the whole table without one task for all rows: sums within ranges of `at`, then the ranges' offsets."""
-    cuts = sorted(set(df.approxQuantile(at, [i / parts for i in range(1, parts)], 0.001)))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(at))) if cuts else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row a range: `parts` at most
-    before = sums.alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(F.broadcast(before), "_part").withColumn("cumsum", F.sum(value).over(w) + F.col("_before")).drop("_part", "_before")
+    return global_scan(df, at, parts, cumsum=F.col(value))
+
+
+def numbered(df: DataFrame, at: str, name: str = "n", parts: int = 16) -> DataFrame:
+    """Each row's number from 0 in the order of `at`."""
+    return global_scan(df, at, parts, **{name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
 def roll(df: DataFrame, keys: list[str], at: str, value: str, shift: int) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    n, i = F.count("*").over(w), F.row_number().over(_by(keys, at)) - 1
-    return df.withColumn("rolled", F.pmod(i + shift, n))
+    """rolled: the value `shift` places before, in the order of `at`, around the ends of the group."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    rows = df.withColumn("_i", (F.row_number().over(_by(keys, at)) - 1).cast("long"))
+    moved = rows.select(*keys, F.pmod(F.col("_i") + shift, n).alias("_i"), F.col(value).alias("rolled"))
+    return rows.join(moved, [*keys, "_i"]).select(*df.columns, "rolled")
 
 
 def unfold(df: DataFrame, keys: list[str], at: str, value: str, size: int, step: int) -> DataFrame:
@@ -119,7 +157,7 @@ def unique_counts(df: DataFrame, value: str) -> DataFrame:
 
 def unique_inverse(df: DataFrame, value: str) -> DataFrame:
     """Each row's place among the sorted distinct values; the distinct values alone are ranked."""
-    ranks = df.select(value).distinct().withColumn("inverse", F.dense_rank().over(Window.orderBy(value)) - 1)
+    ranks = numbered(df.select(value).distinct(), value, "inverse")
     return df.join(ranks, value)
 
 
@@ -137,14 +175,35 @@ def bincount(df: DataFrame, value: str, weight: str | None = None, minlength: in
     return every.join(found, value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def histc(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
-    """Equal bins over [low, high], the last one closed; rows outside are not counted, bins without a row are 0."""
+def histc(df: DataFrame, value: str, bins: int, low: float = 0.0, high: float = 0.0) -> DataFrame:
+    """Equal bins over [low, high], the last one closed; rows outside are not counted, bins without a row are 0. Where low is high the data's range
+    is taken, and one more on both sides of a single value."""
+    if low == high:
+        low, high = (float(x or 0) for x in df.agg(F.min(value), F.max(value)).first())
+    if low == high:
+        low, high = low - 1, high + 1
     inside = df.where((F.col(value) >= low) & (F.col(value) <= high))
     place = F.least(F.floor((F.col(value) - low) * bins / (high - low)), F.lit(bins - 1)).cast("long")
     found = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
     return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram(df: DataFrame, columns: dict[str, list[float]], weight: str | None = None) -> DataFrame:
+    """Counts, or sums of weights, of cells given by each column's edges; the last cell of a column is closed, rows outside don't count."""
+    rows = df
+    for c, edges in columns.items():
+        x = F.col(c)
+        at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1  # noqa: B023
+        at = F.when(x == float(edges[-1]), F.lit(len(edges) - 2)).otherwise(at)
+        rows = rows.withColumn(f"_{c}", at.cast("long")).where(F.col(f"_{c}").between(0, len(edges) - 2))
+    grid = df.sparkSession.range(1).drop("id")
+    for c, edges in columns.items():
+        grid = grid.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(edges) - 2).cast("long"))))
+    names = [f"_{c}" for c in columns]
+    found = rows.groupBy(*names).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    return grid.join(found, names, "left").select(*[F.col(f"_{c}").alias(c) for c in columns], F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def bucketize(value: Column, bounds: list[float], right: bool = False) -> Column:
     """How many bounds are below the value (right: not above it); NaN goes after all."""
     return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= value if right else b < value)).cast("long")
@@ -155,7 +214,7 @@ def searchsorted(bounds: DataFrame, queries: DataFrame, value: str, right: bool
     asked = queries.select(F.col(value).alias("_v"), F.struct("*").alias("_q"))
     counts = bounds.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     steps = asked.select("_v").distinct().join(counts, "_v", "full").select("_v", F.coalesce("_n", F.lit(0)).alias("_n"))
-    ranked = steps.withColumn("_upto", F.sum("_n").over(Window.orderBy("_v")))
+    ranked = global_scan(steps, "_v", 16, _upto=F.col("_n"))
     place = F.col("_upto") if right else F.col("_upto") - F.col("_n")
     return asked.join(ranked, "_v").select("_q.*", place.alias("place"))
 
@@ -165,16 +224,19 @@ def gather(source: DataFrame, index: DataFrame, on: str) -> DataFrame:
     return index.join(source, on)
 
 
-def scatter_reduce(target: DataFrame, source: DataFrame, on: str, value: str, how: str, include_self: bool = True, into: str = "v") -> DataFrame:
-    """target[into] combined with the source's values of the same index; indices without a source keep theirs."""
-    agg = {"sum": F.sum, "prod": F.product, "mean": F.sum, "amax": F.max, "amin": F.min}[how]
+def scatter_reduce(target: DataFrame, source: DataFrame, on: str, value: str, how: str, include_self: bool = True, into: str = "v", whole: bool = False) -> DataFrame:
+    """target[into] combined with the source's values of the same index; indices without a source keep theirs. whole: means of whole numbers are
+    rounded down."""
+    agg = {"sum": F.sum, "prod": F.product, "mean": F.sum, "amax": F.max, "amin": lambda c: amin(F.col(c))}[how]
     got = source.groupBy(on).agg(agg(value).alias("_s"), F.count(value).alias("_n"))
     joined = target.join(got, on, "left")
     own, new = F.col(into), F.col("_s")
+    share = lambda total, n: F.floor(total / n) if whole else total / n
     if include_self:
-        both = {"sum": own + new, "prod": own * new, "mean": (own + new) / (F.col("_n") + 1), "amax": F.greatest(own, new), "amin": F.least(own, new)}[how]
+        least = F.when(F.isnan(own.cast("double")) | F.isnan(new.cast("double")), NAN).otherwise(F.least(own, new)) if how == "amin" and not whole else F.least(own, new)
+        both = {"sum": own + new, "prod": own * new, "mean": share(own + new, F.col("_n") + 1), "amax": F.greatest(own, new), "amin": least}[how]
     else:
-        both = new / F.col("_n") if how == "mean" else new
+        both = share(new, F.col("_n")) if how == "mean" else new
     return joined.withColumn(into, F.when(new.isNull(), own).otherwise(both)).drop("_s", "_n")
 
 
@@ -188,15 +250,21 @@ def repeat_interleave(df: DataFrame, times: str) -> DataFrame:
 
 
 # softmax and normalisation over groups
+def by_key(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
+    """df with aggregates of its groups: summed in two steps and joined back. A key may hold any share of the rows: where the groups are few their
+    table is broadcast (Spark checks its size), else the join is dealt anew where it is skewed."""
+    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+
+
 def softmax(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("_e", F.exp(F.col(value) - F.max(value).over(w))).withColumn("_s", F.sum("_e").over(w))
-    return out.withColumn("softmax", F.col("_e") / F.col("_s")).withColumn("log_softmax", F.log("_e") - F.log("_s")).drop("_e", "_s")
+    top = by_key(df, keys, [F.max(value).alias("_m")]).withColumn("_d", F.col(value) - F.col("_m"))
+    out = by_key(top, keys, [F.sum(F.exp("_d")).alias("_s")])
+    return out.withColumn("softmax", F.exp("_d") / F.col("_s")).withColumn("log_softmax", F.col("_d") - F.log("_s")).select(*df.columns, "softmax", "log_softmax")
 
 
 def layer_norm(df: DataFrame, keys: list[str], value: str, eps: float = 1e-5) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumn("normed", (F.col(value) - F.avg(value).over(w)) / F.sqrt(F.var_pop(value).over(w) + eps))
+    out = by_key(df, keys, [F.avg(value).alias("_m"), F.var_pop(value).alias("_v")])
+    return out.withColumn("normed", (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)).select(*df.columns, "normed")
 
 
 def batch_norm_stats(df: DataFrame, keys: list[str], value: str, eps: float = 1e-5) -> DataFrame:
@@ -214,6 +282,14 @@ def distance(a, b, p=2.0):
     return F.pow(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + F.pow(g, F.lit(float(p)))), F.lit(1.0 / p))
 
 
+def cdist(queries: DataFrame, points: DataFrame, blocks: int = 16) -> DataFrame:
+    """Each row of `queries`, a stated query set, beside each point: the result has that many rows. Points are dealt into blocks and each query goes
+    to every block, so no side is held whole by a task, and both are shuffled by block."""
+    dealt = points.withColumn("_block", F.pmod(F.xxhash64(*points.columns), F.lit(blocks)))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return asked.join(dealt, "_block").drop("_block")
+
+
 # matrices in coordinate form: i, j, v
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     left, right = a.select("i", F.col("j").alias("k"), F.col("v").alias("x")), b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))

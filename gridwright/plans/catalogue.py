@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
-from . import elementwise_queries, spatial_queries
+from . import elementwise_queries, foreach_queries, spatial_queries
 
 QUERIES, SQL = {}, {}
 
@@ -108,9 +108,9 @@ def cummax_cummin(spark, sf):
     return r.cummin(high, ["user_id"], "event_id", "value").select("event_id", "cummax", "cummin")
 
 
-@query("""SELECT event_id, round(ln(sum(exp(v)) OVER w), 6) AS logcumsumexp FROM (SELECT *, value / 100 AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+@query("""SELECT event_id, round(ln(sum(exp(v)) OVER w), 6) AS logcumsumexp FROM (SELECT *, value / 2 AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def logcumsumexp(spark, sf):
-    rows = _t(spark, sf, "events").select("user_id", "event_id", (F.col("value") / 100).alias("v"))
+    rows = _t(spark, sf, "events").select("user_id", "event_id", (F.col("value") / 2).alias("v"))
     return r.logcumsumexp(rows, ["user_id"], "event_id", "v").select("event_id", F.round("logcumsumexp", 6).alias("logcumsumexp"))
 
 
@@ -119,7 +119,8 @@ def global_cumsum(spark, sf):
     return r.global_cumsum(_t(spark, sf, "events").select("event_id", cents("value").alias("c")), "event_id", "c", 16).select("event_id", "cumsum")
 
 
-@query("""SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + 2) % count(*) OVER (PARTITION BY user_id) AS rolled FROM events""")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT a.event_id, b.value AS rolled FROM r a JOIN r b ON a.user_id = b.user_id AND a.i = (b.i + 2) % b.n""")
 def roll(spark, sf):
     return r.roll(_t(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 2).select("event_id", "rolled")
 
@@ -136,7 +137,7 @@ def unique_counts(spark, sf):
     return r.unique_counts(_t(spark, sf, "lineitem"), "l_shipdate")
 
 
-@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS inverse FROM orders")
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS inverse FROM orders")
 def unique_inverse(spark, sf):
     return r.unique_inverse(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "inverse")
 
@@ -241,10 +242,10 @@ def layer_norm(spark, sf):
     return out.select("o_orderkey", (F.round("normed", 5) + 0.0).alias("normed"))
 
 
-@query("SELECT label, round(avg(x), 6) + 0.0 AS mean, round(1 / sqrt(var_pop(x) + 1e-5), 6) AS invstd FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
+@query("SELECT i AS c, round(avg(x), 6) + 0.0 AS mean, round(1 / sqrt(var_pop(x) + 1e-5), 6) AS invstd FROM (SELECT i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT CAST(unnest(range(64)) AS INTEGER) AS i)) GROUP BY 1")
 def batch_norm_stats(spark, sf):
-    rows = _t(spark, sf, "embeddings").select("label", F.element_at("embedding", 1).cast("double").alias("x"))
-    return r.batch_norm_stats(rows, ["label"], "x").select("label", (F.round("mean", 6) + 0.0).alias("mean"), F.round("invstd", 6).alias("invstd"))
+    rows = _t(spark, sf, "embeddings").select(F.posexplode("embedding").alias("c", "x")).withColumn("x", F.col("x").cast("double"))
+    return r.batch_norm_stats(rows, ["c"], "x").select("c", (F.round("mean", 6) + 0.0).alias("mean"), F.round("invstd", 6).alias("invstd"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS dot, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
@@ -258,11 +259,10 @@ SELECT vec_id, c.label AS centre, round(sqrt(sum(pow(CAST(embedding[i] AS DOUBLE
 def cdist_to_centres(spark, sf):
     rows = _t(spark, sf, "embeddings")
     parts = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
-    centres = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("c"))  # a row a label
-    table = centres.agg(F.collect_list(F.struct(F.col("label").alias("centre"), "c")).alias("_all"))
-    out = rows.join(F.broadcast(table)).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.explode("_all").alias("t"))
-    d = lambda p: F.round(r.distance(F.col("e"), F.col("t.c"), p), 5)
-    return out.select("vec_id", "t.centre", d(2.0).alias("d2"), d(1.0).alias("d1"), d(float("inf")).alias("dinf"))
+    centres = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("c")).select(F.col("label").alias("centre"), "c")
+    both = r.cdist(rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")), centres)
+    d = lambda p: F.round(r.distance(F.col("e"), F.col("c"), p), 5)
+    return both.select("vec_id", "centre", d(2.0).alias("d2"), d(1.0).alias("d1"), d(float("inf")).alias("dinf"))
 
 
 _COO = "SELECT l_suppkey AS i, l_linenumber AS j, CAST(l_quantity AS BIGINT) AS v FROM lineitem"
@@ -318,7 +318,7 @@ def losses(spark, sf):
     return _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(mean(r.mse(q, t), "mse"), mean(r.smooth_l1(q, t), "smooth"), mean(r.huber(q, t, 3.0), "huber"), mean(r.bce(p, y), "bce"), mean(r.bce_with_logits(z, y), "bcel"))
 
 
-for _module in (elementwise_queries, spatial_queries):
+for _module in (elementwise_queries, foreach_queries, spatial_queries):
     _queries, _sql = _module.build()
     QUERIES |= _queries
     SQL |= _sql

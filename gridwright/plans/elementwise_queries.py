@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as e
+from ..functions import special
 
 X, Y, U = "(c_acctbal / 1000)", "(c_nationkey - 12)", "((c_custkey % 97 + 1) / 99.0::DOUBLE)"
 SIG = "(1 / (1 + exp(-X)))"
@@ -44,6 +45,68 @@ FLOATS = {
     "special_chebyshev_polynomial_w": (lambda x, y, u, k, m: e.chebyshev_w(u, 2), "4 * U * U + 2 * U - 1"), "special_shifted_chebyshev_polynomial_t": (lambda x, y, u, k, m: e.shifted_chebyshev_t(u, 2), "2 * (2 * U - 1) * (2 * U - 1) - 1"), "special_hermite_polynomial_h": (lambda x, y, u, k, m: e.hermite_h(u, 3), "8 * U * U * U - 12 * U"),
     "special_hermite_polynomial_he": (lambda x, y, u, k, m: e.hermite_he(u, 3), "U * U * U - 3 * U"), "special_laguerre_polynomial_l": (lambda x, y, u, k, m: e.laguerre_l(u, 2), "(U * U - 4 * U + 2) / 2"), "special_legendre_polynomial_p": (lambda x, y, u, k, m: e.legendre_p(u, 2), "(3 * U * U - 1) / 2"),
 }
+
+# power series of the special functions, good for small arguments
+_ALL = "list_sum(list_transform(range(0, 40), lambda n: {}))"
+_HARMONIC = "coalesce(list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / j)), 0)"
+_Q = "pow({x} * {x} / 4, n) / (gamma(n + 1) * gamma(n + 1))"
+_EULER = "0.57721566490153286::DOUBLE"
+
+
+def _erf_sql(x):
+    return f"(2 / sqrt(pi()) * {_ALL.format(f'(-1) ** n * pow({x}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))')})"
+
+
+def _i_sql(order, x, sign="1"):
+    return _ALL.format(f"({sign}) ** n * pow({x} / 2, 2 * n + {order}) / (gamma(n + 1) * gamma(n + {order} + 1))")
+
+
+def _k0_sql(x):
+    return f"(-(ln({x} / 2) + {_EULER}) * {_i_sql(0, x)} + {_ALL.format(_Q.format(x=x) + ' * ' + _HARMONIC)})"
+
+
+def _y0_sql(x):
+    return f"(2 / pi() * ((ln({x} / 2) + {_EULER}) * {_i_sql(0, x, '-1')} - {_ALL.format('(-1) ** n * ' + _Q.format(x=x) + ' * ' + _HARMONIC)}))"
+
+
+def _k1_sql(x):
+    return f"((1 / {x} - {_i_sql(1, x)} * {_k0_sql(x)}) / {_i_sql(0, x)})"
+
+
+def _y1_sql(x):
+    return f"(({_i_sql(1, x, '-1')} * {_y0_sql(x)} - 2 / (pi() * {x})) / {_i_sql(0, x, '-1')})"
+
+
+def _zeta_sql(s, q):
+    return f"(list_sum(list_transform(range(0, 200), lambda n: pow({q} + n, -{s}))) + pow({q} + 200, 1 - {s}) / ({s} - 1) + pow({q} + 200, -{s}) / 2 + {s} * pow({q} + 200, -{s} - 1) / 12)"
+
+
+_AI = f"(0.355028053887817239::DOUBLE * {_ALL.format('pow(3, n) * gamma(n + 1.0::DOUBLE / 3) / gamma(1.0::DOUBLE / 3) * pow(U, 3 * n) / gamma(3 * n + 1)')} - 0.258819403792806798::DOUBLE * {_ALL.format('pow(3, n) * gamma(n + 2.0::DOUBLE / 3) / gamma(2.0::DOUBLE / 3) * pow(U, 3 * n + 1) / gamma(3 * n + 2)')})"
+_DIGAMMA = "(ln(U + 20) - 1 / (2 * (U + 20)) - 1 / (12 * (U + 20) * (U + 20)) + 1 / (120 * pow(U + 20, 4)) - list_sum(list_transform(range(0, 20), lambda n: 1 / (U + n))))"
+_LOWER = "(1 - exp(-U * 3) * CASE M % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 + U * 3 ELSE 1 + U * 3 + U * U * 9 / 2 END)"
+_ERF_U, _PHI = _erf_sql("U"), f"(0.5 * (1 + {_erf_sql('(U / sqrt(2))')}))"
+FLOATS |= {
+    "special_erf": (lambda x, y, u, k, m: special.erf(u), _ERF_U), "special_erfc": (lambda x, y, u, k, m: special.erfc(u), f"1 - {_ERF_U}"), "special_erfcx": (lambda x, y, u, k, m: special.erfcx(u), f"exp(U * U) * (1 - {_ERF_U})"),
+    "special_erfinv": (lambda x, y, u, k, m: special.erf(special.erfinv(u)), "U"), "special_ndtri": (lambda x, y, u, k, m: special.erf(special.ndtri(u) / 2**0.5), "2 * U - 1"), "special_log_ndtr": (lambda x, y, u, k, m: special.log_ndtr(u), f"ln({_PHI})"),
+    "lgamma": (lambda x, y, u, k, m: special.lgamma(u), "lgamma(U)"), "digamma": (lambda x, y, u, k, m: special.digamma(u), _DIGAMMA), "polygamma": (lambda x, y, u, k, m: special.polygamma(1, u + 1), _zeta_sql(2, "(U + 1)")), "special_zeta": (lambda x, y, u, k, m: special.zeta(F.lit(3.0), u + 1), _zeta_sql(3, "(U + 1)")),
+    "mvlgamma": (lambda x, y, u, k, m: special.mvlgamma(u + 1, 2), "ln(pi()) / 2 + lgamma(U + 1) + lgamma(U + 0.5)"), "igamma": (lambda x, y, u, k, m: special.igamma((m % 3 + 1).cast("double"), u * 3), _LOWER), "igammac": (lambda x, y, u, k, m: special.igammac((m % 3 + 1).cast("double"), u * 3), f"1 - {_LOWER}"),
+    "special_airy_ai": (lambda x, y, u, k, m: special.airy_ai(u), _AI), "special_bessel_j0": (lambda x, y, u, k, m: special.bessel_j0(u), _i_sql(0, "U", "-1")), "special_bessel_j1": (lambda x, y, u, k, m: special.bessel_j1(u), _i_sql(1, "U", "-1")),
+    "special_bessel_y0": (lambda x, y, u, k, m: special.bessel_y0(u), _y0_sql("U")), "special_bessel_y1": (lambda x, y, u, k, m: special.bessel_y1(u), _y1_sql("U")), "special_modified_bessel_i0": (lambda x, y, u, k, m: special.i0(u), _i_sql(0, "U")), "special_modified_bessel_i1": (lambda x, y, u, k, m: special.i1(u), _i_sql(1, "U")),
+    "special_i0e": (lambda x, y, u, k, m: special.i0e(u), f"exp(-U) * {_i_sql(0, 'U')}"), "special_i1e": (lambda x, y, u, k, m: special.i1e(u), f"exp(-U) * {_i_sql(1, 'U')}"), "special_modified_bessel_k0": (lambda x, y, u, k, m: special.k0(u), _k0_sql("U")), "special_modified_bessel_k1": (lambda x, y, u, k, m: special.k1(u), _k1_sql("U")),
+    "special_scaled_modified_bessel_k0": (lambda x, y, u, k, m: special.k0e(u), f"exp(U) * {_k0_sql('U')}"), "special_scaled_modified_bessel_k1": (lambda x, y, u, k, m: special.k1e(u), f"exp(U) * {_k1_sql('U')}"), "nextafter": (lambda x, y, u, k, m: (special.nextafter(u, F.lit(2.0)) - u) * 2.0**55, "(nextafter(U, 2.0::DOUBLE) - U) * pow(2, 55)"),
+    "gelu": (lambda x, y, u, k, m: special.gelu(u), f"U * {_PHI}"), "gelu_backward": (lambda x, y, u, k, m: special.gelu_backward(x, u), f"X * ({_PHI} + U * exp(-U * U / 2) / sqrt(2 * pi()))"), "kaiser_window": (lambda x, y, u, k, m: special.kaiser_window(m, 25, 3.0), f"{_i_sql(0, '(3 * sqrt(greatest(1 - pow(M / 12.0::DOUBLE - 1, 2), 0)))')} / {_i_sql(0, '3.0::DOUBLE')}"),
+    "special_shifted_chebyshev_polynomial_u": (lambda x, y, u, k, m: e.shifted_chebyshev_u(u, 2), "4 * (2 * U - 1) * (2 * U - 1) - 1"), "special_shifted_chebyshev_polynomial_v": (lambda x, y, u, k, m: e.shifted_chebyshev_v(u, 2), "4 * (2 * U - 1) * (2 * U - 1) - 2 * (2 * U - 1) - 1"), "special_shifted_chebyshev_polynomial_w": (lambda x, y, u, k, m: e.shifted_chebyshev_w(u, 2), "4 * (2 * U - 1) * (2 * U - 1) + 2 * (2 * U - 1) - 1"),
+    "ldexp": (lambda x, y, u, k, m: e.ldexp(x, m % 7 - 3), "X * pow(2, M % 7 - 3)"), "round_decimals": (lambda x, y, u, k, m: e.round_(y / 8, 2), "round_even(Y / 8.0::DOUBLE * 100, 0) / 100"), "hardswish_backward": (lambda x, y, u, k, m: e.hardswish_backward(u, y), "CASE WHEN Y <= -3 THEN 0 WHEN Y < 3 THEN U * (Y / 3.0::DOUBLE + 0.5) ELSE U END"),
+    "mish_backward": (lambda x, y, u, k, m: e.mish_backward(x, u), "X * ((1 - 2 / (pow(1 + exp(U), 2) + 1)) + U / (1 + exp(-U)) * (1 - pow(1 - 2 / (pow(1 + exp(U), 2) + 1), 2)))"), "gelu_tanh_backward": (lambda x, y, u, k, m: e.gelu_tanh_backward(x, u), "X * (0.5 * (1 + (1 - 2 / (exp(2 * sqrt(2 / pi()) * (U + 0.044715 * U * U * U)) + 1))) + 0.5 * U * (1 - pow(1 - 2 / (exp(2 * sqrt(2 / pi()) * (U + 0.044715 * U * U * U)) + 1), 2)) * sqrt(2 / pi()) * (1 + 0.134145 * U * U))"),
+    "glu_backward": (lambda x, y, u, k, m: e.glu_backward(x, y, u)["a"] + 3 * e.glu_backward(x, y, u)["b"], "X / (1 + exp(-U)) + 3 * X * Y * exp(-U) / pow(1 + exp(-U), 2)"), "glu_jvp": (lambda x, y, u, k, m: e.glu_jvp(x, u, y, u), "X / (1 + exp(-U)) + Y * exp(-U) / pow(1 + exp(-U), 2) * U"),
+    "glu_backward_jvp": (lambda x, y, u, k, m: e.glu_backward_jvp(x, y, u, x, y, u)["a"] + 3 * e.glu_backward_jvp(x, y, u, x, y, u)["b"], "X * S + Y * D * X + 3 * (X * Y * D + Y * U * D + Y * Y * D * (1 - 2 * S) * X)".replace("S", "(1 / (1 + exp(-U)))").replace("D", "(exp(-U) / pow(1 + exp(-U), 2))")),
+    "prelu_backward": (lambda x, y, u, k, m: e.prelu_backward(x, y, u)["x"] + 3 * e.prelu_backward(x, y, u)["w"], "CASE WHEN Y > 0 THEN X ELSE U * X + 3 * Y * X END"), "rrelu_with_noise": (lambda x, y, u, k, m: e.rrelu_with_noise(y, u), "CASE WHEN Y <= 0 THEN Y * U ELSE Y END"), "rrelu_with_noise_backward": (lambda x, y, u, k, m: e.rrelu_with_noise_backward(x, y, u), "CASE WHEN Y <= 0 THEN X * U ELSE X END"),
+    "native_dropout_backward": (lambda x, y, u, k, m: e.dropout_backward(x, y > 0, 1.25), "CASE WHEN Y > 0 THEN X * 1.25 ELSE 0 END"), "masked_scale": (lambda x, y, u, k, m: e.masked_scale(x, y > 0, 1.25), "CASE WHEN Y > 0 THEN X * 1.25 ELSE 0 END"), "mse_loss_backward": (lambda x, y, u, k, m: e.mse_backward(u, x, y), "2 * U * (X - Y)"),
+    "smooth_l1_loss_backward": (lambda x, y, u, k, m: e.smooth_l1_backward(u, x, y, 2.0), "U * least(greatest((X - Y) / 2, -1), 1)"), "huber_loss_backward": (lambda x, y, u, k, m: e.huber_backward(u, x, y, 2.0), "U * least(greatest(X - Y, -2), 2)"), "binary_cross_entropy_backward": (lambda x, y, u, k, m: e.bce_backward(x, u, m % 2), "X * (U - M % 2) / (U * (1 - U))"),
+    "complex": (lambda x, y, u, k, m: e.complex_(x, y)["re"] + 3 * e.complex_(x, y)["im"], "X + 3 * Y"), "polar": (lambda x, y, u, k, m: e.polar(x, u)["re"] + 3 * e.polar(x, u)["im"], "X * cos(U) + 3 * X * sin(U)"), "angle": (lambda x, y, u, k, m: e.angle(e.complex_(x, y)), "atan2(Y, X)"), "angle_real": (lambda x, y, u, k, m: e.angle((x,)), "CASE WHEN X < 0 THEN pi() ELSE 0 END"),
+    "sgn": (lambda x, y, u, k, m: e.sgn(e.complex_(x, y))["re"] + 3 * e.sgn(e.complex_(x, y))["im"], "(X + 3 * Y) / sqrt(X * X + Y * Y)"), "conj_physical": (lambda x, y, u, k, m: e.conj(e.complex_(x, y))["re"] + 3 * e.conj(e.complex_(x, y))["im"], "X - 3 * Y"), "view_as_real": (lambda x, y, u, k, m: F.get(e.view_as_real(e.complex_(x, y)), F.lit(1)), "Y"),
+    "view_as_complex": (lambda x, y, u, k, m: e.complex_abs(e.view_as_complex(F.array(x, y.cast("double")))), "sqrt(X * X + Y * Y)"), "frexp_mantissa": (lambda x, y, u, k, m: e.frexp(x)["mantissa"], "X / pow(2, floor(log2(abs(X))) + 1)"), "frexp_exponent": (lambda x, y, u, k, m: e.frexp(x)["exponent"], "floor(log2(abs(X))) + 1"),
+}
 FLAGS = {
     "eq": (lambda x, y, u, k, m: e.eq(y, F.lit(3)), "Y = 3"), "ne": (lambda x, y, u, k, m: e.ne(y, F.lit(3)), "Y <> 3"), "lt": (lambda x, y, u, k, m: e.lt(x, y), "X < Y"), "le": (lambda x, y, u, k, m: e.le(x, y), "X <= Y"), "gt": (lambda x, y, u, k, m: e.gt(x, y), "X > Y"), "ge": (lambda x, y, u, k, m: e.ge(x, y), "X >= Y"),
     "isnan": (lambda x, y, u, k, m: F.isnan(e.log(y)), "Y < 0"), "isinf": (lambda x, y, u, k, m: e.isinf(e.div(x, y)), "Y = 0 AND X <> 0"), "isposinf": (lambda x, y, u, k, m: e.isposinf(e.div(x, y)), "Y = 0 AND X > 0"), "isneginf": (lambda x, y, u, k, m: e.isneginf(e.log(y)), "Y = 0"), "signbit": (lambda x, y, u, k, m: e.signbit(x), "X < 0"),
