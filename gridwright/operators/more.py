@@ -1,10 +1,8 @@
-"""Views, scatter forms, pooling, matrices in batches, random columns, optimiser steps and sparse conversions."""
+"""Views by coordinates, optimiser steps and attention."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,114 +48,6 @@ def channel_shuffle(c: Column, channels: int, groups: int) -> Column:
     return (F.pmod(c, F.lit(each)) * groups + F.floor(c / each)).cast("long")
 
 
-def masked_scatter(df: DataFrame, at: str, mask: str, value: str, source: DataFrame, source_at: str, source_value: str) -> DataFrame:
-    """The masked rows' values become the source's, in order. Masked rows are ranked apart from the rest."""
-    masked = df.where(F.col(mask)).withColumn("_n", F.row_number().over(Window.orderBy(at)))
-    ranked = source.select(F.row_number().over(Window.orderBy(source_at)).alias("_n"), F.col(source_value).alias("_s"))
-    return masked.join(ranked, "_n").withColumn(value, F.col("_s")).select(df.columns).unionByName(df.where(~F.col(mask)))
-
-
-def index_fill(df: DataFrame, on: str, index: DataFrame, value: str, fill) -> DataFrame:
-    hit = index.select(on).distinct().withColumn("_hit", F.lit(True))
-    return df.join(hit, on, "left").withColumn(value, F.when(F.col("_hit"), F.lit(fill)).otherwise(F.col(value))).drop("_hit")
-
-
-def index_copy(df: DataFrame, on: str, source: DataFrame, value: str) -> DataFrame:
-    """Later rows of the source (by `ordinal`) win."""
-    last = source.groupBy(on).agg(F.max_by(value, "ordinal").alias("_s"))
-    return df.join(last, on, "left").withColumn(value, F.coalesce("_s", value)).drop("_s")
-
-
-def segment_reduce(df: DataFrame, lengths: DataFrame, at: str, value: str, how: str, initial: float | None = None) -> DataFrame:
-    """lengths: segment, n. A reduction of each run of n rows; empty segments give the initial value or what nothing gives."""
-    edges = lengths.withColumn("_to", F.sum("n").over(Window.orderBy("segment"))).withColumn("_from", F.col("_to") - F.col("n"))
-    rows = edges.where("n > 0").select("segment", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias(at)).join(df, at)
-    agg = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "prod": F.product}[how](value)
-    none = initial if initial is not None else {"sum": 0.0, "prod": 1.0, "mean": float("nan"), "max": float("-inf"), "min": float("inf")}[how]
-    return lengths.select("segment").join(rows.groupBy("segment").agg(agg.alias("v")), "segment", "left").withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(none)))
-
-
-# pooling over images in coordinate form: n, i, j, v
-def _windows(df: DataFrame, size: int, stride: int, out_i: int, out_j: int) -> DataFrame:
-    """Each cell once for each window that it falls into."""
-    for c, o, n in (("i", "oi", out_i), ("j", "oj", out_j)):
-        first = F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / stride)).cast("int")
-        last = F.least(F.lit(n - 1), F.floor(F.col(c) / stride)).cast("int")
-        df = df.where(first <= last).withColumn(o, F.explode(F.sequence(first, last)))
-    return df
-
-
-def max_pool2d(df: DataFrame, height: int, width: int, size: int, stride: int) -> DataFrame:
-    """The largest value of each window and where it stands; the first place wins a tie."""
-    cells = _windows(df, size, stride, (height - size) // stride + 1, (width - size) // stride + 1)
-    best = F.max(F.struct(F.col("v"), F.negative(F.col("i") * width + F.col("j")).alias("p")))
-    return cells.groupBy("n", "oi", "oj").agg(best.alias("b")).select("n", "oi", "oj", "b.v", F.negative("b.p").alias("at"))
-
-
-def avg_pool2d(df: DataFrame, height: int, width: int, size: int, stride: int) -> DataFrame:
-    cells = _windows(df, size, stride, (height - size) // stride + 1, (width - size) // stride + 1)
-    return cells.groupBy("n", "oi", "oj").agg((F.sum("v") / (size * size)).alias("v"))
-
-
-def pad1d(df: DataFrame, at: str, size: int, before: int, after: int, how: str) -> DataFrame:
-    """Reflection or replication of a dimension: each new place reads one old one."""
-    i = F.explode(F.sequence(F.lit(-before), F.lit(size + after - 1)))
-    places = df.sparkSession.range(1).select(i.alias("_i"))
-    if how == "reflect":
-        old = size - 1 - F.abs(size - 1 - F.abs(F.col("_i")))
-    else:
-        old = F.least(F.greatest(F.col("_i"), F.lit(0)), F.lit(size - 1))
-    return df.join(places.select(old.alias(at), (F.col("_i") + before).alias("_new")), at).withColumn(at, F.col("_new")).drop("_new")
-
-
-def upsample_nearest1d(df: DataFrame, at: str, size: int, out: int, exact: bool = False) -> DataFrame:
-    o = df.sparkSession.range(out)
-    old = F.least(F.floor((F.col("id") + (0.5 if exact else 0.0)) * (size / out)), F.lit(size - 1)).cast("long")
-    return df.join(o.select(old.alias(at), F.col("id").alias("_o")), at).withColumn(at, F.col("_o")).drop("_o")
-
-
-# small matrices, one a row: m array<array<double>>
-def matrices(df: DataFrame, m: str, how: str, b: str | None = None) -> DataFrame:
-    """det, slogdet, inverse or solve of each row's matrix; a singular one has det 0 and a null inverse or solution."""
-    rest = [c for c in df.columns if c not in (m, b)]
-    kind = {"det": "double", "slogdet": "struct<sign:double,logabsdet:double>", "inverse": "array<array<double>>", "solve": "array<double>"}[how]
-
-    def one(a, y):
-        a = np.array([list(r) for r in a], float)
-        try:
-            if how == "det":
-                return float(np.linalg.det(a))
-            if how == "slogdet":
-                return dict(zip(("sign", "logabsdet"), map(float, np.linalg.slogdet(a)), strict=True))
-            return (np.linalg.inv(a) if how == "inverse" else np.linalg.solve(a, np.array(list(y), float))).tolist()
-        except np.linalg.LinAlgError:
-            return None
-
-    def run(it):
-        for p in it:
-            yield p[rest].assign(result=pd.Series([one(a, y) for a, y in zip(p[m], p[b] if b else [None] * len(p), strict=True)], index=p.index, dtype=object if kind != "double" else float))
-
-    return df.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in rest), f"result {kind}"]))
-
-
-# random columns
-def uniform(low=0.0, high=1.0, seed=0): return F.rand(seed) * (high - low) + low
-def normal(mean=0.0, std=1.0, seed=0): return F.randn(seed) * std + mean
-def bernoulli(p, seed=0): return (F.rand(seed) < p).cast("double")
-def log_normal(mean=0.0, std=1.0, seed=0): return F.exp(normal(mean, std, seed))
-def exponential(rate=1.0, seed=0): return -F.log(1 - F.rand(seed)) / rate
-def geometric(p, seed=0): return F.ceil(F.log(1 - F.rand(seed)) / np.log(1 - p))
-def cauchy(median=0.0, sigma=1.0, seed=0): return median + sigma * F.tan(np.pi * (F.rand(seed) - 0.5))
-def dropout(x, p, seed=0): return F.when(F.rand(seed) < 1 - p, x / (1 - p)).otherwise(0.0)
-
-
-def multinomial(df: DataFrame, keys: list[str], weight: str, k: int, seed: int = 0) -> DataFrame:
-    """k rows of each group without replacement, by weight: the k largest of log(u) / weight."""
-    key = F.log(F.rand(seed)) / F.col(weight)
-    rows = df.where(F.col(weight) > 0).withColumn("_k", key)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_k")))).where(F.col("_n") <= k).drop("_k", "_n")
-
-
 # optimiser steps, over columns p (parameter), g (gradient) and state
 def sgd(df: DataFrame, lr: float, momentum: float = 0.0, nesterov: bool = False, decay: float = 0.0) -> DataFrame:
     out = df.withColumn("_g", F.col("g") + decay * F.col("p"))
@@ -173,11 +63,20 @@ def adam(df: DataFrame, step: int, lr: float = 1e-3, b1: float = 0.9, b2: float
     return out.withColumn("p", shrink - lr * (F.col("m") / (1 - b1**step)) / (F.sqrt(F.col("s") / (1 - b2**step)) + eps)).drop("_g")
 
 
-def attention(q: DataFrame, kv: DataFrame, scale: float) -> DataFrame:
-    """q: head, i, q (array); kv: head, j, k, v (arrays). Softmax of scaled dot products within the head, then the weighted sum of v."""
+def attention(q: DataFrame, kv: DataFrame, scale: float, causal: bool = False, blocks: int = 16) -> DataFrame:
+    """q: head, i, q (array); kv: head, j, k, v (arrays). Softmax of scaled dot products within the head, then the weighted sum of v.
+
+    Keys come in blocks. A query meets one block at a time and keeps the block's largest score, the sum of its exponentials and of v by them; the
+    blocks of a query are then merged. So what is shuffled is a row for each query and block, not for each pair."""
     score = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) * scale
-    pairs = q.join(kv, "head").select("head", "i", score.alias("s"), "v")
-    w = Window.partitionBy("head", "i")
-    soft = pairs.withColumn("_e", F.exp(F.col("s") - F.max("s").over(w)))
-    cells = soft.select("head", "i", "_e", F.posexplode("v").alias("c", "x")).groupBy("head", "i", "c").agg((F.sum(F.col("_e") * F.col("x")) / F.sum("_e")).alias("x"))
-    return cells.groupBy("head", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda t: t["x"]).alias("out"))
+    dealt = kv.withColumn("_b", F.pmod(F.xxhash64("j"), F.lit(blocks)))
+    asked = q.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = asked.join(dealt, ["head", "_b"])
+    pairs = (pairs.where("j <= i") if causal else pairs).select("head", "i", "_b", score.alias("s"), "v")
+    top = pairs.groupBy("head", "i", "_b").agg(F.max("s").alias("_m"))
+    cells = pairs.join(top, ["head", "i", "_b"]).select("head", "i", "_b", "_m", F.exp(F.col("s") - F.col("_m")).alias("_e"), F.posexplode("v").alias("c", "x"))
+    part = cells.groupBy("head", "i", "_b", "_m", "c").agg(F.sum("_e").alias("_s"), F.sum(F.col("_e") * F.col("x")).alias("_x"))
+    most = part.groupBy("head", "i", "c").agg(F.max("_m").alias("_most"))
+    w = F.exp(F.col("_m") - F.col("_most"))
+    out = part.join(most, ["head", "i", "c"]).groupBy("head", "i", "c").agg((F.sum(w * F.col("_x")) / F.sum(w * F.col("_s"))).alias("x"))
+    return out.groupBy("head", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda t: t["x"]).alias("out"))
