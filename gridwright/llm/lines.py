@@ -20,6 +20,7 @@ from .shared import Scratch, hot_limit
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BITS = 32
+LEAST_HOT = 1000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -60,7 +61,7 @@ def drop_bitmaps(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     key, place = ["_h1", "_h2"], ["_doc", "_text", "_pos"]
 
     counts = found.groupBy(*key).count()
-    limit = hot_limit(found.count())  # Parquet's own row counts
+    limit = hot_limit(found.count(), LEAST_HOT)  # Parquet's own row counts
     hot = scratch.save(counts.where(F.col("count") > limit).select(*key), "hot")
 
     # the rest: range partitions of the hash, sorted by document and position

@@ -49,13 +49,13 @@ class Scratch:
             pass
 
 
-HOT_SHARE, LEAST_HOT, MOST_HOT, HOT_KEYS = 1000, 1000, 4_000_000, 1_000_000
+HOT_SHARE, LEAST_HOT, MOST_HOT, HOT_KEYS = 1000, 10_000, 4_000_000, 1_000_000
 
 
-def hot_limit(total: int) -> int:
+def hot_limit(total: int, least: int = LEAST_HOT) -> int:
     """A key with more rows than this, of `total`, is hot: a thousandth of all, within bounds on the rows that a cool key may bring to one
     task. However large the table, fewer than HOT_KEYS keys are hot, so a table of them may be broadcast."""
-    return max(min(max(total // HOT_SHARE, LEAST_HOT), MOST_HOT), total // HOT_KEYS)
+    return max(min(max(total // HOT_SHARE, least), MOST_HOT), total // HOT_KEYS)
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:

@@ -21,7 +21,7 @@ def brute(docs, least):
 
 @pytest.mark.parametrize("hot", [10_000, 1])
 def test_lines_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(lines, "hot_limit", lambda total: hot)
+    monkeypatch.setattr(lines, "hot_limit", lambda total, least: hot)
     docs = [(i, "\n".join(["Head " if i % 2 else "\thead", f"own {i}", "", "É x" if i % 3 else "é x", "tail", "tail"][: 1 + i % 6])) for i in range(60)]
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, "x\n" * 80 + "head")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
