@@ -247,3 +247,555 @@ add("histogram", "SELECT k AS p_size, count(p_partkey) AS n FROM (SELECT unnest(
 )
 add("histogramdd", """SELECT a AS p_size, b AS p_retailprice, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS n FROM (SELECT unnest(range(2)) AS a), (SELECT unnest(range(3)) AS b) LEFT JOIN part ON a = CASE WHEN p_size < 0 OR p_size > 40 THEN -1 WHEN p_size < 20 THEN 0 ELSE 1 END
 AND b = CASE WHEN p_retailprice < 900 OR p_retailprice > 1500 THEN -1 WHEN p_retailprice < 1000 THEN 0 WHEN p_retailprice < 1200 THEN 1 ELSE 2 END GROUP BY 1, 2""")(lambda spark, sf: r.histogram(_t(spark, sf, "part").withColumn("w", F.col("p_size")), {"p_size": [0, 20, 40], "p_retailprice": [900, 1000, 1200, 1500]}, "w"))
+
+# sparse matrices: lineitem's quantities by supplier and line number
+_COO = "(SELECT l_suppkey AS i, l_linenumber::BIGINT AS j, CAST(l_quantity AS BIGINT) AS v FROM lineitem)"
+_M = f"(SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM {_COO} WHERE j <> i % 3 GROUP BY 1, 2)"
+_ROWS = "(SELECT unnest(range(0, 12)) AS i)"
+
+
+def coo(spark, sf):
+    return _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j"), F.col("l_quantity").cast("long").alias("v"))
+
+
+def m(spark, sf):
+    return r.coalesce(coo(spark, sf).where("j <> i % 3"))
+
+
+def _shape(spark, sf):
+    return _t(spark, sf, "supplier").agg(F.max("s_suppkey")).first()[0] + 1  # rows of the matrix
+
+
+_N = "(SELECT max(s_suppkey) + 1 AS n FROM supplier)"
+_GRID = f"(SELECT i, j FROM (SELECT unnest(range(0, (SELECT n FROM {_N}))) AS i), (SELECT unnest(range(8)) AS j))"
+for _name in ("to_dense", "_to_dense"):
+    add(_name.strip("_") if _name == "to_dense" else "to_dense_kernel", f"SELECT g.i, g.j, CAST(coalesce(m.v, 0) AS BIGINT) AS v FROM {_GRID} g LEFT JOIN {_M} m ON m.i = g.i AND m.j = g.j")(lambda spark, sf: sparse.to_dense(m(spark, sf), _shape(spark, sf), 8))
+add("to_sparse", f"SELECT i, j, v FROM {_M}")(lambda spark, sf: sparse.to_sparse(sparse.to_dense(m(spark, sf), _shape(spark, sf), 8)))
+_MASK = "(SELECT DISTINCT user_id % 10 AS i, event_id % 8 AS j FROM events WHERE event_id < 60)"
+
+
+def _mask(spark, sf):
+    return _t(spark, sf, "events").where("event_id < 60").select((F.col("user_id") % 10).alias("i"), (F.col("event_id") % 8).alias("j"))
+
+
+for _name in ("sparse_mask", "to_dense_backward"):
+    add(_name, f"SELECT k.i, k.j, CAST(coalesce(m.v, 0) AS BIGINT) AS v FROM {_MASK} k LEFT JOIN {_M} m ON m.i = k.i AND m.j = k.j")(lambda spark, sf: sparse.sparse_mask(m(spark, sf), _mask(spark, sf)))
+add("sparse_mask_projection", f"SELECT k.i, k.j, CAST(coalesce(sum(m.v), 0) AS BIGINT) AS v FROM {_MASK} k LEFT JOIN {_COO} m ON m.i = k.i AND m.j = k.j GROUP BY 1, 2")(lambda spark, sf: sparse.mask_projection(coo(spark, sf), _mask(spark, sf)))
+add("is_coalesced", f"SELECT (SELECT count(*) = count(DISTINCT (i, j)) FROM {_COO}) AS raw, true AS summed")(
+    lambda spark, sf: sparse.is_coalesced(coo(spark, sf)).select(F.col("coalesced").alias("raw")).crossJoin(sparse.is_coalesced(m(spark, sf)).select(F.col("coalesced").alias("summed")))
+)
+add("nnz", f"SELECT count(*) AS nnz FROM {_M}")(lambda spark, sf: sparse.nnz(m(spark, sf)))
+add("sparse_dims", "SELECT 2::BIGINT AS sparse_dim, 1::BIGINT AS dense_dim")(
+    lambda spark, sf: spark.range(1).select(*[F.lit(d).cast("long").alias(n) for d, n in zip(sparse.dims(m(spark, sf).withColumn("v", F.array("v"))), ("sparse_dim", "dense_dim"), strict=True)])
+)
+for _name in ("indices", "indices_copy"):
+    add(f"sparse_{_name}", f"SELECT i, j FROM {_M}")(lambda spark, sf: sparse.indices(m(spark, sf)))
+for _name in ("values", "values_copy"):
+    add(f"sparse_{_name}", f"SELECT v FROM {_M}")(lambda spark, sf: sparse.values(m(spark, sf)))
+add("copy_sparse_to_sparse", f"SELECT i, j, v FROM {_M}")(lambda spark, sf: views.alias(m(spark, sf)))
+add("sparse_coo_tensor", f"SELECT i, j, v FROM {_COO}")(lambda spark, sf: sparse.empty_coo(spark).selectExpr("i", "j", "cast(v as long) v").unionByName(coo(spark, sf)))
+add("sparse_resize", f"SELECT i, j, v FROM {_M} WHERE i < 6 AND j < 4")(lambda spark, sf: sparse.resize(m(spark, sf), 6, 4))
+add("sparse_resize_and_clear", f"SELECT i, j, v::DOUBLE AS v FROM {_M} WHERE false")(lambda spark, sf: sparse.empty_coo(spark))
+add("sparse_broadcast_to", f"SELECT b, i, j, v FROM {_M}, (SELECT unnest(range(3)) AS b)")(lambda spark, sf: sparse.broadcast_to(m(spark, sf), "b", 3))
+for _name in ("crow_indices_copy", "coo_to_csr"):
+    add(_name, f"SELECT n.i, (SELECT count(*) FROM {_M} m WHERE m.i < n.i) AS ptr FROM (SELECT unnest(range(0, (SELECT n + 1 FROM {_N}))) AS i) n")(lambda spark, sf: sparse.pointers(m(spark, sf), "i", _shape(spark, sf)))
+for _name in ("ccol_indices", "ccol_indices_copy"):
+    add(_name, f"SELECT n.j, (SELECT count(*) FROM {_M} m WHERE m.j < n.j) AS ptr FROM (SELECT unnest(range(0, 9)) AS j) n")(lambda spark, sf: sparse.pointers(m(spark, sf), "j", 8))
+for _name in ("to_sparse_csr", "col_indices", "col_indices_copy"):
+    add(_name, f"SELECT row_number() OVER (ORDER BY i, j) - 1 AS n, j, v FROM {_M}")(lambda spark, sf: sparse.to_csr(m(spark, sf), _shape(spark, sf))[1])
+for _name in ("to_sparse_csc", "row_indices", "row_indices_copy"):
+    add(_name, f"SELECT row_number() OVER (ORDER BY j, i) - 1 AS n, i, v FROM {_M}")(lambda spark, sf: sparse.to_csc(m(spark, sf), 8)[1])
+add("csr_to_coo", f"SELECT i, j, v FROM {_M}")(lambda spark, sf: sparse.from_compressed(*sparse.to_csr(m(spark, sf), _shape(spark, sf)), "i"))
+_BLOCK = f"(SELECT i // 2 AS bi, j // 2 AS bj, '[' || coalesce(sum(v) FILTER (WHERE i % 2 = 0 AND j % 2 = 0), 0)::VARCHAR || ', ' || coalesce(sum(v) FILTER (WHERE i % 2 = 0 AND j % 2 = 1), 0)::VARCHAR || ', ' || coalesce(sum(v) FILTER (WHERE i % 2 = 1 AND j % 2 = 0), 0)::VARCHAR || ', ' || coalesce(sum(v) FILTER (WHERE i % 2 = 1 AND j % 2 = 1), 0)::VARCHAR || ']' AS v FROM {_M} GROUP BY 1, 2)"
+
+
+def _said(df):
+    return df.withColumn("v", F.concat(F.lit("["), F.array_join(F.col("v").cast("array<string>"), ", "), F.lit("]")))
+
+
+add("to_sparse_bsr", f"SELECT row_number() OVER (ORDER BY bi, bj) - 1 AS n, bj AS j, v FROM {_BLOCK}")(lambda spark, sf: _said(sparse.to_bsr(m(spark, sf), 2, 2, _shape(spark, sf))[1]))
+add("to_sparse_bsc", f"SELECT row_number() OVER (ORDER BY bj, bi) - 1 AS n, bi AS i, v FROM {_BLOCK}")(lambda spark, sf: _said(sparse.to_bsc(m(spark, sf), 2, 2, 8)[1]))
+add("flatten_indices", f"SELECT i * 8 + j AS flat, v FROM {_M}")(lambda spark, sf: m(spark, sf).select((F.col("i") * 8 + F.col("j")).alias("flat"), "v"))
+add("sparse_csr_sum", f"SELECT i, CAST(sum(v) AS BIGINT) AS v FROM {_M} GROUP BY 1")(lambda spark, sf: sparse.row_sums(m(spark, sf)))
+add("sparse_csr_prod", f"SELECT i, round(product(1 + v % 3), 4) AS v FROM {_M} GROUP BY 1")(lambda spark, sf: sparse.row_products(m(spark, sf).withColumn("v", 1 + F.col("v") % 3)).withColumn("v", F.round("v", 4)))
+add("sparse_sum_backward", f"SELECT i, j, i + 1 AS v FROM {_M}")(lambda spark, sf: sparse.sum_backward(spark.range(_shape(spark, sf)).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")), m(spark, sf)).select("i", "j", "v"))
+_SOFT = f"(SELECT i, j, exp(w - max(w) OVER r) / sum(exp(w - t)) OVER r AS y, w - t - ln(sum(exp(w - t)) OVER r) AS ly FROM (SELECT i, j, v / 100.0::DOUBLE AS w, max(v / 100.0::DOUBLE) OVER (PARTITION BY i) AS t FROM {_M}) WINDOW r AS (PARTITION BY i))"
+
+
+def _soft(spark, sf):
+    return sparse.softmax(m(spark, sf).withColumn("v", F.col("v") / 100.0))
+
+
+add("sparse_softmax", f"SELECT i, j, round(y, 6) AS y FROM {_SOFT}")(lambda spark, sf: _soft(spark, sf).select("i", "j", F.round("softmax", 6).alias("y")))
+add("sparse_log_softmax", f"SELECT i, j, round(ly, 6) + 0.0 AS y FROM {_SOFT}")(lambda spark, sf: _soft(spark, sf).select("i", "j", R(F.col("log_softmax"), 6).alias("y")))
+add("sparse_softmax_backward_data", f"SELECT i, j, round(y * (j + 1 - sum((j + 1) * y) OVER (PARTITION BY i)), 6) + 0.0 AS v FROM {_SOFT}")(
+    lambda spark, sf: sparse.softmax_backward(m(spark, sf).select("i", "j", (F.col("j") + 1.0).alias("g")), _soft(spark, sf).select("i", "j", F.col("softmax").alias("y"))).withColumn("v", R(F.col("v"), 6))
+)
+add("sparse_log_softmax_backward_data", f"SELECT i, j, round(j + 1 - y * sum(j + 1) OVER (PARTITION BY i), 6) + 0.0 AS v FROM {_SOFT}")(
+    lambda spark, sf: sparse.softmax_backward(m(spark, sf).select("i", "j", (F.col("j") + 1.0).alias("g")), _soft(spark, sf).select("i", "j", F.col("log_softmax").alias("y")), log=True).withColumn("v", R(F.col("v"), 6))
+)
+
+# softmax and norms
+_GROUPS = "(SELECT o_orderkey, o_custkey, o_totalprice / 100000 AS v, o_orderkey % 3 = 0 OR o_custkey % 5 = 0 AS hide FROM orders)"
+
+
+def groups(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 100000).alias("v"), ((F.col("o_orderkey") % 3 == 0) | (F.col("o_custkey") % 5 == 0)).alias("hide"))
+
+
+add("safe_softmax", f"SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE round(exp(v) / sum(exp(v)) OVER (PARTITION BY o_custkey), 6) END AS softmax FROM {_GROUPS}")(
+    lambda spark, sf: norms.safe_softmax(groups(spark, sf).withColumn("v", F.when(F.col("o_custkey") % 5 == 0, float("-inf")).otherwise(F.col("v"))), ["o_custkey"], "v").select("o_orderkey", F.round("softmax", 6).alias("softmax"))
+)
+add("masked_softmax", f"SELECT o_orderkey, CASE WHEN hide THEN 0 ELSE round(exp(v) / sum(CASE WHEN hide THEN 0 ELSE exp(v) END) OVER (PARTITION BY o_custkey), 6) END AS softmax FROM {_GROUPS}")(
+    lambda spark, sf: norms.masked_softmax(groups(spark, sf), ["o_custkey"], "v", "hide").select("o_orderkey", F.round("softmax", 6).alias("softmax"))
+)
+_Y = f"(SELECT *, exp(v) / sum(exp(v)) OVER (PARTITION BY o_custkey) AS y, v - ln(sum(exp(v)) OVER (PARTITION BY o_custkey)) AS ly, o_orderkey % 7 AS g FROM {_GROUPS})"
+
+
+def _soft_rows(spark, sf):
+    return r.softmax(groups(spark, sf), ["o_custkey"], "v").withColumn("g", (F.col("o_orderkey") % 7).cast("double"))
+
+
+add("softmax_backward_data", f"SELECT o_orderkey, round(y * (g - sum(g * y) OVER (PARTITION BY o_custkey)), 6) + 0.0 AS v FROM {_Y}")(lambda spark, sf: norms.softmax_backward(_soft_rows(spark, sf), ["o_custkey"], "g", "softmax").select("o_orderkey", R(F.col("v"), 6).alias("v")))
+add("log_softmax_backward_data", f"SELECT o_orderkey, round(g - y * sum(g) OVER (PARTITION BY o_custkey), 6) + 0.0 AS v FROM {_Y}")(lambda spark, sf: norms.softmax_backward(_soft_rows(spark, sf), ["o_custkey"], "g", "log_softmax", True).select("o_orderkey", R(F.col("v"), 6).alias("v")))
+add("masked_softmax_backward", f"SELECT o_orderkey, CASE WHEN hide THEN 0 ELSE round(y * (g - sum(g * y) OVER (PARTITION BY o_custkey)), 6) + 0.0 END AS v FROM (SELECT *, CASE WHEN hide THEN 0 ELSE exp(v) / sum(CASE WHEN hide THEN 0 ELSE exp(v) END) OVER (PARTITION BY o_custkey) END AS y, o_orderkey % 7 AS g FROM {_GROUPS})")(
+    lambda spark, sf: norms.softmax_backward(norms.masked_softmax(groups(spark, sf), ["o_custkey"], "v", "hide").drop("v").withColumn("g", (F.col("o_orderkey") % 7).cast("double")), ["o_custkey"], "g", "softmax").select("o_orderkey", R(F.col("v"), 6).alias("v"))
+)
+_LN = "(x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5)"
+add("native_layer_norm", f"SELECT n, c, round({_LN} * (1 + c / 64.0::DOUBLE) + c / 10.0::DOUBLE, 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY n)")(
+    lambda spark, sf: norms.normalised(emb(spark, sf), ["n"], "x", weight=1 + F.col("c") / 64, bias=F.col("c") / 10).select("n", "c", R(F.col("normed")).alias("v"))
+)
+_NORM_GRAD = """WITH a AS (SELECT *, {k} AS k, (c + 1) / 64.0::DOUBLE * {w} AS g FROM {e}), b AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS h, 1 / sqrt(var_pop(x) OVER w + 1e-5) AS s FROM a WINDOW w AS (PARTITION BY k))
+SELECT n, c, round(s * (g - avg(g) OVER w - h * avg(g * h) OVER w), 4) + 0.0 AS v FROM b WINDOW w AS (PARTITION BY k)"""
+
+
+def _norm_grad(key, weight=None):
+    return lambda spark, sf: norms.normalised_backward(emb(spark, sf).withColumn("k", key()).withColumn("g", (F.col("c") + 1) / 64), ["k"], "x", "g", weight=weight() if weight else None).select("n", "c", R(F.col("v"), 4).alias("v"))
+
+
+add("native_layer_norm_backward", _NORM_GRAD.format(k="n", w="(1 + c % 3)", e=EMB))(_norm_grad(lambda: F.col("n"), lambda: (1 + F.col("c") % 3).cast("double")))
+for _name in ("group_norm", "native_group_norm"):
+    add(_name, f"SELECT n, c, round((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) * (1 + c % 2), 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY n, c // 16)")(
+        lambda spark, sf: norms.normalised(emb(spark, sf).withColumn("g", F.floor(F.col("c") / 16)), ["n", "g"], "x", weight=1 + F.col("c") % 2).select("n", "c", R(F.col("normed")).alias("v"))
+    )
+add("native_group_norm_backward", _NORM_GRAD.format(k="n * 4 + c // 16", w="1", e=EMB))(_norm_grad(lambda: F.col("n") * 4 + F.floor(F.col("c") / 16)))
+for _name in ("native_batch_norm", "native_batch_norm_legit", "batch_norm_with_update"):
+    add(_name, f"SELECT n, c, round((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5), 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY c)")(lambda spark, sf: norms.normalised(emb(spark, sf), ["c"], "x").select("n", "c", R(F.col("normed")).alias("v")))
+for _name in ("native_batch_norm_backward", "batch_norm_backward"):
+    add(_name, _NORM_GRAD.format(k="c", w="(n % 4)", e=EMB))(
+        lambda spark, sf: norms.normalised_backward(emb(spark, sf).withColumn("g", (F.col("c") + 1) / 64 * (F.col("n") % 4)), ["c"], "x", "g").select("n", "c", R(F.col("v"), 4).alias("v"))
+    )
+add("batch_norm_update_stats", f"SELECT c, round(0.9 * c / 64.0::DOUBLE + 0.1 * avg(x), 6) + 0.0 AS mean, round(0.9 + 0.1 * var_samp(x), 6) AS var FROM {EMB} GROUP BY c")(
+    lambda spark, sf: norms.update_stats(norms.channel_stats(emb(spark, sf), "c", "x"), spark.range(64).select(F.col("id").alias("c"), (F.col("id") / 64).alias("mean"), F.lit(1.0).alias("var")), "c", 0.1).select("c", R(F.col("mean"), 6).alias("mean"), F.round("var", 6).alias("var"))
+)
+for _name in ("batch_norm_gather_stats", "batch_norm_gather_stats_with_counts"):
+    add(_name, f"SELECT c, round(avg(x), 6) + 0.0 AS mean, round(1 / sqrt(var_pop(x) + 1e-5), 5) AS invstd FROM {EMB} GROUP BY c")(
+        lambda spark, sf: norms.gather_stats(
+            emb(spark, sf).groupBy("c", (F.col("n") % 3).alias("p")).agg(F.avg("x").alias("mean"), (1 / F.sqrt(F.var_pop("x") + 1e-5)).alias("invstd"), F.count("*").alias("n")), "c"
+        ).select("c", R(F.col("mean"), 6).alias("mean"), F.round("invstd", 5).alias("invstd"))
+    )
+
+
+def _stats(spark, sf):
+    return r.batch_norm_stats(emb(spark, sf), ["c"], "x")
+
+
+def _dy(spark, sf):
+    return emb(spark, sf).withColumn("g", (F.col("n") % 5).cast("double"))
+
+
+add("batch_norm_elemt", f"SELECT n, c, round((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) * 2 + 1, 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY c)")(lambda spark, sf: norms.elemt(emb(spark, sf), _stats(spark, sf), "c", "x", 2.0, 1.0).select("n", "c", R(F.col("normed")).alias("v")))
+add("batch_norm_backward_reduce", f"SELECT c, sum(g)::DOUBLE AS sum_dy, round(sum(g * (x - u)), 4) + 0.0 AS sum_dy_xmu, round(sum(g * (x - u) * s), 4) + 0.0 AS dweight, sum(g)::DOUBLE AS dbias FROM (SELECT *, n % 5 AS g, avg(x) OVER w AS u, 1 / sqrt(var_pop(x) OVER w + 1e-5) AS s FROM {EMB} WINDOW w AS (PARTITION BY c)) GROUP BY c")(
+    lambda spark, sf: norms.backward_reduce(_dy(spark, sf), _stats(spark, sf), "c", "x", "g").select("c", "sum_dy", R(F.col("sum_dy_xmu"), 4).alias("sum_dy_xmu"), R(F.col("dweight"), 4).alias("dweight"), "dbias")
+)
+add("batch_norm_backward_elemt", _NORM_GRAD.format(k="c", w="1", e=EMB).replace("(c + 1) / 64.0::DOUBLE * 1 AS g", "n % 5 AS g"))(
+    lambda spark, sf: norms.backward_elemt(
+        _dy(spark, sf), _stats(spark, sf), norms.backward_reduce(_dy(spark, sf), _stats(spark, sf), "c", "x", "g"), "c", "x", "g", _t(spark, sf, "embeddings").count()
+    ).select("n", "c", R(F.col("v"), 4).alias("v"))
+)
+add("rms_norm", f"SELECT n, c, round(x / sqrt(avg(x * x) OVER w + 1e-6) * (1 + c % 2), 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY n)")(lambda spark, sf: norms.rms_norm(emb(spark, sf), ["n"], "x", weight=1 + F.col("c") % 2).select("n", "c", R(F.col("normed")).alias("v")))
+add("rms_norm_backward", f"SELECT n, c, round(s * (g - x * s * avg(g * x * s) OVER w), 4) + 0.0 AS v FROM (SELECT *, (c + 1) / 64.0::DOUBLE AS g, 1 / sqrt(avg(x * x) OVER (PARTITION BY n) + 1e-6) AS s FROM {EMB}) WINDOW w AS (PARTITION BY n)")(
+    lambda spark, sf: norms.rms_norm_backward(emb(spark, sf).withColumn("g", (F.col("c") + 1) / 64), ["n"], "x", "g").select("n", "c", R(F.col("v"), 4).alias("v"))
+)
+for _name in ("weight_norm", "weight_norm_interface"):
+    add(_name, f"SELECT n, c, round(x * (n % 3 + 1) / sqrt(sum(x * x) OVER (PARTITION BY n)), 5) + 0.0 AS w FROM {EMB}")(lambda spark, sf: norms.weight_norm(emb(spark, sf).withColumn("g", F.col("n") % 3 + 1), "n", "x", "g").select("n", "c", R(F.col("w")).alias("w")))
+for _name in ("weight_norm_interface_backward", "weight_norm_differentiable_backward"):
+    add(_name, f"SELECT n, c, round(z / s * (d - x * p / (s * s)), 5) + 0.0 AS dv, round(p / s, 5) + 0.0 AS dg FROM (SELECT *, n % 3 + 1 AS z, c + 1 AS d, sqrt(sum(x * x) OVER w) AS s, sum((c + 1) * x) OVER w AS p FROM {EMB} WINDOW w AS (PARTITION BY n))")(
+        lambda spark, sf: norms.weight_norm_backward(emb(spark, sf).withColumn("g", F.col("n") % 3 + 1).withColumn("d", F.col("c") + 1), "n", "x", "g", "d").select("n", "c", R(F.col("dv")).alias("dv"), R(F.col("dg")).alias("dg"))
+    )
+
+# losses of classes: the first eight places of an embedding are classes' scores
+_CLS = f"(SELECT n, c::INTEGER AS class, x, (n % 8)::INTEGER AS target, x - ln(sum(exp(x)) OVER (PARTITION BY n)) AS v FROM {EMB} WHERE c < 8)"
+
+
+def classes(spark, sf):
+    rows = emb(spark, sf).where("c < 8").select("n", F.col("c").cast("int").alias("class"), "x", (F.col("n") % 8).cast("int").alias("target"))
+    return r.softmax(rows, ["n"], "x").withColumnRenamed("log_softmax", "v").drop("softmax")
+
+
+_CW = "(CASE target WHEN 1 THEN 2.0 ELSE 1.0 END)"
+_W8 = {k: 2.0 if k == 1 else 1.0 for k in range(8)}
+for _name in ("nll_loss_forward", "nll_loss2d", "nll_loss2d_forward"):
+    add(_name, f"SELECT n, round(-v * {_CW}, 6) + 0.0 AS loss, {_CW}::DOUBLE AS weight FROM {_CLS} WHERE class = target AND target <> 3")(lambda spark, sf: norms.nll(classes(spark, sf), ["n"], "target", _W8, 3).withColumn("loss", R(F.col("loss"), 6)))
+for _name in ("nll_loss_backward", "nll_loss2d_backward"):
+    add(_name, f"SELECT n, class, CASE WHEN class = target AND target <> 3 THEN -(n + 1) * {_CW} ELSE 0 END::DOUBLE AS v FROM {_CLS}")(lambda spark, sf: norms.nll_backward(classes(spark, sf).withColumn("g", F.col("n") + 1.0), "target", "g", _W8, 3).select("n", "class", "v"))
+_MM = f"(SELECT *, max(x) FILTER (WHERE class = target) OVER (PARTITION BY n) AS o FROM {_CLS})"
+add("multi_margin_loss", f"SELECT n, round(sum(pow(greatest(1 - o + x, 0), 2)) / 8, 5) AS loss FROM {_MM} WHERE class <> target GROUP BY 1")(
+    lambda spark, sf: norms.multi_margin(classes(spark, sf).drop("v").withColumnRenamed("x", "v"), ["n"], "target", 8, 2).withColumn("loss", F.round("loss", 5))
+)
+add("multi_margin_loss_backward", f"SELECT n, class, round(CASE WHEN class = target THEN -sum(d) OVER (PARTITION BY n) ELSE d END, 5) + 0.0 AS dv FROM (SELECT *, CASE WHEN class <> target AND 1 - o + x > 0 THEN 2 * (1 - o + x) / 8 * (n + 1) ELSE 0 END AS d FROM {_MM})")(
+    lambda spark, sf: norms.multi_margin_backward(classes(spark, sf).drop("v").withColumnRenamed("x", "v").withColumn("g", F.col("n") + 1.0), ["n"], "target", "g", 8, 2).select("n", "class", R(F.col("dv")).alias("dv"))
+)
+_ML = f"(SELECT n, class, x, (class + n) % 3 = 0 AS t FROM {_CLS})"
+
+
+def multi(spark, sf):
+    return classes(spark, sf).select("n", "class", F.col("x").alias("v"), ((F.col("class") + F.col("n")) % 3 == 0).alias("t"))
+
+
+add("multilabel_margin_loss_forward", f"SELECT a.n, round(sum(greatest(1 - a.x + b.x, 0)) / 8, 5) AS loss FROM {_ML} a JOIN {_ML} b ON a.n = b.n AND a.t AND NOT b.t GROUP BY 1")(lambda spark, sf: norms.multilabel_margin(multi(spark, sf), ["n"], "t", 8).withColumn("loss", F.round("loss", 5)))
+add("multilabel_margin_loss_backward", f"SELECT a.n, a.class, CASE WHEN a.t THEN -1 ELSE 1 END * count(*) FILTER (WHERE CASE WHEN a.t THEN 1 - a.x + b.x ELSE 1 - b.x + a.x END > 0) / 8.0::DOUBLE + 0.0 AS dv FROM {_ML} a JOIN {_ML} b ON a.n = b.n AND a.t <> b.t GROUP BY a.n, a.class, a.t")(
+    lambda spark, sf: norms.multilabel_margin_backward(multi(spark, sf).withColumn("g", F.lit(1.0)), ["n"], "t", "g", 8).select("n", "class", (F.col("dv") + 0.0).alias("dv"))
+)
+
+
+@add("ctc_loss", """WITH f AS (SELECT vec_id AS n, t, [CAST(embedding[t * 3 + 1] AS DOUBLE), CAST(embedding[t * 3 + 2] AS DOUBLE), CAST(embedding[t * 3 + 3] AS DOUBLE)] AS x FROM embeddings, (SELECT unnest(range(3)) AS t)),
+p AS (SELECT n, t, list_transform(x, lambda a: exp(a) / (exp(x[1]) + exp(x[2]) + exp(x[3]))) AS p FROM f),
+w AS (SELECT a.n, a.p AS a, b.p AS b, c.p AS c FROM p a JOIN p b ON a.n = b.n AND a.t = 0 AND b.t = 1 JOIN p c ON c.n = a.n AND c.t = 2)
+SELECT n, round(-ln(a[2] * b[3] * c[1] + a[2] * b[1] * c[3] + a[1] * b[2] * c[3] + a[2] * b[2] * c[3] + a[2] * b[3] * c[3]), 5) AS loss FROM w""")
+def ctc_loss(spark, sf):
+    """Labels 1, 2 over three frames of three classes: the SQL adds up the five paths."""
+    frame = lambda t: F.transform(F.slice("embedding", t * 3 + 1, 3), lambda x: x.cast("double"))
+
+    def log_shares(x):
+        total = F.log(F.aggregate(x, F.lit(0.0), lambda s, y: s + F.exp(y)))
+        return F.transform(x, lambda y: y - total)
+
+    logs = F.array(*[log_shares(frame(t)) for t in range(3)])
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.round(norms.ctc(logs, F.array(F.lit(1), F.lit(2))), 5).alias("loss"))
+
+# products: W is 64 x 8, from the first eight embeddings
+_WT = f"(SELECT c AS i, n AS j, x AS v FROM {EMB} WHERE n < 8)"
+_X = f"(SELECT n AS i, c AS j, x AS v FROM {EMB})"
+
+
+def x_(spark, sf):
+    return emb(spark, sf).select(F.col("n").alias("i"), F.col("c").alias("j"), F.col("x").alias("v"))
+
+
+def w_(spark, sf):
+    return emb(spark, sf).where("n < 8").select(F.col("c").alias("i"), F.col("n").alias("j"), F.col("x").alias("v"))
+
+
+def shown(df, d=4):
+    return df.withColumn("v", R(F.col("v"), d))
+
+
+_MM_SQL = f"SELECT a.i, b.j, round(sum(a.v * b.v){{more}}, 4) + 0.0 AS v FROM {_X} a JOIN {_WT} b ON a.j = b.i GROUP BY 1, 2"
+for _name in ("mm", "hspmm"):
+    add(_name, _MM_SQL.format(more=""))(lambda spark, sf: shown(linalg.bmm(x_(spark, sf), w_(spark, sf))))
+add("addmm", _MM_SQL.format(more=" * 2 + 0.5 * (a.i + b.j)"))(
+    lambda spark, sf: shown(linalg.added(x_(spark, sf).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("j")).distinct().withColumn("v", F.col("i") + F.col("j")), linalg.bmm(x_(spark, sf), w_(spark, sf)), ["i", "j"], 0.5, 2.0))
+)
+_B = f"(SELECT n AS b, c // 8 AS i, c % 8 AS j, x AS v FROM {EMB})"
+
+
+def b_(spark, sf):
+    return square(spark, sf).withColumnRenamed("n", "b")
+
+
+add("bmm", f"SELECT x.b, x.i, y.j, round(sum(x.v * y.v), 4) + 0.0 AS v FROM {_B} x JOIN {_B} y ON x.b = y.b AND x.j = y.i GROUP BY 1, 2, 3")(lambda spark, sf: shown(linalg.bmm(b_(spark, sf), b_(spark, sf), ["b"])))
+add("baddbmm", f"SELECT x.b, x.i, y.j, round(sum(x.v * y.v) + 3 * any_value(z.v), 4) + 0.0 AS v FROM {_B} x JOIN {_B} y ON x.b = y.b AND x.j = y.i JOIN {_B} z ON z.b = x.b AND z.i = x.i AND z.j = y.j GROUP BY 1, 2, 3")(
+    lambda spark, sf: shown(linalg.added(b_(spark, sf), linalg.bmm(b_(spark, sf), b_(spark, sf), ["b"]), ["b", "i", "j"], 3.0))
+)
+add("mv", f"SELECT i, round(sum(v * (j + 1)), 4) + 0.0 AS v FROM {_X} GROUP BY 1")(lambda spark, sf: shown(linalg.mv(x_(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("v")))))
+add("addmv", f"SELECT i, round(2 * sum(v * (j + 1)) + i, 4) + 0.0 AS v FROM {_X} GROUP BY 1")(
+    lambda spark, sf: shown(linalg.added(x_(spark, sf).select("i").distinct().withColumn("v", F.col("i").cast("double")), linalg.mv(x_(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("v"))), ["i"], 1.0, 2.0))
+)
+add("addr", "SELECT i, j, round(3 * (i + 1) * (s_acctbal / 100) + i + j, 4) + 0.0 AS v FROM (SELECT unnest(range(6)) AS i), (SELECT s_suppkey AS j, s_acctbal FROM supplier)")(
+    lambda spark, sf: shown(linalg.added(
+        linalg.outer(spark.range(6).select(F.col("id").alias("i"), F.lit(1.0).alias("v")), _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("j"), F.lit(1.0).alias("v"))).withColumn("v", (F.col("i") + F.col("j")).cast("double")),
+        linalg.outer(spark.range(6).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")), _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("j"), (F.col("s_acctbal") / 100).alias("v"))), ["i", "j"], 1.0, 3.0,
+    ))
+)
+add("linear", _MM_SQL.format(more=" + any_value(b.j)"))(lambda spark, sf: shown(linalg.linear(x_(spark, sf), linalg.transposed(w_(spark, sf)), spark.range(8).select(F.col("id").alias("j"), F.col("id").alias("v")))))
+SQL["linear"] = SQL["linear"].replace(" + any_value(b.j)", " + b.j")
+
+
+def g_(spark, sf):
+    """A gradient for the product: i + j."""
+    return x_(spark, sf).select("i").distinct().select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("j")).withColumn("v", (F.col("i") % 5 + F.col("j")).cast("double"))
+
+
+_DX = f"SELECT g.i, w.i AS j, round(sum((g.i % 5 + w.j) * w.v), 4) + 0.0 AS v FROM (SELECT vec_id AS i FROM embeddings) g, {_WT} w GROUP BY 1, 2"
+_DW = f"SELECT x.j AS i, o AS j, round(sum((x.i % 5 + o) * x.v), 4) + 0.0 AS v FROM {_X} x, (SELECT unnest(range(8)) AS o) GROUP BY 1, 2"
+add("matmul_backward", _DX)(lambda spark, sf: shown(linalg.matmul_backward(g_(spark, sf), x_(spark, sf), w_(spark, sf))[0]))
+add("matmul_backward_right", _DW)(lambda spark, sf: shown(linalg.matmul_backward(g_(spark, sf), x_(spark, sf), w_(spark, sf))[1]))
+add("linear_backward", _DX)(lambda spark, sf: shown(linalg.linear_backward(g_(spark, sf), x_(spark, sf), linalg.transposed(w_(spark, sf)))[0]))
+add("linear_backward_bias", "SELECT o AS j, CAST(sum(vec_id % 5 + o) AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(8)) AS o) GROUP BY 1")(lambda spark, sf: shown(linalg.linear_backward(g_(spark, sf), x_(spark, sf), linalg.transposed(w_(spark, sf)))[2]))
+
+
+def vecs(spark, sf):
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+
+
+def _some(spark, sf):
+    """A query set of rows: those of the first label."""
+    return _t(spark, sf, "embeddings").where("label = 0").select(F.col("vec_id").alias("q"), F.transform("embedding", lambda x: x.cast("double")).alias("b"))
+
+
+_PAIR = "(SELECT a.vec_id AS n, b.vec_id AS q, c, CAST(a.embedding[c + 1] AS DOUBLE) AS x, CAST(b.embedding[c + 1] AS DOUBLE) AS y FROM embeddings a, embeddings b, (SELECT unnest(range(64)) AS c) WHERE b.label = 0)"
+for _name in ("cdist", "cdist_forward"):
+    add(_name, f"SELECT n, q, round(sqrt(sum(pow(x - y, 2))), 4) AS d FROM {_PAIR} GROUP BY 1, 2")(lambda spark, sf: r.cdist(_some(spark, sf), vecs(spark, sf)).select("n", "q", F.round(r.distance(F.col("a"), F.col("b")), 4).alias("d")))
+
+
+def _summed(df):
+    return df.select("n", F.posexplode("g").alias("c", "v")).groupBy("n", "c").agg(R(F.sum("v"), 4).alias("v")).withColumn("c", F.col("c").cast("long"))
+
+
+add("cdist_backward", f"SELECT n, c, round(sum(CASE WHEN d = 0 THEN 0 ELSE (x - y) / d END), 4) + 0.0 AS v FROM (SELECT *, sqrt(sum(pow(x - y, 2)) OVER (PARTITION BY n, q)) AS d FROM {_PAIR}) GROUP BY 1, 2")(
+    lambda spark, sf: _summed(r.cdist(_some(spark, sf), vecs(spark, sf)).withColumn("d", r.distance(F.col("a"), F.col("b"))).select("n", linalg.distance_gradient(F.lit(1.0), F.col("a"), F.col("b"), F.col("d")).alias("g")))
+)
+_PD = "(SELECT a.vec_id AS a, b.vec_id AS b, c, CAST(a.embedding[c + 1] AS DOUBLE) AS x, CAST(b.embedding[c + 1] AS DOUBLE) AS y FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = 1 AND b.label = 1, (SELECT unnest(range(64)) AS c))"
+
+
+def _ones(spark, sf):
+    return _t(spark, sf, "embeddings").where("label = 1").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+
+for _name in ("pdist", "pdist_forward"):
+    add(_name, f"SELECT a, b, round(sum(abs(x - y)), 4) AS d FROM {_PD} GROUP BY 1, 2")(lambda spark, sf: linalg.pdist(_ones(spark, sf), "vec_id", "e", 1.0).select("a", "b", F.round("d", 4).alias("d")))
+add("pdist_backward", f"SELECT n, c, CAST(sum(v) AS DOUBLE) + 0.0 AS v FROM (SELECT a AS n, c, sign(x - y) AS v FROM {_PD} UNION ALL SELECT b AS n, c, sign(y - x) AS v FROM {_PD}) GROUP BY 1, 2")(
+    lambda spark, sf: _summed(linalg.pdist(_ones(spark, sf), "vec_id", "e", 1.0).select(F.inline(F.array(
+        F.struct(F.col("a").alias("n"), linalg.distance_gradient(F.lit(1.0), F.col("_x"), F.col("_y"), F.col("d"), 1.0).alias("g")), F.struct(F.col("b").alias("n"), linalg.distance_gradient(F.lit(1.0), F.col("_y"), F.col("_x"), F.col("d"), 1.0).alias("g")),
+    ))))
+)
+_A3 = "SELECT vec_id AS n, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d, CAST(embedding[5] AS DOUBLE) AS e, CAST(embedding[6] AS DOUBLE) AS f, CAST(embedding[7] AS DOUBLE) AS g, CAST(embedding[8] AS DOUBLE) AS h, CAST(embedding[9] AS DOUBLE) + 2 AS i, CAST(embedding[10] AS DOUBLE) AS p, CAST(embedding[11] AS DOUBLE) AS q, CAST(embedding[12] AS DOUBLE) AS r FROM embeddings"
+_DET = "(a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g))"
+
+
+def three(spark, sf):
+    """A 3 x 3 matrix, its factors, and a right side, of each embedding."""
+    at = lambda k: F.col("a")[k]
+    rows = F.array(F.array(at(0), at(1), at(2)), F.array(at(3), at(4), at(5)), F.array(at(6), at(7), at(8) + 2))
+    return vecs(spark, sf).select("n", rows.alias("m"), F.slice("a", 10, 3).alias("b")).withColumn("f", linalg.lu(F.col("m")))
+
+
+for _name in ("det", "linalg_det", "_linalg_det"):
+    add(_name if _name[0] != "_" else "linalg_det_kernel", f"SELECT n, round({_DET}, 6) + 0.0 AS v FROM ({_A3})")(lambda spark, sf: three(spark, sf).select("n", R(linalg.det(F.col("f")), 6).alias("v")))
+for _name in ("slogdet", "linalg_slogdet", "linalg_slogdet_kernel"):
+    add(_name, f"SELECT n, sign({_DET})::DOUBLE AS s, round(ln(abs({_DET})), 5) + 0.0 AS v FROM ({_A3})")(lambda spark, sf: three(spark, sf).withColumn("s", linalg.slogdet(F.col("f"))).select("n", F.col("s.sign").alias("s"), R(F.col("s.logabsdet"), 5).alias("v")))
+_SOLVE = f"SELECT n, round((p * (e * i - f * h) - b * (q * i - f * r) + c * (q * h - e * r)) / {_DET}, 4) + 0.0 AS x, round((a * (q * i - f * r) - p * (d * i - f * g) + c * (d * r - q * g)) / {_DET}, 4) + 0.0 AS y FROM ({_A3}) WHERE abs({_DET}) > 0.05"
+for _name in ("linalg_solve", "linalg_solve_ex", "lu_solve"):
+    add(_name, _SOLVE)(lambda spark, sf: three(spark, sf).where(F.abs(linalg.det(F.col("f"))) > 0.05).withColumn("s", linalg.lu_solve(F.col("f"), F.col("b"))).select("n", R(F.col("s")[0], 4).alias("x"), R(F.col("s")[1], 4).alias("y")))
+for _name in ("inverse", "linalg_inv", "linalg_inv_ex"):
+    add(_name, f"SELECT n, round((e * i - f * h) / {_DET}, 4) + 0.0 AS x, round((d * h - e * g) / {_DET}, 4) + 0.0 AS y FROM ({_A3}) WHERE abs({_DET}) > 0.05")(
+        lambda spark, sf: three(spark, sf).where(F.abs(linalg.det(F.col("f"))) > 0.05).withColumn("s", linalg.inverse(F.col("f"))).select("n", R(F.col("s")[0][0], 4).alias("x"), R(F.col("s")[2][0], 4).alias("y"))
+    )
+add("linalg_lu_factor", f"SELECT n, round(greatest(abs(a), abs(d), abs(g)), 6) AS pivot, round(abs({_DET}), 5) AS size FROM ({_A3})")(
+    lambda spark, sf: three(spark, sf).select("n", F.round(F.abs(F.col("f.lu")[0][0]), 6).alias("pivot"), F.round(F.abs(F.col("f.lu")[0][0] * F.col("f.lu")[1][1] * F.col("f.lu")[2][2]), 5).alias("size"))
+)
+_TRI = f"SELECT n, round(p / (a + 3), 5) + 0.0 AS x, round((q - d * p / (a + 3)) / (e + 3), 5) + 0.0 AS y FROM ({_A3})"
+for _name in ("linalg_solve_triangular", "triangular_solve"):
+    add(_name, _TRI)(
+        lambda spark, sf: three(spark, sf).withColumn("t", F.transform("m", lambda row, i: F.transform(row, lambda v, j: F.when(i == j, v + (F.when(i < 2, 3.0).otherwise(1.0))).otherwise(v))))
+        .withColumn("s", linalg.solve_triangular(F.col("t"), F.col("b"), False)).select("n", R(F.col("s")[0]).alias("x"), R(F.col("s")[1]).alias("y"))
+    )
+add("linalg_cross", f"SELECT n, round(b * f - c * e, 5) + 0.0 AS x, round(c * d - a * f, 5) + 0.0 AS y, round(a * e - b * d, 5) + 0.0 AS z FROM ({_A3})")(
+    lambda spark, sf: vecs(spark, sf).withColumn("s", linalg.cross(F.slice("a", 1, 3), F.slice("a", 4, 3))).select("n", *[R(F.col("s")[k]).alias(c) for k, c in enumerate("xyz")])
+)
+add("compute_linear_combination", f"SELECT n, round(2 * a - 3 * d, 5) + 0.0 AS x, round(2 * c - 3 * f, 5) + 0.0 AS z FROM ({_A3})")(
+    lambda spark, sf: vecs(spark, sf).withColumn("s", linalg.linear_combination([F.slice("a", 1, 3), F.slice("a", 4, 3)], [2.0, -3.0])).select("n", R(F.col("s")[0]).alias("x"), R(F.col("s")[2]).alias("z"))
+)
+_FFT = f"SELECT n, k, round(sum(x * cos(2 * pi() * k * c / 64)), 4) + 0.0 AS re, round(-sum(x * sin(2 * pi() * k * c / 64)), 4) + 0.0 AS im FROM {EMB}, (SELECT unnest(range({{top}})) AS k) GROUP BY 1, 2"
+
+
+def _spectrum(df):
+    return df.select("n", F.posexplode("s").alias("k", "z")).select("n", F.col("k").cast("long").alias("k"), R(F.col("z.re"), 4).alias("re"), R(F.col("z.im"), 4).alias("im"))
+
+
+add("fft_c2c", _FFT.format(top=64))(lambda spark, sf: _spectrum(vecs(spark, sf).withColumn("s", linalg.dft(linalg.as_complex(F.col("a")), 64))))
+add("fft_r2c", _FFT.format(top=33))(lambda spark, sf: _spectrum(vecs(spark, sf).withColumn("s", linalg.rfft(F.col("a"), 64))))
+add("fft_c2r", f"SELECT n, c, round(x, 4) + 0.0 AS x FROM {EMB}")(
+    lambda spark, sf: vecs(spark, sf).withColumn("h", linalg.rfft(F.col("a"), 64)).select("n", F.posexplode(linalg.irfft(F.col("h"), 64)).alias("c", "x")).select("n", F.col("c").cast("long").alias("c"), R(F.col("x"), 4).alias("x"))
+)
+
+# ragged arrays: the lengths of a conversation's texts
+_CONV = "(SELECT conv_id, list(length(text)::DOUBLE ORDER BY turn) AS a FROM conversations GROUP BY 1)"
+
+
+def ragged(spark, sf):
+    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.length("text").cast("double").alias("n")))), lambda s: s["n"]).alias("a"))
+
+
+def items(df, *more):
+    return df.select("conv_id", F.posexplode("a").alias("k", "v"), *more).withColumn("k", F.col("k").cast("long"))
+
+
+_ITEMS = "SELECT conv_id, unnest(range(len(a))) AS k, unnest(a) AS v FROM ({})"
+for _name in ("nested_to_padded_tensor", "jagged_to_padded_dense_forward"):
+    add(_name, _ITEMS.format(f"SELECT conv_id, list_resize(a, 4, -1.0::DOUBLE) AS a FROM {_CONV}"))(lambda spark, sf: items(ragged(spark, sf).withColumn("a", nested.to_padded(F.col("a"), 4, -1.0))))
+for _name in ("nested_from_padded", "padded_dense_to_jagged_forward", "nested_from_padded_and_nested_example"):
+    add(_name, _ITEMS.format(f"SELECT conv_id, a[1:3] AS a FROM {_CONV}"))(
+        lambda spark, sf: items(ragged(spark, sf).select("conv_id", nested.from_padded(nested.to_padded(F.col("a"), 9, 0.0), F.least(F.size("a"), F.lit(3))).alias("a")))
+    )
+add("nested_tensor_size", f"SELECT conv_id, len(a) AS size FROM {_CONV}")(lambda spark, sf: nested.sizes(ragged(spark, sf), "a").drop("a"))
+for _name in ("nested_tensor_storage_offsets", "nested_compute_contiguous_strides_offsets"):
+    add(_name, f'SELECT conv_id, CAST(sum(len(a)) OVER (ORDER BY conv_id) - len(a) AS BIGINT) AS "offset" FROM {_CONV}')(lambda spark, sf: nested.offsets(ragged(spark, sf), "conv_id", "a").select("conv_id", "offset"))
+for _name in ("nested_view_from_buffer", "nested_view_from_buffer_copy"):
+    add(_name, _ITEMS.format(_CONV[1:-1]))(
+        lambda spark, sf: items(nested.view_from_buffer(
+            nested.offsets(ragged(spark, sf), "conv_id", "a").select("offset", F.posexplode("a").alias("k", "v")).select((F.col("offset") + F.col("k")).alias("at"), "v"), "at",
+            nested.sizes(nested.offsets(ragged(spark, sf), "conv_id", "a"), "a").drop("a"), "conv_id",
+        ))
+    )
+add("nested_tensor_from_mask", _ITEMS.format(f"SELECT conv_id, list_filter(a, lambda x: x > 100) AS a FROM {_CONV}"))(lambda spark, sf: items(ragged(spark, sf).select("conv_id", nested.from_mask(F.col("a"), F.transform("a", lambda x: x > 100)).alias("a"))))
+add("nested_tensor_from_mask_left_aligned", f"SELECT conv_id, NOT list_contains(list_transform(range(1, len(a)), lambda k: a[k] <= 100 AND a[k + 1] > 100), true) AS aligned FROM {_CONV}")(
+    lambda spark, sf: ragged(spark, sf).select("conv_id", nested.left_aligned(F.transform("a", lambda x: x > 100)).alias("aligned"))
+)
+add("nested_tensor_softmax_with_shape", f"SELECT conv_id, k, round(v, 6) AS v FROM ({_ITEMS.format(f'SELECT conv_id, list_transform(a, lambda x: exp((x - list_max(a)) / 100) / list_sum(list_transform(a, lambda y: exp((y - list_max(a)) / 100)))) AS a FROM {_CONV}')})")(
+    lambda spark, sf: items(ragged(spark, sf).select("conv_id", nested.softmax(F.transform("a", lambda x: x / 100)).alias("a"))).withColumn("v", F.round("v", 6))
+)
+add("nested_select_backward", _ITEMS.format(f"SELECT conv_id, list_transform(range(len(a)), lambda k: CASE WHEN k = 1 THEN conv_id ELSE 0 END::DOUBLE) AS a FROM {_CONV}"))(
+    lambda spark, sf: items(ragged(spark, sf).select("conv_id", nested.select_backward(F.col("conv_id").cast("double"), F.size("a"), 1).alias("a")))
+)
+add("nested_dense_mul", _ITEMS.format(f"SELECT conv_id, list_transform(a, lambda x: x * conv_id) AS a FROM {_CONV}"))(lambda spark, sf: items(ragged(spark, sf).select("conv_id", nested.with_dense(F.col("a"), F.col("conv_id"), lambda v, x: v * x).alias("a"))))
+
+# quantised columns
+_BAL = "SELECT c_custkey, c_nationkey, c_acctbal AS x FROM customer"
+
+
+def bal(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("x"))
+
+
+_Q = "least(greatest(round_even(x / s, 0) + z, -128), 127)"
+add("quantize_per_tensor_dynamic", f"WITH e AS (SELECT (greatest(max(c_acctbal), 0) - least(min(c_acctbal), 0)) / 255 AS s, least(min(c_acctbal), 0) AS lo FROM customer), p AS (SELECT s, least(greatest(-128 - round_even(lo / s, 0), -128), 127) AS z FROM e) SELECT c_custkey, CAST({_Q} AS INTEGER) AS q FROM ({_BAL}), p")(
+    lambda spark, sf: nested.quantize_dynamic(bal(spark, sf), "x").select("c_custkey", "q")
+)
+
+
+def _params(spark):
+    return spark.range(25).select(F.col("id").cast("int").alias("c_nationkey"), (F.col("id") * 4.0 + 10).alias("scale"), (F.col("id") % 5 - 2).cast("int").alias("zero"))
+
+
+_PC = f"(SELECT *, c_nationkey * 4.0::DOUBLE + 10 AS s, c_nationkey % 5 - 2 AS z FROM ({_BAL}))"
+add("quantize_per_channel", f"SELECT c_custkey, CAST({_Q} AS INTEGER) AS q FROM {_PC}")(lambda spark, sf: nested.quantize_per_channel(bal(spark, sf), _params(spark), "c_nationkey", "x").select("c_custkey", "q"))
+for _name in ("make_per_channel_quantized_tensor", "make_per_tensor_quantized_tensor", "dequantize"):
+    add(_name, f"SELECT c_custkey, round(({_Q} - z) * s, 6) + 0.0 AS v FROM {_PC}")(lambda spark, sf: nested.quantize_per_channel(bal(spark, sf), _params(spark), "c_nationkey", "x").select("c_custkey", R(nested.made(F.col("q"), F.col("scale"), F.col("zero")), 6).alias("v")))
+_FQ = "round_even(x / s, 0) + z"
+for _name in ("fake_quantize_per_tensor_affine_cachemask", "fake_quantize_per_tensor_affine_cachemask_tensor_qparams", "fake_quantize_learnable_per_tensor_affine"):
+    add(_name, f"SELECT c_custkey, round(({_Q} - z) * s, 6) + 0.0 AS v, {_FQ} BETWEEN -128 AND 127 AS mask FROM (SELECT *, 20.0::DOUBLE AS s, 3 AS z FROM ({_BAL}))")(
+        lambda spark, sf: bal(spark, sf).withColumn("f", nested.fake_quantize(F.col("x"), F.lit(20.0), F.lit(3))).select("c_custkey", R(F.col("f.v"), 6).alias("v"), "f.mask")
+    )
+for _name in ("fake_quantize_per_channel_affine_cachemask", "fake_quantize_learnable_per_channel_affine"):
+    add(_name, f"SELECT c_custkey, round(({_Q} - z) * s, 6) + 0.0 AS v, {_FQ} BETWEEN -128 AND 127 AS mask FROM {_PC}")(
+        lambda spark, sf: bal(spark, sf).join(_params(spark), "c_nationkey").withColumn("f", nested.fake_quantize(F.col("x"), F.col("scale"), F.col("zero"))).select("c_custkey", R(F.col("f.v"), 6).alias("v"), "f.mask")
+    )
+_LB = f"SELECT {{k}}, CAST(sum(CASE WHEN {_FQ} BETWEEN -128 AND 127 THEN 1 ELSE 0 END) AS DOUBLE) AS dx, round(sum(CASE WHEN {_FQ} BETWEEN -128 AND 127 THEN round_even(x / s, 0) - x / s WHEN {_FQ} < -128 THEN -128 - z ELSE 127 - z END), 4) + 0.0 AS dscale, round(sum(CASE WHEN {_FQ} BETWEEN -128 AND 127 THEN 0 ELSE -s END), 4) + 0.0 AS dzero FROM {{f}} GROUP BY 1"
+
+
+def _learned(df, key):
+    each = df.withColumn("b", nested.learnable_backward(F.col("x"), F.lit(1.0), F.col("scale"), F.col("zero")))
+    return each.groupBy(key).agg(*[R(F.sum(f"b.{c}"), 4).alias(c) for c in ("dx", "dscale", "dzero")])
+
+
+add("fake_quantize_learnable_per_tensor_affine_backward", _LB.format(k="1 AS one", f=f"(SELECT *, 20.0::DOUBLE AS s, 3 AS z FROM ({_BAL}))"))(lambda spark, sf: _learned(bal(spark, sf).withColumns({"scale": F.lit(20.0), "zero": F.lit(3), "one": F.lit(1)}), "one"))
+add("fake_quantize_learnable_per_channel_affine_backward", _LB.format(k="c_nationkey", f=_PC))(lambda spark, sf: _learned(bal(spark, sf).join(_params(spark), "c_nationkey"), "c_nationkey"))
+add("fused_moving_avg_obs_fq_helper", "SELECT round(-100 + 0.01 * (min(c_acctbal) + 100), 6) AS lo, round(5000 + 0.01 * (max(c_acctbal) - 5000), 6) AS hi FROM customer")(
+    lambda spark, sf: nested.moving_range(bal(spark, sf).agg(F.min("x").alias("lo"), F.max("x").alias("hi")), spark.range(1).select(F.lit(-100.0).alias("lo"), F.lit(5000.0).alias("hi")), 0.01).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+)
+
+
+def _four(spark, sf):
+    return vecs(spark, sf).select("n", "a", nested.pack_int4(F.transform("a", lambda x: F.pmod(F.floor(x * 100).cast("int"), F.lit(16)))).alias("p"))
+
+
+_NIB = "((floor(x * 100)::BIGINT % 16 + 16) % 16)"
+add("convert_weight_to_int4pack", f"SELECT n, k, CAST(sum({_NIB} * CASE c % 2 WHEN 0 THEN 16 ELSE 1 END) AS INTEGER) AS v FROM (SELECT *, c // 2 AS k FROM {EMB}) GROUP BY 1, 2")(lambda spark, sf: _four(spark, sf).select("n", F.posexplode("p").alias("k", "v")).withColumn("k", F.col("k").cast("long")))
+add("weight_int4pack_mm", f"SELECT n, round(sum(x * ({_NIB} - 8) * 0.5 + x * 0.25), 4) + 0.0 AS v FROM {EMB} GROUP BY 1")(lambda spark, sf: _four(spark, sf).select("n", R(nested.int4_mm(F.col("a"), F.col("p"), F.lit(0.5), F.lit(0.25)), 4).alias("v")))
+
+# recurrent cells, attention, optimiser steps, loss scaling: gates are places of an embedding
+_S = "(1 / (1 + exp(-({}))))".format
+_T = "(1 - 2 / (exp(2 * ({})) + 1))".format
+_CELL = f"({_S('b')} * e + {_S('a')} * {_T('c')})"
+_g = lambda *ks: [F.col("a")[k] for k in ks]
+for _name in ("lstm_cell", "thnn_fused_lstm_cell"):
+    add(_name, f"SELECT n, round({_S('d')} * {_T(_CELL)}, 5) + 0.0 AS h, round({_CELL}, 5) + 0.0 AS c FROM ({_A3})")(lambda spark, sf: vecs(spark, sf).withColumn("s", nested.lstm_cell(*_g(0, 1, 2, 3, 4))).select("n", R(F.col("s.h")).alias("h"), R(F.col("s.c")).alias("c")))
+add("thnn_fused_lstm_cell_backward", f"""SELECT n, round(dc * gt * it * (1 - it), 5) + 0.0 AS di, round(dc * e * ft * (1 - ft), 5) + 0.0 AS df, round(dc * it * (1 - gt * gt), 5) + 0.0 AS dg, round(f * t * ot * (1 - ot), 5) + 0.0 AS "do", round(dc * ft, 5) + 0.0 AS dc
+FROM (SELECT *, g + f * ot * (1 - t * t) AS dc FROM (SELECT *, {_S('a')} AS it, {_S('b')} AS ft, {_T('c')} AS gt, {_S('d')} AS ot, {_T(_CELL)} AS t FROM ({_A3})))""")(
+    lambda spark, sf: vecs(spark, sf).withColumn("s", nested.lstm_cell_backward(*_g(0, 1, 2, 3, 4, 5, 6))).select("n", *[R(F.col("s").getField(c)).alias(c) for c in ("di", "df", "dg", "do", "dc")])
+)
+_RZ = f"(SELECT *, {_S('a + b')} AS rt, {_S('c + d')} AS zt FROM ({_A3}))"
+for _name in ("gru_cell", "thnn_fused_gru_cell"):
+    add(_name, f"SELECT n, round((1 - zt) * {_T('e + rt * f')} + zt * g, 5) + 0.0 AS h FROM {_RZ}")(lambda spark, sf: vecs(spark, sf).select("n", R(nested.gru_cell(_g(0, 1), _g(2, 3), _g(4, 5), _g(6)[0])).alias("h")))
+add("thnn_fused_gru_cell_backward", f"""SELECT n, round(dn * f * rt * (1 - rt), 5) + 0.0 AS dr, round(h * (g - nt) * zt * (1 - zt), 5) + 0.0 AS dz, round(dn, 5) + 0.0 AS dn_in, round(dn * rt, 5) + 0.0 AS dn_hidden, round(h * zt, 5) + 0.0 AS dh
+FROM (SELECT *, h * (1 - zt) * (1 - nt * nt) AS dn FROM (SELECT *, {_T('e + rt * f')} AS nt FROM {_RZ}))""")(
+    lambda spark, sf: vecs(spark, sf).withColumn("s", nested.gru_cell_backward(_g(0, 1), _g(2, 3), _g(4, 5), _g(6)[0], _g(7)[0])).select("n", *[R(F.col("s").getField(c)).alias(c) for c in ("dr", "dz", "dn_in", "dn_hidden", "dh")])
+)
+
+
+def _heads(spark, sf):
+    part = lambda k, n=8: F.transform(F.slice("embedding", k, n), lambda x: x.cast("double"))
+    rows = _t(spark, sf, "embeddings").select(F.col("label").alias("head"), F.col("vec_id").alias("i"), part(1).alias("q"), part(9).alias("k"), part(17, 2).alias("v"))
+    return rows.select("head", "i", "q"), rows.select("head", F.col("i").alias("j"), "k", "v")
+
+
+_ATT = """WITH s AS (SELECT a.label AS head, a.vec_id AS i, exp(list_dot_product(a.embedding[1:8]::DOUBLE[], b.embedding[9:16]::DOUBLE[]) * 0.5) AS w, CAST(b.embedding[17] AS DOUBLE) AS v FROM embeddings a JOIN embeddings b ON a.label = b.label {c})
+SELECT head, i, round(sum(w * v) / sum(w), 5) + 0.0 AS v FROM s GROUP BY 1, 2"""
+for _name, _causal in (("scaled_dot_product_efficient_attention", False), ("flash_attention", False), ("flash_attention_causal", True)):
+    add(_name, _ATT.format(c="AND b.vec_id <= a.vec_id" if _causal else ""))(lambda spark, sf, causal=_causal: more.attention(*_heads(spark, sf), 0.5, causal).select("head", "i", R(F.col("out")[0]).alias("v")))
+_OPT = "(SELECT c_custkey, c_acctbal / 1000 AS p, c_nationkey - 12.5::DOUBLE AS g FROM customer)"
+
+
+def steps(spark, sf):
+    rows = _t(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("p"), (F.col("c_nationkey") - 12.5).alias("g"))
+    return rows.withColumns({"m": F.lit(0.5), "s": F.lit(2.0), "buf": F.lit(1.0)})
+
+
+add("fused_sgd", f"SELECT c_custkey, round(p - 0.1 * (0.9 + g + 0.01 * p), 6) + 0.0 AS p FROM {_OPT}")(lambda spark, sf: more.sgd(steps(spark, sf), 0.1, 0.9, decay=0.01).select("c_custkey", R(F.col("p"), 6).alias("p")))
+_ADAM = "SELECT c_custkey, round({p} - 0.1 * ((0.45 + 0.1 * {g}) / (1 - pow(0.9, 3))) / (sqrt((1.998 + 0.001 * {g} * {g}) / (1 - pow(0.999, 3))) + 1e-8), 6) + 0.0 AS p FROM " + _OPT
+add("fused_adam", _ADAM.format(p="p", g="(g + 0.01 * p)"))(lambda spark, sf: more.adam(steps(spark, sf), 3, 0.1, decay=0.01).select("c_custkey", R(F.col("p"), 6).alias("p")))
+add("fused_adamw", _ADAM.format(p="p * (1 - 0.001)", g="g"))(lambda spark, sf: more.adam(steps(spark, sf), 3, 0.1, decay=0.01, decoupled=True).select("c_custkey", R(F.col("p"), 6).alias("p")))
+add("amp_foreach_non_finite_check_and_unscale", "SELECT c_custkey, c_acctbal / 8 AS x, 1.0::DOUBLE AS found_inf FROM customer")(
+    lambda spark, sf: nested.unscale(_t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x")), "x", 8.0).crossJoin(
+        F.broadcast(nested.found_inf(_t(spark, sf, "customer").select(F.when(F.col("c_custkey") == 1, float("inf")).otherwise(F.col("c_acctbal")).alias("x")), "x"))
+    )
+)
+SQL["amp_foreach_non_finite_check_and_unscale"] = "SELECT c_custkey, c_acctbal / 8 AS x, (SELECT max(c_custkey = 1)::INTEGER::DOUBLE FROM customer) AS found_inf FROM customer"
+add("amp_update_scale", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 32.0 WHEN c_custkey % 7 = 6 THEN 128.0 ELSE 64.0 END::DOUBLE AS scale, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 6 THEN 0 ELSE c_custkey % 7 + 1 END AS good_steps FROM customer")(
+    lambda spark, sf: _t(spark, sf, "customer").withColumn("s", nested.update_scale(F.lit(64.0), F.col("c_custkey") % 7, (F.col("c_custkey") % 5 == 0).cast("int"), interval=7)).select("c_custkey", "s.scale", "s.good_steps")
+)
+_QKV = f"SELECT n, c // 16 AS head, c % 16 AS d, round((x + c / 10.0::DOUBLE) / 4, 6) + 0.0 AS q FROM {EMB}"
+add("transform_bias_rescale_qkv", _QKV)(lambda spark, sf: more.view(emb(spark, sf).select("n", "c", (F.col("x") + F.col("c") / 10).alias("x")), {"c": 64}, {"head": 4, "d": 16}).select("n", "head", "d", R(F.col("x") / math.sqrt(16), 6).alias("q")))
+
+# random columns: what holds for every seed
+_DRAWS = {
+    "uniform": (lambda: random.uniform(2, 5, 1), "v >= 2 AND v < 5", 3.5, 0.9), "random": (lambda: random.random_integer(3, 9, 2), "v >= 3 AND v < 9 AND v = floor(v)", 5.5, 1.8), "normal": (lambda: random.normal(1, 2, 3), "NOT isnan(v)", 1.0, 2.0),
+    "normal_functional": (lambda: random.normal(1, 2, 3), "NOT isnan(v)", 1.0, 2.0), "bernoulli": (lambda: random.bernoulli(0.3, 4), "v IN (0, 1)", 0.3, 0.46), "log_normal": (lambda: random.log_normal(0, 0.5, 5), "v > 0", 1.133, 0.604), "exponential": (lambda: random.exponential(2.0, 6), "v >= 0", 0.5, 0.5),
+    "geometric": (lambda: random.geometric(0.25, 7), "v >= 1 AND v = floor(v)", 4.0, 3.46), "poisson": (lambda: random.poisson(F.lit(4.0), 8, 60), "v >= 0 AND v = floor(v)", 4.0, 2.0), "binomial": (lambda: random.binomial(20, F.lit(0.4), 9), "v BETWEEN 0 AND 20 AND v = floor(v)", 8.0, 2.19),
+    "standard_gamma": (lambda: random.standard_gamma(F.lit(2.5), 10), "v > 0", 2.5, 1.58), "cauchy": (lambda: F.atan(random.cauchy(0, 1, 11)), "abs(v) < 1.5708", 0.0, 0.907), "native_dropout": (lambda: random.dropout(F.lit(3.0), 0.4, 12)["v"], "v IN (0, 5)", 3.0, 2.45),
+    "fused_dropout": (lambda: random.dropout(F.lit(3.0), 0.4, 12)["v"], "v IN (0, 5)", 3.0, 2.45), "fill_mem_eff_dropout_mask": (lambda: random.uniform(0, 1, 13), "v >= 0 AND v < 1", 0.5, 0.29),
+}
+
+
+def _draw(make, rule, mean, std):
+    """Whether all draws of a row for each event obey the rule, and their mean lies within five standard errors."""
+
+    def run(spark, sf):
+        rows = _t(spark, sf, "events").select(make().cast("double").alias("v"))
+        near = F.abs(F.avg("v") - mean) < 5 * std / F.sqrt(F.count("*").cast("double"))
+        return rows.agg(F.count("*").alias("n"), F.bool_and(F.expr(rule)).alias("inside"), near.alias("near"))
+
+    return run
+
+
+for _name, _spec in _DRAWS.items():
+    add(f"random_{_name}", "SELECT count(*) AS n, true AS inside, true AS near FROM events")(_draw(*_spec))
+add("sample_dirichlet", "SELECT user_id, 1.0::DOUBLE AS total FROM events GROUP BY 1")(lambda spark, sf: random.dirichlet(_t(spark, sf, "events").select("user_id", F.lit(1.5).alias("a")), ["user_id"], "a", 1).groupBy("user_id").agg(F.round(F.sum("v"), 6).alias("total")))
+add("multinomial", "SELECT user_id, least(count(*), 3) AS n FROM events WHERE value > 0 GROUP BY 1")(lambda spark, sf: random.multinomial(_t(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 3).groupBy("user_id").agg(F.countDistinct("event_id").alias("n")))
+_GG = "round({x}, 4) AS v"
+add("standard_gamma_grad", "SELECT c_custkey, 1.0::DOUBLE AS v FROM customer")(
+    # for a shape of 1 the slope at x is known from the exponential integral; here: it must grow with x, between 0 and 1 + log(1 + x)
+    lambda spark, sf: _t(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("k")).withColumn("x", (F.col("k") % 97 + 1) / 40.0).withColumn("g", random.standard_gamma_grad(F.lit(1.0), F.col("x"))).select("c_custkey", ((F.col("g") > 0) & (F.col("g") < 1 + F.log1p("x"))).cast("double").alias("v"))
+)
