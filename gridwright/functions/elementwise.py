@@ -100,7 +100,11 @@ def tanh(x): return F.tanh(x)
 def asinh(x): return F.asinh(x)
 def acosh(x): return F.acosh(x)
 def atanh(x): return F.atanh(x)
-def atan2(a, b): return F.atan2(_d(a), _d(b))
+def atan2(a, b):
+    """Spark's own takes -0.0 for 0.0."""
+    a, b = _d(a), _d(b)
+    flat = copysign(F.when(signbit(b), math.pi).otherwise(0.0), a)
+    return F.when((a == 0) & ~F.isnan(b), flat).otherwise(F.atan2(a, b))
 def hypot(a, b): return F.hypot(_d(a), _d(b))
 def rad2deg(x): return F.degrees(_d(x))
 def deg2rad(x): return F.radians(_d(x))
@@ -284,9 +288,11 @@ def frexp(x):
     x = _d(x)
     guess = (F.floor(F.log2(F.abs(x))) + 1).cast("int")
     odd = (x == 0) | F.isnan(x) | (F.abs(x) == INF)
-    scaled = x / F.pow(F.lit(2.0), guess)  # the logarithm may be off by one next to a power of two
+    half = lambda n: F.floor(n / 2).cast("int")
+    over = lambda n: x / F.pow(F.lit(2.0), half(n)) / F.pow(F.lit(2.0), n - half(n))  # in two steps: 2**1024 is infinite
+    scaled = over(guess)  # the logarithm may be off by one next to a power of two
     fixed = F.when(F.abs(scaled) >= 1, guess + 1).when(F.abs(scaled) < 0.5, guess - 1).otherwise(guess)
-    return F.struct(F.when(odd, x).otherwise(x / F.pow(F.lit(2.0), fixed)).alias("mantissa"), F.when(odd, 0).otherwise(fixed).cast("int").alias("exponent"))
+    return F.struct(F.when(odd, x).otherwise(over(fixed)).alias("mantissa"), F.when(odd, 0).otherwise(fixed).cast("int").alias("exponent"))
 def ldexp(x, n): return _d(x) * F.pow(F.lit(2.0), _d(n))
 
 

@@ -100,7 +100,9 @@ def logcumsumexp(df: DataFrame, keys: list[str], at: str, value: str) -> DataFra
     earlier = totals.select(*keys, F.col("_e").alias("_before"), F.col("_t").alias("_bt"))
     pairs = totals.select(*keys, "_e").join(earlier, keys).where("_before < _e")
     most = pairs.groupBy(*keys, "_e").agg(F.max("_bt").alias("_most"))
-    carry = pairs.join(most, [*keys, "_e"]).groupBy(*keys, "_e").agg((F.max("_most") + F.log(F.sum(F.exp(F.col("_bt") - F.col("_most"))))).alias("_carry"))
+    carry = pairs.join(most, [*keys, "_e"]).groupBy(*keys, "_e").agg(
+        F.when(F.max("_most") == float("-inf"), float("-inf")).otherwise(F.max("_most") + F.log(F.sum(F.exp(F.col("_bt") - F.col("_most"))))).alias("_carry")
+    )
     out = rows.join(carry, [*keys, "_e"], "left").withColumn("_own", own)
     both = F.when(F.col("_carry").isNull(), F.col("_own")).otherwise(elementwise.logaddexp(F.col("_own"), F.col("_carry")))
     return out.withColumn("logcumsumexp", both).select(*df.columns, "logcumsumexp")

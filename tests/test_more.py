@@ -1,55 +1,46 @@
 import math
 
 import numpy as np
-import pytest
 
+from gridwright.operators import indexing, linalg, random, spatial, views
 from gridwright.operators import more as m
 
 
-def grid(spark, a):
-    return spark.createDataFrame([(0, i, j, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])], "n int, i int, j int, v double")
-
-
-def test_pooling(spark):
-    a = np.arange(30.0).reshape(5, 6) % 7
-    got = {(r.oi, r.oj): (r.v, r.at) for r in m.max_pool2d(grid(spark, a), 5, 6, 2, 2).collect()}
-    avg = {(r.oi, r.oj): r.v for r in m.avg_pool2d(grid(spark, a), 5, 6, 2, 2).collect()}
-    assert len(got) == len(avg) == 6
-    for (i, j), (v, at) in got.items():
-        w = a[2 * i : 2 * i + 2, 2 * j : 2 * j + 2]
-        assert v == w.max() and a.flat[at] == v and avg[i, j] == w.mean()
-
-
-def test_views_and_padding(spark):
-    a = np.arange(12.0).reshape(3, 4)
-    g = grid(spark, a)
-    got = {(r.x, r.y): r.v for r in m.view(g.drop("n"), {"i": 3, "j": 4}, {"x": 2, "y": 6}).collect()}
-    assert got == {(x, y): float(a.reshape(2, 6)[x, y]) for x in range(2) for y in range(6)}
+def test_views(spark):
     row = spark.createDataFrame(list(enumerate("abcd")), "i long, v string")
     text = lambda df: "".join(r.v for r in df.orderBy("i").collect())
-    assert text(m.pad1d(row, "i", 4, 2, 2, "reflect")) == "cbabcdcb" and text(m.pad1d(row, "i", 4, 1, 2, "edge")) == "aabcddd"
-    assert text(m.upsample_nearest1d(row, "i", 4, 6)) == "aabccd" and text(m.flip(row, "i", 4)) == "dcba" and text(m.narrow(row, "i", 1, 2)) == "bc"
+    assert text(m.flip(row, "i", 4)) == "dcba" and text(m.narrow(row, "i", 1, 2)) == "bc"
+    assert [text(x) for x in views.split(row, "i", [1, 3])] == ["a", "bcd"] and [text(x) for x in views.chunk(row, "i", 4, 3)] == ["ab", "cd"]
+    axes = lambda how: {"i": spatial.padded(spark, 4, 2, 1, how)}
+    numbers = spark.range(4).selectExpr("id AS i", "double(id) AS v", "0 AS n")
+    for how, want in (("reflect", [2, 1, 0, 1, 2, 3, 2]), ("replicate", [0, 0, 0, 1, 2, 3, 3])):
+        assert [r.v for r in spatial.resample(numbers, axes(how), ["n"]).orderBy("i").collect()] == want
 
 
 def test_segments(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(5)], "i long, v double")
     lengths = spark.createDataFrame([(0, 2), (1, 0), (2, 3)], "segment int, n long")
-    out = {r.segment: r.v for r in m.segment_reduce(df, lengths, "i", "v", "mean").collect()}
-    assert out[0] == 0.5 and math.isnan(out[1]) and out[2] == 3.0
+    for how, want in (("mean", [0.5, math.nan, 3.0]), ("sum", [1.0, 0.0, 9.0]), ("max", [1.0, -math.inf, 4.0]), ("prod", [0.0, 1.0, 24.0])):
+        out = {r.segment: r.v for r in indexing.segment_reduce(df, lengths, "i", "v", how).collect()}
+        assert all(math.isnan(w) and math.isnan(out[k]) or out[k] == w for k, w in enumerate(want)), how
+
 
+def test_small_matrices_equal_numpy(spark):
+    from pyspark.sql import functions as F
 
-@pytest.mark.parametrize("how", ["det", "inverse", "solve", "slogdet"])
-def test_matrices(spark, how):
-    a = [[2.0, 1.0], [1.0, 3.0]]
-    df = spark.createDataFrame([(1, a, [1.0, 2.0]), (2, [[1.0, 1.0], [1.0, 1.0]], [1.0, 1.0])], "k int, a array<array<double>>, b array<double>")
-    out = {r.k: r.result for r in m.matrices(df, "a", how, "b").collect()}
-    if how == "slogdet":
-        assert out[1].sign == 1 and math.isclose(out[1].logabsdet, math.log(5))
-    elif how == "det":
-        assert math.isclose(out[1], 5) and out[2] == 0
-    else:
-        want = np.linalg.inv(a) if how == "inverse" else np.linalg.solve(a, [1.0, 2.0])
-        assert np.allclose(out[1], want) and out[2] is None
+    rng = np.random.default_rng(3)
+    mats = [rng.standard_normal((4, 4)) for _ in range(5)] + [np.eye(4)[[2, 0, 3, 1]], np.ones((4, 4)), np.diag([0.0, 1, 2, 3])]
+    b = rng.standard_normal(4)
+    df = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, a in enumerate(mats)], "k int, a array<array<double>>, b array<double>").withColumn("f", linalg.lu(F.col("a")))
+    rows = df.select("k", "f", linalg.det(F.col("f")).alias("d"), linalg.slogdet(F.col("f")).alias("s"), linalg.lu_solve(F.col("f"), F.col("b")).alias("x"), linalg.inverse(F.col("f")).alias("i")).collect()
+    for r in rows:
+        a = mats[r.k]
+        lower, upper = np.tril(r.f.lu, -1) + np.eye(4), np.triu(r.f.lu)
+        assert np.allclose(lower @ upper, a[list(r.f.perm)]) and np.isclose(r.d, np.linalg.det(a))
+        if abs(np.linalg.det(a)) > 1e-9:
+            assert np.allclose(r.x, np.linalg.solve(a, b)) and np.allclose(r.i, np.linalg.inv(a)) and np.isclose(r.s.logabsdet, np.linalg.slogdet(a)[1])
+        else:
+            assert None in r.x and r.s.logabsdet == -math.inf
 
 
 def test_attention_and_steps(spark):
@@ -62,3 +53,28 @@ def test_attention_and_steps(spark):
     assert np.allclose([r.out for r in m.attention(qs, kv, 0.5).orderBy("i").collect()], want)
     one = spark.createDataFrame([(1.0, 0.5, 0.0, 0.0, 0.0)], "p double, g double, m double, s double, buf double")
     assert math.isclose(m.adam(one, 1, 0.1).first().p, 0.9, rel_tol=1e-6) and m.sgd(one, 0.1, 0.9).first().p == 0.95
+
+
+def test_suppression_equals_the_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(3)), i, *(c := rng.integers(0, 12, 2).astype(float)).tolist(), *(c + rng.integers(2, 7, 2)).tolist(), float(rng.integers(8))) for i in range(150)]
+    got = {(r.g, r.id) for r in spatial.nms(spark.createDataFrame(rows, "g int, id long, x1 double, y1 double, x2 double, y2 double, score double"), ["g"], 0.4).collect()}
+    want = set()
+    for g in range(3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[6], r[1])):
+            over = lambda s: max(0, min(r[4], s[4]) - max(r[2], s[2])) * max(0, min(r[5], s[5]) - max(r[3], s[3]))  # noqa: B023, E731
+            size = lambda s: (s[4] - s[2]) * (s[5] - s[3])
+            if all(over(s) <= 0.4 * (size(r) + size(s) - over(s)) for s in kept):
+                kept.append(r)
+        want |= {(g, r[1]) for r in kept}
+    assert got == want
+
+
+def test_gamma_slope(spark):
+    from pyspark.sql import functions as F
+
+    # Gamma(1): x = -log(1 - p), and the slope in the shape by differences of quantiles
+    x = 1.3
+    row = spark.range(1).select(random.standard_gamma_grad(F.lit(1.0), F.lit(x)).alias("g"), random.special.igamma(F.lit(1.01), F.lit(x + 0.01 * 0.9)).alias("up"), random.special.igamma(F.lit(1.0), F.lit(x)).alias("p")).first()
+    assert 0 < row.g < 2 and abs(row.up - row.p) < 0.01
