@@ -32,3 +32,10 @@ def test_odd_rows(spark):
     assert all(0.5 <= r.score < 1 for r in quality.score(docs, quality.train(docs, some)).collect())
     assert quality.score(docs.limit(0), quality.train(docs, none)).count() == 0
     assert docs.select(quality.held_out(F.col("doc_id")).alias("h")).where("doc_id is null").first().h
+
+
+def test_the_sample_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"word{i} and more text {'x' * (i % 7)}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (quality.train(d, labels, sample=25) for d in (docs.repartition(7, "text"), docs.coalesce(1)))
+    assert a.bias == b.bias and (a.linear == b.linear).all() and (a.factors == b.factors).all()
