@@ -80,3 +80,48 @@ def attention(q: DataFrame, kv: DataFrame, scale: float, causal: bool = False, b
     w = F.exp(F.col("_m") - F.col("_most"))
     out = part.join(most, ["head", "i", "c"]).groupBy("head", "i", "c").agg((F.sum(w * F.col("_x")) / F.sum(w * F.col("_s"))).alias("x"))
     return out.groupBy("head", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda t: t["x"]).alias("out"))
+
+
+def attention_backward(q: DataFrame, kv: DataFrame, grad: DataFrame, scale: float, blocks: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gradients of q (head, i, c, v), k and v (head, j, c, v). grad: head, i, g (array). Shares come from the forward sums, by block; each pair then gives its
+    share of the three, summed before anything is shuffled by row."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dealt = kv.withColumn("_b", F.pmod(F.xxhash64("j"), F.lit(blocks)))
+    asked = q.join(grad, ["head", "i"]).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = asked.join(dealt, ["head", "_b"]).withColumn("s", dot("q", "k") * scale).withColumn("_d", dot("g", "v"))
+    top = pairs.groupBy("head", "i").agg(F.max("s").alias("_m"))
+    shares = pairs.join(top, ["head", "i"]).withColumn("_e", F.exp(F.col("s") - F.col("_m")))
+    total = shares.groupBy("head", "i").agg(F.sum("_e").alias("_s"), (F.sum(F.col("_e") * F.col("_d")) / F.sum("_e")).alias("_mean"))
+    rows = shares.join(total, ["head", "i"]).withColumn("p", F.col("_e") / F.col("_s")).withColumn("ds", F.col("p") * (F.col("_d") - F.col("_mean")) * scale)
+    summed = lambda by, vector, w: rows.select("head", by, F.posexplode(vector).alias("c", "x"), F.col(w).alias("_w")).groupBy("head", by, "c").agg(F.sum(F.col("_w") * F.col("x")).alias("v"))
+    return summed("i", "k", "ds"), summed("j", "q", "ds"), summed("j", "g", "p")
+
+
+def multi_head_attention(x: DataFrame, qkv: DataFrame, heads: int, width: int, out: DataFrame | None = None) -> DataFrame:
+    """x: seq, t, j, v (a token's vector, in coordinates); qkv: i (3 * width rows), j, v; out: i, j, v. Projection, scaled products within each sequence and head,
+    and the output's projection: seq, t, j, v."""
+    from .linalg import bmm, transposed
+
+    each = width // heads
+    rows = x.select(F.struct("seq", "t").alias("i"), "j", "v")
+    made = bmm(rows, transposed(qkv)).withColumn("_part", F.floor(F.col("j") / width)).withColumn("_h", F.floor(F.col("j") % width / each))
+    vector = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("_part") == k, F.struct("j", "v")))), lambda s: s["v"])
+    parts = made.groupBy("i", "_h").agg(*[vector(k).alias(n) for k, n in enumerate("qkv")]).withColumn("head", F.struct(F.col("i.seq").alias("seq"), "_h"))
+    got = attention(parts.select("head", F.col("i.t").alias("i"), "q"), parts.select("head", F.col("i.t").alias("j"), "k", "v"), each**-0.5)
+    cells = got.select(F.struct(F.col("head.seq").alias("seq"), F.col("i").alias("t")).alias("i"), F.col("head._h").alias("_h"), F.posexplode("out").alias("_c", "v"))
+    cells = cells.select("i", (F.col("_h") * each + F.col("_c")).cast("long").alias("j"), "v")
+    return (bmm(cells, transposed(out)) if out is not None else cells).select("i.seq", "i.t", "j", "v")
+
+
+def encoder_layer(x: DataFrame, qkv: DataFrame, out: DataFrame, first: DataFrame, second: DataFrame, heads: int, width: int) -> DataFrame:
+    """Attention and a two-layer net with relu, each added to its input and normalised over the token's vector."""
+    from .linalg import bmm, transposed
+    from .norms import normalised
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.select("seq", "t", "j", F.col("v").alias("_b")), ["seq", "t", "j"]).withColumn("v", F.col("v") + F.col("_b"))
+        return normalised(both, ["seq", "t"], "v").select("seq", "t", "j", F.col("normed").alias("v"))
+
+    mid = joined(x, multi_head_attention(x, qkv, heads, width, out))
+    hidden = bmm(mid.select(F.struct("seq", "t").alias("i"), "j", "v"), transposed(first)).withColumn("v", F.greatest(F.col("v"), F.lit(0.0)))
+    return joined(mid, bmm(hidden, transposed(second)).select("i.seq", "i.t", "j", "v"))

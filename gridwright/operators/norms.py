@@ -197,3 +197,37 @@ def ctc(logs: Column, labels: Column, blank: int = 0) -> Column:
     last = F.aggregate(F.slice(logs, 2, F.greatest(F.size(logs) - 1, F.lit(0))), first, step)
     n = F.size(places)
     return -add(F.get(last, n - 1), F.when(n > 1, at(last, n - 2)).otherwise(none))
+
+
+def ctc_backward(logs: Column, labels: Column, blank: int = 0) -> Column:
+    """Gradient of ctc in the log probabilities: an array (a frame each) of arrays (a class each). The share of a class is that of the paths through it:
+    forward sums, and backward sums as forward ones of the reversed frames and labels."""
+    none = F.lit(-1e300)
+    places = F.concat(F.flatten(F.transform(labels, lambda x: F.array(F.lit(blank), x.cast("int")))), F.array(F.lit(blank)))
+    at = lambda a, i: F.coalesce(F.get(a, i), none)
+    add = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+    def sums(frames: Column, path: Column) -> Column:
+        first = F.transform(path, lambda c, i: F.when(i < 2, F.get(F.get(frames, F.lit(0)), c)).otherwise(none))
+
+        def step(done: Column, frame: Column) -> Column:
+            alpha = F.element_at(done, -1)
+
+            def one(c: Column, i: Column) -> Column:
+                two = add(at(alpha, i), F.when(i >= 1, at(alpha, i - 1)).otherwise(none))
+                skip = F.when((i >= 2) & (c != blank) & (c != F.get(path, i - 2)), at(alpha, i - 2)).otherwise(none)
+                return add(two, skip) + F.get(frame, c)
+
+            return F.concat(done, F.array(F.transform(path, one)))
+
+        return F.aggregate(F.slice(frames, 2, F.greatest(F.size(frames) - 1, F.lit(0))), F.array(first), step)
+
+    forward, back = sums(logs, places), F.reverse(F.transform(sums(F.reverse(logs), F.reverse(places)), lambda r: F.reverse(r)))
+    loss = ctc(logs, labels, blank)
+
+    def frame(lp: Column, t: Column) -> Column:
+        through = F.zip_with(F.get(forward, t), F.get(back, t), lambda a, b: a + b)  # the frame's own probability is in both
+        share = lambda k: F.aggregate(F.zip_with(through, places, lambda w, c: F.when(c == k, F.exp(w - F.get(lp, c) + loss)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+        return F.transform(lp, lambda x, k: -share(k))
+
+    return F.transform(logs, frame)

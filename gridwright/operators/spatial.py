@@ -243,6 +243,19 @@ def grid_sample_backward_grid(grad: DataFrame, df: DataFrame, grid: DataFrame, s
 # regions of interest
 def roi_align(df: DataFrame, rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float = 1.0, aligned: bool = True) -> DataFrame:
     """Mean of samples x samples interpolated values in each of out x out bins of each region. rois: roi, n, x1, y1, x2, y2."""
+    cells = _roi_cells(rois, height, width, out, samples, scale, aligned)
+    got = cells.join(df, ["n", "i", "j"]).groupBy("roi", "oi", "oj").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+    every = rois.select("roi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))).alias("oi")).withColumn("oj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
+    return every.join(got, ["roi", "oi", "oj"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
+def _length(lo: str, hi: str, scale: float, aligned: bool) -> Column:
+    size = (F.col(hi) - F.col(lo)) * scale
+    return size if aligned else F.greatest(size, F.lit(1.0))
+
+
+def _roi_cells(rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float, aligned: bool) -> DataFrame:
+    """Each bin of each region once for each cell that it reads, with the weight."""
     shift = 0.5 if aligned else 0.0
     axis = lambda lo, hi, o, s: F.col(lo) * scale - shift + (F.col(o) + (F.col(s) + 0.5) / samples) * _length(lo, hi, scale, aligned) / out
     each = rois
@@ -253,15 +266,76 @@ def roi_align(df: DataFrame, rois: DataFrame, height: int, width: int, out: int,
     for c, x, n in (("i", "_y", height), ("j", "_x", width)):
         at = F.least(F.greatest(F.col(x), F.lit(0.0)), F.lit(float(n - 1)))
         each = each.withColumn(x, at).withColumn(c, F.explode(F.array_distinct(F.array(F.floor(x), F.least(F.floor(x) + 1, F.lit(n - 1))))))
-    weight = (1 - F.abs(F.col("_y") - F.col("i"))) * (1 - F.abs(F.col("_x") - F.col("j")))
-    got = each.join(df, ["n", "i", "j"]).groupBy("roi", "oi", "oj").agg((F.sum(weight * F.col("v")) / samples**2).alias("v"))
-    every = rois.select("roi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))).alias("oi")).withColumn("oj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
-    return every.join(got, ["roi", "oi", "oj"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    weight = (1 - F.abs(F.col("_y") - F.col("i"))) * (1 - F.abs(F.col("_x") - F.col("j"))) / samples**2
+    return each.withColumn("_w", weight)
 
 
-def _length(lo: str, hi: str, scale: float, aligned: bool) -> Column:
-    size = (F.col(hi) - F.col(lo)) * scale
-    return size if aligned else F.greatest(size, F.lit(1.0))
+def roi_align_backward(grad: DataFrame, rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float = 1.0, aligned: bool = True) -> DataFrame:
+    """grad: roi, oi, oj, v. What each cell of the images gets."""
+    cells = _roi_cells(rois, height, width, out, samples, scale, aligned).join(grad, ["roi", "oi", "oj"])
+    return cells.groupBy("n", "i", "j").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+
+def ps_roi_align(df: DataFrame, rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float = 1.0) -> DataFrame:
+    """Position-sensitive: bin (oi, oj) of output channel c reads input channel (c * out + oi) * out + oj. df: n, c, i, j, v."""
+    cells = _roi_cells(rois, height, width, out, samples, scale, True)
+    bins = df.withColumn("oj", F.pmod(F.col("c"), F.lit(out)).cast("long")).withColumn("oi", F.pmod(F.floor(F.col("c") / out), F.lit(out)).cast("long"))
+    bins = bins.withColumn("c", F.floor(F.col("c") / (out * out)).cast("long"))
+    return cells.join(bins, ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+
+def ps_roi_align_backward(grad: DataFrame, rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float = 1.0) -> DataFrame:
+    """grad: roi, c, oi, oj, v. What each cell of each input channel gets."""
+    cells = _roi_cells(rois, height, width, out, samples, scale, True).join(grad, ["roi", "oi", "oj"])
+    channel = ((F.col("c") * out + F.col("oi")) * out + F.col("oj")).alias("c")
+    return cells.groupBy("n", channel, "i", "j").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+
+def _pool_cells(rois: DataFrame, height: int, width: int, out: int, scale: float, inclusive: bool) -> DataFrame:
+    """Each bin of each region once for each whole cell in it; empty bins have no row. inclusive: the region's last cell counts."""
+    each = rois
+    for c in ("oi", "oj"):
+        each = each.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
+    for c, o, lo, hi, n in (("i", "oi", "y1", "y2", height), ("j", "oj", "x1", "x2", width)):
+        a, z = F.round(F.col(lo) * scale), F.round(F.col(hi) * scale)
+        size = F.greatest(z - a + (1 if inclusive else 0), F.lit(1.0 if inclusive else 0.1)) / out
+        low = F.least(F.greatest(F.floor(F.col(o) * size) + a, F.lit(0)), F.lit(n)).cast("long")
+        top = F.least(F.greatest(F.ceil((F.col(o) + 1) * size) + a, F.lit(0)), F.lit(n)).cast("long")
+        each = each.withColumn(c, F.explode(F.when(top > low, F.sequence(low, top - 1))))
+    return each
+
+
+def roi_pool_backward(grad: DataFrame, df: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
+    """grad: roi, oi, oj, v. Each bin's gradient goes to the cell that was its largest, the first of several."""
+    cells = _pool_cells(rois, height, width, out, scale, True).join(df, ["n", "i", "j"])
+    best = cells.groupBy("roi", "n", "oi", "oj").agg(F.max(F.struct(F.col("v"), F.negative("i").alias("i"), F.negative("j").alias("j"))).alias("_b"))
+    return best.join(grad, ["roi", "oi", "oj"]).groupBy("n", F.negative("_b.i").alias("i"), F.negative("_b.j").alias("j")).agg(F.sum(grad["v"]).alias("v"))
+
+
+def ps_roi_pool(df: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
+    """Means of the bins' whole cells, each bin of a channel of its own as in ps_roi_align."""
+    bins = df.withColumn("oj", F.pmod(F.col("c"), F.lit(out)).cast("long")).withColumn("oi", F.pmod(F.floor(F.col("c") / out), F.lit(out)).cast("long"))
+    bins = bins.withColumn("c", F.floor(F.col("c") / (out * out)).cast("long"))
+    return _pool_cells(rois, height, width, out, scale, False).join(bins, ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.avg("v").alias("v"))
+
+
+def deform_conv(df: DataFrame, offsets: DataFrame, weight: DataFrame, sizes: dict[str, int], ids: list[str]) -> DataFrame:
+    """A convolution whose taps are moved: offsets has, for each output place (ids, oi, oj) and tap k, the place y, x that it reads, between cells,
+    and a mask; weight (a model's, broadcast): o, c, k, w. df: ids, c, i, j, v. Places outside are zero."""
+    taps = offsets
+    for c, x in (("i", "y"), ("j", "x")):
+        taps = taps.withColumn(c, F.explode(F.sequence(F.floor(x), F.floor(x) + 1))).withColumn(f"_w{c}", 1 - F.abs(F.col(x) - F.col(c)))
+    read = taps.join(df, [*ids, *sizes]).join(F.broadcast(weight), ["c", "k"])
+    return read.groupBy(*ids, "o", "oi", "oj").agg(F.sum(F.col("_wi") * F.col("_wj") * F.col("mask") * F.col("v") * F.col("w")).alias("v"))
+
+
+def deform_conv_backward(grad: DataFrame, offsets: DataFrame, weight: DataFrame, sizes: dict[str, int], ids: list[str]) -> DataFrame:
+    """The input's gradient. grad: ids, o, oi, oj, v."""
+    taps = offsets
+    for c, x in (("i", "y"), ("j", "x")):
+        taps = taps.withColumn(c, F.explode(F.sequence(F.floor(x), F.floor(x) + 1))).withColumn(f"_w{c}", 1 - F.abs(F.col(x) - F.col(c))).where(F.col(c).between(0, sizes[c] - 1))
+    moved = taps.join(grad, [*ids, "oi", "oj"]).join(F.broadcast(weight), ["o", "k"])
+    return moved.groupBy(*ids, "c", "i", "j").agg(F.sum(F.col("_wi") * F.col("_wj") * F.col("mask") * F.col("v") * F.col("w")).alias("v"))
 
 
 def roi_pool(df: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:

@@ -322,6 +322,50 @@ def _boxes(spark, sf):
     return rows.select(F.col("user_id"), F.col("event_id").alias("id"), x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 4.0).alias("x2"), (y + 5.0).alias("y2"), F.col("value").alias("score"))
 
 
+_ROI_CELLS = _ROI_ALIGN[: _ROI_ALIGN.index("SELECT roi, oi, oj, round")]
+_ALIGN_BACK = f"""{_ROI_CELLS}SELECT t.n, m.i, m.j, round(sum((oi + oj + 1) * (1 - abs(y - m.i)) * (1 - abs(x - m.j))) / 4, 4) + 0.0 AS v FROM t JOIN {_image_sql(2)} m ON m.n = t.n AND abs(y - m.i) < 1 AND abs(x - m.j) < 1 GROUP BY ALL"""
+_PS = f"(SELECT n, b.c, a.i, a.j, a.v * (b.c + 1) AS v FROM {_image_sql(2)} a, (SELECT unnest(range(18)) AS c) b)"
+_PS_ALIGN = f"""{_ROI_CELLS}SELECT roi, m.c // 9 AS c, oi, oj, round(sum(m.v * (1 - abs(y - m.i)) * (1 - abs(x - m.j))) / 4, 3) + 0.0 AS v FROM t JOIN {_PS} m ON m.n = t.n AND m.c // 3 % 3 = oi AND m.c % 3 = oj AND abs(y - m.i) < 1 AND abs(x - m.j) < 1 GROUP BY ALL"""
+_PS_BACK = f"""{_ROI_CELLS}SELECT t.n, (k * 3 + oi) * 3 + oj AS c, m.i, m.j, round(sum((k + oi + oj + 1) * 0.73105857::DOUBLE * (1 - abs(y - m.i)) * (1 - abs(x - m.j))) / 4, 4) + 0.0 AS v FROM t JOIN {_image_sql(2)} m ON m.n = t.n AND abs(y - m.i) < 1 AND abs(x - m.j) < 1, (SELECT unnest(range(2)) AS k) GROUP BY ALL"""
+_POOL_BACK = f"""WITH r AS (SELECT roi, n, round(x1) AS a, round(y1) AS b, greatest(round(x2) - round(x1) + 1, 1) / 2 AS w, greatest(round(y2) - round(y1) + 1, 1) / 2 AS h FROM {_ROI}),
+p AS (SELECT roi, m.n, oi, oj, arg_max(m.i * 8 + m.j, (m.v, -(m.i * 8 + m.j))) AS p FROM r, (SELECT unnest(range(2)) AS oi), (SELECT unnest(range(2)) AS oj), {_image_sql(2)} m
+WHERE m.n = r.n AND m.i >= floor(oi * h) + b AND m.i < ceil((oi + 1) * h) + b AND m.j >= floor(oj * w) + a AND m.j < ceil((oj + 1) * w) + a GROUP BY ALL)
+SELECT n, p // 8 AS i, p % 8 AS j, CAST(sum(oi + oj + 1) AS DOUBLE) AS v FROM p GROUP BY ALL"""
+_PS_POOL = f"""WITH r AS (SELECT roi, n, round(x1) AS a, round(y1) AS b, greatest(round(x2) - round(x1), 0.1) / 3 AS w, greatest(round(y2) - round(y1), 0.1) / 3 AS h FROM {_ROI})
+SELECT roi, m.c // 9 AS c, oi, oj, round(avg(m.v), 4) + 0.0 AS v FROM r, (SELECT unnest(range(3)) AS oi), (SELECT unnest(range(3)) AS oj), {_PS} m
+WHERE m.n = r.n AND m.c // 3 % 3 = oi AND m.c % 3 = oj AND m.i >= floor(oi * h) + b AND m.i < ceil((oi + 1) * h) + b AND m.j >= floor(oj * w) + a AND m.j < ceil((oj + 1) * w) + a GROUP BY ALL"""
+
+
+def _channels(spark, sf):
+    c = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17).cast("long")))
+    return _image(spark, sf, 2).withColumn("c", c).withColumn("v", F.col("v") * (F.col("c") + 1))
+
+
+def _bins(spark, sf, out, *more):
+    rows = _rois(spark, sf).select("roi")
+    for o in ("oi", "oj"):
+        rows = rows.withColumn(o, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
+    for c, n in more:
+        rows = rows.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return rows.withColumn("v", (F.col("oi") + F.col("oj") + 1 + (F.col(more[0][0]) if more else 0)) * (0.73105857 if more else 1.0))
+
+
+def _moved(spark, sf):
+    """Two taps for each of 3 x 3 output places, each moved a little by the image's number."""
+    rows = _grid(spark, sf).select("n", "oi", "oj").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    return rows.select("n", "oi", "oj", "k", (F.col("oi") * 2 + F.col("k") + (F.col("n") % 7) * 0.1 - 0.25).alias("y"), (F.col("oj") * 2 + F.col("k") - (F.col("n") % 5) * 0.1 + 0.15).alias("x"), (1 - F.col("k") * 0.5).alias("mask"))
+
+
+def _taps(spark):
+    return spark.range(4).select(F.floor(F.col("id") / 2).alias("o"), F.lit(0).cast("long").alias("c"), (F.col("id") % 2).alias("k"), (F.col("id") + 0.5).alias("w"))
+
+
+_MOVED = "(SELECT vec_id AS n, oi, oj, k, oi * 2 + k + (vec_id % 7) * 0.1::DOUBLE - 0.25 AS y, oj * 2 + k - (vec_id % 5) * 0.1::DOUBLE + 0.15 AS x, 1 - k * 0.5::DOUBLE AS mask FROM embeddings, (SELECT unnest(range(3)) AS oi), (SELECT unnest(range(3)) AS oj), (SELECT unnest(range(2)) AS k))"
+_NEAR = f"{_MOVED} g JOIN {_image_sql(2)} m ON m.n = g.n AND abs(g.y - m.i) < 1 AND abs(g.x - m.j) < 1, (SELECT unnest(range(2)) AS o)"
+_DEFORM = f"SELECT g.n, o, oi, oj, round(sum((1 - abs(g.y - m.i)) * (1 - abs(g.x - m.j)) * mask * m.v * (o * 2 + k + 0.5)), 4) + 0.0 AS v FROM {_NEAR} GROUP BY ALL"
+_DEFORM_BACK = f"SELECT g.n, m.i, m.j, round(sum((1 - abs(g.y - m.i)) * (1 - abs(g.x - m.j)) * mask * (o * 2 + k + 0.5) * (oi + 1) * 0.73105857::DOUBLE), 4) + 0.0 AS v FROM {_NEAR} GROUP BY ALL"
+
+
 def build() -> tuple[dict, dict]:
     q, sql = {}, {}
 
@@ -352,5 +396,20 @@ def build() -> tuple[dict, dict]:
     add("depthwise_conv2d", _conv(False))
     add("depthwise_conv2d_backward", _conv(True))
     add("depthwise_conv3d", (_conv3d, _CONV3D))
+    region = (8, 8, 3, 2)
+    add("roi_align_backward", (lambda spark, sf: _shown(s.roi_align_backward(_bins(spark, sf, 3), _rois(spark, sf), *region)), _ALIGN_BACK))
+    add("ps_roi_align", (lambda spark, sf: s.ps_roi_align(_channels(spark, sf), _rois(spark, sf), *region).withColumn("v", F.round("v", 3) + 0.0), _PS_ALIGN))
+    add("ps_roi_align_backward", (lambda spark, sf: _shown(s.ps_roi_align_backward(_bins(spark, sf, 3, ("c", 2)), _rois(spark, sf), *region)), _PS_BACK))
+    add("roi_pool_backward", (lambda spark, sf: s.roi_pool_backward(_bins(spark, sf, 2), _image(spark, sf, 2), _rois(spark, sf), 8, 8, 2), _POOL_BACK))
+    add("ps_roi_pool", (lambda spark, sf: _shown(s.ps_roi_pool(_channels(spark, sf), _rois(spark, sf), 8, 8, 3)), _PS_POOL))
+    image = lambda spark, sf: _image(spark, sf, 2).withColumn("c", F.lit(0).cast("long"))
+    add("deform_conv2d", (lambda spark, sf: _shown(s.deform_conv(image(spark, sf), _moved(spark, sf), _taps(spark), SHAPES[2], ["n"])), _DEFORM))
+    grads = lambda spark, sf: _moved(spark, sf).select("n", "oi", "oj").distinct().withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long")))).withColumn("v", (F.col("oi") + 1.0) * 0.73105857)
+    add("deform_conv2d_backward", (lambda spark, sf: _shown(s.deform_conv_backward(grads(spark, sf), _moved(spark, sf), _taps(spark), SHAPES[2], ["n"])).drop("c"), _DEFORM_BACK))
+    whole = lambda spark, sf: _image(spark, sf, 2).withColumn("v", F.rint(F.col("v") * 20).cast("int"))
+    add("quantized_max_pool2d", (
+        lambda spark, sf: s.max_pool(whole(spark, sf), _axes(spark, *MAXES["adaptive_max_pool2d"]), SHAPES[2], ["n"]).drop("at"),
+        f"SELECT n, i, j, CAST(round_even(v * 20, 0) AS INTEGER) AS v FROM ({_max_sql(*MAXES['adaptive_max_pool2d'])})",
+    ))
     q["nms"] = lambda spark, sf: s.nms(_boxes(spark, sf), ["user_id"], 0.3).select("user_id", "id")
     return q, sql

@@ -799,3 +799,67 @@ add("standard_gamma_grad", "SELECT c_custkey, 1.0::DOUBLE AS v FROM customer")(
     # for a shape of 1 the slope at x is known from the exponential integral; here: it must grow with x, between 0 and 1 + log(1 + x)
     lambda spark, sf: _t(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("k")).withColumn("x", (F.col("k") % 97 + 1) / 40.0).withColumn("g", random.standard_gamma_grad(F.lit(1.0), F.col("x"))).select("c_custkey", ((F.col("g") > 0) & (F.col("g") < 1 + F.log1p("x"))).cast("double").alias("v"))
 )
+
+
+# what has several parts
+_PATHS = "(SELECT n, a, b, c, a[2] * b[3] * c[1] AS p1, a[2] * b[1] * c[3] AS p2, a[1] * b[2] * c[3] AS p3, a[2] * b[2] * c[3] AS p4, a[2] * b[3] * c[3] AS p5 FROM w)"
+
+
+def _frames():
+    def log_shares(t):
+        x = F.transform(F.slice("embedding", t * 3 + 1, 3), lambda v: v.cast("double"))
+        total = F.log(F.aggregate(x, F.lit(0.0), lambda s, y: s + F.exp(y)))
+        return F.transform(x, lambda y: y - total)
+
+    return F.array(*[log_shares(t) for t in range(3)])
+
+
+add("ctc_loss_backward", SQL["ctc_loss"][: SQL["ctc_loss"].index("SELECT n, round(-ln(")] + f"SELECT n, round(-p3 / (p1 + p2 + p3 + p4 + p5), 5) + 0.0 AS blank, round(-(p1 + p2 + p4 + p5) / (p1 + p2 + p3 + p4 + p5), 5) + 0.0 AS one, round(-(p1 + p5) / (p1 + p2 + p3 + p4 + p5), 5) + 0.0 AS mid FROM {_PATHS}")(
+    lambda spark, sf: _t(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), norms.ctc_backward(_frames(), F.array(F.lit(1), F.lit(2))).alias("g"))
+    .select("n", R(F.col("g")[0][0]).alias("blank"), R(F.col("g")[0][1]).alias("one"), R(F.col("g")[1][2]).alias("mid"))
+)
+_PAIRS = """WITH s AS (SELECT a.label AS head, a.vec_id AS i, b.vec_id AS j, exp(list_dot_product(a.embedding[1:8]::DOUBLE[], b.embedding[9:16]::DOUBLE[]) * 0.5) AS w, (a.vec_id % 3) * CAST(b.embedding[17] AS DOUBLE) + CAST(b.embedding[18] AS DOUBLE) AS d
+FROM embeddings a JOIN embeddings b ON a.label = b.label), p AS (SELECT *, w / sum(w) OVER (PARTITION BY i) AS p FROM s), g AS (SELECT *, p * (d - sum(p * d) OVER (PARTITION BY i)) * 0.5 AS ds FROM p)
+"""
+
+
+def _attention_grads(spark, sf):
+    q, kv = _heads(spark, sf)
+    grad = q.select("head", "i", F.array((F.col("i") % 3).cast("double"), F.lit(1.0)).alias("g"))
+    return more.attention_backward(q, kv, grad, 0.5)
+
+
+for _name, _part, _sql in (
+    ("scaled_dot_product_efficient_attention_backward", 0, "SELECT g.head, g.i, round(sum(ds * CAST(e.embedding[9] AS DOUBLE)), 4) + 0.0 AS v FROM g JOIN embeddings e ON e.vec_id = g.j GROUP BY 1, 2"),
+    ("flash_attention_backward_k", 1, "SELECT g.head, g.j, round(sum(ds * CAST(e.embedding[1] AS DOUBLE)), 4) + 0.0 AS v FROM g JOIN embeddings e ON e.vec_id = g.i GROUP BY 1, 2"),
+    ("flash_attention_backward_v", 2, "SELECT head, j, round(sum(p * (i % 3)), 4) + 0.0 AS v FROM g GROUP BY 1, 2"),
+):
+    add(_name, _PAIRS + _sql)(lambda spark, sf, part=_part: shown(_attention_grads(spark, sf)[part].where("c = 0").drop("c")))
+
+
+def _tokens(spark, sf):
+    """Four tokens of eight numbers in each sequence: half of an embedding."""
+    return emb(spark, sf).where("c < 32").select(F.col("n").alias("seq"), F.floor(F.col("c") / 8).alias("t"), (F.col("c") % 8).alias("j"), F.col("x").alias("v"))
+
+
+def _weights(spark, rows: int, cols: int, k: int):
+    return spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("i"), (F.col("id") % cols).alias("j"), ((F.col("id") * k % 11 - 5) / 10).alias("v"))
+
+
+_w = lambda rows, cols, k: f"(SELECT id // {cols} AS i, id % {cols} AS j, (id * {k} % 11 - 5) / 10.0::DOUBLE AS v FROM (SELECT unnest(range({rows * cols})) AS id))"
+_TOK = f"tok AS (SELECT n AS seq, c // 8 AS t, c % 8 AS j, x AS v FROM {EMB} WHERE c < 32)"
+_MHA = f"""{_TOK}, pr AS (SELECT seq, t, w.i AS o, sum(tok.v * w.v) AS v FROM tok JOIN {_w(24, 8, 3)} w ON w.j = tok.j GROUP BY ALL),
+sc AS (SELECT q.seq, q.t, k.t AS u, (q.o % 8) // 4 AS h, exp(sum(q.v * k.v) / 2) AS w FROM pr q JOIN pr k ON q.seq = k.seq AND q.o < 8 AND k.o = q.o + 8 GROUP BY ALL),
+at AS (SELECT sc.seq, sc.t, v.o - 16 AS j, sum(sc.w * v.v) / sum(sc.w) AS v FROM sc JOIN pr v ON v.seq = sc.seq AND v.t = sc.u AND v.o >= 16 AND (v.o - 16) // 4 = sc.h GROUP BY ALL),
+mh AS (SELECT "at".seq, "at".t, w.i AS j, sum("at".v * w.v) AS v FROM "at" JOIN {_w(8, 8, 5)} w ON w.j = "at".j GROUP BY ALL)""".replace("\nat AS", '\n"at" AS')
+add("native_multi_head_attention", f"WITH {_MHA} SELECT seq, t, j, round(v, 4) + 0.0 AS v FROM mh")(lambda spark, sf: shown(more.multi_head_attention(_tokens(spark, sf), _weights(spark, 24, 8, 3), 2, 8, _weights(spark, 8, 8, 5))))
+_LNORM = "(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5)"
+add("transformer_encoder_layer_fwd", f"""WITH {_MHA}, m1 AS (SELECT seq, t, j, {_LNORM} AS v FROM (SELECT tok.seq, tok.t, tok.j, tok.v + mh.v AS v FROM tok JOIN mh USING (seq, t, j)) WINDOW w AS (PARTITION BY seq, t)),
+hid AS (SELECT seq, t, w.i AS j, greatest(sum(m1.v * w.v), 0) AS v FROM m1 JOIN {_w(16, 8, 7)} w ON w.j = m1.j GROUP BY ALL), ff AS (SELECT seq, t, w.i AS j, sum(hid.v * w.v) AS v FROM hid JOIN {_w(8, 16, 2)} w ON w.j = hid.j GROUP BY ALL)
+SELECT seq, t, j, round({_LNORM}, 3) + 0.0 AS v FROM (SELECT m1.seq, m1.t, m1.j, m1.v + ff.v AS v FROM m1 JOIN ff USING (seq, t, j)) WINDOW w AS (PARTITION BY seq, t)""")(
+    lambda spark, sf: shown(more.encoder_layer(_tokens(spark, sf), _weights(spark, 24, 8, 3), _weights(spark, 8, 8, 5), _weights(spark, 16, 8, 7), _weights(spark, 8, 16, 2), 2, 8), 3)
+)
+# a beta number's slope at shapes 1 and 1: its distribution function is x, and the slope in the shape -(1 - x) ... in closed form: x (log x) / -1
+add("dirichlet_grad", "SELECT c_custkey, round(-x * ln(x) + 0.0, 4) + 0.0 AS v FROM (SELECT c_custkey, (c_custkey % 97 + 1) / 99.0::DOUBLE AS x FROM customer)")(
+    lambda spark, sf: _t(spark, sf, "customer").select("c_custkey", ((F.col("c_custkey") % 97 + 1) / 99.0).alias("x")).select("c_custkey", R(random.dirichlet_grad(F.col("x"), F.lit(1.0), F.lit(2.0)), 4).alias("v"))
+)
