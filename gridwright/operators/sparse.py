@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .creation import grid
+from ..sources.creation import grid
 from .relational import global_cumsum
 
 

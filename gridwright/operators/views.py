@@ -86,7 +86,7 @@ def unbind(df: DataFrame, at: str, size: int) -> list[DataFrame]:
 
 def as_strided(df: DataFrame, at: str, sizes: dict[str, int], strides: dict[str, int], offset: int = 0) -> DataFrame:
     """A shape whose cell (a, b, ...) reads the flat place offset + a * stride + b * stride ...: places may be read several times, or never."""
-    from .creation import grid
+    from ..sources.creation import grid
 
     flat = reduce(lambda x, c: x + F.col(c) * strides[c], sizes, F.lit(offset).cast("long"))
     return grid(df.sparkSession, sizes).withColumn(at, flat).join(df, at).drop(at)

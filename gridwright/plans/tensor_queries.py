@@ -10,8 +10,9 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as e
-from ..operators import creation, indexing, linalg, more, nested, norms, random, sparse, views
+from ..operators import indexing, linalg, more, nested, norms, random, sparse, views
 from ..operators import relational as r
+from ..sources import creation
 
 QUERIES, SQL = {}, {}
 

@@ -79,7 +79,7 @@ def _clipped(x: Column, top: int) -> Column:
 
 def randperm(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """i, v: a permutation of 0 .. n - 1, each row ranked by a hash of its number."""
-    from .relational import numbered
+    from ..operators.relational import numbered
 
     rows = spark.range(n).select(F.col("id").alias("i"), F.xxhash64(F.lit(seed), "id").alias("_h"))
     return numbered(rows, "_h", "v").select("i", "v")

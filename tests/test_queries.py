@@ -1,6 +1,7 @@
 """Every query of the library's own operators against its SQL at the smallest scale."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 import duckdb
@@ -25,11 +26,23 @@ def cell(x):
     return x.isoformat() if isinstance(x, (date, datetime)) else str(x)
 
 
+@pytest.fixture(scope="module")
+def answers(spark, request):
+    """Columns and rows of the chosen queries, a few of which run at a time: most are short and leave cores idle."""
+
+    def run(name):
+        df = catalogue.QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        return columns, sorted(tuple(cell(r[c]) for c in columns) for r in df.collect())
+
+    names = [i.callspec.params["name"] for i in request.session.items if i.name.startswith("test_query_equals_sql")]
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(run, n) for n in names}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
-def test_query_equals_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    ours = sorted(tuple(cell(r[c]) for c in columns) for r in df.collect())
+def test_query_equals_sql(answers, duck, name):
+    columns, ours = answers[name].result()
     found = duck.execute(catalogue.SQL[name])
     theirs = [d[0] for d in found.description]
     assert sorted(theirs) == columns
