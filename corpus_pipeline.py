@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item. Null and empty texts hold none; rows with an equal or null doc_id go together."""
+    """Documents without a copy of a benchmark item. Null and empty texts hold none; rows with an equal or null doc_id are judged by their own texts."""
     return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
