@@ -175,10 +175,15 @@ class Block:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, item_id, score, first_word, end_word of every document that holds a copy of an item, edited or not."""
+    return _found(docs, benchmark, text, doc_id).drop("_th")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """As contaminated, with the text's hash (_th)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
     kinds = (rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word long, end_word long"
+    schema = f"doc_id {kinds[0]}, _th long, item_id {kinds[1]}, score double, first_word long, end_word long"
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     items = benchmark.select("item_id", "text")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
@@ -191,13 +196,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                ids = batch.column("doc_id")
+                ids, hashes = batch.column("doc_id"), batch.column("_th")
                 for s, h, owner in _batches_of(batch):
                     found = shared.value.match(h, owner)
-                    take = ids.take(pa.array([s.start + x[0] for x in found], pa.int64()))
+                    place = pa.array([s.start + x[0] for x in found], pa.int64())
                     item = [shared.value.ids[x[1]] for x in found]
                     yield pa.RecordBatch.from_pydict(
-                        {"doc_id": take, "item_id": pa.array(item, item_type), "score": pa.array([x[2] for x in found], pa.float64())}
+                        {"doc_id": ids.take(place), "_th": hashes.take(place), "item_id": pa.array(item, item_type), "score": pa.array([x[2] for x in found], pa.float64())}
                         | {c: pa.array([x[i] for x in found], pa.int64()) for i, c in ((3, "first_word"), (4, "end_word"))}
                     )
 
@@ -206,10 +211,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    found = contaminated(docs, benchmark, text, doc_id).select(F.col("doc_id").alias("_leak")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"))
-    kept = rows.join(found, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_leak")), "left_anti")
+    """docs without those that hold a benchmark item. Rows with equal doc_id, or none, are judged by their own texts."""
+    found = _found(docs, benchmark, text, doc_id).select(F.col("doc_id").alias("_leak"), F.col("_th").alias("_leak_th")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_th"))
+    kept = rows.join(found, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_leak")) & (F.col("_th") == F.col("_leak_th")), "left_anti")
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 

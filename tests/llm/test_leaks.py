@@ -78,11 +78,11 @@ def test_every_copy_that_reaches_the_cut_is_found(spark):
 
 def test_odd_rows(spark):
     item = "one two three four five six seven eight"
-    docs = spark.createDataFrame([(None, "x " + item), (1, item.upper()), (1, item.upper()), (2, None), (3, "")], "doc_id long, text string").selectExpr("*", "'y' AS _text", "1 AS item_id")
+    docs = spark.createDataFrame([(None, "x " + item), (None, "clean"), (1, item.upper()), (1, item.upper()), (1, "clean too"), (2, None), (3, "")], "doc_id long, text string").selectExpr("*", "'y' AS _text", "1 AS item_id")
     items = spark.createDataFrame([("a", item), (None, item), ("c", None), ("d", "")], "item_id string, text string")
     found = sorted((r.doc_id or 0, r.item_id or "") for r in leaks.contaminated(docs, items).collect())
     assert found == [(0, ""), (0, "a"), (1, ""), (1, ""), (1, "a"), (1, "a")]
     kept = leaks.decontaminate(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "clean"), (1, "clean too"), (2, ""), (3, "")]
     short = items.selectExpr("cast(1 as smallint) AS item_id", "text").limit(1)
     assert {r.item_id for r in leaks.contaminated(docs, short).collect()} == {1}
