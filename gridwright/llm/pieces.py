@@ -36,7 +36,8 @@ from .words import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = np.int64(1) << 40
-PART_CHARS = 1 << 18
+#: Bytes of text taken at a time (few of a block's words are new, so it is larger than other operators'), and characters of new words.
+BLOCK_BYTES, PART_CHARS = 1 << 21, 1 << 19
 #: Characters of a long word that are relaxed from one beginning, and of those before them.
 SEGMENT, OVERLAP = 1024, 256
 #: A worker's memo is begun anew when it holds this many words, or characters.
@@ -464,7 +465,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", model: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             size = pc.binary_length(batch.column(text)).to_pylist()
-            for s in batches([n or 0 for n in size]):
+            for s in batches([n or 0 for n in size], BLOCK_BYTES):
                 part = batch.slice(s.start, s.stop - s.start)
                 flat, n = memo_of(shared).encode(part.column(text).cast(pa.string()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n]), pa.int32()), pa.array(flat, pa.int32()))
@@ -482,7 +483,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", model:
         table, prefix = pa.array(shared.value.bytes_of, pa.binary()), shared.value.prefix
         for batch in it:
             size = pc.list_value_length(batch.column(ids)).to_pylist()
-            for s in batches([4 * (n or 0) for n in size]):
+            for s in batches([4 * (n or 0) for n in size], BLOCK_BYTES):
                 part = batch.slice(s.start, s.stop - s.start)
                 lists = part.column(ids)
                 found = table.take(lists.flatten())  # the pieces' bytes one after another
