@@ -16,6 +16,7 @@ window repeated within one document alone is not repeated; the first document of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, split_join
-from .words import _SPACE, U, batches, mix, powers
+from .shared import Scratch, hot_limit, split_join
+from .words import _SPACE, _SPACES, PIECE, U, batches, mix, powers, texts_of
 
 MIN_WORDS = 51
 #: Words of a chunk: with the bytes between them over 32, the bytes of a gear hash.
 CHUNK = 17
+SALTS = 1024
 PAD = b"\n" * 32
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _GEAR[0] = 0
 
 
 class Cut:
-    """The words of some texts, their windows and each window's cut."""
+    """The words of some parts of texts, their windows and each window's cut. parts: row, bytes and words before it, and its bytes."""
 
-    def __init__(self, blobs: list[bytes], min_words: int = MIN_WORDS):
+    def __init__(self, parts: list[tuple[int, int, int, bytes]], min_words: int = MIN_WORDS):
+        self.row, self.bytes_before, self.words_before = (np.array([x[i] for x in parts], np.int64) for i in range(3))
+        blobs = [x[3] for x in parts]
         b = np.frombuffer(PAD + b"".join(x + PAD for x in blobs), np.uint8)
         gap = _SPACE[b]
         self.starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
@@ -68,15 +73,36 @@ class Cut:
 
     def place(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Bytes of the text before a place."""
-        return (at - self.edge[self.owner[word]]).astype(np.int32)
-
-
-def _parts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, Cut]]:
-    blobs = [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-    for s in batches([len(x) for x in blobs]):
-        cut = Cut(blobs[s], min_words)
-        if len(cut.windows):
-            yield s.start, cut
+        owner = self.owner[word]
+        return (at - self.edge[owner] + self.bytes_before[owner]).astype(np.int32)
+
+    def number(self, word: np.ndarray) -> np.ndarray:
+        """Words of the text before a word."""
+        owner = self.owner[word]
+        return word - np.searchsorted(self.owner, owner) + self.words_before[owner]
+
+
+def _overlapping(blob: bytes, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """A long text in parts that share min_words - 1 words, so each window is whole in one of them: bytes and words before it, its bytes."""
+    at = words = 0
+    size = PIECE
+    while len(blob) - at > size and (end := _SPACES.search(blob, at + size)):
+        starts = [m.start() for m in _WORD.finditer(blob, at, end.start())]
+        if len(starts) < 2 * min_words:  # very long words
+            size *= 2
+            continue
+        yield at, words, blob[at : end.start()]
+        at, words, size = starts[1 - min_words], words + len(starts) - min_words + 1, PIECE
+    yield at, words, blob[at:]
+
+
+def _parts(batch: pa.RecordBatch, min_words: int) -> Iterator[Cut]:
+    for s, blobs in texts_of(batch):
+        parts = [(s.start + i, *x) for i, blob in enumerate(blobs) for x in _overlapping(blob, min_words)]
+        for t in batches([len(x[3]) for x in parts]):
+            cut = Cut(parts[t], min_words)
+            if len(cut.windows):
+                yield cut
 
 
 def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,9 +129,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
 
     def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for start, cut in _parts(batch, min_words):
+            for cut in _parts(batch, min_words):
                 last = np.unique(cut.cuts)
-                take = pa.array(cut.owner[last] + start)
+                take = pa.array(cut.row[cut.owner[last]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").take(take), batch.column("_row").take(take), pa.array(cut.digest(last - (CHUNK - 1), last)), pa.array(cut.place(cut.ends[last], last))],
                     ["_id", "_row", "_digest", "_cut"],
@@ -115,42 +141,54 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
         for batch in it:
             docs, held = batch.column("_doc").to_numpy(), batch.column("_cuts")
             flat, size = held.flatten().to_numpy(), np.diff(held.offsets.to_numpy())
-            held = np.repeat(np.arange(len(size)), size) << 32 | flat
-            for start, cut in _parts(batch, min_words):
-                hit = np.isin((cut.owner[cut.cuts] + start) << 32 | cut.place(cut.ends[cut.cuts], cut.cuts), held)
+            hot = flat < 0
+            held = np.repeat(np.arange(len(size)), size) << 32 | np.where(hot, -1 - flat, flat)
+            for cut in _parts(batch, min_words):
+                place = cut.row[cut.owner[cut.cuts]] << 32 | cut.place(cut.ends[cut.cuts], cut.cuts)
+                hit = np.isin(place, held)
                 first = cut.windows[hit]
                 last = first + min_words - 1
-                key = docs[cut.owner[first] + start] << 32 | cut.place(cut.starts[first], first)
-                number = first - np.searchsorted(cut.owner, cut.owner[first])
+                key = docs[cut.row[cut.owner[first]]] << 32 | cut.place(cut.starts[first], first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cut.digest(first, last)), pa.array(key, pa.int64()), pa.array(cut.place(cut.ends[last], last)), pa.array(number, pa.int32())], ["_window", "_key", "_end", "_no"]
-                )
+                    [
+                        pa.array(cut.digest(first, last)), pa.array(key, pa.int64()), pa.array((cut.ends[last] - cut.starts[first]).astype(np.int32)),
+                        pa.array(cut.number(first).astype(np.int32)), pa.array(np.isin(place[hit], held[hot])),
+                    ],
+                    ["_window", "_key", "_size", "_no", "_hot"],
+                )
 
     found = scratch.save(rows.mapInArrow(chunks, f"_id {kind}, _row long, _digest long, _cut int"), "chunks")
     common = found.groupBy("_digest").agg(F.min("_row").alias("_a"), F.max("_row").alias("_b"), F.count("*").alias("_n"))
     common = scratch.save(common.where("_a != _b").select("_digest", "_n"), "common")
-    held = split_join(found, common, ["_digest"], "_n", "left_semi").groupBy("_row").agg(F.min("_id").alias("_id"), F.collect_set("_cut").alias("_cuts"))
+    # a window stands no more often than its chunk: the cuts of hot chunks, and no others, can have hot windows; they are marked by their sign
+    limit = hot_limit(common.agg(F.sum("_n")).first()[0] or 0)
+    marked = F.when(F.col("_n") > limit, -1 - F.col("_cut")).otherwise(F.col("_cut"))
+    held = split_join(found, common, ["_digest"], "_n").groupBy("_row").agg(F.min("_id").alias("_id"), F.collect_set(marked).alias("_cuts"))
     held = scratch.save(held, "held")
     scratch.drop("chunks", "common")
     numbers = _numbered(held.select("_id", "_row"), scratch)
     texts = rows.select("_row", "_text").join(held.select("_row", "_cuts").join(numbers.select("_row", "_doc"), "_row"), "_row")
-    each = scratch.save(texts.select("_doc", "_text", "_cuts").mapInArrow(windows, "_window long, _key long, _end int, _no int"), "windows")
+    each = scratch.save(texts.select("_doc", "_text", "_cuts").mapInArrow(windows, "_window long, _key long, _size int, _no int, _hot boolean"), "windows")
     scratch.drop("held")
     doc = lambda c: F.shiftright(c, 32)
-    repeated = each.groupBy("_window").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), F.count("*").alias("_n"))
-    repeated = scratch.save(repeated.where(doc("_first") != doc("_last")), "repeated")
-    hits = split_join(each, repeated, ["_window"], "_n").select(
-        doc("_key").alias("_doc"), F.col("_key").bitwiseAND(0xFFFFFFFF).alias("_start"), "_end", "_no", "_key", F.when(doc("_key") == doc("_first"), F.col("_last")).otherwise(F.col("_first")).alias("_holder")
-    )
-    hits = hits.select("_doc", "_start", "_end", "_no", (F.col("_holder") - F.col("_key")).alias("_far"), (doc("_holder") > F.col("_doc")).alias("_kept"))
+    # hot windows, few, get their first and last by broadcast, and their rows are dealt over SALTS tasks; the others' are dealt by window alone
+    ends = [F.min("_key").alias("_low"), F.max("_key").alias("_high")]
+    hot = each.where("_hot").groupBy("_window").agg(*ends, F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n")
+    tagged = each.drop("_hot").join(F.broadcast(scratch.save(hot, "hot")), "_window", "left")
+    tagged = tagged.withColumn("_salt", F.when(F.col("_low").isNull(), 0).otherwise(F.pmod(F.xxhash64("_key"), F.lit(SALTS))))
+    same = Window.partitionBy("_window", "_salt")
+    hits = tagged.withColumns({"_first": F.coalesce("_low", F.min("_key").over(same)), "_last": F.coalesce("_high", F.max("_key").over(same))}).where(doc("_first") != doc("_last"))
+    holder = F.when(doc("_key") == doc("_first"), F.col("_last")).otherwise(F.col("_first"))
+    start = F.col("_key").bitwiseAND(0xFFFFFFFF)
+    hits = hits.select(doc("_key").alias("_doc"), start.alias("_start"), "_size", "_no", (holder - F.col("_key")).alias("_far"))
     # the holder's number and place less the document's own: one distance is one holder
     line = Window.partitionBy("_doc", "_far").orderBy("_start")
-    fresh = F.when(F.col("_start") <= F.lag("_end").over(line), 0).otherwise(1)
+    fresh = F.when(F.col("_no") - F.lag("_no").over(line) < min_words, 0).otherwise(1)
     spans = hits.withColumn("_fresh", fresh).withColumn("_span", F.sum("_fresh").over(line)).groupBy("_doc", "_far", "_span").agg(
-        F.min("_start").cast("int").alias("start_byte"), F.max("_end").alias("end_byte"), (F.max("_no") - F.min("_no") + min_words).cast("long").alias("n_words"),
-        F.countDistinct("_start").alias("n_windows"), F.first("_kept").alias("_kept"),
+        F.min("_start").cast("int").alias("start_byte"), F.max(F.col("_start") + F.col("_size")).cast("int").alias("end_byte"),
+        (F.max("_no") - F.min("_no") + min_words).cast("long").alias("n_words"), F.countDistinct("_start").alias("n_windows"),
     )
-    spans = spans.withColumn("_other", doc(F.col("_doc") * (1 << 32) + F.col("start_byte") + F.col("_far")))
+    spans = spans.withColumn("_other", doc(F.col("_doc") * (1 << 32) + F.col("start_byte") + F.col("_far"))).withColumn("_kept", F.col("_other") > F.col("_doc"))
     names = lambda n, d, *more: numbers.select(F.col("_doc").alias(d), F.col("_id").alias(n), *more)
     spans = spans.join(names("doc_id", "_doc", "_row"), "_doc").join(names("other_doc_id", "_other"), "_other")
     first = F.when(F.col("_kept"), F.col("doc_id")).otherwise(F.col("other_doc_id")).alias("first_doc_id")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from gridwright.llm import chunks
 
 
@@ -37,7 +39,9 @@ def corpus():
     return docs + [(510, half + " " + say(3)), (511, other), (512, half + " " + other)]
 
 
-def test_spans_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("limit", [10**6, 3])
+def test_spans_are_those_of_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(chunks, "hot_limit", lambda total: limit)
     docs = corpus()
     texts = {i: t or "" for i, t in docs}
     owners = {}
@@ -72,3 +76,22 @@ def test_every_first_window_stays(spark):
             drop = {x for a, z in gone[i] for x in range(a, z)}
             assert kept[i].encode() == bytes(c for x, c in enumerate(t.encode()) if x not in drop)
     assert kept[505] is None and kept[502].strip() == "" and texts[500] == kept[500]
+
+
+def test_parts_of_a_long_text_have_its_windows(monkeypatch):
+    monkeypatch.setattr(chunks, "PIECE", 700)
+    rng = random.Random(9)
+    text = " ".join("x" * rng.choice([1, 3, 6, 900 if i % 97 == 0 else 5]) + str(i % 7) for i in range(3_000)).encode()
+
+    def found(parts):
+        out = {}
+        for p in parts:
+            cut = chunks.Cut([(0, *p)])
+            last = cut.windows + 50
+            rows = zip(cut.place(cut.starts[cut.windows], cut.windows).tolist(), cut.number(cut.windows).tolist(), cut.digest(cut.windows, last).tolist(), cut.place(cut.ends[cut.cuts], cut.cuts).tolist(), strict=True)
+            for row in rows:
+                out[row] = out.get(row, 0) + 1
+        return out
+
+    parts = list(chunks._overlapping(text, 51))
+    assert len(parts) > 5 and found(parts) == found([(0, 0, text)]) and max(found(parts).values()) == 1
