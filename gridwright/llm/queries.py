@@ -11,6 +11,7 @@ from .near import op5_near_duplicates
 from .pieces import op1_sentencepiece
 from .quality import op9_quality
 from .rollup import op8_token_counts
+from .rules import OP12_SQL, op12_quality_rules
 from .syncmers import op2_syncmers
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op12_quality_rules": op12_quality_rules,
 }
-SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op12_quality_rules": OP12_SQL}
