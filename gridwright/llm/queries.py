@@ -10,6 +10,7 @@ from .lines import OP4_SQL, op4_line_dedup
 from .near import op5_near_duplicates
 from .pieces import op1_sentencepiece
 from .quality import op9_quality
+from .repair import OP13_SQL, op13_conversation_repair
 from .rollup import op8_token_counts
 from .rules import OP12_SQL, op12_quality_rules
 from .syncmers import op2_syncmers
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
     "op12_quality_rules": op12_quality_rules,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op12_quality_rules": OP12_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op12_quality_rules": OP12_SQL, "op13_conversation_repair": OP13_SQL}
