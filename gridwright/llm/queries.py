@@ -14,6 +14,7 @@ from .repair import OP13_SQL, op13_conversation_repair
 from .rollup import op8_token_counts
 from .rules import OP12_SQL, op12_quality_rules
 from .syncmers import op2_syncmers
+from .vectors import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op11_vector_codes": op11_vector_codes,
     "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
-SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op12_quality_rules": OP12_SQL, "op13_conversation_repair": OP13_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op11_vector_codes": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_conversation_repair": OP13_SQL}
