@@ -87,11 +87,34 @@ def test_parts_of_a_long_text_have_its_windows(monkeypatch):
         out = {}
         for p in parts:
             cut = chunks.Cut([(0, *p)])
-            last = cut.windows + 50
-            rows = zip(cut.place(cut.starts[cut.windows], cut.windows).tolist(), cut.number(cut.windows).tolist(), cut.digest(cut.windows, last).tolist(), cut.place(cut.ends[cut.cuts], cut.cuts).tolist(), strict=True)
+            rows = zip(cut.place(cut.starts[cut.windows], cut.windows).tolist(), cut.number(cut.windows).tolist(), cut.digest(cut.windows, 51).tolist(), cut.place(cut.ends[cut.cuts], cut.cuts).tolist(), strict=True)
             for row in rows:
                 out[row] = out.get(row, 0) + 1
         return out
 
     parts = list(chunks._overlapping(text, 51))
     assert len(parts) > 5 and found(parts) == found([(0, 0, text)]) and max(found(parts).values()) == 1
+
+
+def morse(a, b):
+    """Two words that no polynomial modulo 2**64 tells apart."""
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_differ_by_a_morse_sequence_are_not_equal(spark):
+    a, b = morse("a", "b")
+    rest = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, f"{a} {rest}", "x"), (2, f"{b} {rest}", "y"), (3, f"{a} {rest}", "z")], "doc_id long, text string, _row string")
+    got = {(r.doc_id, r.other_doc_id, r.n_words) for r in chunks.repeated_spans(docs).collect()}
+    assert got == {(1, 3, 51), (3, 1, 51)}
+    kept = {r.doc_id: r.text for r in chunks.drop_repeats(docs.where("doc_id < 3")).collect()}
+    assert kept == {1: f"{a} {rest}", 2: f"{b} {rest}"}
+
+
+def test_rows_with_one_id_or_none_are_told_apart(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (None, text + " more"), (7, text), (7, "other")], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.text) for r in chunks.drop_repeats(docs).collect())
+    assert len(got) == 4 and sum(len(t) > 50 for _, t in got) == 1

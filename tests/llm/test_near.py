@@ -81,3 +81,12 @@ def test_rows_with_one_doc_id_in_several_groups(spark):
     rows = [(1, "a b c d"), (1, "p q r s"), (5, "e f g h"), (5, "i j k l"), (2, "i j k l"), (None, "m n o p"), (None, "t u v w"), (9, "t u v w")]
     out = near.dedup_near(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100)
     assert sorted((r[0] or 0, r[1]) for r in out.collect()) == [(0, "m n o p"), (1, "a b c d"), (1, "p q r s"), (2, "i j k l"), (5, "e f g h"), (9, "t u v w")]
+
+
+def test_words_that_differ_by_a_morse_sequence_are_not_linked(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs, 3, 85, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
