@@ -123,7 +123,7 @@ def segment_reduce(df: DataFrame, lengths: DataFrame, at: str, value: str, how:
     scan in ranges; each explodes its own places."""
     from .relational import global_scan
 
-    edges = global_scan(lengths.select("segment", F.col("n").cast("long").alias("n")), "segment", 16, _to=F.col("n"))
+    edges = global_scan(lengths.select("segment", F.col("n").cast("long").alias("n")), "segment", _to=F.col("n"))
     rows = edges.where("n > 0").select("segment", F.explode(F.sequence(F.col("_to") - F.col("n"), F.col("_to") - 1)).alias(at)).join(df, at)
     odd = F.bool_or(F.isnan(F.col(value).cast("double")))
     agg = {"sum": F.sum(value), "mean": F.avg(value), "max": F.max(value), "min": F.when(odd, float("nan")).otherwise(F.min(value)), "prod": F.product(value)}[how]

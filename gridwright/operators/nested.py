@@ -37,12 +37,12 @@ def sizes(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("size", F.size(column).cast("long"))
 
 
-def offsets(df: DataFrame, order: str, column: str, parts: int = 16) -> DataFrame:
+def offsets(df: DataFrame, order: str, column: str) -> DataFrame:
     """Where each array begins in the buffer that holds them one after another, in the order of a column."""
     from .relational import global_scan
 
     n = F.size(column).cast("long")
-    return global_scan(df, order, parts, _end=n).withColumn("offset", F.col("_end") - n).drop("_end")
+    return global_scan(df, order, _end=n).withColumn("offset", F.col("_end") - n).drop("_end")
 
 
 def view_from_buffer(buffer: DataFrame, at: str, rows: DataFrame, order: str) -> DataFrame:

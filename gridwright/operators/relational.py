@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import elementwise
+from . import ordered, selection
+from .ordered import match
 
 NAN = float("nan")
 REACH = 256.0
@@ -43,15 +45,17 @@ def _by(keys: list[str], *order) -> Window:
 
 def kth(df: DataFrame, keys: list[str], value: str, at: str, k: int) -> DataFrame:
     """The k-th smallest value of each group, ties by position."""
-    return df.withColumn("_n", F.row_number().over(_by(keys, value, at))).where(F.col("_n") == k).drop("_n")
+    return selection.select(df, keys, value, at, lambda n, nan: F.lit(k))
 
 
 def median(df: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
     """The lower median of each group and its position; NaN sorts last and wins if there is any."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("_n", F.row_number().over(_by(keys, value, at))).withColumn("_size", F.count("*").over(w)).withColumn("_nan", F.count_if(F.isnan(F.col(value).cast("double"))).over(w))
-    want = F.when(F.col("_nan") > 0, F.col("_size") - F.col("_nan") + 1).otherwise(F.floor((F.col("_size") + 1) / 2))
-    return out.where(F.col("_n") == want).drop("_n", "_size", "_nan")
+    return selection.select(df, keys, value, at, lambda n, nan: F.when(nan > 0, n - nan + 1).otherwise(F.floor((n + 1) / 2)))
+
+
+def nanmedian(df: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
+    """The lower median of each group's numbers, NaN left out; of a group of NaN alone its first."""
+    return selection.select(df, keys, value, at, lambda n, nan: F.greatest(F.floor((n - nan + 1) / 2), F.lit(1)))
 
 
 def mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -59,84 +63,72 @@ def mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min(F.struct(F.negative("_c"), F.col(value)))[value].alias("mode"))
 
 
+#: Spark takes the first rows of a window's group before the shuffle up to this rank.
+FEW = 1000
+
+
 def topk(df: DataFrame, keys: list[str], value: str, at: str, k: int, largest: bool = True) -> DataFrame:
-    order = F.desc(value) if largest else F.asc(value)
-    return df.withColumn("rank", F.row_number().over(_by(keys, order, at))).where(F.col("rank") <= k)
+    """The k first rows of each group and their rank. For small k each task keeps its own first k; for more, rows are ranked in parts."""
+    if k <= FEW or (largest and selection.order_number(df, value) is None):
+        order = F.desc(value) if largest else F.asc(value)
+        return df.withColumn("rank", F.row_number().over(_by(keys, order, at))).where(F.col("rank") <= k)
+    key = F.bitwise_not(selection.order_number(df, value)) if largest else F.col(value)
+    return ordered.numbered(df.withColumn("_o", key), ["_o", at], "rank", keys).withColumn("rank", (F.col("rank") + 1).cast("int")).where(F.col("rank") <= k).drop("_o")
 
 
 def sort_rank(df: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(_by(keys, value, at)) - 1)
+    return ordered.numbered(df, [value, at], "rank", keys)
 
 
-def scan(df: DataFrame, keys: list[str], at: str, **exprs: Column) -> DataFrame:
-    """Running aggregates in the order of `at` within the keys."""
-    w = _by(keys, at).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[c.over(w).alias(n) for n, c in exprs.items()])
+def scan(df: DataFrame, keys: list[str], at: str, **values: tuple[str, Column]) -> DataFrame:
+    """Running aggregates in the order of `at` within the keys: name=("sum", "product", "max" or "min", column)."""
+    return ordered.scan(df, keys, [at], **values)
 
 
 def cummax(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """Running maximum and the latest position that has it."""
-    w = _by(keys, at).rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(F.struct(F.col(value).alias("v"), F.col(at).alias("i"))).over(w)
-    return df.select("*", best["v"].alias("cummax"), best["i"].alias("at"))
+    best = F.struct(F.col(value).alias("v"), F.col(at).alias("i"))
+    out = ordered.scan(df, keys, [at], _best=("max", best))
+    return out.select(*df.columns, F.col("_best.v").alias("cummax"), F.col("_best.i").alias("at"))
 
 
 def cummin(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    w = _by(keys, at).rowsBetween(Window.unboundedPreceding, 0)
-    best = F.min(F.struct((~F.isnan(F.col(value).cast("double"))).alias("n"), F.col(value).alias("v"), F.negative(at).alias("i"))).over(w)
-    return df.select("*", best["v"].alias("cummin"), F.negative(best["i"]).alias("at"))
+    best = F.struct((~F.isnan(F.col(value).cast("double"))).alias("n"), F.col(value).alias("v"), F.negative(at).alias("i"))
+    out = ordered.scan(df, keys, [at], _best=("min", best))
+    return out.select(*df.columns, F.col("_best.v").alias("cummin"), F.negative(F.col("_best.i")).alias("at"))
 
 
 def logcumsumexp(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """log of the running sum of exponentials. Rows are taken in epochs in which the running maximum stays within one step of REACH, so no term
     that counts underflows; the epochs' totals, a row each, carry on from one to the next."""
-    w = _by(keys, at).rowsBetween(Window.unboundedPreceding, 0)
-    top = F.max(value).over(w)
-    rows = df.withColumn("_e", F.floor(top / REACH).cast("double"))
+    rows = ordered.scan(df, keys, [at], _top=("max", F.col(value))).withColumn("_e", F.floor(F.col("_top") / REACH).cast("double"))
     shift = (F.col("_e") + 1) * REACH
     term = F.exp(F.col(value) - shift)
-    own = elementwise.log(F.sum(term).over(_by([*keys, "_e"], at).rowsBetween(Window.unboundedPreceding, 0))) + shift
     totals = rows.groupBy(*keys, "_e").agg(F.sum(term).alias("_t")).select(*keys, "_e", (elementwise.log(F.col("_t")) + shift).alias("_t"))
     earlier = totals.select(*keys, F.col("_e").alias("_before"), F.col("_t").alias("_bt"))
-    pairs = totals.select(*keys, "_e").join(earlier, keys).where("_before < _e")
-    most = pairs.groupBy(*keys, "_e").agg(F.max("_bt").alias("_most"))
-    carry = pairs.join(most, [*keys, "_e"]).groupBy(*keys, "_e").agg(
+    pairs = match(totals.select(*keys, "_e"), earlier, keys, "inner").where("_before < _e")
+    most = match(pairs, pairs.groupBy(*keys, "_e").agg(F.max("_bt").alias("_most")), [*keys, "_e"])
+    carry = most.groupBy(*keys, "_e").agg(
         F.when(F.max("_most") == float("-inf"), float("-inf")).otherwise(F.max("_most") + F.log(F.sum(F.exp(F.col("_bt") - F.col("_most"))))).alias("_carry")
     )
-    out = rows.join(carry, [*keys, "_e"], "left").withColumn("_own", own)
+    out = ordered.scan(rows, [*keys, "_e"], [at], _s=("sum", term)).withColumn("_own", elementwise.log(F.col("_s")) + shift)
+    out = match(out, carry, [*keys, "_e"])
     both = F.when(F.col("_carry").isNull(), F.col("_own")).otherwise(elementwise.logaddexp(F.col("_own"), F.col("_carry")))
     return out.withColumn("logcumsumexp", both).select(*df.columns, "logcumsumexp")
 
 
-def cut_points(df: DataFrame, at: str, parts: int) -> list:
-    """Values that cut `at` into `parts` ranges of about as many rows, from a sample of some 200 rows a range. They decide balance, not results."""
-    column = F.col(at)
-    known = column.isNotNull() & ~F.isnan(column) if dict(df.dtypes)[at] in ("double", "float") else column.isNotNull()
-    rows = df.select(at).where(known)
-    sample = sorted(r[0] for r in rows.sample(min(1.0, 200.0 * parts / max(rows.count(), 1)), seed=1).collect())
-    return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-
-
-def global_scan(df: DataFrame, at: str, parts: int, **values: Column) -> DataFrame:
-    """Running sums over the whole table without one task for all rows: sums within ranges of `at`, then the ranges' offsets, `parts` rows at most."""
-    cuts = cut_points(df, at, parts)
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(at))) if cuts else F.lit(0)
-    dealt = df.withColumn("_part", F.when(F.col(at).isNull(), F.lit(-1)).otherwise(part)).withColumns({f"_v_{n}": v for n, v in values.items()})
-    sums = dealt.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(n) for n in values])
-    before = sums.select("_part").alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part")
-    before = before.agg(*[F.coalesce(F.sum(f"b.{n}"), F.lit(0)).alias(f"_b_{n}") for n in values])
-    w = Window.partitionBy("_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(before), "_part").select(*df.columns, *[(F.sum(f"_v_{n}").over(w) + F.col(f"_b_{n}")).alias(n) for n in values])
-    return out
+def global_scan(df: DataFrame, at: str, **values: Column) -> DataFrame:
+    """Running sums over the whole table in the order of `at`."""
+    return ordered.scan(df, [], [at], **{n: ("sum", c) for n, c in values.items()})
 
 
-def global_cumsum(df: DataFrame, at: str, value: str, parts: int) -> DataFrame:
-    return global_scan(df, at, parts, cumsum=F.col(value))
+def global_cumsum(df: DataFrame, at: str, value: str) -> DataFrame:
+    return global_scan(df, at, cumsum=F.col(value))
 
 
-def numbered(df: DataFrame, at: str, name: str = "n", parts: int = 16) -> DataFrame:
+def numbered(df: DataFrame, at: str, name: str = "n") -> DataFrame:
     """Each row's number from 0 in the order of `at`."""
-    return global_scan(df, at, parts, **{name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
+    return ordered.numbered(df, [at], name)
 
 
 def roll(df: DataFrame, keys: list[str], at: str, value: str, shift: int) -> DataFrame:
@@ -158,14 +150,15 @@ def unique_counts(df: DataFrame, value: str) -> DataFrame:
 
 
 def unique_inverse(df: DataFrame, value: str) -> DataFrame:
-    """Each row's place among the sorted distinct values; the distinct values alone are ranked."""
-    ranks = numbered(df.select(value).distinct(), value, "inverse")
-    return df.join(ranks, value)
+    """Each row's place among the sorted distinct values, null the first of them; the distinct values alone are ranked."""
+    return match(df, numbered(df.select(value).distinct(), value, "inverse"), [value])
 
 
 def unique_consecutive(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    fresh = F.coalesce((F.lag(value).over(_by(keys, at)) != F.col(value)).cast("long"), F.lit(1))
-    runs = df.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(_by(keys, at).rowsBetween(Window.unboundedPreceding, 0)))
+    """Runs of equal values in the order of `at`; nulls that follow each other are a run."""
+    rows = ordered.previous(df, keys, [at], value)
+    fresh = F.col("_previous").isNull() | ~F.col("_previous.v").eqNullSafe(F.col(value))
+    runs = ordered.scan(rows, keys, [at], run=("sum", fresh.cast("long")))
     return runs.groupBy(*keys, "run").agg(F.min(value).alias(value), F.count("*").alias("counts"), F.min(at).alias("start"))
 
 
@@ -212,13 +205,14 @@ def bucketize(value: Column, bounds: list[float], right: bool = False) -> Column
 
 
 def searchsorted(bounds: DataFrame, queries: DataFrame, value: str, right: bool = False) -> DataFrame:
-    """Place of each query among the bounds, from counts of the distinct values; they alone are ranked."""
+    """Place of each query among the bounds, from counts of the distinct values; they alone are ranked. A null query has a null place; null bounds
+    don't count."""
     asked = queries.select(F.col(value).alias("_v"), F.struct("*").alias("_q"))
-    counts = bounds.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = bounds.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     steps = asked.select("_v").distinct().join(counts, "_v", "full").select("_v", F.coalesce("_n", F.lit(0)).alias("_n"))
-    ranked = global_scan(steps, "_v", 16, _upto=F.col("_n"))
+    ranked = global_scan(steps.where(F.col("_v").isNotNull()), "_v", _upto=F.col("_n"))
     place = F.col("_upto") if right else F.col("_upto") - F.col("_n")
-    return asked.join(ranked, "_v").select("_q.*", place.alias("place"))
+    return asked.join(ranked, "_v", "left").select("_q.*", place.alias("place"))
 
 
 # gather and scatter
@@ -254,8 +248,8 @@ def repeat_interleave(df: DataFrame, times: str) -> DataFrame:
 # softmax and normalisation over groups
 def by_key(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """df with aggregates of its groups: summed in two steps and joined back. A key may hold any share of the rows: where the groups are few their
-    table is broadcast (Spark checks its size), else the join is dealt anew where it is skewed."""
-    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+    table is broadcast (Spark checks its size), else the join is dealt anew where it is skewed. Rows of a null key are a group."""
+    return match(df, df.groupBy(*keys).agg(*aggs), keys, "inner")
 
 
 def softmax(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -306,7 +300,7 @@ def row_pointers(m: DataFrame, rows: int) -> DataFrame:
     """The CSR pointer of each row, and of the end: how many stored values lie in smaller rows."""
     n = m.groupBy("i").agg(F.count("*").alias("n"))
     every = m.sparkSession.range(rows + 1).withColumnRenamed("id", "i").join(n, "i", "left")
-    return global_cumsum(every.select("i", F.coalesce("n", F.lit(0)).alias("n")), "i", "n", 8).select("i", (F.col("cumsum") - F.col("n")).alias("ptr"))
+    return global_cumsum(every.select("i", F.coalesce("n", F.lit(0)).alias("n")), "i", "n").select("i", (F.col("cumsum") - F.col("n")).alias("ptr"))
 
 
 # quantisation

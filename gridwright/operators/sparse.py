@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.creation import grid
+from . import ordered
 from .relational import global_cumsum
 
 
@@ -72,28 +73,24 @@ def broadcast_to(m: DataFrame, name: str, size: int) -> DataFrame:
     return m.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias(name), "*")
 
 
-def pointers(m: DataFrame, on: str, size: int, parts: int = 8) -> DataFrame:
+def pointers(m: DataFrame, on: str, size: int) -> DataFrame:
     """on, ptr: how many entries lie before each row (or column), and before the end."""
     n = m.groupBy(on).agg(F.count("*").alias("_n"))
     every = m.sparkSession.range(size + 1).withColumnRenamed("id", on).join(n, on, "left").select(on, F.coalesce("_n", F.lit(0)).alias("_n"))
-    return global_cumsum(every, on, "_n", parts).select(on, (F.col("cumsum") - F.col("_n")).alias("ptr"))
+    return global_cumsum(every, on, "_n").select(on, (F.col("cumsum") - F.col("_n")).alias("ptr"))
 
 
-def entries(m: DataFrame, on: str, other: str, size: int, parts: int = 8) -> DataFrame:
-    """n, other, v: entries by row (or column), then by the other coordinate; n is their number. A row's entries are counted from its pointer."""
-    from pyspark.sql import Window
-
-    ptr = pointers(m, on, size, parts)
-    within = F.row_number().over(Window.partitionBy(on).orderBy(other)) - 1
-    return m.withColumn("_k", within).join(ptr, on).select((F.col("ptr") + F.col("_k")).cast("long").alias("n"), other, "v")
+def entries(m: DataFrame, on: str, other: str) -> DataFrame:
+    """n, other, v: entries by row (or column), then by the other coordinate; n is their number."""
+    return ordered.numbered(m, [on, other]).select("n", other, "v")
 
 
 def to_csr(m: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    return pointers(m, "i", rows), entries(m, "i", "j", rows)
+    return pointers(m, "i", rows), entries(m, "i", "j")
 
 
 def to_csc(m: DataFrame, cols: int) -> tuple[DataFrame, DataFrame]:
-    return pointers(m, "j", cols), entries(m, "j", "i", cols)
+    return pointers(m, "j", cols), entries(m, "j", "i")
 
 
 def from_compressed(ptr: DataFrame, rows: DataFrame, on: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
-from . import elementwise_queries, foreach_queries, spatial_queries, tensor_queries
+from . import elementwise_queries, foreach_queries, ordered_queries, spatial_queries, tensor_queries
 
 QUERIES, SQL = {}, {}
 
@@ -88,7 +88,7 @@ def topk(spark, sf):
     return r.topk(_t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey", 3).drop("o_totalprice")
 
 
-@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS INTEGER) AS rank FROM events")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS rank FROM events")
 def sort(spark, sf):
     return r.sort_rank(_t(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id").drop("value")
 
@@ -97,7 +97,7 @@ def sort(spark, sf):
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def cumsum_cumprod(spark, sf):
     rows = _t(spark, sf, "events").select("user_id", "event_id", "value")
-    out = r.scan(rows, ["user_id"], "event_id", cumsum=F.sum(cents("value")), cumprod=F.product((1 + F.col("event_id") % 2).cast("double")))
+    out = r.scan(rows, ["user_id"], "event_id", cumsum=("sum", cents("value")), cumprod=("product", (1 + F.col("event_id") % 2).cast("double")))
     return out.select("event_id", "cumsum", F.round("cumprod", 6).alias("cumprod"))
 
 
@@ -116,7 +116,7 @@ def logcumsumexp(spark, sf):
 
 @query("SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumsum FROM events")
 def global_cumsum(spark, sf):
-    return r.global_cumsum(_t(spark, sf, "events").select("event_id", cents("value").alias("c")), "event_id", "c", 16).select("event_id", "cumsum")
+    return r.global_cumsum(_t(spark, sf, "events").select("event_id", cents("value").alias("c")), "event_id", "c").select("event_id", "cumsum")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
@@ -318,7 +318,7 @@ def losses(spark, sf):
     return _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(mean(r.mse(q, t), "mse"), mean(r.smooth_l1(q, t), "smooth"), mean(r.huber(q, t, 3.0), "huber"), mean(r.bce(p, y), "bce"), mean(r.bce_with_logits(z, y), "bcel"))
 
 
-for _module in (elementwise_queries, foreach_queries, spatial_queries, tensor_queries):
+for _module in (elementwise_queries, foreach_queries, ordered_queries, spatial_queries, tensor_queries):
     _queries, _sql = _module.build()
     QUERIES |= _queries
     SQL |= _sql
