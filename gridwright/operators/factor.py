@@ -1,7 +1,7 @@
 """Factors of small matrices that are a value of a row: Cholesky, LDL, Householder QR, Jacobi eigenvalues and singular values, exponentials.
 
 A matrix is array<array<double>>, its rows; reflections hold columns. All are array expressions, so a batch of matrices is a projection that Catalyst
-plans with what is around it. Columns that hold a matrix should be columns of the table, not long expressions, for they are read many times.
+plans with what is around it. A column that a later expression reads inside its lambdas should be made by `held`.
 
 A singular or indefinite matrix gives NaN in the places that it leaves undefined, never an error.
 """
@@ -20,6 +20,12 @@ NAN = float("nan")
 MATRIX, VECTOR = "array<array<double>>", "array<double>"
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, computed once a row: the optimiser doesn't copy a generator's columns into the lambdas that read them, which would
+    compute them at every place. Columns of the same names are replaced."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -272,9 +278,11 @@ def matrix_exp(df: DataFrame, m: str, name: str, degree: int = 8) -> DataFrame:
         step = lambda acc, w: F.transform(product(acc, a), lambda r, i: F.transform(r, lambda x, j: sign * x + F.when(i == j, w).otherwise(0.0)))
         return F.aggregate(F.array(*[F.lit(w) for w in weights]), zero, step)
 
-    rows = df.withColumn("_h", halvings).withColumn("_small", F.transform(m, lambda r: F.transform(r, lambda x: x / F.pow(F.lit(2.0), F.col("_h")))))
-    rows = rows.withColumns({"_over": transpose(series(1)), "_under": series(-1)}).withColumn("_lu", lu(F.col("_under")))
-    rows = rows.withColumn("_ratio", F.transform("_over", lambda b: lu_solve(F.col("_lu"), b))).withColumn("_ratio", transpose(F.col("_ratio")))
+    rows = held(df, _h=halvings)
+    rows = held(rows, _small=F.transform(m, lambda r: F.transform(r, lambda x: x / F.pow(F.lit(2.0), F.col("_h")))))
+    rows = held(rows, _over=series(1), _under=series(-1))
+    rows = held(held(rows, _over=transpose(F.col("_over"))), _lu=lu(F.col("_under")))
+    rows = held(held(rows, _ratio=F.transform("_over", lambda b: lu_solve(F.col("_lu"), b))), _ratio=transpose(F.col("_ratio")))
     return rows.select(*df.columns, F.aggregate(upto(F.col("_h")), F.col("_ratio"), lambda x, _: product(x, x)).alias(name))
 
 

@@ -93,34 +93,6 @@ def pdist(points: DataFrame, key: str, vector: str, p: float = 2.0, blocks: int
     return left.join(right, ["_b", "_c"]).where("a < b").select("a", "b", "_x", "_y", distance(F.col("_x"), F.col("_y"), p).alias("d"))
 
 
-def dft(values: Column, n: int, inverse: bool = False, norm: float = 1.0) -> Column:
-    """Discrete Fourier transform of an array of n complex numbers (structs re, im): each output is a sum over the row's array."""
-    sign = 1 if inverse else -1
-
-    def one(k: Column) -> Column:
-        turn = lambda i: F.lit(sign * 2 * math.pi / n) * F.pmod(k * i, F.lit(n))
-        parts = F.transform(values, lambda z, i: F.struct((z["re"] * F.cos(turn(i)) - z["im"] * F.sin(turn(i))).alias("re"), (z["re"] * F.sin(turn(i)) + z["im"] * F.cos(turn(i))).alias("im")))
-        zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-        return F.aggregate(parts, zero, lambda s, z: F.struct((s["re"] + z["re"]).alias("re"), (s["im"] + z["im"]).alias("im")), lambda s: F.struct((s["re"] * norm).alias("re"), (s["im"] * norm).alias("im")))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
-
-
-def as_complex(values: Column) -> Column:
-    return F.transform(values, lambda x: F.struct(x.cast("double").alias("re"), F.lit(0.0).alias("im")))
-
-
-def rfft(values: Column, n: int) -> Column:
-    """The first half of a real array's transform."""
-    return F.slice(dft(as_complex(values), n), 1, n // 2 + 1)
-
-
-def irfft(half: Column, n: int) -> Column:
-    """The real array of which `half` is the first half of the transform."""
-    rest = F.transform(F.sequence(F.lit(n - n // 2 - 1), F.lit(1)), lambda k: F.struct(F.get(half, k)["re"].alias("re"), (-F.get(half, k)["im"]).alias("im")))
-    return F.transform(dft(F.concat(half, rest), n, True, 1 / n), lambda z: z["re"])
-
-
 # small square matrices: array<array<double>> columns
 def _axpy(row: Column, other: Column, f: Column) -> Column:
     return F.zip_with(row, other, lambda a, b: a - f * b)

@@ -93,6 +93,26 @@ def to_csc(m: DataFrame, cols: int) -> tuple[DataFrame, DataFrame]:
     return pointers(m, "j", cols), entries(m, "j", "i")
 
 
+def validate_compressed(ptr: DataFrame, rows: DataFrame, size: int, width: int, on: str = "i", other: str = "j") -> DataFrame:
+    """One row: what must hold of pointers (on, ptr) and entries (n, other) of `size` rows and `width` columns, and how many entries there are."""
+    before = ordered.previous(ptr, [], [on], "ptr").agg(
+        F.coalesce(F.bool_and(F.when(F.col(on) == 0, F.col("ptr") == 0)), F.lit(False)).alias("first_is_zero"),
+        F.max(F.when(F.col(on) == size, F.col("ptr"))).alias("_last"),
+        F.coalesce(F.bool_and((F.col("ptr") - F.col("_previous.v")).between(0, width)), F.lit(True)).alias("rows_fit"),
+        F.count("*").alias("_rows"),
+    )
+    starts = ptr.select(F.col("ptr").alias("n"), F.lit(True).alias("_start")).distinct()
+    placed = ordered.previous(rows, [], ["n"], other).join(starts, "n", "left")
+    held = placed.agg(
+        F.count("*").alias("stored"),
+        F.coalesce(F.bool_and(F.col(other).between(0, width - 1)), F.lit(True)).alias("columns_fit"),
+        F.coalesce(F.bool_and(F.col("_start").isNotNull() | (F.col("_previous.v") < F.col(other))), F.lit(True)).alias("ascending"),
+    )
+    both = before.join(F.broadcast(held), F.lit(True))  # a row each
+    last = F.coalesce((F.col("_last") == F.col("stored")) & (F.col("_rows") == size + 1), F.lit(False))
+    return both.select("first_is_zero", last.alias("last_is_count"), "rows_fit", "columns_fit", "ascending", "stored")
+
+
 def from_compressed(ptr: DataFrame, rows: DataFrame, on: str) -> DataFrame:
     """Coordinates again: each pointer's row, up to the next pointer, owns the entries between. Runs are exploded, not compared."""
     nxt = ptr.select((F.col(on) - 1).alias(on), F.col("ptr").alias("_to"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
-from . import elementwise_queries, foreach_queries, ordered_queries, spatial_queries, tensor_queries
+from . import elementwise_queries, factor_queries, foreach_queries, ordered_queries, spatial_queries, tensor_queries
 
 QUERIES, SQL = {}, {}
 
@@ -318,7 +318,7 @@ def losses(spark, sf):
     return _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(mean(r.mse(q, t), "mse"), mean(r.smooth_l1(q, t), "smooth"), mean(r.huber(q, t, 3.0), "huber"), mean(r.bce(p, y), "bce"), mean(r.bce_with_logits(z, y), "bcel"))
 
 
-for _module in (elementwise_queries, foreach_queries, ordered_queries, spatial_queries, tensor_queries):
+for _module in (elementwise_queries, factor_queries, foreach_queries, ordered_queries, spatial_queries, tensor_queries):
     _queries, _sql = _module.build()
     QUERIES |= _queries
     SQL |= _sql

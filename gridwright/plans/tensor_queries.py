@@ -10,7 +10,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as e
-from ..operators import indexing, linalg, more, nested, norms, random, sparse, views
+from ..operators import factor, indexing, linalg, more, nested, norms, random, sparse, views
 from ..operators import relational as r
 from ..sources import creation
 
@@ -579,7 +579,7 @@ def three(spark, sf):
     """A 3 x 3 matrix, its factors, and a right side, of each embedding."""
     at = lambda k: F.col("a")[k]
     rows = F.array(F.array(at(0), at(1), at(2)), F.array(at(3), at(4), at(5)), F.array(at(6), at(7), at(8) + 2))
-    return vecs(spark, sf).select("n", rows.alias("m"), F.slice("a", 10, 3).alias("b")).withColumn("f", linalg.lu(F.col("m")))
+    return factor.held(factor.held(vecs(spark, sf), m=rows, b=F.slice("a", 10, 3)).drop("a"), f=linalg.lu(F.col("m")))
 
 
 for _name in ("det", "linalg_det", "_linalg_det"):
@@ -608,19 +608,6 @@ add("linalg_cross", f"SELECT n, round(b * f - c * e, 5) + 0.0 AS x, round(c * d
 add("compute_linear_combination", f"SELECT n, round(2 * a - 3 * d, 5) + 0.0 AS x, round(2 * c - 3 * f, 5) + 0.0 AS z FROM ({_A3})")(
     lambda spark, sf: vecs(spark, sf).withColumn("s", linalg.linear_combination([F.slice("a", 1, 3), F.slice("a", 4, 3)], [2.0, -3.0])).select("n", R(F.col("s")[0]).alias("x"), R(F.col("s")[2]).alias("z"))
 )
-_FFT = f"SELECT n, k, round(sum(x * cos(2 * pi() * k * c / 64)), 4) + 0.0 AS re, round(-sum(x * sin(2 * pi() * k * c / 64)), 4) + 0.0 AS im FROM {EMB}, (SELECT unnest(range({{top}})) AS k) GROUP BY 1, 2"
-
-
-def _spectrum(df):
-    return df.select("n", F.posexplode("s").alias("k", "z")).select("n", F.col("k").cast("long").alias("k"), R(F.col("z.re"), 4).alias("re"), R(F.col("z.im"), 4).alias("im"))
-
-
-add("fft_c2c", _FFT.format(top=64))(lambda spark, sf: _spectrum(vecs(spark, sf).withColumn("s", linalg.dft(linalg.as_complex(F.col("a")), 64))))
-add("fft_r2c", _FFT.format(top=33))(lambda spark, sf: _spectrum(vecs(spark, sf).withColumn("s", linalg.rfft(F.col("a"), 64))))
-add("fft_c2r", f"SELECT n, c, round(x, 4) + 0.0 AS x FROM {EMB}")(
-    lambda spark, sf: vecs(spark, sf).withColumn("h", linalg.rfft(F.col("a"), 64)).select("n", F.posexplode(linalg.irfft(F.col("h"), 64)).alias("c", "x")).select("n", F.col("c").cast("long").alias("c"), R(F.col("x"), 4).alias("x"))
-)
-
 # ragged arrays: the lengths of a conversation's texts
 _CONV = "(SELECT conv_id, list(length(text)::DOUBLE ORDER BY turn) AS a FROM conversations GROUP BY 1)"
 
