@@ -37,11 +37,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = np.int64(1) << 40
 #: Bytes of text taken at a time (few of a block's words are new, so it is larger than other operators'), and characters of new words.
-BLOCK_BYTES, PART_CHARS = 1 << 21, 1 << 19
+BLOCK_BYTES, PART_CHARS = 1 << 20, 1 << 19
 #: Characters of a long word that are relaxed from one beginning, and of those before them.
 SEGMENT, OVERLAP = 1024, 256
 #: A worker's memo is begun anew when it holds this many words, or characters.
-MEMO_WORDS, MEMO_CHARS = 400_000, 8_000_000
+MEMO_WORDS, MEMO_CHARS = 250_000, 5_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
