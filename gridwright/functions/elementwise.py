@@ -293,7 +293,11 @@ def frexp(x):
     scaled = over(guess)  # the logarithm may be off by one next to a power of two
     fixed = F.when(F.abs(scaled) >= 1, guess + 1).when(F.abs(scaled) < 0.5, guess - 1).otherwise(guess)
     return F.struct(F.when(odd, x).otherwise(over(fixed)).alias("mantissa"), F.when(odd, 0).otherwise(fixed).cast("int").alias("exponent"))
-def ldexp(x, n): return _d(x) * F.pow(F.lit(2.0), _d(n))
+def ldexp(x, n):
+    """In three steps, each a power of two in range, so that nothing but the result overflows or vanishes."""
+    n = F.greatest(F.least(_d(n), F.lit(2200.0)), F.lit(-2200.0))
+    third = F.rint(n / 3)
+    return _d(x) * F.pow(F.lit(2.0), third) * F.pow(F.lit(2.0), third) * F.pow(F.lit(2.0), n - 2 * third)
 
 
 def foreach(f, columns, *others):

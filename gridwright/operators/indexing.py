@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
 from .relational import by_key
 
 
@@ -60,12 +61,16 @@ def bag_weights_backward(bags: DataFrame, grad: DataFrame, table: DataFrame, bag
 
 
 def masked_scatter(df: DataFrame, at: str, mask: str, value: str, source: DataFrame, source_at: str, source_value: str) -> DataFrame:
-    """The masked rows' values become the source's, in order. Both are numbered in ranges."""
+    """The masked rows' values become the source's, in order; a null mask is false. Both are numbered in parts. A source with fewer rows than the mask
+    fails the job."""
     from .relational import numbered
 
-    masked = numbered(df.where(F.col(mask)), at, "_n")
-    ranked = numbered(source.select(source_at, F.col(source_value).alias("_s")), source_at, "_n").drop(source_at)
-    return masked.join(ranked, "_n").withColumn(value, F.col("_s")).select(df.columns).unionByName(df.where(~F.col(mask)))
+    hit = F.coalesce(F.col(mask), F.lit(False))
+    masked = numbered(df.where(hit), at, "_n")
+    ranked = numbered(source.select(source_at, F.struct(F.col(source_value).alias("v")).alias("_s")), source_at, "_n").drop(source_at)
+    both = masked.join(ranked, "_n", "left")
+    enough = F.assert_true(F.col("_s").isNotNull(), "the source has fewer values than the mask").isNull()
+    return both.withColumn(value, F.when(enough, F.col("_s.v"))).select(df.columns).unionByName(df.where(~hit))
 
 
 def nonzero(df: DataFrame, dims: list[str], value: str = "v") -> DataFrame:
@@ -140,9 +145,11 @@ def segment_reduce_backward(df: DataFrame, grad: DataFrame, value: str, how: str
         return rows.withColumn("d", F.col("g").cast("double")).drop("g")
     if how == "mean":
         return by_key(rows, ["segment"], [F.count("*").alias("_n")]).withColumn("d", F.col("g") / F.col("_n")).drop("g", "_n")
-    if how == "prod":
-        total = by_key(rows, ["segment"], [F.product(value).alias("_p")])
-        return total.withColumn("d", F.col("g") * F.col("_p") / F.col(value)).drop("g", "_p")
+    if how == "prod":  # the product of the others: of all over the value, or of the rest where one value is 0
+        rest = F.product(F.when(F.col(value) == 0, 1.0).otherwise(F.col(value)))
+        total = by_key(rows, ["segment"], [rest.alias("_p"), F.count_if(F.col(value) == 0).alias("_z")])
+        own = F.when(F.col("_z") == 0, F.col("_p") / F.when(F.col(value) == 0, 1.0).otherwise(F.col(value)))
+        return total.withColumn("d", F.col("g") * own.when((F.col("_z") == 1) & (F.col(value) == 0), F.col("_p")).otherwise(0.0)).drop("g", "_p", "_z")
     rows = by_key(rows, ["segment"], [(F.max(value) if how == "max" else F.min(value)).alias("_m")]).withColumn("_hit", (F.col(value) == F.col("_m")).cast("long"))
     return by_key(rows, ["segment"], [F.sum("_hit").alias("_k")]).withColumn("d", F.when(F.col("_hit") == 1, F.col("g") / F.col("_k")).otherwise(0.0)).drop("g", "_m", "_hit", "_k")
 
@@ -153,10 +160,13 @@ def scatter_by_place(grad: DataFrame, keys: list[str], place: str, at: str, valu
 
 
 def cumprod_backward(df: DataFrame, keys: list[str], at: str, value: str, grad: str) -> DataFrame:
-    """d: the gradient of each value (none of them 0) in the running products: what the later products bring, over the value."""
-    from pyspark.sql import Window
-
-    up = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_p", F.product(value).over(up))
-    return rows.withColumn("d", F.sum(F.col(grad) * F.col("_p")).over(down) / F.col(value)).drop("_p")
+    """d: the gradient of each value in the running products. Before a group's first 0 it is what the later products bring, over the value; at the
+    first 0, what the products without it bring up to the next 0; behind that, nothing. at: a number."""
+    x = F.col(value)
+    rows = ordered.scan(df, keys, [at], _zeros=("sum", (x == 0).cast("long")))
+    first = (F.col("_zeros") == 1) & (x == 0)
+    rows = ordered.scan(rows, keys, [at], _p=("product", F.when((F.col("_zeros") > 1) | first, 1.0).otherwise(x)))
+    rows = rows.withColumn("_back", F.negative(at))
+    rows = ordered.scan(rows, [*keys, "_zeros"], ["_back"], _later=("sum", F.col(grad) * F.col("_p")))
+    d = F.when(F.col("_zeros") == 0, F.col("_later") / F.when(x == 0, 1.0).otherwise(x)).when(first, F.col("_later")).otherwise(0.0)
+    return rows.withColumn("d", d).select(*df.columns, "d")

@@ -84,10 +84,19 @@ def qparams(low: Column, high: Column, bits_low: int = -128, bits_high: int = 12
 
 
 def quantize(x: Column, scale: Column, zero: Column, low: int = -128, high: int = 127) -> Column:
-    """Half to even; the inverse of the scale multiplies, as the reference does for a tensor."""
+    """x over the scale, half to even, then the whole zero point."""
     return F.least(F.greatest(F.rint(x / scale) + zero, F.lit(low)), F.lit(high)).cast("int")
 
 
+def quantize_float_qparams(x: Column, scale: Column, zero: Column, low: int = 0, high: int = 255) -> Column:
+    """With a zero point that need not be whole: the inverse of the scale multiplies, and the zero point is added before the rounding (half to even)."""
+    return F.least(F.greatest(F.rint(x * (1 / scale) + zero), F.lit(low)), F.lit(high)).cast("int")
+
+
+def dequantize_float_qparams(q: Column, scale: Column, zero: Column) -> Column:
+    return (q - zero) * scale
+
+
 def quantize_dynamic(df: DataFrame, value: str, low: int = -128, high: int = 127) -> DataFrame:
     """q, scale and zero from the table's own range: one row, broadcast."""
     ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

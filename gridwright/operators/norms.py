@@ -76,15 +76,27 @@ def channel_stats(df: DataFrame, on: str, value: str) -> DataFrame:
 
 
 def gather_stats(parts: DataFrame, on: str, eps: float = 1e-5) -> DataFrame:
-    """One mean and invstd of each channel from those of several parts (on, mean, invstd, n)."""
-    second = 1 / (F.col("invstd") * F.col("invstd")) - eps + F.col("mean") * F.col("mean")
-    mean = F.sum(F.col("mean") * F.col("n")) / F.sum("n")
-    return parts.groupBy(on).agg(mean.alias("mean"), (1 / F.sqrt(F.sum(second * F.col("n")) / F.sum("n") - mean * mean + eps)).alias("invstd"))
+    """One mean and invstd of each channel from those of several parts (on, mean, invstd, n). Parts' means are taken from the least of them, and their
+    variances grow by the squares of what is left from the common mean, so large means lose no digits."""
+    low = by_key(parts, [on], [F.min("mean").alias("_low")]).withColumn("_off", F.col("mean") - F.col("_low"))
+    rows = by_key(low, [on], [(F.sum(F.col("_off") * F.col("n")) / F.sum("n")).alias("_mid")])
+    off = F.col("_off") - F.col("_mid")
+    var = F.sum((1 / (F.col("invstd") * F.col("invstd")) - eps + off * off) * F.col("n")) / F.sum("n")
+    return rows.groupBy(on).agg((F.min("_low") + F.min("_mid")).alias("mean"), (1 / F.sqrt(var + eps)).alias("invstd"))
 
 
-def elemt(df: DataFrame, stats: DataFrame, on: str, value: str, weight: float = 1.0, bias: float = 0.0) -> DataFrame:
-    """Values normalised by given statistics (on, mean, invstd)."""
-    return df.join(stats, on).withColumn("normed", (F.col(value) - F.col("mean")) * F.col("invstd") * weight + bias).drop("mean", "invstd")
+def _affine(df: DataFrame, affine: DataFrame | None, on: str) -> DataFrame:
+    """df with _weight and _bias of its channel; 1 and 0 without a table (on, weight, bias)."""
+    if affine is None:
+        return df.withColumns({"_weight": F.lit(1.0), "_bias": F.lit(0.0)})
+    return df.join(affine.select(on, F.col("weight").alias("_weight"), F.col("bias").alias("_bias")), on)
+
+
+def elemt(df: DataFrame, stats: DataFrame, on: str, value: str, affine: DataFrame | None = None) -> DataFrame:
+    """Values normalised by given statistics (on, mean, invstd), then scaled and shifted by their channel's weight and bias (affine: on, weight, bias)."""
+    rows = _affine(df.join(stats, on), affine, on)
+    v = (F.col(value) - F.col("mean")) * F.col("invstd") * F.col("_weight") + F.col("_bias")
+    return rows.withColumn("normed", v).drop("mean", "invstd", "_weight", "_bias")
 
 
 def backward_reduce(df: DataFrame, stats: DataFrame, on: str, value: str, grad: str) -> DataFrame:
@@ -94,10 +106,11 @@ def backward_reduce(df: DataFrame, stats: DataFrame, on: str, value: str, grad:
     return rows.groupBy(on).agg(F.sum(grad).alias("sum_dy"), xmu.alias("sum_dy_xmu"), (xmu * F.first("invstd")).alias("dweight"), F.sum(grad).alias("dbias"))
 
 
-def backward_elemt(df: DataFrame, stats: DataFrame, sums: DataFrame, on: str, value: str, grad: str, n: int, weight: float = 1.0) -> DataFrame:
-    rows = df.join(stats, on).join(sums.select(on, "sum_dy", "sum_dy_xmu"), on)
+def backward_elemt(df: DataFrame, stats: DataFrame, sums: DataFrame, on: str, value: str, grad: str, n: int, affine: DataFrame | None = None) -> DataFrame:
+    """The input's gradient from the channels' sums over all n values of a channel (affine: on, weight, bias)."""
+    rows = _affine(df.join(stats, on).join(sums.select(on, "sum_dy", "sum_dy_xmu"), on), affine, on)
     x = (F.col(value) - F.col("mean")) * F.col("invstd") * F.col("invstd") * F.col("sum_dy_xmu") / n
-    return rows.withColumn("v", (F.col(grad) - F.col("sum_dy") / n - x) * F.col("invstd") * weight).select(*df.columns, "v")
+    return rows.withColumn("v", (F.col(grad) - F.col("sum_dy") / n - x) * F.col("invstd") * F.col("_weight")).select(*df.columns, "v")
 
 
 def weight_norm(df: DataFrame, on: str, value: str, size: str) -> DataFrame:

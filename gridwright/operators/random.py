@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .factor import let
 
 
 def _u(seed: int) -> Column:
@@ -31,19 +32,92 @@ def dropout(x: Column, p: float, seed=0) -> Column:
     return F.struct(F.when(kept, x / (1 - p)).otherwise(0.0).alias("v"), kept.alias("mask"))
 
 
-def poisson(rate: Column, seed=0, most: int = 1000) -> Column:
-    """The least k whose distribution function reaches a uniform number; rates up to `most` / 2."""
-    steps = F.sequence(F.lit(1), F.lit(most))
-    start = F.struct(F.rand(seed).alias("u"), F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
-    step = lambda s, k: F.when(s["u"] <= s["sum"], s).otherwise(F.struct(s["u"].alias("u"), (s["p"] * rate / k).alias("p"), (s["sum"] + s["p"] * rate / k).alias("sum"), k.alias("k")))
-    return F.aggregate(steps, start, step)["k"].cast("double")
+# tries of a rejection: the chance that none of them is accepted is below 1e-20
+TRIES = 40
+#: Below this expectation a draw is found by adding up probabilities, which end within STEPS.
+SMALL, STEPS = 10.0, 120
 
 
-def binomial(n: int, p: Column, seed=0) -> Column:
-    """How many of n uniform numbers are below p: numbers from hashes of one uniform number."""
-    u = F.rand(seed)
-    hit = lambda k: (F.pmod(F.xxhash64(u, k), F.lit(1 << 30)) / float(1 << 30) < p).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda s, k: s + hit(k)).cast("double")
+def _stream(seed: int, **more: Column) -> Column:
+    """What a row's uniform numbers are hashed from, and values that go with it."""
+    return F.struct(F.rand(seed).alias("a"), F.rand(seed + 1).alias("b"), *[c.cast("double").alias(n) for n, c in more.items()])
+
+
+def _uniform(s: Column, k: Column, j: int) -> Column:
+    """The j-th uniform number of try k, above 0 and below 1."""
+    return (F.pmod(F.xxhash64(s["a"], s["b"], k, F.lit(j)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
+
+
+def log_factorial(k: Column) -> Column:
+    """From a table up to 15, then by the asymptotic series (error below 1e-11)."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = F.greatest(k, F.lit(16.0))
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(k < 16, F.get(table, F.greatest(k, F.lit(0.0)).cast("int"))).otherwise(series)
+
+
+def _added_up(s: Column, first: Column, ratio) -> Column:
+    """The least k whose distribution function reaches a uniform number. ratio(k): the probability of k over that of k - 1."""
+    start = F.struct(_uniform(s, F.lit(0), 0).alias("u"), first.alias("p"), first.alias("sum"), F.lit(0).alias("k"))
+
+    def step(t: Column, k: Column) -> Column:
+        p = t["p"] * ratio(k)
+        return F.when(t["u"] <= t["sum"], t).otherwise(F.struct(t["u"].alias("u"), p.alias("p"), (t["sum"] + p).alias("sum"), k.alias("k")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["k"].cast("double")
+
+
+def _accepted(s: Column, one) -> Column:
+    """The first number that a try gives; one(k) is null where a try is rejected."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), lambda got, k: F.when(got.isNotNull(), got).otherwise(one(k)))
+
+
+def poisson(rate: Column, seed=0) -> Column:
+    """Poisson numbers of any rate: by adding up below 10, else by transformed rejection, whose tries are accepted nine times in ten whatever the rate."""
+
+    def draw(s: Column) -> Column:
+        r = s["rate"]
+        b = 0.931 + 2.53 * F.sqrt(r)
+        a = -0.059 + 0.02483 * b
+
+        def one(k: Column) -> Column:
+            u, v = _uniform(s, k, 1) - 0.5, _uniform(s, k, 2)
+            edge = 0.5 - F.abs(u)
+            n = F.floor((2 * a / edge + b) * u + r + 0.43).cast("double")
+            inner = (edge >= 0.07) & (v <= 0.9277 - 3.6224 / (b - 2))
+            bound = F.log(v) + F.log(1.1239 + 1.1328 / (b - 3.4)) - F.log(a / (edge * edge) + b) <= -r + n * F.log(r) - log_factorial(n)
+            return F.when(inner | ((n >= 0) & ~((edge < 0.013) & (v > edge)) & bound), n)
+
+        return F.when(r <= 0, 0.0).when(r < SMALL, _added_up(s, F.exp(-r), lambda k: r / k)).otherwise(_accepted(s, one))
+
+    return let(_stream(seed, rate=rate), draw)
+
+
+def binomial(n: int | Column, p: Column, seed=0) -> Column:
+    """Successes of n trials, in a number of steps that doesn't grow with n: as Poisson numbers, for the rarer of both outcomes."""
+
+    def draw(s: Column) -> Column:
+        n, p = s["n"], F.least(s["p"], 1 - s["p"])
+        q, odds = 1 - p, p / (1 - p)
+        spread = F.sqrt(n * p * q)
+        b = 1.15 + 2.53 * spread
+        a = -0.0873 + 0.0248 * b + 0.01 * p
+        mode = F.floor((n + 1) * p).cast("double")
+
+        def one(k: Column) -> Column:
+            u, v = _uniform(s, k, 1) - 0.5, _uniform(s, k, 2)
+            edge = 0.5 - F.abs(u)
+            x = F.floor((2 * a / edge + b) * u + n * p + 0.5).cast("double")
+            inner = (edge >= 0.07) & (v <= 0.92 - 4.2 / b)
+            height = F.log(v * (2.83 + 5.1 / b) * spread / (a / (edge * edge) + b))
+            bound = height <= log_factorial(mode) + log_factorial(n - mode) - log_factorial(x) - log_factorial(n - x) + (x - mode) * F.log(odds)
+            return F.when((x >= 0) & (x <= n) & (inner | bound), x)
+
+        few = _added_up(s, F.exp(n * F.log1p(-p)), lambda k: F.greatest(n - k + 1, F.lit(0.0)) / k * odds)
+        got = F.when((p <= 0) | (n <= 0), 0.0).when(n * p < SMALL, few).otherwise(_accepted(s, one))
+        return F.when(s["p"] <= 0.5, got).otherwise(n - got)
+
+    return let(_stream(seed, n=F.lit(n) if isinstance(n, int) else n, p=p), draw)
 
 
 def standard_gamma(shape: Column, seed=0, rounds: int = 24) -> Column:

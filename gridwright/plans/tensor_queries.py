@@ -401,17 +401,22 @@ def _stats(spark, sf):
     return r.batch_norm_stats(emb(spark, sf), ["c"], "x")
 
 
+def _affine(spark):
+    """A weight and a bias for each channel."""
+    return spark.range(64).select(F.col("id").alias("c"), (1 + F.col("id") / 64).alias("weight"), (F.col("id") % 3).cast("double").alias("bias"))
+
+
 def _dy(spark, sf):
     return emb(spark, sf).withColumn("g", (F.col("n") % 5).cast("double"))
 
 
-add("batch_norm_elemt", f"SELECT n, c, round((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) * 2 + 1, 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY c)")(lambda spark, sf: norms.elemt(emb(spark, sf), _stats(spark, sf), "c", "x", 2.0, 1.0).select("n", "c", R(F.col("normed")).alias("v")))
+add("batch_norm_elemt", f"SELECT n, c, round((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) * (1 + c / 64.0::DOUBLE) + c % 3, 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY c)")(lambda spark, sf: norms.elemt(emb(spark, sf), _stats(spark, sf), "c", "x", _affine(spark)).select("n", "c", R(F.col("normed")).alias("v")))
 add("batch_norm_backward_reduce", f"SELECT c, sum(g)::DOUBLE AS sum_dy, round(sum(g * (x - u)), 4) + 0.0 AS sum_dy_xmu, round(sum(g * (x - u) * s), 4) + 0.0 AS dweight, sum(g)::DOUBLE AS dbias FROM (SELECT *, n % 5 AS g, avg(x) OVER w AS u, 1 / sqrt(var_pop(x) OVER w + 1e-5) AS s FROM {EMB} WINDOW w AS (PARTITION BY c)) GROUP BY c")(
     lambda spark, sf: norms.backward_reduce(_dy(spark, sf), _stats(spark, sf), "c", "x", "g").select("c", "sum_dy", R(F.col("sum_dy_xmu"), 4).alias("sum_dy_xmu"), R(F.col("dweight"), 4).alias("dweight"), "dbias")
 )
-add("batch_norm_backward_elemt", _NORM_GRAD.format(k="c", w="1", e=EMB).replace("(c + 1) / 64.0::DOUBLE * 1 AS g", "n % 5 AS g"))(
+add("batch_norm_backward_elemt", _NORM_GRAD.format(k="c", w="1", e=EMB).replace("(c + 1) / 64.0::DOUBLE * 1 AS g", "n % 5 AS g").replace("round(s *", "round((1 + c / 64.0::DOUBLE) * s *"))(
     lambda spark, sf: norms.backward_elemt(
-        _dy(spark, sf), _stats(spark, sf), norms.backward_reduce(_dy(spark, sf), _stats(spark, sf), "c", "x", "g"), "c", "x", "g", _t(spark, sf, "embeddings").count()
+        _dy(spark, sf), _stats(spark, sf), norms.backward_reduce(_dy(spark, sf), _stats(spark, sf), "c", "x", "g"), "c", "x", "g", _t(spark, sf, "embeddings").count(), _affine(spark)
     ).select("n", "c", R(F.col("v"), 4).alias("v"))
 )
 add("rms_norm", f"SELECT n, c, round(x / sqrt(avg(x * x) OVER w + 1e-6) * (1 + c % 2), 5) + 0.0 AS v FROM {EMB} WINDOW w AS (PARTITION BY n)")(lambda spark, sf: norms.rms_norm(emb(spark, sf), ["n"], "x", weight=1 + F.col("c") % 2).select("n", "c", R(F.col("normed")).alias("v")))
@@ -761,25 +766,27 @@ add("transform_bias_rescale_qkv", _QKV)(lambda spark, sf: more.view(emb(spark, s
 _DRAWS = {
     "uniform": (lambda: random.uniform(2, 5, 1), "v >= 2 AND v < 5", 3.5, 0.9), "random": (lambda: random.random_integer(3, 9, 2), "v >= 3 AND v < 9 AND v = floor(v)", 5.5, 1.8), "normal": (lambda: random.normal(1, 2, 3), "NOT isnan(v)", 1.0, 2.0),
     "normal_functional": (lambda: random.normal(1, 2, 3), "NOT isnan(v)", 1.0, 2.0), "bernoulli": (lambda: random.bernoulli(0.3, 4), "v IN (0, 1)", 0.3, 0.46), "log_normal": (lambda: random.log_normal(0, 0.5, 5), "v > 0", 1.133, 0.604), "exponential": (lambda: random.exponential(2.0, 6), "v >= 0", 0.5, 0.5),
-    "geometric": (lambda: random.geometric(0.25, 7), "v >= 1 AND v = floor(v)", 4.0, 3.46), "poisson": (lambda: random.poisson(F.lit(4.0), 8, 60), "v >= 0 AND v = floor(v)", 4.0, 2.0), "binomial": (lambda: random.binomial(20, F.lit(0.4), 9), "v BETWEEN 0 AND 20 AND v = floor(v)", 8.0, 2.19),
+    "geometric": (lambda: random.geometric(0.25, 7), "v >= 1 AND v = floor(v)", 4.0, 3.46), "poisson": (lambda: random.poisson(F.lit(4.0), 8), "v >= 0 AND v = floor(v)", 4.0, 2.0), "poisson_40": (lambda: random.poisson(F.lit(40.0), 18), "v >= 0 AND v = floor(v)", 40.0, 6.3246),
+    "poisson_million": (lambda: random.poisson(F.lit(1e6), 28), "v >= 0 AND v = floor(v)", 1e6, 1000.0), "binomial_million": (lambda: random.binomial(1_000_000, F.lit(0.9), 19), "v BETWEEN 0 AND 1000000 AND v = floor(v)", 900000.0, 300.0), "binomial": (lambda: random.binomial(20, F.lit(0.4), 9), "v BETWEEN 0 AND 20 AND v = floor(v)", 8.0, 2.19),
     "standard_gamma": (lambda: random.standard_gamma(F.lit(2.5), 10), "v > 0", 2.5, 1.58), "cauchy": (lambda: F.atan(random.cauchy(0, 1, 11)), "abs(v) < 1.5708", 0.0, 0.907), "native_dropout": (lambda: random.dropout(F.lit(3.0), 0.4, 12)["v"], "v IN (0, 5)", 3.0, 2.45),
     "fused_dropout": (lambda: random.dropout(F.lit(3.0), 0.4, 12)["v"], "v IN (0, 5)", 3.0, 2.45), "fill_mem_eff_dropout_mask": (lambda: random.uniform(0, 1, 13), "v >= 0 AND v < 1", 0.5, 0.29),
 }
 
 
 def _draw(make, rule, mean, std):
-    """Whether all draws of a row for each event obey the rule, and their mean lies within five standard errors."""
+    """Whether all draws of a row for each event obey the rule, their mean lies within five standard errors and their deviation within a fifth."""
 
     def run(spark, sf):
         rows = _t(spark, sf, "events").select(make().cast("double").alias("v"))
         near = F.abs(F.avg("v") - mean) < 5 * std / F.sqrt(F.count("*").cast("double"))
-        return rows.agg(F.count("*").alias("n"), F.bool_and(F.expr(rule)).alias("inside"), near.alias("near"))
+        spread = F.abs(F.stddev("v") / std - 1) < 0.2
+        return rows.agg(F.count("*").alias("n"), F.bool_and(F.expr(rule)).alias("inside"), near.alias("near"), spread.alias("spread"))
 
     return run
 
 
 for _name, _spec in _DRAWS.items():
-    add(f"random_{_name}", "SELECT count(*) AS n, true AS inside, true AS near FROM events")(_draw(*_spec))
+    add(f"random_{_name}", "SELECT count(*) AS n, true AS inside, true AS near, true AS spread FROM events")(_draw(*_spec))
 add("sample_dirichlet", "SELECT user_id, 1.0::DOUBLE AS total FROM events GROUP BY 1")(lambda spark, sf: random.dirichlet(_t(spark, sf, "events").select("user_id", F.lit(1.5).alias("a")), ["user_id"], "a", 1).groupBy("user_id").agg(F.round(F.sum("v"), 6).alias("total")))
 add("multinomial", "SELECT user_id, least(count(*), 3) AS n FROM events WHERE value > 0 GROUP BY 1")(lambda spark, sf: random.multinomial(_t(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 3).groupBy("user_id").agg(F.countDistinct("event_id").alias("n")))
 _GG = "round({x}, 4) AS v"

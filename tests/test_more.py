@@ -1,8 +1,11 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from gridwright.operators import indexing, linalg, random, spatial, views
+from gridwright.functions import elementwise as e
+from gridwright.operators import indexing, linalg, nested, norms, random, relational, spatial, views
 from gridwright.operators import more as m
 
 
@@ -78,3 +81,64 @@ def test_gamma_slope(spark):
     x = 1.3
     row = spark.range(1).select(random.standard_gamma_grad(F.lit(1.0), F.lit(x)).alias("g"), random.special.igamma(F.lit(1.01), F.lit(x + 0.01 * 0.9)).alias("up"), random.special.igamma(F.lit(1.0), F.lit(x)).alias("p")).first()
     assert 0 < row.g < 2 and abs(row.up - row.p) < 0.01
+
+
+def test_counts_of_draws_fit_their_distributions(spark):
+    n = 20_000
+    for make, pmf in (
+        (lambda: random.poisson(F.lit(12.0), 1), lambda k: math.exp(k * math.log(12) - 12 - math.lgamma(k + 1))),
+        (lambda: random.poisson(F.lit(3.0), 2), lambda k: math.exp(k * math.log(3) - 3 - math.lgamma(k + 1))),
+        (lambda: random.binomial(60, F.lit(0.7), 3), lambda k: math.comb(60, k) * 0.7**k * 0.3 ** (60 - k) if k <= 60 else 0.0),
+        (lambda: random.binomial(30, F.lit(0.1), 4), lambda k: math.comb(30, k) * 0.1**k * 0.9 ** (30 - k) if k <= 30 else 0.0),
+    ):
+        seen = {int(r.v): r["count"] for r in spark.range(n).select(make().alias("v")).groupBy("v").count().collect()}
+        cells = [k for k in range(80) if n * pmf(k) > 8]
+        chi = sum((seen.get(k, 0) - n * pmf(k)) ** 2 / (n * pmf(k)) for k in cells)
+        assert sum(seen.values()) == n and chi < len(cells) + 5 * math.sqrt(2 * len(cells))
+    edge = spark.range(5).select(random.poisson(F.lit(0.0)).alias("a"), random.binomial(9, F.lit(0.0)).alias("b"), random.binomial(9, F.lit(1.0)).alias("c")).distinct().collect()
+    assert [tuple(r) for r in edge] == [(0.0, 0.0, 9.0)]
+
+
+def test_large_rates_keep_their_moments(spark):
+    for rate in (0.5, 40.0, 800.0, 2000.0, 1e6):
+        m, v = spark.range(20_000).select(random.poisson(F.lit(rate), 7).alias("v")).agg(F.avg("v"), F.var_samp("v")).first()
+        assert abs(m - rate) < 5 * math.sqrt(rate / 20_000) and abs(v / rate - 1) < 0.08
+
+
+def test_ldexp_of_far_exponents(spark):
+    rows = [(1e-300, 1100), (1e300, -1100), (1.5, 3), (0.0, 5000), (1.0, 1024), (1.0, -1080), (float("inf"), -3000)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double, n int").select(e.ldexp(F.col("x"), F.col("n"))).collect()]
+    assert got == [math.ldexp(1e-300, 1100), math.ldexp(1e300, -1100), 12.0, 0.0, float("inf"), 0.0, float("inf")]
+
+
+def test_null_groups_masks_and_zeros(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(None, 1, 2.0), ("a", 2, 0.0), ("a", 3, 0.0), ("b", 4, nan)], "k string, i long, v double")
+    assert {(r.i, None if math.isnan(r.softmax) else round(r.softmax, 6)) for r in relational.softmax(df, ["k"], "v").collect()} == {(1, 1.0), (2, 0.5), (3, 0.5), (4, None)}
+    assert relational.layer_norm(df, ["k"], "v").count() == 4
+    masked = spark.createDataFrame([(1, None, 1.0), (2, True, 2.0), (3, False, 3.0), (4, True, 4.0)], "i int, m boolean, v double")
+    source = spark.createDataFrame([(1, 10.0), (2, None), (3, 30.0)], "j int, s double")
+    got = {r.i: r.v for r in indexing.masked_scatter(masked, "i", "m", "v", source, "j", "s").collect()}
+    assert got == {1: 1.0, 2: 10.0, 3: 3.0, 4: None}
+    with pytest.raises(Exception, match="fewer values"):
+        indexing.masked_scatter(masked, "i", "m", "v", source.limit(1), "j", "s").collect()
+    found = relational.searchsorted(spark.createDataFrame([(1,), (None,), (5,)], "v int"), spark.createDataFrame([(3,), (None,), (9,)], "v int"), "v")
+    assert {(r.v, r.place) for r in found.collect()} == {(3, 1), (None, None), (9, 2)}
+    assert {(r.k, r.inverse) for r in relational.unique_inverse(df.select("k"), "k").collect()} == {(None, 0), ("a", 1), ("b", 2)}
+
+    xs, gs = [2.0, 3.0, 0.0, 4.0, 0.0, 5.0], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    want = [sum(gs[j] * math.prod(x for k, x in enumerate(xs[: j + 1]) if k != i) for j in range(i, 6)) for i in range(6)]
+    rows = spark.createDataFrame([(1, i, x, g) for i, (x, g) in enumerate(zip(xs, gs, strict=True))], "k int, i long, x double, g double")
+    assert [r.d for r in indexing.cumprod_backward(rows, ["k"], "i", "x", "g").orderBy("i").collect()] == pytest.approx(want)
+    for values in ([2.0, 0.0, 3.0], [0.0, 0.0, 3.0], [2.0, 4.0, 3.0]):
+        seg = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "segment int, at long, v double")
+        d = [r.d for r in indexing.segment_reduce_backward(seg, spark.createDataFrame([(1, 2.0)], "segment int, g double"), "v", "prod").orderBy("at").collect()]
+        assert d == pytest.approx([2 * math.prod(v for j, v in enumerate(values) if j != i) for i in range(3)])
+
+
+def test_gathered_statistics_of_large_means(spark):
+    parts = spark.createDataFrame([(0, 1e9, 1 / math.sqrt(1 + 1e-5), 10), (0, 1e9 + 1, 1 / math.sqrt(1 + 1e-5), 10)], "c int, mean double, invstd double, n int")
+    r = norms.gather_stats(parts, "c").first()
+    assert abs(r.mean - (1e9 + 0.5)) < 1e-6 and abs(r.invstd - 1 / math.sqrt(1.25 + 1e-5)) < 1e-6
+    q = spark.createDataFrame([(0.25,), (0.75,), (1.25,), (-9.0,)], "x double").select(nested.quantize_float_qparams(F.col("x"), F.lit(0.5), F.lit(0.5)).alias("q"))
+    assert [r.q for r in q.collect()] == [1, 2, 3, 0]
