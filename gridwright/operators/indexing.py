@@ -61,16 +61,15 @@ def bag_weights_backward(bags: DataFrame, grad: DataFrame, table: DataFrame, bag
 
 
 def masked_scatter(df: DataFrame, at: str, mask: str, value: str, source: DataFrame, source_at: str, source_value: str) -> DataFrame:
-    """The masked rows' values become the source's, in order; a null mask is false. Both are numbered in parts. A source with fewer rows than the mask
-    fails the job."""
+    """The masked rows' values become the source's, in order; a null mask is false, and masked rows past the source's end keep their values. Both are
+    numbered in parts."""
     from .relational import numbered
 
     hit = F.coalesce(F.col(mask), F.lit(False))
     masked = numbered(df.where(hit), at, "_n")
     ranked = numbered(source.select(source_at, F.struct(F.col(source_value).alias("v")).alias("_s")), source_at, "_n").drop(source_at)
     both = masked.join(ranked, "_n", "left")
-    enough = F.assert_true(F.col("_s").isNotNull(), "the source has fewer values than the mask").isNull()
-    return both.withColumn(value, F.when(enough, F.col("_s.v"))).select(df.columns).unionByName(df.where(~hit))
+    return both.withColumn(value, F.when(F.col("_s").isNull(), F.col(value)).otherwise(F.col("_s.v"))).select(df.columns).unionByName(df.where(~hit))
 
 
 def nonzero(df: DataFrame, dims: list[str], value: str = "v") -> DataFrame:

@@ -1,8 +1,8 @@
 """Pooling, padding and resampling over images in coordinate form, as linear maps held in small axis tables.
 
 An image table has id columns, one column a dimension (from 0) and a value. What an operator does along a dimension is a table of (o, i, w):
-output place o takes w of input place i. Its length is the dimension's length times the window's, so it is broadcast. An operator of several
-dimensions joins one axis table for each and sums products of weights (or takes maxima); its gradient is the same join from o to i.
+output place o takes w of input place i. Its length is the dimension's length times the window's; Spark knows it (it is a range) and broadcasts it
+where it is short. An operator of several dimensions joins one axis table for each and sums products of weights (or takes maxima); its gradient is the same join from o to i.
 Every forward and backward operator is one shuffle, with partial sums before it.
 """
 
@@ -104,7 +104,7 @@ def _joined(df: DataFrame, axes: dict[str, DataFrame], side: str, other: str) ->
     weight = []
     for n, (c, axis) in enumerate(axes.items()):
         axis = axis.select(F.col(side).alias(c), F.col(other).alias(f"_{c}"), F.col("w").alias(f"_w{n}"))
-        df = df.join(F.broadcast(axis), c)
+        df = df.join(axis, c)
         weight.append(F.col(f"_w{n}"))
     return df, reduce(lambda a, b: a * b, weight)
 
@@ -158,7 +158,7 @@ def max_unpool(pooled: DataFrame, sizes: dict[str, int], ids: list[str], value:
 
 def _columns(df: DataFrame, axes: dict[str, tuple[DataFrame, int, int]], side: str, other: str) -> DataFrame:
     for c, (axis, _, _) in axes.items():
-        df = df.join(F.broadcast(axis.select(F.col(side).alias(c), F.col(other).alias(f"_{c}"), F.col("k").alias(f"_k{c}"))), c)
+        df = df.join(axis.select(F.col(side).alias(c), F.col(other).alias(f"_{c}"), F.col("k").alias(f"_k{c}")), c)
     return df
 
 
@@ -176,17 +176,17 @@ def col2im(cols: DataFrame, axes: dict[str, tuple[DataFrame, int, int]], ids: li
     rows = places(cols.withColumnRenamed("l", "at"), {c: n for c, (_, _, n) in axes.items()}).drop("at")
     rows = places(rows.withColumnRenamed("k", "at"), {f"_q{c}": w for c, (_, w, _) in axes.items()}).drop("at")
     for c, (axis, _, _) in axes.items():
-        rows = rows.join(F.broadcast(axis.select(F.col("o").alias(c), F.col("k").alias(f"_q{c}"), F.col("i").alias(f"_i{c}"))), [c, f"_q{c}"])
+        rows = rows.join(axis.select(F.col("o").alias(c), F.col("k").alias(f"_q{c}"), F.col("i").alias(f"_i{c}")), [c, f"_q{c}"])
     return rows.groupBy(*ids, *[F.col(f"_i{c}").alias(c) for c in axes]).agg(F.sum("v").alias("v"))
 
 
 def depthwise_conv(df: DataFrame, weight: DataFrame, axes: dict[str, DataFrame], ids: list[str], channel: str) -> DataFrame:
-    """Each channel by a kernel of its own. weight: channel, a column a dimension with the place in the kernel, w (a model's, broadcast)."""
+    """Each channel by a kernel of its own. weight: channel, a column a dimension with the place in the kernel, w (a model's)."""
     cells = df
     for c, axis in axes.items():
-        cells = cells.join(F.broadcast(axis.select(F.col("i").alias(c), F.col("o").alias(f"_{c}"), F.col("k").alias(f"_k{c}"))), c)
+        cells = cells.join(axis.select(F.col("i").alias(c), F.col("o").alias(f"_{c}"), F.col("k").alias(f"_k{c}")), c)
     weight = weight.select(channel, *[F.col(c).alias(f"_k{c}") for c in axes], "w")
-    cells = cells.join(F.broadcast(weight), [channel, *[f"_k{c}" for c in axes]])
+    cells = cells.join(weight, [channel, *[f"_k{c}" for c in axes]])
     return cells.groupBy(*ids, channel, *[F.col(f"_{c}").alias(c) for c in axes]).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
@@ -194,12 +194,23 @@ def depthwise_conv_backward(grad: DataFrame, weight: DataFrame, axes: dict[str,
     """The input's gradient."""
     cells = grad
     for c, axis in axes.items():
-        cells = cells.join(F.broadcast(axis.select(F.col("o").alias(c), F.col("i").alias(f"_{c}"), F.col("k").alias(f"_k{c}"))), c)
+        cells = cells.join(axis.select(F.col("o").alias(c), F.col("i").alias(f"_{c}"), F.col("k").alias(f"_k{c}")), c)
     weight = weight.select(channel, *[F.col(c).alias(f"_k{c}") for c in axes], "w")
-    cells = cells.join(F.broadcast(weight), [channel, *[f"_k{c}" for c in axes]])
+    cells = cells.join(weight, [channel, *[f"_k{c}" for c in axes]])
     return cells.groupBy(*ids, channel, *[F.col(f"_{c}").alias(c) for c in axes]).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def depthwise_conv_weight_backward(df: DataFrame, grad: DataFrame, axes: dict[str, DataFrame], ids: list[str], channel: str) -> DataFrame:
+    """The kernels' gradient: channel, a column a dimension with the place in the kernel, w. Each pair of an input and an output place that a tap joins
+    adds to its tap; taps are few, so their sums are made before anything is shuffled by tap."""
+    cells = df
+    for c, axis in axes.items():
+        cells = cells.join(axis.select(F.col("i").alias(c), F.col("o").alias(f"_{c}"), F.col("k").alias(f"_k{c}")), c)
+    grad = grad.select(*ids, channel, *[F.col(c).alias(f"_{c}") for c in axes], F.col("v").alias("_g"))
+    cells = cells.join(grad, [*ids, channel, *[f"_{c}" for c in axes]])
+    return cells.groupBy(channel, *[F.col(f"_k{c}").alias(c) for c in axes]).agg(F.sum(F.col("v") * F.col("_g")).alias("w"))
+
+
 # sampling at given places
 def _corners(grid: DataFrame, sizes: dict[str, int], corners: bool, border: str, how: str) -> DataFrame:
     """grid rows (a column `at_<dim>` from -1 to 1 for each dimension) once for each cell that they read, with its weight in each dimension.
@@ -319,13 +330,50 @@ def ps_roi_pool(df: DataFrame, rois: DataFrame, height: int, width: int, out: in
     return _pool_cells(rois, height, width, out, scale, False).join(bins, ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.avg("v").alias("v"))
 
 
+def ps_roi_pool_backward(grad: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
+    """grad: roi, c, oi, oj, v. Each cell of a bin gets its share of the bin's gradient, in the bin's own channel."""
+    cells = _pool_cells(rois, height, width, out, scale, False)
+    sizes = cells.groupBy("roi", "oi", "oj").agg(F.count("*").alias("_n"))
+    moved = cells.join(sizes.join(grad, ["roi", "oi", "oj"]), ["roi", "oi", "oj"])
+    channel = ((F.col("c") * out + F.col("oi")) * out + F.col("oj")).alias("c")
+    return moved.groupBy("n", channel, "i", "j").agg(F.sum(F.col("v") / F.col("_n")).alias("v"))
+
+
+def _sampled(df: DataFrame, offsets: DataFrame, sizes: dict[str, int], ids: list[str]) -> DataFrame:
+    """One row for each tap of each output place and input channel: x, what it reads, and dy, dx, how that changes with its place. One corner of
+    four is a row before the sums, which are made within the tap."""
+    taps = offsets
+    for c, x in (("i", "y"), ("j", "x")):
+        taps = taps.withColumn(f"_low{c}", F.floor(x)).withColumn(c, F.explode(F.sequence(F.floor(x), F.floor(x) + 1))).withColumn(f"_w{c}", 1 - F.abs(F.col(x) - F.col(c)))
+        taps = taps.withColumn(f"_s{c}", F.when(F.col(c) == F.col(f"_low{c}"), -1.0).otherwise(1.0))
+    read = taps.join(df, [*ids, *sizes])
+    total = lambda w, n: F.sum(w * F.col("v")).alias(n)
+    wi, wj = F.col("_wi"), F.col("_wj")
+    return read.groupBy(*ids, "oi", "oj", "k", "mask", "c").agg(total(wi * wj, "x"), total(F.col("_si") * wj, "dy"), total(F.col("_sj") * wi, "dx"))
+
+
+def deform_conv_weight_backward(grad: DataFrame, df: DataFrame, offsets: DataFrame, sizes: dict[str, int], ids: list[str]) -> DataFrame:
+    """The weight's gradient: o, c, k, w. grad: ids, o, oi, oj, v."""
+    both = _sampled(df, offsets, sizes, ids).join(grad, [*ids, "oi", "oj"])
+    return both.groupBy("o", "c", "k").agg(F.sum(F.col("v") * F.col("mask") * F.col("x")).alias("w"))
+
+
+def deform_conv_tap_backward(grad: DataFrame, df: DataFrame, offsets: DataFrame, weight: DataFrame, sizes: dict[str, int], ids: list[str]) -> DataFrame:
+    """The gradients of each tap's place (y, x) and mask: ids, oi, oj, k, y, x, mask. Output channels are summed first, by (output place, input
+    channel, tap)."""
+    pulled = grad.join(weight, "o").groupBy(*ids, "oi", "oj", "c", "k").agg(F.sum(F.col("v") * F.col("w")).alias("_g"))
+    both = _sampled(df, offsets, sizes, ids).join(pulled, [*ids, "oi", "oj", "c", "k"])
+    part = lambda c, *more: F.sum(F.col("_g") * F.col(c) * (F.col("mask") if more else 1.0))
+    return both.groupBy(*ids, "oi", "oj", "k").agg(part("dy", 1).alias("y"), part("dx", 1).alias("x"), part("x").alias("mask"))
+
+
 def deform_conv(df: DataFrame, offsets: DataFrame, weight: DataFrame, sizes: dict[str, int], ids: list[str]) -> DataFrame:
     """A convolution whose taps are moved: offsets has, for each output place (ids, oi, oj) and tap k, the place y, x that it reads, between cells,
-    and a mask; weight (a model's, broadcast): o, c, k, w. df: ids, c, i, j, v. Places outside are zero."""
+    and a mask; weight (a model's): o, c, k, w. df: ids, c, i, j, v. Places outside are zero."""
     taps = offsets
     for c, x in (("i", "y"), ("j", "x")):
         taps = taps.withColumn(c, F.explode(F.sequence(F.floor(x), F.floor(x) + 1))).withColumn(f"_w{c}", 1 - F.abs(F.col(x) - F.col(c)))
-    read = taps.join(df, [*ids, *sizes]).join(F.broadcast(weight), ["c", "k"])
+    read = taps.join(df, [*ids, *sizes]).join(weight, ["c", "k"])
     return read.groupBy(*ids, "o", "oi", "oj").agg(F.sum(F.col("_wi") * F.col("_wj") * F.col("mask") * F.col("v") * F.col("w")).alias("v"))
 
 
@@ -334,7 +382,7 @@ def deform_conv_backward(grad: DataFrame, offsets: DataFrame, weight: DataFrame,
     taps = offsets
     for c, x in (("i", "y"), ("j", "x")):
         taps = taps.withColumn(c, F.explode(F.sequence(F.floor(x), F.floor(x) + 1))).withColumn(f"_w{c}", 1 - F.abs(F.col(x) - F.col(c))).where(F.col(c).between(0, sizes[c] - 1))
-    moved = taps.join(grad, [*ids, "oi", "oj"]).join(F.broadcast(weight), ["o", "k"])
+    moved = taps.join(grad, [*ids, "oi", "oj"]).join(weight, ["o", "k"])
     return moved.groupBy(*ids, "c", "i", "j").agg(F.sum(F.col("_wi") * F.col("_wj") * F.col("mask") * F.col("v") * F.col("w")).alias("v"))
 
 

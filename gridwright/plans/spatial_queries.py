@@ -311,6 +311,38 @@ def _conv3d(spark, sf):
     return _shown(s.depthwise_conv(rows, kernel, {c: s.windows(spark, 4, 2, 1) for c in "ijk"}, ["n"], "c").drop("c"))
 
 
+def _conv_weights(dims, shape, window, stride, pad):
+    """The kernels' gradient for an output gradient of o + 1 along the first dimension."""
+    names = "ijk"[:dims]
+
+    def run(spark, sf):
+        rows = _image(spark, sf, dims).withColumn("c", F.col("n") % 2)
+        axes = {c: s.windows(spark, shape, window, stride, pad) for c in names}
+        first = {c: a.select("o").distinct() for c, a in axes.items()}
+        grad = rows.select("n", "c").distinct()
+        for c in names:
+            grad = grad.join(F.broadcast(first[c].select(F.col("o").alias(c))), F.lit(True))  # a few places
+        grad = grad.withColumn("v", (F.col("i") + 1).cast("double"))
+        return s.depthwise_conv_weight_backward(rows, grad, axes, ["n"], "c").withColumn("w", F.round("w", 3) + 0.0)
+
+    w = _values("window", shape, {"window": window, "stride": stride, "pad": pad})
+    joins = " ".join(f"JOIN {w} a{c}(o, i, w, k) ON a{c}.i = x.{c}" for c in names)
+    taps = ", ".join(f"a{c}.k AS {c}" for c in names)
+    return run, f"SELECT x.n % 2 AS c, {taps}, round(sum(x.v * (ai.o + 1)), 3) + 0.0 AS w FROM {_image_sql(dims)} x {joins} GROUP BY ALL"
+
+
+def _conv3d_backward():
+    """The input's gradient in three dimensions, for an output gradient that is the image's own first places."""
+
+    def run(spark, sf):
+        grad = _image(spark, sf, 3).where("i < 3 AND j < 3 AND k < 3").withColumn("c", F.lit(0).cast("long"))
+        kernel = spark.range(8).select(F.lit(0).cast("long").alias("c"), *[(F.floor(F.col("id") / d) % 2).cast("long").alias(c) for c, d in (("i", 4), ("j", 2), ("k", 1))], (F.col("id") - 3.5).alias("w"))
+        return _shown(s.depthwise_conv_backward(grad, kernel, {c: s.windows(spark, 4, 2, 1) for c in "ijk"}, ["n"], "c").drop("c"))
+
+    return run, f"""SELECT x.n, a.i, b.i AS j, d.i AS k, round(sum(x.v * (a.k * 4 + b.k * 2 + d.k - 3.5)), 4) + 0.0 AS v FROM {_image_sql(3)} x
+JOIN {_V3} a(o, i, w, k) ON a.o = x.i JOIN {_V3} b(o, i, w, k) ON b.o = x.j JOIN {_V3} d(o, i, w, k) ON d.o = x.k GROUP BY ALL"""
+
+
 _V3 = _values("window", 4, {"window": 2, "stride": 1})
 _CONV3D = f"""SELECT x.n, a.o AS i, b.o AS j, d.o AS k, round(sum(x.v * (a.k * 4 + b.k * 2 + d.k - 3.5)), 4) + 0.0 AS v FROM {_image_sql(3)} x
 JOIN {_V3} a(o, i, w, k) ON a.i = x.i JOIN {_V3} b(o, i, w, k) ON b.i = x.j JOIN {_V3} d(o, i, w, k) ON d.i = x.k GROUP BY ALL"""
@@ -366,6 +398,18 @@ _DEFORM = f"SELECT g.n, o, oi, oj, round(sum((1 - abs(g.y - m.i)) * (1 - abs(g.x
 _DEFORM_BACK = f"SELECT g.n, m.i, m.j, round(sum((1 - abs(g.y - m.i)) * (1 - abs(g.x - m.j)) * mask * (o * 2 + k + 0.5) * (oi + 1) * 0.73105857::DOUBLE), 4) + 0.0 AS v FROM {_NEAR} GROUP BY ALL"
 
 
+_PULL = "(oi + 1) * 0.73105857::DOUBLE"
+_DEFORM_WEIGHT = f"SELECT o, k, round(sum((1 - abs(g.y - m.i)) * (1 - abs(g.x - m.j)) * mask * m.v * {_PULL}), 3) + 0.0 AS w FROM {_NEAR} GROUP BY ALL"
+_SIGN = "CASE WHEN m.{d} = floor(g.{x}) THEN -1 ELSE 1 END"
+_DEFORM_TAP = f"""SELECT g.n, oi, oj, k, round(sum({_SIGN.format(d="i", x="y")} * (1 - abs(g.x - m.j)) * mask * m.v * {_PULL} * (o * 2 + k + 0.5)), 4) + 0.0 AS y,
+round(sum({_SIGN.format(d="j", x="x")} * (1 - abs(g.y - m.i)) * mask * m.v * {_PULL} * (o * 2 + k + 0.5)), 4) + 0.0 AS x,
+round(sum((1 - abs(g.y - m.i)) * (1 - abs(g.x - m.j)) * m.v * {_PULL} * (o * 2 + k + 0.5)), 4) + 0.0 AS mask FROM {_NEAR} GROUP BY ALL"""
+_PS_POOL_BACK = f"""WITH r AS (SELECT roi, n, round(x1) AS a, round(y1) AS b, greatest(round(x2) - round(x1), 0.1) / 3 AS w, greatest(round(y2) - round(y1), 0.1) / 3 AS h FROM {_ROI}),
+p AS (SELECT roi, r.n, oi, oj, i, j, count(*) OVER (PARTITION BY roi, oi, oj) AS k FROM r, (SELECT unnest(range(3)) AS oi), (SELECT unnest(range(3)) AS oj), (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)
+WHERE i >= floor(oi * h) + b AND i < ceil((oi + 1) * h) + b AND j >= floor(oj * w) + a AND j < ceil((oj + 1) * w) + a)
+SELECT n, (c * 3 + oi) * 3 + oj AS c, i, j, round(sum((oi + oj + 1 + c) * 0.73105857::DOUBLE / k), 4) + 0.0 AS v FROM p, (SELECT unnest(range(2)) AS c) GROUP BY ALL"""
+
+
 def build() -> tuple[dict, dict]:
     q, sql = {}, {}
 
@@ -397,6 +441,9 @@ def build() -> tuple[dict, dict]:
     add("depthwise_conv2d_backward", _conv(True))
     add("depthwise_conv3d", (_conv3d, _CONV3D))
     region = (8, 8, 3, 2)
+    add("depthwise_conv2d_weight_backward", _conv_weights(2, 8, 3, 1, 1))
+    add("depthwise_conv3d_weight_backward", _conv_weights(3, 4, 2, 1, 0))
+    add("depthwise_conv3d_backward", _conv3d_backward())
     add("roi_align_backward", (lambda spark, sf: _shown(s.roi_align_backward(_bins(spark, sf, 3), _rois(spark, sf), *region)), _ALIGN_BACK))
     add("ps_roi_align", (lambda spark, sf: s.ps_roi_align(_channels(spark, sf), _rois(spark, sf), *region).withColumn("v", F.round("v", 3) + 0.0), _PS_ALIGN))
     add("ps_roi_align_backward", (lambda spark, sf: _shown(s.ps_roi_align_backward(_bins(spark, sf, 3, ("c", 2)), _rois(spark, sf), *region)), _PS_BACK))
@@ -406,6 +453,10 @@ def build() -> tuple[dict, dict]:
     add("deform_conv2d", (lambda spark, sf: _shown(s.deform_conv(image(spark, sf), _moved(spark, sf), _taps(spark), SHAPES[2], ["n"])), _DEFORM))
     grads = lambda spark, sf: _moved(spark, sf).select("n", "oi", "oj").distinct().withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long")))).withColumn("v", (F.col("oi") + 1.0) * 0.73105857)
     add("deform_conv2d_backward", (lambda spark, sf: _shown(s.deform_conv_backward(grads(spark, sf), _moved(spark, sf), _taps(spark), SHAPES[2], ["n"])).drop("c"), _DEFORM_BACK))
+    places = lambda df, *names: df.select("n", "oi", "oj", "k", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
+    add("deform_conv2d_weight_backward", (lambda spark, sf: s.deform_conv_weight_backward(grads(spark, sf), image(spark, sf), _moved(spark, sf), SHAPES[2], ["n"]).select("o", "k", (F.round("w", 3) + 0.0).alias("w")), _DEFORM_WEIGHT))
+    add("deform_conv2d_tap_backward", (lambda spark, sf: places(s.deform_conv_tap_backward(grads(spark, sf), image(spark, sf), _moved(spark, sf), _taps(spark), SHAPES[2], ["n"]), "y", "x", "mask"), _DEFORM_TAP))
+    add("ps_roi_pool_backward", (lambda spark, sf: _shown(s.ps_roi_pool_backward(_bins(spark, sf, 3, ("c", 2)), _rois(spark, sf), 8, 8, 3)), _PS_POOL_BACK))
     whole = lambda spark, sf: _image(spark, sf, 2).withColumn("v", F.rint(F.col("v") * 20).cast("int"))
     add("quantized_max_pool2d", (
         lambda spark, sf: s.max_pool(whole(spark, sf), _axes(spark, *MAXES["adaptive_max_pool2d"]), SHAPES[2], ["n"]).drop("at"),

@@ -177,7 +177,7 @@ add("embedding_bag_per_sample_weights_backward", f"SELECT o_orderkey AS entry, r
     ).withColumn("g", R(F.col("g"), 4))
 )
 add("masked_scatter", """WITH m AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_acctbal < 0), s AS (SELECT s_acctbal, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier)
-SELECT c.c_custkey, coalesce(s.s_acctbal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN m ON m.c_custkey = c.c_custkey LEFT JOIN s ON s.k = m.k WHERE c.c_acctbal >= 0 OR s.k IS NOT NULL""")(
+SELECT c.c_custkey, coalesce(s.s_acctbal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN m ON m.c_custkey = c.c_custkey LEFT JOIN s ON s.k = m.k""")(
     lambda spark, sf: indexing.masked_scatter(_t(spark, sf, "customer").select("c_custkey", "c_acctbal").withColumn("m", F.col("c_acctbal") < 0), "c_custkey", "m", "c_acctbal", _t(spark, sf, "supplier"), "s_suppkey", "s_acctbal").drop("m")
 )
 add("nonzero", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_discount <> 0")(lambda spark, sf: indexing.nonzero(_t(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "l_discount"))
