@@ -8,13 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Products of one inner index that a task makes; an index with more is dealt over a grid of blocks, SIDE rows by SIDE columns.
+HEAVY, SIDE = 1 << 24, 1 << 12
+
+
 # coordinate form; `batch` names the columns that both sides share
 def bmm(a: DataFrame, b: DataFrame, batch: list[str] | None = None) -> DataFrame:
     """i, j, v of the product: an equi-join on the inner dimension (and the batch) and sums."""
     batch = batch or []
-    left = a.select(*batch, "i", F.col("j").alias("_k"), F.col("v").alias("_x"))
-    right = b.select(*batch, F.col("i").alias("_k"), "j", F.col("v").alias("_y"))
-    return left.join(right, [*batch, "_k"]).groupBy(*batch, "i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("v"))
+    left, right = _sides(a, b, batch)
+    return _summed(left.join(right, [*batch, "_k"]), batch)
+
+
+def _sides(a: DataFrame, b: DataFrame, batch: list[str]) -> tuple[DataFrame, DataFrame]:
+    return a.select(*batch, "i", F.col("j").alias("_k"), F.col("v").alias("_x")), b.select(*batch, F.col("i").alias("_k"), "j", F.col("v").alias("_y"))
+
+
+def _summed(pairs: DataFrame, batch: list[str]) -> DataFrame:
+    return pairs.groupBy(*batch, "i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("v"))
+
+
+def skewed_bmm(a: DataFrame, b: DataFrame, batch: list[str] | None = None, heavy: int = HEAVY, side: int = SIDE) -> DataFrame:
+    """As bmm, for inner indices that may be dense: the entries of each are counted first. An index with more than `heavy` products goes over a grid: its
+    rows are dealt into blocks of some `side` and repeated for each block of columns, and the other way round, so that a task makes side * side
+    products at most. Sums are made within tasks first. An index has to have 2 sqrt(heavy) entries to be heavy, so they are few."""
+    batch = batch or []
+    left, right = _sides(a, b, batch)
+    key = [*batch, "_k"]
+    counts = left.groupBy(*key).agg(F.count("*").alias("_n")).join(right.groupBy(*key).agg(F.count("*").alias("_m")), key)
+    dense = counts.where(F.col("_n") * F.col("_m") > heavy).select(*key, F.ceil(F.col("_n") / side).cast("int").alias("_rows"), F.ceil(F.col("_m") / side).cast("int").alias("_columns"))
+    if not dense.take(1):
+        return bmm(a, b, batch)
+    light = left.join(dense.select(*key), key, "left_anti").join(right, key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda at, n: F.pmod(F.xxhash64(at), F.col(n)).cast("int")
+    rows = left.join(dense, key).withColumn("_r", own("i", "_rows")).withColumn("_c", every("_columns")).drop("_rows", "_columns")
+    columns = right.join(dense, key).withColumn("_c", own("j", "_columns")).withColumn("_r", every("_rows")).drop("_rows", "_columns")
+    spread = rows.join(columns, [*key, "_r", "_c"]).select(*light.columns)
+    return _summed(light.unionByName(spread), batch)
 
 
 def transposed(m: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .factor import apply, dot, held, let
+
 
 # views: new coordinates for the same values
 def narrow(df: DataFrame, at: str, start: int, length: int) -> DataFrame:
@@ -63,65 +65,140 @@ def adam(df: DataFrame, step: int, lr: float = 1e-3, b1: float = 0.9, b2: float
     return out.withColumn("p", shrink - lr * (F.col("m") / (1 - b1**step)) / (F.sqrt(F.col("s") / (1 - b2**step)) + eps)).drop("_g")
 
 
-def attention(q: DataFrame, kv: DataFrame, scale: float, causal: bool = False, blocks: int = 16) -> DataFrame:
+#: Rows of a block that attention holds as one array.
+BLOCK = 256
+
+
+def _blocked(df: DataFrame, at: str, names: list[str]) -> tuple[DataFrame, int]:
+    """head, _b, _block: the rows of each head in blocks of some BLOCK rows, as arrays of structs; and how many blocks a head has at most."""
+    most = df.groupBy("head").count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-most // BLOCK))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(at), F.lit(n)))
+    return dealt.groupBy("head", "_b").agg(F.collect_list(F.struct(at, *names)).alias("_block")), n
+
+
+def _met(rows: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """Each row beside each block of its head: a row for each of both, never one for each pair of rows."""
+    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(blocks, ["head", "_b"])
+
+
+def _weighted(weights: Column, vectors: Column) -> Column:
+    """Sum of vectors by weights."""
+    zero = F.transform(F.get(vectors, 0), lambda x: F.lit(0.0))
+    return F.aggregate(F.zip_with(weights, vectors, lambda w, v: F.transform(v, lambda x: w * x)), zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+
+
+def _part(name: str) -> Column:
+    return F.transform("_block", lambda b: b[name])
+
+
+def _scores(row: str, other: str, scale: float) -> Column:
+    return F.transform("_block", lambda b: dot(F.col(row), b[other]) * scale)
+
+
+def attention(q: DataFrame, kv: DataFrame, scale: float, causal: bool = False) -> DataFrame:
     """q: head, i, q (array); kv: head, j, k, v (arrays). Softmax of scaled dot products within the head, then the weighted sum of v.
 
-    Keys come in blocks. A query meets one block at a time and keeps the block's largest score, the sum of its exponentials and of v by them; the
-    blocks of a query are then merged. So what is shuffled is a row for each query and block, not for each pair."""
-    score = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) * scale
-    dealt = kv.withColumn("_b", F.pmod(F.xxhash64("j"), F.lit(blocks)))
-    asked = q.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = asked.join(dealt, ["head", "_b"])
-    pairs = (pairs.where("j <= i") if causal else pairs).select("head", "i", "_b", score.alias("s"), "v")
-    top = pairs.groupBy("head", "i", "_b").agg(F.max("s").alias("_m"))
-    cells = pairs.join(top, ["head", "i", "_b"]).select("head", "i", "_b", "_m", F.exp(F.col("s") - F.col("_m")).alias("_e"), F.posexplode("v").alias("c", "x"))
-    part = cells.groupBy("head", "i", "_b", "_m", "c").agg(F.sum("_e").alias("_s"), F.sum(F.col("_e") * F.col("x")).alias("_x"))
-    most = part.groupBy("head", "i", "c").agg(F.max("_m").alias("_most"))
-    w = F.exp(F.col("_m") - F.col("_most"))
-    out = part.join(most, ["head", "i", "c"]).groupBy("head", "i", "c").agg((F.sum(w * F.col("_x")) / F.sum(w * F.col("_s"))).alias("x"))
-    return out.groupBy("head", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda t: t["x"]).alias("out"))
-
-
-def attention_backward(q: DataFrame, kv: DataFrame, grad: DataFrame, scale: float, blocks: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gradients of q (head, i, c, v), k and v (head, j, c, v). grad: head, i, g (array). Shares come from the forward sums, by block; each pair then gives its
-    share of the three, summed before anything is shuffled by row."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    dealt = kv.withColumn("_b", F.pmod(F.xxhash64("j"), F.lit(blocks)))
-    asked = q.join(grad, ["head", "i"]).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = asked.join(dealt, ["head", "_b"]).withColumn("s", dot("q", "k") * scale).withColumn("_d", dot("g", "v"))
-    top = pairs.groupBy("head", "i").agg(F.max("s").alias("_m"))
-    shares = pairs.join(top, ["head", "i"]).withColumn("_e", F.exp(F.col("s") - F.col("_m")))
-    total = shares.groupBy("head", "i").agg(F.sum("_e").alias("_s"), (F.sum(F.col("_e") * F.col("_d")) / F.sum("_e")).alias("_mean"))
-    rows = shares.join(total, ["head", "i"]).withColumn("p", F.col("_e") / F.col("_s")).withColumn("ds", F.col("p") * (F.col("_d") - F.col("_mean")) * scale)
-    summed = lambda by, vector, w: rows.select("head", by, F.posexplode(vector).alias("c", "x"), F.col(w).alias("_w")).groupBy("head", by, "c").agg(F.sum(F.col("_w") * F.col("x")).alias("v"))
-    return summed("i", "k", "ds"), summed("j", "q", "ds"), summed("j", "g", "p")
+    Keys come in blocks, each one array. A query meets a block at a time and keeps the block's largest score, the sum of its exponentials and of v by
+    them; the blocks of a query are then merged. So what is shuffled is a row for each query and block."""
+    blocks, n = _blocked(kv, "j", ["k", "v"])
+    score = _scores("q", "k", scale)
+    if causal:
+        score = F.zip_with(score, _part("j"), lambda s, j: F.when(j <= F.col("i"), s).otherwise(float("-inf")))
+    met = held(_met(q, blocks, n), _score=score)
+    met = held(met, _m=F.array_max("_score")).where(F.col("_m") > float("-inf"))
+    met = held(met, _e=F.transform("_score", lambda s: F.exp(s - F.col("_m"))))
+    part = met.select("head", "i", F.struct("_m", F.aggregate("_e", F.lit(0.0), lambda s, x: s + x).alias("s"), _weighted(F.col("_e"), _part("v")).alias("x")).alias("_p"))
+    merged = held(part.groupBy("head", "i").agg(F.collect_list("_p").alias("_p")), _most=F.array_max(F.transform("_p", lambda p: p["_m"])))
+    merged = held(merged, _w=F.transform("_p", lambda p: F.exp(p["_m"] - F.col("_most"))))
+    total = F.aggregate(F.zip_with("_w", "_p", lambda w, p: w * p["s"]), F.lit(0.0), lambda s, x: s + x)
+    merged = held(merged, _sum=total, _x=_weighted(F.col("_w"), F.transform("_p", lambda p: p["x"])))
+    return merged.select("head", "i", F.transform("_x", lambda x: x / F.col("_sum")).alias("out"))
+
+
+def _row_sums(q: DataFrame, kv: DataFrame, scale: float) -> DataFrame:
+    """q (head, i, q, g) with the largest score, the sum of exponentials above it, and the mean of g . v by the shares: merged from blocks."""
+    blocks, n = _blocked(kv, "j", ["k", "v"])
+    met = held(_met(q, blocks, n), _score=_scores("q", "k", scale), _d=F.transform("_block", lambda b: dot(F.col("g"), b["v"])))
+    met = held(met, _m=F.array_max("_score"))
+    met = held(met, _e=F.transform("_score", lambda s: F.exp(s - F.col("_m"))))
+    part = met.select("head", "i", F.struct("_m", F.aggregate("_e", F.lit(0.0), lambda s, x: s + x).alias("s"), dot(F.col("_e"), F.col("_d")).alias("d")).alias("_p"))
+    merged = held(part.groupBy("head", "i").agg(F.collect_list("_p").alias("_p")), _m=F.array_max(F.transform(F.col("_p"), lambda p: p["_m"])))
+    add = lambda name: F.aggregate("_p", F.lit(0.0), lambda s, p: s + F.exp(p["_m"] - F.col("_m")) * p[name])
+    merged = held(merged, _s=add("s"), _t=add("d"))
+    return q.join(merged.select("head", "i", "_m", "_s", (F.col("_t") / F.col("_s")).alias("_mean")), ["head", "i"])
+
+
+def attention_backward(q: DataFrame, kv: DataFrame, grad: DataFrame, scale: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gradients of q (head, i, c, v), k and v (head, j, c, v). grad: head, i, g (array).
+
+    Row maxima and sums are merged from blocks as in the forward pass; then each query meets the blocks of keys, and each key those of queries, and
+    sums its block's shares in one array. Nothing is shuffled by pair: rows times blocks at most."""
+    rows = _row_sums(q.join(grad, ["head", "i"]), kv, scale)
+    blocks, n = _blocked(kv, "j", ["k", "v"])
+    met = held(_met(rows, blocks, n), _p=F.transform("_block", lambda b: F.exp(dot(F.col("q"), b["k"]) * scale - F.col("_m")) / F.col("_s")))
+    met = held(met, _ds=F.zip_with("_p", "_block", lambda p, b: p * (dot(F.col("g"), b["v"]) - F.col("_mean")) * scale))
+    dq = met.select("head", "i", F.posexplode(_weighted(F.col("_ds"), _part("k"))).alias("c", "v"))
+
+    asked, m = _blocked(rows, "i", ["q", "g", "_m", "_s", "_mean"])
+    seen = held(_met(kv, asked, m), _p=F.transform("_block", lambda b: F.exp(dot(F.col("k"), b["q"]) * scale - b["_m"]) / b["_s"]))
+    seen = held(seen, _ds=F.zip_with("_p", "_block", lambda p, b: p * (dot(F.col("v"), b["g"]) - b["_mean"]) * scale))
+    dk = seen.select("head", "j", F.posexplode(_weighted(F.col("_ds"), _part("q"))).alias("c", "v"))
+    dv = seen.select("head", "j", F.posexplode(_weighted(F.col("_p"), _part("g"))).alias("c", "v"))
+    summed = lambda df, by: df.groupBy("head", by, "c").agg(F.sum("v").alias("v"))
+    return summed(dq, "i"), summed(dk, "j"), summed(dv, "j")
+
+
+def _tokens(x: DataFrame) -> DataFrame:
+    """seq, t, x: a token's vector as an array."""
+    return x.groupBy("seq", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"].cast("double")).alias("x"))
+
+
+def _with_weights(df: DataFrame, **weights: DataFrame) -> DataFrame:
+    """df with a model's matrices (i, j, v) as arrays of rows in columns: one row of as many numbers as the model has."""
+    for name, w in weights.items():
+        rows = w.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"].cast("double")).alias("_r"))
+        one = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "_r"))), lambda s: s["_r"]).alias(name))
+        df = df.join(F.broadcast(one), F.lit(True))
+    return df
+
+
+def _attended(tokens: DataFrame, qkv: DataFrame, heads: int, width: int, out: DataFrame | None) -> DataFrame:
+    """seq, t, y: what attention gives for each token (seq, t, x)."""
+    each = width // heads
+    made = held(_with_weights(tokens, _w=qkv), _p=apply(F.col("_w"), F.col("x"))).select("seq", "t", "_p")
+    cut = lambda part: F.slice("_p", part * width + F.col("_h") * each + 1, each)
+    made = made.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
+    made = made.select(F.struct("seq", "_h").alias("head"), F.col("t").alias("i"), cut(0).alias("q"), F.col("t").alias("j"), cut(1).alias("k"), cut(2).alias("v"))
+    got = attention(made.select("head", "i", "q"), made.select("head", "j", "k", "v"), each**-0.5)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("head._h", "out"))), lambda s: s["out"]))
+    rows = got.groupBy(F.col("head.seq").alias("seq"), F.col("i").alias("t")).agg(whole.alias("y"))
+    return rows if out is None else held(_with_weights(rows, _w=out), _z=apply(F.col("_w"), F.col("y"))).select("seq", "t", F.col("_z").alias("y"))
+
+
+def _cells(df: DataFrame, vector: str) -> DataFrame:
+    return df.select("seq", "t", F.posexplode(vector).alias("j", "v")).select("seq", "t", F.col("j").cast("long").alias("j"), "v")
 
 
 def multi_head_attention(x: DataFrame, qkv: DataFrame, heads: int, width: int, out: DataFrame | None = None) -> DataFrame:
     """x: seq, t, j, v (a token's vector, in coordinates); qkv: i (3 * width rows), j, v; out: i, j, v. Projection, scaled products within each sequence and head,
-    and the output's projection: seq, t, j, v."""
-    from .linalg import bmm, transposed
+    and the output's projection: seq, t, j, v. Tokens are arrays in between, and projections are expressions of a row."""
+    return _cells(_attended(_tokens(x), qkv, heads, width, out), "y")
 
-    each = width // heads
-    rows = x.select(F.struct("seq", "t").alias("i"), "j", "v")
-    made = bmm(rows, transposed(qkv)).withColumn("_part", F.floor(F.col("j") / width)).withColumn("_h", F.floor(F.col("j") % width / each))
-    vector = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("_part") == k, F.struct("j", "v")))), lambda s: s["v"])
-    parts = made.groupBy("i", "_h").agg(*[vector(k).alias(n) for k, n in enumerate("qkv")]).withColumn("head", F.struct(F.col("i.seq").alias("seq"), "_h"))
-    got = attention(parts.select("head", F.col("i.t").alias("i"), "q"), parts.select("head", F.col("i.t").alias("j"), "k", "v"), each**-0.5)
-    cells = got.select(F.struct(F.col("head.seq").alias("seq"), F.col("i").alias("t")).alias("i"), F.col("head._h").alias("_h"), F.posexplode("out").alias("_c", "v"))
-    cells = cells.select("i", (F.col("_h") * each + F.col("_c")).cast("long").alias("j"), "v")
-    return (bmm(cells, transposed(out)) if out is not None else cells).select("i.seq", "i.t", "j", "v")
 
+def _normed(v: Column, eps: float = 1e-5) -> Column:
+    """An array less its mean, over its deviation."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    centred = let(mean(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred, lambda c: let(F.sqrt(mean(F.transform(c, lambda x: x * x)) + eps), lambda d: F.transform(c, lambda x: x / d)))
 
-def encoder_layer(x: DataFrame, qkv: DataFrame, out: DataFrame, first: DataFrame, second: DataFrame, heads: int, width: int) -> DataFrame:
-    """Attention and a two-layer net with relu, each added to its input and normalised over the token's vector."""
-    from .linalg import bmm, transposed
-    from .norms import normalised
 
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.join(b.select("seq", "t", "j", F.col("v").alias("_b")), ["seq", "t", "j"]).withColumn("v", F.col("v") + F.col("_b"))
-        return normalised(both, ["seq", "t"], "v").select("seq", "t", "j", F.col("normed").alias("v"))
-
-    mid = joined(x, multi_head_attention(x, qkv, heads, width, out))
-    hidden = bmm(mid.select(F.struct("seq", "t").alias("i"), "j", "v"), transposed(first)).withColumn("v", F.greatest(F.col("v"), F.lit(0.0)))
-    return joined(mid, bmm(hidden, transposed(second)).select("i.seq", "i.t", "j", "v"))
+def encoder_layer(x: DataFrame, qkv: DataFrame, out: DataFrame, first: DataFrame, second: DataFrame, heads: int, width: int) -> DataFrame:
+    """Attention and a two-layer net with relu, each added to its input and normalised over the token's vector. Only attention moves tokens."""
+    tokens = _tokens(x)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    both = tokens.join(_attended(tokens, qkv, heads, width, out), ["seq", "t"])
+    mid = held(held(both, _a=plus("x", "y")), _mid=_normed(F.col("_a"))).select("seq", "t", "_mid")
+    mid = held(_with_weights(mid, _f=first), _hidden=F.transform(apply(F.col("_f"), F.col("_mid")), lambda v: F.greatest(v, F.lit(0.0)))).drop("_f")
+    mid = held(held(_with_weights(mid, _g=second), _b=plus("_mid", apply(F.col("_g"), F.col("_hidden")))).drop("_g"), _out=_normed(F.col("_b")))
+    return _cells(mid, "_out")

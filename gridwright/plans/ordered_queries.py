@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ordered, selection
+from ..operators import linalg, ordered, selection
 
 QUERIES, SQL = {}, {}
 ROWS = 2000
@@ -73,3 +73,12 @@ def scan_in_parts(spark, sf):
     cents = F.round(F.col("value") * 100).cast("long")
     out = ordered.scan(rows, ["event_type"], ["user_id", "event_id"], ROWS, total=("sum", cents), top=("max", F.col("value")), low=("min", F.col("event_type")))
     return out.select("event_id", "total", "top", "low")
+
+
+@query("""WITH m AS (SELECT l_suppkey AS i, CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE l_partkey END AS k, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)
+SELECT a.i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b USING (k) GROUP BY 1, 2""")
+def sparse_matmul_skewed(spark, sf):
+    """Entries by supplier and part, times their transpose; a fifth of the parts are one inner index."""
+    k = F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(F.col("l_partkey")).alias("j")
+    m = _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("i"), k).agg(F.sum("l_linenumber").alias("v"))
+    return linalg.skewed_bmm(m, linalg.transposed(m), heavy=500, side=8)

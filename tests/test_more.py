@@ -142,3 +142,35 @@ def test_gathered_statistics_of_large_means(spark):
     assert abs(r.mean - (1e9 + 0.5)) < 1e-6 and abs(r.invstd - 1 / math.sqrt(1.25 + 1e-5)) < 1e-6
     q = spark.createDataFrame([(0.25,), (0.75,), (1.25,), (-9.0,)], "x double").select(nested.quantize_float_qparams(F.col("x"), F.lit(0.5), F.lit(0.5)).alias("q"))
     assert [r.q for r in q.collect()] == [1, 2, 3, 0]
+
+
+def test_attention_in_blocks_and_its_gradients(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 5)
+    rng = np.random.default_rng(8)
+    n, d, scale = 23, 3, 0.7
+    q, k, v, g = (rng.standard_normal((n, d)) for _ in range(4))
+    rows = lambda x, at, name: spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)], f"head int, {at} long, {name} array<double>")
+    kv = rows(k, "j", "k").join(rows(v, "j", "v"), ["head", "j"])
+    s = q @ k.T * scale
+    for causal in (False, True):
+        e_ = np.exp(np.where(np.tril(np.ones((n, n))) > 0, s, -np.inf) if causal else s)
+        out = m.attention(rows(q, "i", "q"), kv, scale, causal).orderBy("i").collect()
+        assert np.allclose([r.out for r in out], e_ / e_.sum(1, keepdims=True) @ v)
+    p = np.exp(s) / np.exp(s).sum(1, keepdims=True)
+    ds = p * (g @ v.T - (p * (g @ v.T)).sum(1, keepdims=True)) * scale
+    for got, at, want in zip(m.attention_backward(rows(q, "i", "q"), kv, rows(g, "i", "g"), scale), "ijj", (ds @ k, ds.T @ q, p.T @ g), strict=True):
+        found = np.zeros((n, d))
+        for r in got.collect():
+            found[r[at], r.c] = r.v
+        assert np.allclose(found, want)
+
+
+def test_products_with_a_dense_inner_index(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(-3, 4, (40, 6)), rng.integers(-3, 4, (6, 30))
+    a[:, 1:] *= rng.random((40, 5)) < 0.1
+    coo = lambda x: spark.createDataFrame([(int(i), int(j), int(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "i long, j long, v long")
+    got = np.zeros((40, 30), int)
+    for r in linalg.skewed_bmm(coo(a), coo(b), heavy=100, side=7).collect():
+        got[r.i, r.j] = r.v
+    assert (got == a @ b).all()
