@@ -199,6 +199,30 @@ def histogram(df: DataFrame, columns: dict[str, list[float]], weight: str | None
     return grid.join(found, names, "left").select(*[F.col(f"_{c}").alias(c) for c in columns], F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram_of_bins(df: DataFrame, bins: dict[str, int], spans: dict[str, tuple[float, float]] | None = None, weight: str | None = None) -> DataFrame:
+    """As histogram, for a number of equal bins a column over a range; without one, over the data's own, which is one more on both sides of a single
+    value. Counts and extremes alone reach the driver."""
+    spans = dict(spans or {})
+    free = [c for c in bins if c not in spans]
+    if free:
+        ends = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(free) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        for i, c in enumerate(free):
+            low, high = float(ends[f"lo{i}"] or 0), float(ends[f"hi{i}"] or 0)
+            spans[c] = (low - 1, high + 1) if low == high else (low, high)
+    rows = df
+    for c, n in bins.items():
+        low, high = spans[c]
+        at = F.least(F.floor((F.col(c) - low) / ((high - low) / n)), F.lit(n - 1)).cast("long")
+        rows = rows.withColumn(f"_{c}", F.when(F.col(c).between(low, high), at)).where(F.col(f"_{c}").isNotNull())
+    found = rows.groupBy(*[F.col(f"_{c}").alias(f"_{c}") for c in bins]).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    grid = df.sparkSession.range(math.prod(bins.values()))
+    step = math.prod(bins.values())
+    for c, n in bins.items():
+        step //= n
+        grid = grid.withColumn(f"_{c}", F.pmod(F.floor(F.col("id") / step), F.lit(n)).cast("long"))
+    return grid.join(found, [f"_{c}" for c in bins], "left").select(*[F.col(f"_{c}").alias(c) for c in bins], F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def bucketize(value: Column, bounds: list[float], right: bool = False) -> Column:
     """How many bounds are below the value (right: not above it); NaN goes after all."""
     return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= value if right else b < value)).cast("long")

@@ -97,6 +97,18 @@ def linalg_ldl_solve(spark, sf):
     return places(factor.held(df, x=factor.ldl_solve(F.col("ld"), F.col("b"))), "x")
 
 
+@query(SOLVED, "linalg_solve", "linalg_solve_ex", "lu_solve")
+def linalg_solve(spark, sf):
+    df = factor.held(rows_of(spark, sf), f=linalg.lu(F.col("s")))
+    return places(factor.held(df, x=linalg.lu_solve(F.col("f"), F.col("b"))), "x")
+
+
+@query(sql_cells([f"k{x}/dt" for x in ("11", "21", "31", "21", "22", "32", "31", "32", "33")], INV), "inverse", "linalg_inv", "linalg_inv_ex")
+def linalg_inv(spark, sf):
+    df = factor.held(rows_of(spark, sf), f=linalg.lu(F.col("s")))
+    return cells(factor.held(df, x=linalg.inverse(F.col("f"))), "x")
+
+
 QR = f"""WITH m AS ({_A3}), h1 AS (SELECT *, CASE WHEN a < 0 THEN 1 ELSE -1 END * sqrt(a*a+d*d+g*g) AS r11 FROM m),
 h2 AS (SELECT *, (r11-a)/r11 AS t1, d/(a-r11) AS v2, g/(a-r11) AS v3, (a*b+d*e+g*h)/r11 AS r12, (a*c+d*f+g*i)/r11 AS r13 FROM h1),
 h3 AS (SELECT *, e - t1*v2*(b+v2*e+v3*h) AS x2, h - t1*v3*(b+v2*e+v3*h) AS x3 FROM h2),
@@ -269,7 +281,7 @@ def linalg_eig(spark, sf):
     return cells(df.select("n", F.array(F.transform("e", left), F.transform("e", size)).alias("x")), "x")
 
 
-@query(sql_cells(["a", "b", "c", "d", "e", "f", "g", "h", "i", "greatest(abs(a), abs(d), abs(g))", "abs(dt)", "1"], _SYMMETRIC), "linalg_lu", "lu_unpack")
+@query(sql_cells(["a", "b", "c", "d", "e", "f", "g", "h", "i", "greatest(abs(a), abs(d), abs(g))", "abs(dt)", "1"], _SYMMETRIC), "linalg_lu", "lu_unpack", "linalg_lu_factor")
 def linalg_lu(spark, sf):
     """P L U, the first pivot, the product of all, and whether L's places are at most 1."""
     df = factor.held(three(spark, sf), u=factor.lu_unpack(F.col("f")))

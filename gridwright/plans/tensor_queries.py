@@ -246,6 +246,12 @@ add("embedding_renorm", f"SELECT n, c, round(CASE WHEN s > 5.0 AND n IN (SELECT
 add("histogram", "SELECT k AS p_size, count(p_partkey) AS n FROM (SELECT unnest(range(4)) AS k) LEFT JOIN part ON k = CASE WHEN p_size < 1 OR p_size > 50 THEN -1 WHEN p_size < 5 THEN 0 WHEN p_size < 11 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END GROUP BY 1")(
     lambda spark, sf: r.histogram(_t(spark, sf, "part"), {"p_size": [1, 5, 11, 30, 50]})
 )
+add("histogram_of_bins", "WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT k AS p_retailprice, count(p_partkey) AS n FROM (SELECT unnest(range(7)) AS k) LEFT JOIN (SELECT p_partkey, least(CAST(floor((p_retailprice - lo) / ((hi - lo) / 7)) AS BIGINT), 6) AS b FROM part, e) ON b = k GROUP BY 1")(
+    lambda spark, sf: r.histogram_of_bins(_t(spark, sf, "part"), {"p_retailprice": 7})
+)
+add("histogramdd_of_bins", "SELECT a AS p_size, b AS p_retailprice, count(p_partkey) AS n FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(4)) AS b) LEFT JOIN part ON p_size BETWEEN 1 AND 51 AND p_retailprice BETWEEN 900 AND 1700 AND a = least((p_size - 1) // 10, 4) AND b = least(CAST(floor((p_retailprice - 900) / 200) AS BIGINT), 3) GROUP BY 1, 2")(
+    lambda spark, sf: r.histogram_of_bins(_t(spark, sf, "part"), {"p_size": 5, "p_retailprice": 4}, {"p_size": (1, 51), "p_retailprice": (900, 1700)})
+)
 add("histogramdd", """SELECT a AS p_size, b AS p_retailprice, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS n FROM (SELECT unnest(range(2)) AS a), (SELECT unnest(range(3)) AS b) LEFT JOIN part ON a = CASE WHEN p_size < 0 OR p_size > 40 THEN -1 WHEN p_size < 20 THEN 0 ELSE 1 END
 AND b = CASE WHEN p_retailprice < 900 OR p_retailprice > 1500 THEN -1 WHEN p_retailprice < 1000 THEN 0 WHEN p_retailprice < 1200 THEN 1 ELSE 2 END GROUP BY 1, 2""")(lambda spark, sf: r.histogram(_t(spark, sf, "part").withColumn("w", F.col("p_size")), {"p_size": [0, 20, 40], "p_retailprice": [900, 1000, 1200, 1500]}, "w"))
 
@@ -591,16 +597,6 @@ for _name in ("det", "linalg_det", "_linalg_det"):
     add(_name if _name[0] != "_" else "linalg_det_kernel", f"SELECT n, round({_DET}, 6) + 0.0 AS v FROM ({_A3})")(lambda spark, sf: three(spark, sf).select("n", R(linalg.det(F.col("f")), 6).alias("v")))
 for _name in ("slogdet", "linalg_slogdet", "linalg_slogdet_kernel"):
     add(_name, f"SELECT n, sign({_DET})::DOUBLE AS s, round(ln(abs({_DET})), 5) + 0.0 AS v FROM ({_A3})")(lambda spark, sf: three(spark, sf).withColumn("s", linalg.slogdet(F.col("f"))).select("n", F.col("s.sign").alias("s"), R(F.col("s.logabsdet"), 5).alias("v")))
-_SOLVE = f"SELECT n, round((p * (e * i - f * h) - b * (q * i - f * r) + c * (q * h - e * r)) / {_DET}, 4) + 0.0 AS x, round((a * (q * i - f * r) - p * (d * i - f * g) + c * (d * r - q * g)) / {_DET}, 4) + 0.0 AS y FROM ({_A3}) WHERE abs({_DET}) > 0.05"
-for _name in ("linalg_solve", "linalg_solve_ex", "lu_solve"):
-    add(_name, _SOLVE)(lambda spark, sf: three(spark, sf).where(F.abs(linalg.det(F.col("f"))) > 0.05).withColumn("s", linalg.lu_solve(F.col("f"), F.col("b"))).select("n", R(F.col("s")[0], 4).alias("x"), R(F.col("s")[1], 4).alias("y")))
-for _name in ("inverse", "linalg_inv", "linalg_inv_ex"):
-    add(_name, f"SELECT n, round((e * i - f * h) / {_DET}, 4) + 0.0 AS x, round((d * h - e * g) / {_DET}, 4) + 0.0 AS y FROM ({_A3}) WHERE abs({_DET}) > 0.05")(
-        lambda spark, sf: three(spark, sf).where(F.abs(linalg.det(F.col("f"))) > 0.05).withColumn("s", linalg.inverse(F.col("f"))).select("n", R(F.col("s")[0][0], 4).alias("x"), R(F.col("s")[2][0], 4).alias("y"))
-    )
-add("linalg_lu_factor", f"SELECT n, round(greatest(abs(a), abs(d), abs(g)), 6) AS pivot, round(abs({_DET}), 5) AS size FROM ({_A3})")(
-    lambda spark, sf: three(spark, sf).select("n", F.round(F.abs(F.col("f.lu")[0][0]), 6).alias("pivot"), F.round(F.abs(F.col("f.lu")[0][0] * F.col("f.lu")[1][1] * F.col("f.lu")[2][2]), 5).alias("size"))
-)
 _TRI = f"SELECT n, round(p / (a + 3), 5) + 0.0 AS x, round((q - d * p / (a + 3)) / (e + 3), 5) + 0.0 AS y FROM ({_A3})"
 for _name in ("linalg_solve_triangular", "triangular_solve"):
     add(_name, _TRI)(
@@ -674,13 +670,19 @@ def _params(spark):
 
 _PC = f"(SELECT *, c_nationkey * 4.0::DOUBLE + 10 AS s, c_nationkey % 5 - 2 AS z FROM ({_BAL}))"
 add("quantize_per_channel", f"SELECT c_custkey, CAST({_Q} AS INTEGER) AS q FROM {_PC}")(lambda spark, sf: nested.quantize_per_channel(bal(spark, sf), _params(spark), "c_nationkey", "x").select("c_custkey", "q"))
-for _name in ("make_per_channel_quantized_tensor", "make_per_tensor_quantized_tensor", "dequantize"):
+for _name in ("make_per_channel_quantized_tensor", "dequantize"):
     add(_name, f"SELECT c_custkey, round(({_Q} - z) * s, 6) + 0.0 AS v FROM {_PC}")(lambda spark, sf: nested.quantize_per_channel(bal(spark, sf), _params(spark), "c_nationkey", "x").select("c_custkey", R(nested.made(F.col("q"), F.col("scale"), F.col("zero")), 6).alias("v")))
 _FQ = "round_even(x / s, 0) + z"
 for _name in ("fake_quantize_per_tensor_affine_cachemask", "fake_quantize_per_tensor_affine_cachemask_tensor_qparams", "fake_quantize_learnable_per_tensor_affine"):
     add(_name, f"SELECT c_custkey, round(({_Q} - z) * s, 6) + 0.0 AS v, {_FQ} BETWEEN -128 AND 127 AS mask FROM (SELECT *, 20.0::DOUBLE AS s, 3 AS z FROM ({_BAL}))")(
         lambda spark, sf: bal(spark, sf).withColumn("f", nested.fake_quantize(F.col("x"), F.lit(20.0), F.lit(3))).select("c_custkey", R(F.col("f.v"), 6).alias("v"), "f.mask")
     )
+add("make_per_tensor_quantized_tensor", "SELECT c_custkey, round((c_custkey % 256 - 131) * 0.037::DOUBLE, 9) + 0.0 AS v FROM customer")(
+    lambda spark, sf: _t(spark, sf, "customer").select("c_custkey", R(nested.made((F.col("c_custkey") % 256 - 128).cast("int"), F.lit(0.037), F.lit(3)), 9).alias("v"))
+)
+add("quantize_float_qparams", "SELECT c_custkey, CAST(least(greatest(round_even(c_acctbal * (1 / 40.0::DOUBLE) + c_nationkey / 4.0::DOUBLE, 0), 0), 255) AS INTEGER) AS q FROM customer")(
+    lambda spark, sf: _t(spark, sf, "customer").select("c_custkey", nested.quantize_float_qparams(F.col("c_acctbal"), F.lit(40.0), F.col("c_nationkey") / 4).alias("q"))
+)
 for _name in ("fake_quantize_per_channel_affine_cachemask", "fake_quantize_learnable_per_channel_affine"):
     add(_name, f"SELECT c_custkey, round(({_Q} - z) * s, 6) + 0.0 AS v, {_FQ} BETWEEN -128 AND 127 AS mask FROM {_PC}")(
         lambda spark, sf: bal(spark, sf).join(_params(spark), "c_nationkey").withColumn("f", nested.fake_quantize(F.col("x"), F.col("scale"), F.col("zero"))).select("c_custkey", R(F.col("f.v"), 6).alias("v"), "f.mask")
