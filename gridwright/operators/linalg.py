@@ -63,8 +63,11 @@ def mv(m: DataFrame, x: DataFrame) -> DataFrame:
     return m.join(x.select("j", F.col("v").alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
 
 
-def outer(x: DataFrame, y: DataFrame, blocks: int = 16) -> DataFrame:
-    """x: i, v; y: j, v. The result has a cell for each pair; x goes to every block of y."""
+def outer(x: DataFrame, y: DataFrame) -> DataFrame:
+    """x: i, v; y: j, v. The result has a cell for each pair; x goes to every block of y, of which there are as many as the result's size asks for."""
+    from .relational import block_count
+
+    blocks = block_count(x, y)
     y = y.select("j", F.col("v").alias("_y"), F.pmod(F.xxhash64("j"), F.lit(blocks)).alias("_b"))
     x = x.select("i", F.col("v").alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
     return x.join(y, "_b").select("i", "j", (F.col("_x") * F.col("_y")).alias("v"))
@@ -113,10 +116,12 @@ def distance_gradient(grad: Column, a: Column, b: Column, distance: Column, p: f
     return F.zip_with(a, b, one)
 
 
-def pdist(points: DataFrame, key: str, vector: str, p: float = 2.0, blocks: int = 16) -> DataFrame:
-    """a, b, d of each pair of rows with a < b. The result is as large as that; rows are dealt into blocks and blocks are paired, so a task holds two."""
-    from .relational import distance
+def pdist(points: DataFrame, key: str, vector: str, p: float = 2.0) -> DataFrame:
+    """a, b, d of each pair of rows with a < b. The result is as large as that; rows are dealt into blocks by its size and blocks are paired, so a task
+    holds two."""
+    from .relational import block_count, distance
 
+    blocks = math.isqrt(block_count(points, points)) + 1
     dealt = points.select(F.col(key).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
     others = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     left = dealt.select(F.col("_id").alias("a"), F.col("_v").alias("_x"), F.col("_b"), F.explode(others).alias("_c"))

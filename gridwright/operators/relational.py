@@ -133,10 +133,9 @@ def numbered(df: DataFrame, at: str, name: str = "n") -> DataFrame:
 
 def roll(df: DataFrame, keys: list[str], at: str, value: str, shift: int) -> DataFrame:
     """rolled: the value `shift` places before, in the order of `at`, around the ends of the group."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.withColumn("_i", (F.row_number().over(_by(keys, at)) - 1).cast("long"))
-    moved = rows.select(*keys, F.pmod(F.col("_i") + shift, n).alias("_i"), F.col(value).alias("rolled"))
-    return rows.join(moved, [*keys, "_i"]).select(*df.columns, "rolled")
+    rows = by_key(ordered.numbered(df, [at], "_i", keys), keys, [F.count("*").alias("_n")])
+    moved = rows.select(*keys, F.pmod(F.col("_i") + shift, F.col("_n")).alias("_i"), F.col(value).alias("rolled"))
+    return match(rows, moved, [*keys, "_i"]).select(*df.columns, "rolled")
 
 
 def unfold(df: DataFrame, keys: list[str], at: str, value: str, size: int, step: int) -> DataFrame:
@@ -302,9 +301,19 @@ def distance(a, b, p=2.0):
     return F.pow(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + F.pow(g, F.lit(float(p)))), F.lit(1.0 / p))
 
 
-def cdist(queries: DataFrame, points: DataFrame, blocks: int = 16) -> DataFrame:
-    """Each row of `queries`, a stated query set, beside each point: the result has that many rows. Points are dealt into blocks and each query goes
-    to every block, so no side is held whole by a task, and both are shuffled by block."""
+#: Pairs of rows that a block of an all-pairs result makes, about.
+PAIRS = 1 << 22
+
+
+def block_count(left: DataFrame, right: DataFrame) -> int:
+    """Blocks into which the right side is dealt where each row of the left meets each of its rows: as many as the result needs."""
+    return max(1, -(-left.count() * right.count() // PAIRS))
+
+
+def cdist(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """Each row of `queries`, a stated query set, beside each point: the result has that many rows. Points are dealt into blocks, as many as the result's
+    size asks for, and each query goes to every block, so no side is held whole by a task, and both are shuffled by block."""
+    blocks = block_count(queries, points)
     dealt = points.withColumn("_block", F.pmod(F.xxhash64(*points.columns), F.lit(blocks)))
     asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return asked.join(dealt, "_block").drop("_block")
