@@ -1,11 +1,10 @@
 """License scans: a positional index of rare words.
 
-All templates' words make one vocabulary, and every word of it knows at which places of which templates it stands. The words' IDF is
-counted over all documents. A block of documents is looked up in the vocabulary once, however many templates there are; what
-comes out is a posting list of each licence word, by position. A template is looked at in a file only if the file has all words
-of its mandatory phrases. Then, from the word of highest IDF on, the phrases' posting lists are intersected by relative
-position: word number i of a phrase must stand i places after the first. What is left are the places where the phrase stands in
-full, and no others; plain phrases end there, so they are found at every place.
+The IDF of all template words is counted over all documents. The rarest word of each mandatory phrase is its anchor, and the index holds for each
+anchor word the phrases (template, phrase, place in the phrase) that it stands in. A file's anchor words, which are its licence words of highest IDF,
+are looked up in it: a word at place p proposes that the phrase begins at p less the word's place, for all templates at once. What is proposed is
+verified by the phrase's other words at their relative places, rarest first. What is left are the places where the phrase stands in full, and no others,
+for a phrase that stands has its anchor there; plain phrases end so, and are found at every place.
 
 A template with all its mandatory phrases gives its label. Its score is the share of its IDF that agrees: each of its words is
 held against the file at the distance of the nearest phrase, so words put in or dropped between two phrases cost only themselves.
@@ -88,17 +87,12 @@ def _phrase(x: str) -> np.ndarray:
     return _words([x.encode()])[0]
 
 
-def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which of x are in a list that isn't empty and rises."""
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
-
-
 class Index:
-    """The vocabulary, its IDF, and for each template its words, weights and mandatory phrases."""
+    """Templates with their words and weights, and the postings of anchor words: for each word, in order, the phrases that it is the rarest of."""
 
     def __init__(self, templates: tuple[Template, ...], base: dict[str, str], vocabulary: np.ndarray, idf: np.ndarray):
         self.vocabulary, self.idf = vocabulary, idf
-        self.items = []
+        self.items, anchors = [], []
         for plain, t in [(True, Template(label, phrase, (phrase,))) for phrase, label in base.items()] + [(False, Template(*t)) for t in templates]:
             word = np.searchsorted(vocabulary, _phrase(t.text))
             spans = []
@@ -106,19 +100,38 @@ class Index:
                 p = np.searchsorted(vocabulary, _phrase(p))
                 at = next(i for i in range(len(word) - len(p) + 1) if (word[i : i + len(p)] == p).all())
                 spans.append((at, len(p)))
-            spans.sort(key=lambda s: -idf[word[s[0] : s[0] + s[1]]].max())  # the phrase with the rarest word leads
             near = np.abs(np.arange(len(word))[:, None] - np.array([a + (n - 1) / 2 for a, n in spans])).argmin(axis=1)
-            need = np.unique(np.concatenate([word[a : a + n] for a, n in spans]))
-            self.items.append((t.label, plain, word, spans, near, need))
-
-    def _places(self, posting: list[np.ndarray], word: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Where a phrase begins: its words' postings, rarest first, intersected by relative position."""
-        found = None
-        for i in np.argsort(-self.idf[word], kind="stable").tolist():
-            found = posting[word[i]] - i if found is None else found[_among(found + i, posting[word[i]])]
-            if not len(found):
-                return found
-        return found[owner[found] == owner[found + len(word) - 1]]
+            for j, (at, n) in enumerate(spans):
+                rare = int(idf[word[at : at + n]].argmax())
+                anchors.append((int(word[at + rare]), len(self.items), j, rare))
+            self.items.append((t.label, plain, word, spans, near))
+        self.anchors = sorted(anchors)
+        self.anchor_word, self.anchor_place = (np.array([x[i] for x in self.anchors], np.int64) for i in (0, 3))
+
+    def _phrases(self, h: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """(template, phrase) -> the places where the phrase begins, for those that stand anywhere."""
+        at = np.searchsorted(self.vocabulary, h)
+        at[at == len(self.vocabulary)] = 0
+        place = np.flatnonzero(self.vocabulary[at] == h)
+        first = np.searchsorted(self.anchor_word, at[place])
+        count = np.searchsorted(self.anchor_word, at[place], side="right") - first
+        posting = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(place, count) - self.anchor_place[posting]
+        order = np.argsort(posting, kind="stable")
+        posting, start = posting[order], start[order]
+        found = {}
+        for k, begin in zip(*np.unique(posting, return_index=True), strict=True):
+            _, item, j, _ = self.anchors[k]
+            _, _, word, spans, _ = self.items[item]
+            word = word[spans[j][0] :][: spans[j][1]]
+            x = start[begin : np.searchsorted(posting, k, side="right")]
+            x = x[(x >= 0) & (x + len(word) <= len(h))]
+            for i in np.argsort(-self.idf[word], kind="stable").tolist():
+                x = x[h[x + i] == self.vocabulary[word[i]]]
+            x = x[owner[x] == owner[x + len(word) - 1]]
+            if len(x):
+                found[item, j] = x
+        return found
 
     def scan(self, h: np.ndarray, owner: np.ndarray, n: int) -> list[tuple]:
         """For each of n texts: places, first and last of the plain phrases, their labels, all labels, score."""
@@ -127,31 +140,15 @@ class Index:
         base: list[set] = [set() for _ in range(n)]
         labels: list[set] = [set() for _ in range(n)]
         score = np.zeros(n)
-        at = np.searchsorted(self.vocabulary, h)
-        at[at == len(self.vocabulary)] = 0
-        place = np.flatnonzero(self.vocabulary[at] == h)
-        order = np.argsort(at[place], kind="stable")
-        posting = np.split(place[order], np.searchsorted(at[place][order], np.arange(1, len(self.vocabulary))))
-        holders = {}  # files of each word, made when a template asks for them
-        for label, plain, word, spans, near, need in self.items:
-            files = None
-            for w in need[np.argsort(-self.idf[need], kind="stable")].tolist():
-                if not len(posting[w]):
-                    files = np.zeros(0, np.int64)
-                    break
-                own = holders[w] if w in holders else holders.setdefault(w, np.unique(owner[posting[w]]))
-                files = own if files is None else files[_among(files, own)]
-                if not len(files):
-                    break
-            if not len(files):
+        phrases = self._phrases(h, owner)
+        for item in sorted({i for i, _ in phrases}):
+            label, plain, word, spans, near = self.items[item]
+            if any((item, j) not in phrases for j in range(len(spans))):
                 continue
-            wanted = np.zeros(n, bool)
-            wanted[files] = True
-            found = []
-            for a, k in spans:
-                x = self._places(posting, word[a : a + k], owner)
-                found.append(x[wanted[owner[x]]])
-                wanted = np.bincount(owner[found[-1]], minlength=n) > 0  # files without the phrase are done with
+            found = [phrases[item, j] for j in range(len(spans))]
+            wanted = np.ones(n, bool)
+            for x in found:
+                wanted &= np.bincount(owner[x], minlength=n) > 0
             lead = found[0][wanted[owner[found[0]]]]
             if not len(lead):
                 continue

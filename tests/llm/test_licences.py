@@ -60,3 +60,10 @@ def test_labels_equal_brute_force(spark):
         assert set(filter(None, got[i].labels.split(","))) == want, i
         labels |= want
     assert len(labels) > 12 and got[1000].score > 0.999 and 0.8 < got[1001].score < 1
+
+
+def test_odd_rows(spark):
+    rows = [(None, "cc by"), (7, "cc by"), (7, "cc by"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, labels string, n_words string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.labels) for r in licences.scan_licences(docs).collect())
+    assert got == [(0, 2, 1, "cc-by"), (7, 2, 1, "cc-by"), (7, 2, 1, "cc-by"), (8, 0, 0, ""), (9, 0, 0, "")]
