@@ -4,7 +4,8 @@ A window is MIN_WORDS (51) words that follow each other, taken as its bytes. Its
 whole CHUNK of words before them in the window, whose gear hash of the last 32 bytes is least (the first, if several are): it
 depends on the window's bytes only, so all copies of a window are cut at the same word, and no text is without cuts. The
 chunk is the CHUNK words before the cut. Windows whose chunk's digest stands in one document only can't be repeated; the
-others are compared whole, by 96 bits of two hashes; neither is linear in the words, so that unequal windows agree by chance alone.
+others are compared whole, by 80 bits of two hashes
+and their number of bytes; neither hash is linear in the words, so that unequal windows agree by chance alone (1e12 windows: some 0.01 pairs).
 
 A window in more than one document is repeated. Its holder is the first other document (least doc_id) that has it, or, in the
 first document itself, the last. Repeated windows with one holder that overlap at one distance from the holder's text make a
@@ -169,7 +170,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
                 key = docs[cut.row[cut.owner[first]]] << bits | cut.place(cut.starts[first], first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cut.digest(first, min_words)), pa.array(cut.digest(first, min_words, 1).astype(np.int32)), pa.array(key, pa.int64()), pa.array((cut.ends[last] - cut.starts[first]).astype(np.int32)),
+                        pa.array(cut.digest(first, min_words)), pa.array(cut.digest(first, min_words, 1).astype(np.int16)), pa.array(key, pa.int64()), pa.array((cut.ends[last] - cut.starts[first]).astype(np.int32)),
                         pa.array(cut.number(first).astype(np.int32)), pa.array(np.isin(place[hit], held[hot])),
                     ],
                     ["_window", "_check", "_key", "_size", "_no", "_hot"],
@@ -190,15 +191,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     if total.bit_length() + bits > 63:
         raise ValueError(f"{total} documents with repeats, the longest text of up to 2**{bits} bytes: their places don't fit a long; take the table in parts")
     texts = _same_row(rows.select("_id", "_row", "_text"), _same_row(held, numbers))
-    each = scratch.save(texts.select("_doc", "_text", "_cuts").mapInArrow(windows, "_window long, _check int, _key long, _size int, _no int, _hot boolean"), "windows")
+    each = scratch.save(texts.select("_doc", "_text", "_cuts").mapInArrow(windows, "_window long, _check short, _key long, _size int, _no int, _hot boolean"), "windows")
     scratch.drop("held")
     doc = lambda c: F.shiftright(c, bits)
     # hot windows, few, get their first and last by broadcast, and their rows are dealt over SALTS tasks; the others' are dealt by window alone
     ends = [F.min("_key").alias("_low"), F.max("_key").alias("_high")]
-    hot = each.where("_hot").groupBy("_window", "_check").agg(*ends, F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n")
-    tagged = each.drop("_hot").join(F.broadcast(scratch.save(hot, "hot")), ["_window", "_check"], "left")
+    hot = each.where("_hot").groupBy("_window", "_check", "_size").agg(*ends, F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n")
+    tagged = each.drop("_hot").join(F.broadcast(scratch.save(hot, "hot")), ["_window", "_check", "_size"], "left")
     tagged = tagged.withColumn("_salt", F.when(F.col("_low").isNull(), 0).otherwise(F.pmod(F.xxhash64("_key"), F.lit(SALTS))))
-    same = Window.partitionBy("_window", "_check", "_salt")
+    same = Window.partitionBy("_window", "_check", "_size", "_salt")
     hits = tagged.withColumns({"_first": F.coalesce("_low", F.min("_key").over(same)), "_last": F.coalesce("_high", F.max("_key").over(same))}).where(doc("_first") != doc("_last"))
     holder = F.when(doc("_key") == doc("_first"), F.col("_last")).otherwise(F.col("_first"))
     start = F.col("_key").bitwiseAND((1 << bits) - 1)
