@@ -150,6 +150,7 @@ class Ledger:
         """docs (doc_id, source, lang, text) are what these documents are now. Those that are in the ledger as they are stay untouched."""
         if self._open(name):
             return
+        docs = docs.select("doc_id", "source", "lang", "text")
         before = self.state()
         if before is not None:
             key = ["doc_id", "source", "lang", "text_key"]

@@ -96,3 +96,11 @@ def test_the_query_equals_the_library(spark):
         n[0] += 1
         n[1] += len(model.encode((r.text or "").replace(" | ", " ")))
     assert {(*k, *v) for k, v in want.items()} == {tuple(r) for r in rollup.op8_token_counts(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_columns_of_the_documents_may_have_any_name(spark):
+    ledger = rollup.Ledger(Scratch(spark))
+    docs = spark.createDataFrame([(1, "s", "en", "a b c", 9, "x"), (2, "s", "en", None, 9, "x")], "doc_id long, source string, lang string, text string, _touched int, _now string")
+    ledger.revise("a", docs, "v")
+    ledger.revise("b", docs.withColumn("text", F.lit("a b")), "v")
+    assert [tuple(r)[:4] for r in ledger.totals().collect()] == [("s", "en", "v", 2)]
