@@ -161,11 +161,11 @@ def scatter_by_place(grad: DataFrame, keys: list[str], place: str, at: str, valu
 def cumprod_backward(df: DataFrame, keys: list[str], at: str, value: str, grad: str) -> DataFrame:
     """d: the gradient of each value in the running products. Before a group's first 0 it is what the later products bring, over the value; at the
     first 0, what the products without it bring up to the next 0; behind that, nothing. at: a number."""
-    x = F.col(value)
-    rows = ordered.scan(df, keys, [at], _zeros=("sum", (x == 0).cast("long")))
+    x, n = F.col(value), df.count()
+    rows = ordered.scan(df, keys, [at], n_rows=n, _zeros=("sum", (x == 0).cast("long")))
     first = (F.col("_zeros") == 1) & (x == 0)
-    rows = ordered.scan(rows, keys, [at], _p=("product", F.when((F.col("_zeros") > 1) | first, 1.0).otherwise(x)))
+    rows = ordered.scan(rows, keys, [at], n_rows=n, _p=("product", F.when((F.col("_zeros") > 1) | first, 1.0).otherwise(x)))
     rows = rows.withColumn("_back", F.negative(at))
-    rows = ordered.scan(rows, [*keys, "_zeros"], ["_back"], _later=("sum", F.col(grad) * F.col("_p")))
+    rows = ordered.scan(rows, [*keys, "_zeros"], ["_back"], n_rows=n, _later=("sum", F.col(grad) * F.col("_p")))
     d = F.when(F.col("_zeros") == 0, F.col("_later") / F.when(x == 0, 1.0).otherwise(x)).when(first, F.col("_later")).otherwise(0.0)
     return rows.withColumn("d", d).select(*df.columns, "d")

@@ -36,9 +36,9 @@ def _literal(row, types: list) -> Column:
     return F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(row, types, strict=True))])
 
 
-def _cuts(df: DataFrame, order: list[Column], part_rows: int) -> list[Column]:
+def _cuts(df: DataFrame, order: list[Column], part_rows: int, n_rows: int | None) -> list[Column]:
     """Literals that cut the rows into ranges of about part_rows in this order; none for a table of one part."""
-    total = df.count()
+    total = df.count() if n_rows is None else n_rows
     parts = min(math.ceil(total / part_rows), MOST_PARTS)
     if parts < 2:
         return []
@@ -61,12 +61,12 @@ def _part(cuts: list[Column], order: list[Column]) -> Column:
     return F.when(block < 0, 0).otherwise(block * wide + upto(inner)).cast("int")
 
 
-def dealt(df: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> tuple[DataFrame, list[str]]:
-    """df with _part, ranges of `order` that follow each other, and the columns to sort by within one."""
+def dealt(df: DataFrame, order: list[str], part_rows: int = PART_ROWS, n_rows: int | None = None) -> tuple[DataFrame, list[str]]:
+    """df with _part, ranges of `order` that follow each other, and the columns to sort by within one. n_rows: how many rows there are, if known."""
     tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields])
     rows = df.withColumn("_tie", tie)
     columns = [F.col(c) for c in (*order, "_tie")]
-    cuts = _cuts(rows, columns, part_rows)
+    cuts = _cuts(rows, columns, part_rows, n_rows)
     return rows.withColumn("_part", _part(cuts, columns) if cuts else F.lit(0)), [*order, "_tie"]
 
 
@@ -79,10 +79,10 @@ MONOIDS = {
 }
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], part_rows: int = PART_ROWS, **values: tuple[str, Column]) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], part_rows: int = PART_ROWS, n_rows: int | None = None, **values: tuple[str, Column]) -> DataFrame:
     """df with running aggregates up to each row in `order` within the keys. values: name=(monoid, column); nulls don't count."""
     held = {f"_v_{n}": c for n, (_, c) in values.items()}
-    rows, by = dealt(df.withColumns(held), [*keys, *[o for o in order if o not in keys]], part_rows)
+    rows, by = dealt(df.withColumns(held), [*keys, *[o for o in order if o not in keys]], part_rows, n_rows)
     by = by[len(keys) :]
     near = Window.partitionBy(*keys, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     past = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

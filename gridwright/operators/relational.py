@@ -101,7 +101,8 @@ def cummin(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
 def logcumsumexp(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """log of the running sum of exponentials. Rows are taken in epochs in which the running maximum stays within one step of REACH, so no term
     that counts underflows; the epochs' totals, a row each, carry on from one to the next."""
-    rows = ordered.scan(df, keys, [at], _top=("max", F.col(value))).withColumn("_e", F.floor(F.col("_top") / REACH).cast("double"))
+    n = df.count()
+    rows = ordered.scan(df, keys, [at], n_rows=n, _top=("max", F.col(value))).withColumn("_e", F.floor(F.col("_top") / REACH).cast("double"))
     shift = (F.col("_e") + 1) * REACH
     term = F.exp(F.col(value) - shift)
     totals = rows.groupBy(*keys, "_e").agg(F.sum(term).alias("_t")).select(*keys, "_e", (elementwise.log(F.col("_t")) + shift).alias("_t"))
@@ -111,7 +112,7 @@ def logcumsumexp(df: DataFrame, keys: list[str], at: str, value: str) -> DataFra
     carry = most.groupBy(*keys, "_e").agg(
         F.when(F.max("_most") == float("-inf"), float("-inf")).otherwise(F.max("_most") + F.log(F.sum(F.exp(F.col("_bt") - F.col("_most"))))).alias("_carry")
     )
-    out = ordered.scan(rows, [*keys, "_e"], [at], _s=("sum", term)).withColumn("_own", elementwise.log(F.col("_s")) + shift)
+    out = ordered.scan(rows, [*keys, "_e"], [at], n_rows=n, _s=("sum", term)).withColumn("_own", elementwise.log(F.col("_s")) + shift)
     out = match(out, carry, [*keys, "_e"])
     both = F.when(F.col("_carry").isNull(), F.col("_own")).otherwise(elementwise.logaddexp(F.col("_own"), F.col("_carry")))
     return out.withColumn("logcumsumexp", both).select(*df.columns, "logcumsumexp")
@@ -155,9 +156,10 @@ def unique_inverse(df: DataFrame, value: str) -> DataFrame:
 
 def unique_consecutive(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """Runs of equal values in the order of `at`; nulls that follow each other are a run."""
+    n = df.count()
     rows = ordered.previous(df, keys, [at], value)
     fresh = F.col("_previous").isNull() | ~F.col("_previous.v").eqNullSafe(F.col(value))
-    runs = ordered.scan(rows, keys, [at], run=("sum", fresh.cast("long")))
+    runs = ordered.scan(rows, keys, [at], n_rows=n, run=("sum", fresh.cast("long")))
     return runs.groupBy(*keys, "run").agg(F.min(value).alias(value), F.count("*").alias("counts"), F.min(at).alias("start"))
 
 

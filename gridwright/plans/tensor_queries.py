@@ -186,8 +186,8 @@ add("nonzero_static", "SELECT i AS n, coalesce(c_custkey, -1) AS k FROM (SELECT
 )
 add("local_scalar_dense", "SELECT max(o_totalprice) AS v FROM orders")(lambda spark, sf: spark.range(1).select(F.lit(indexing.item(_t(spark, sf, "orders").agg(F.max("o_totalprice").alias("v")), "v")).alias("v")))
 add("equal", "SELECT true AS same, false AS other")(
-    lambda spark, sf: indexing.equal(_t(spark, sf, "orders"), _t(spark, sf, "orders"), ["o_orderkey"], "o_totalprice").select(F.col("equal").alias("same")).crossJoin(
-        indexing.equal(_t(spark, sf, "orders"), _t(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"], "o_totalprice").select(F.col("equal").alias("other"))
+    lambda spark, sf: indexing.equal(_t(spark, sf, "orders"), _t(spark, sf, "orders").where("o_custkey % 2 = 1").unionByName(_t(spark, sf, "orders").where("o_custkey % 2 = 0")), ["o_orderkey"], "o_totalprice").select(F.col("equal").alias("same")).crossJoin(
+        indexing.equal(_t(spark, sf, "orders"), _t(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice") + (F.col("o_orderkey") == 1).cast("int")), ["o_orderkey"], "o_totalprice").select(F.col("equal").alias("other"))
     )
 )
 add("is_same_size", "SELECT max(vec_id) = 49 AS same FROM embeddings")(lambda spark, sf: indexing.same_size(emb(spark, sf), creation.full(spark, {"n": 50, "c": 64}, 0.0), ["n", "c"]))
@@ -791,10 +791,31 @@ for _name, _spec in _DRAWS.items():
     add(f"random_{_name}", "SELECT count(*) AS n, true AS inside, true AS near, true AS spread FROM events")(_draw(*_spec))
 add("sample_dirichlet", "SELECT user_id, 1.0::DOUBLE AS total FROM events GROUP BY 1")(lambda spark, sf: random.dirichlet(_t(spark, sf, "events").select("user_id", F.lit(1.5).alias("a")), ["user_id"], "a", 1).groupBy("user_id").agg(F.round(F.sum("v"), 6).alias("total")))
 add("multinomial", "SELECT user_id, least(count(*), 3) AS n FROM events WHERE value > 0 GROUP BY 1")(lambda spark, sf: random.multinomial(_t(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 3).groupBy("user_id").agg(F.countDistinct("event_id").alias("n")))
-_GG = "round({x}, 4) AS v"
-add("standard_gamma_grad", "SELECT c_custkey, 1.0::DOUBLE AS v FROM customer")(
-    # for a shape of 1 the slope at x is known from the exponential integral; here: it must grow with x, between 0 and 1 + log(1 + x)
-    lambda spark, sf: _t(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("k")).withColumn("x", (F.col("k") % 97 + 1) / 40.0).withColumn("g", random.standard_gamma_grad(F.lit(1.0), F.col("x"))).select("c_custkey", ((F.col("g") > 0) & (F.col("g") < 1 + F.log1p("x"))).cast("double").alias("v"))
+_BELOW = "pow(x, {a}) * exp(-x) * list_sum(list_transform(range(0, 60), lambda n: pow(x, n) / gamma({a} + n + 1)))"
+add("standard_gamma_grad", f"SELECT c_custkey, round(-({_BELOW.format(a='1.5001')} - {_BELOW.format(a='1.4999')}) / 0.0002 / (sqrt(x) * exp(-x) / gamma(1.5)), 3) + 0.0 AS v FROM (SELECT c_custkey, (c_custkey % 97 + 1) / 40.0::DOUBLE AS x FROM customer)")(
+    lambda spark, sf: _t(spark, sf, "customer").withColumn("x", (F.col("c_custkey") % 97 + 1) / 40.0).select("c_custkey", R(random.standard_gamma_grad(F.lit(1.5), F.col("x")), 3).alias("v"))
+)
+
+
+def _weighted_items(spark, sf):
+    """Three items of the weights 1, 2 and 5 for each event."""
+    return _t(spark, sf, "events").select("event_id", F.explode(F.array(*[F.lit(w) for w in (1.0, 2.0, 5.0)])).alias("w"))
+
+
+def _near(df, seen, mean, spread):
+    """Whether a mean over all events lies within five standard errors, for each weight."""
+    n = F.count("*").cast("double")
+    return df.groupBy("w").agg((F.abs(F.avg(seen) - mean) < 5 * spread / F.sqrt(n)).alias("near"))
+
+
+add("multinomial_rates", "SELECT w, true AS near FROM (SELECT unnest([1.0, 2.0, 5.0]::DOUBLE[]) AS w) WHERE (SELECT count(*) FROM events) > 0")(
+    lambda spark, sf: _near(
+        _weighted_items(spark, sf).join(random.multinomial(_weighted_items(spark, sf), ["event_id"], "w", 1, 5).withColumn("hit", F.lit(1.0)), ["event_id", "w"], "left").fillna(0.0, ["hit"]),
+        "hit", F.first("w") / 8, F.sqrt(F.first("w") / 8 * (1 - F.first("w") / 8)),
+    )
+)
+add("sample_dirichlet_moments", "SELECT w, true AS near FROM (SELECT unnest([1.0, 2.0, 5.0]::DOUBLE[]) AS w) WHERE (SELECT count(*) FROM events) > 0")(
+    lambda spark, sf: _near(random.dirichlet(_weighted_items(spark, sf), ["event_id"], "w", 7), "v", F.first("w") / 8, F.sqrt(F.first("w") * (8 - F.first("w")) / (64 * 9)))
 )
 
 
