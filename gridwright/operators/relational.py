@@ -140,9 +140,14 @@ def roll(df: DataFrame, keys: list[str], at: str, value: str, shift: int) -> Dat
 
 
 def unfold(df: DataFrame, keys: list[str], at: str, value: str, size: int, step: int) -> DataFrame:
-    w = _by(keys, at).rowsBetween(0, size - 1)
-    out = df.select("*", F.collect_list(value).over(w).alias("window"), (F.row_number().over(_by(keys, at)) - 1).alias("_i"))
-    return out.where((F.size("window") == size) & (F.col("_i") % step == 0)).withColumn("window_no", (F.col("_i") / step).cast("long")).drop("_i")
+    """Each window of `size` values, every `step` rows in the order of `at`: the columns of its first row, window (array), window_no. A row goes to the
+    windows that it is in, so a group is no single task's."""
+    rows = ordered.numbered(df, [at], "_i", keys)
+    last = F.call_function("div", F.col("_i"), F.lit(step))
+    first = F.greatest(F.ceil((F.col("_i") - size + 1) / step), F.lit(0))
+    placed = rows.withColumn("window_no", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
+    held = placed.groupBy(*keys, "window_no").agg(F.sort_array(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("_w"), F.min_by(F.struct(*df.columns), "_i").alias("_row"))
+    return held.where(F.size("_w") == size).select("_row.*", F.transform("_w", lambda x: x["v"]).alias("window"), "window_no")
 
 
 def unique_counts(df: DataFrame, value: str) -> DataFrame:

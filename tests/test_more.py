@@ -174,3 +174,12 @@ def test_products_with_a_dense_inner_index(spark):
     for r in linalg.skewed_bmm(coo(a), coo(b), heavy=100, side=7).collect():
         got[r.i, r.j] = r.v
     assert (got == a @ b).all()
+
+
+def test_windows_of_any_size_and_step(spark):
+    rows = [(None, i, i * 10) for i in range(11)] + [(1, i, None if i else 5) for i in range(2)]
+    df = spark.createDataFrame(rows, "k int, i long, v long")
+    for size, step in ((3, 1), (2, 3), (4, 2), (5, 5)):
+        got = sorted((r.k or 0, r.i, r.window_no, str(r.window)) for r in relational.unfold(df, ["k"], "i", "v", size, step).collect())
+        runs = {0: [r[2] for r in rows if r[0] is None], 1: [r[2] for r in rows if r[0] == 1]}
+        assert got == sorted((k, s, s // step, str(x[s : s + size])) for k, x in runs.items() for s in range(0, len(x) - size + 1, step))
