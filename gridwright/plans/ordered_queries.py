@@ -36,11 +36,11 @@ def asof_join_orders(spark, sf):
 
 
 @query("""WITH e AS (SELECT user_id, ts AS next_ts, max(event_id) AS next_id FROM events WHERE event_type = 'error' GROUP BY 1, 2)
-SELECT event_id, next_id FROM (SELECT * FROM events WHERE event_type <> 'error') c ASOF LEFT JOIN e ON c.user_id = e.user_id AND c.ts <= e.next_ts""")
+SELECT event_id, coalesce(next_id, -1) AS next_id FROM (SELECT * FROM events WHERE event_type <> 'error') c ASOF LEFT JOIN e ON c.user_id = e.user_id AND c.ts <= e.next_ts""")
 def asof_join_forward(spark, sf):
     rows = _t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     errors = rows.where("event_type = 'error'").select("user_id", F.col("ts").alias("next_ts"), F.col("event_id").alias("next_id"))
-    return ordered.asof_join(rows.where("event_type <> 'error'"), errors, ["user_id"], "ts", "next_ts", ["next_id"], True, ROWS).select("event_id", "next_id")
+    return ordered.asof_join(rows.where("event_type <> 'error'"), errors, ["user_id"], "ts", "next_ts", ["next_id"], True, ROWS).select("event_id", F.coalesce("next_id", F.lit(-1)).alias("next_id"))
 
 
 @query("""WITH l AS (SELECT l_suppkey, l_orderkey, epoch(l_shipdate)::BIGINT // 3600 AS s, epoch(l_shipdate)::BIGINT // 3600 + CAST(l_quantity * l_quantity / 8 AS BIGINT) AS e FROM lineitem)
