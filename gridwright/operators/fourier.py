@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .factor import held, upto
+from .factor import held, let, upto
 
 LARGEST = 7
 COMPLEX = "array<struct<re:double,im:double>>"
@@ -65,11 +65,11 @@ def _joined(name: str, n: int, inner: int, p: int, done: int):
         at, o = g % inner, _div(g, inner) % n
         k, s = _div(o, left), o % left
         base = (_div(g, inner * n) * n + (k % done) * stride + s) * inner + at
-        re, im = F.lit(0.0), F.lit(0.0)
-        for u in range(p):  # the u-th source lies u * left further on and is turned by u * k * left places of the table
-            z, w = F.get(F.col(name), base + u * left * inner), F.get(F.col("_w"), (k * (u * left)) % n)
-            re, im = re + z["re"] * w["re"] - z["im"] * w["im"], im + z["re"] * w["im"] + z["im"] * w["re"]
-        return _c(re, im)
+        parts = [F.get(F.col(name), base)]  # the u-th source lies u * left further on and is turned by u * k * left places of the table
+        for u in range(1, p):
+            pair = F.struct(F.get(F.col(name), base + u * left * inner).alias("z"), F.get(F.col("_w"), (k * (u * left)) % n).alias("w"))
+            parts.append(let(pair, lambda t: _times(t["z"], t["w"])))
+        return let(F.array(*parts), lambda t: _c(*[sum((F.get(t, u)[c] for u in range(1, p)), F.get(t, 0)[c]) for c in ("re", "im")]))
 
     return place
 
