@@ -2,52 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a local session (tests) gets a temporary one and a cluster is refused."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gridwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder. `drop` deletes one that no later frame reads; the rest go at exit."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/gridwright-{uuid.uuid4().hex}"
-        atexit.register(self.clear)
-
-    def _delete(self, path: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
-
-    def clear(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the session is already closed
-            pass
-
+__all__ = ["Scratch", "hot_limit", "shared_folder", "split_join"]
 
 HOT_SHARE, LEAST_HOT, MOST_HOT, HOT_KEYS = 1000, 10_000, 4_000_000, 1_000_000
 
