@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from gridwright.operators import grid, linalg
+from gridwright.operators import grid, linalg, more
 
 
 def test_distances_in_blocks_and_their_gradients(spark, monkeypatch):
@@ -27,3 +27,13 @@ def test_distances_in_blocks_and_their_gradients(spark, monkeypatch):
         for rows, want in ((linalg.cdist_backward(df, queries, "n", "a", "q", "b", p), slope[:, asked].sum(1)), (linalg.pdist_backward(df, "n", "a", p), slope.sum(1))):
             seen = {(r.n, r.c): r.v for r in rows.collect()}
             assert np.allclose([[seen[i, c] for c in range(3)] for i in range(17)], want)
+
+
+def test_a_key_that_is_null_takes_no_part_in_attention(spark, monkeypatch):
+    monkeypatch.setattr(more, "BLOCK", 5)
+    x = np.random.default_rng(5).normal(size=(12, 3, 2))
+    q = spark.createDataFrame([(0, i, v[0].tolist()) for i, v in enumerate(x)], "head long, i long, q array<double>")
+    kv = spark.createDataFrame([(0, i, v[1].tolist() if i else None, v[2].tolist()) for i, v in enumerate(x)], "head long, j long, k array<double>, v array<double>")
+    p = np.exp(x[:, 0] @ x[1:, 1].T)
+    want = p / p.sum(1, keepdims=True) @ x[1:, 2]
+    assert np.allclose([r.out for r in more.attention(q, kv, 1.0).orderBy("i").collect()], want)
