@@ -303,7 +303,8 @@ def ps_roi_align_backward(grad: DataFrame, rois: DataFrame, height: int, width:
 
 
 def _pool_cells(rois: DataFrame, height: int, width: int, out: int, scale: float, inclusive: bool) -> DataFrame:
-    """Each bin of each region once for each whole cell in it; empty bins have no row. inclusive: the region's last cell counts."""
+    """Each bin of each region once for each whole cell in it; empty bins have no row. inclusive: the region's last cell counts. Spark takes a table
+    that generators have made for as short as its source, so joins with these cells, or of images by channel, are told not to broadcast."""
     each = rois
     for c in ("oi", "oj"):
         each = each.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
@@ -318,7 +319,7 @@ def _pool_cells(rois: DataFrame, height: int, width: int, out: int, scale: float
 
 def roi_pool_backward(grad: DataFrame, df: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
     """grad: roi, oi, oj, v. Each bin's gradient goes to the cell that was its largest, the first of several."""
-    cells = _pool_cells(rois, height, width, out, scale, True).join(df, ["n", "i", "j"])
+    cells = _pool_cells(rois, height, width, out, scale, True).join(df.hint("merge"), ["n", "i", "j"])
     best = cells.groupBy("roi", "n", "oi", "oj").agg(F.max(F.struct(F.col("v"), F.negative("i").alias("i"), F.negative("j").alias("j"))).alias("_b"))
     return best.join(grad, ["roi", "oi", "oj"]).groupBy("n", F.negative("_b.i").alias("i"), F.negative("_b.j").alias("j")).agg(F.sum(grad["v"]).alias("v"))
 
@@ -327,14 +328,14 @@ def ps_roi_pool(df: DataFrame, rois: DataFrame, height: int, width: int, out: in
     """Means of the bins' whole cells, each bin of a channel of its own as in ps_roi_align."""
     bins = df.withColumn("oj", F.pmod(F.col("c"), F.lit(out)).cast("long")).withColumn("oi", F.pmod(F.floor(F.col("c") / out), F.lit(out)).cast("long"))
     bins = bins.withColumn("c", F.floor(F.col("c") / (out * out)).cast("long"))
-    return _pool_cells(rois, height, width, out, scale, False).join(bins, ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.avg("v").alias("v"))
+    return _pool_cells(rois, height, width, out, scale, False).join(bins.hint("merge"), ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.avg("v").alias("v"))
 
 
 def ps_roi_pool_backward(grad: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
     """grad: roi, c, oi, oj, v. Each cell of a bin gets its share of the bin's gradient, in the bin's own channel."""
     cells = _pool_cells(rois, height, width, out, scale, False)
     sizes = cells.groupBy("roi", "oi", "oj").agg(F.count("*").alias("_n"))
-    moved = cells.join(sizes.join(grad, ["roi", "oi", "oj"]), ["roi", "oi", "oj"])
+    moved = cells.join(sizes.join(grad.hint("merge"), ["roi", "oi", "oj"]).hint("merge"), ["roi", "oi", "oj"])
     channel = ((F.col("c") * out + F.col("oi")) * out + F.col("oj")).alias("c")
     return moved.groupBy("n", channel, "i", "j").agg(F.sum(F.col("v") / F.col("_n")).alias("v"))
 
@@ -400,7 +401,7 @@ def roi_pool(df: DataFrame, rois: DataFrame, height: int, width: int, out: int,
         bins.append((c, low, top))
     for c, low, top in bins:
         each = each.withColumn(c, F.explode_outer(F.when(top > low, F.sequence(low, top - 1))))
-    return each.join(df, ["n", "i", "j"], "left").groupBy("roi", "oi", "oj").agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
+    return each.join(df.hint("merge"), ["n", "i", "j"], "left").groupBy("roi", "oi", "oj").agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
 
 
 def nms(boxes: DataFrame, group: list[str], overlap: float) -> DataFrame:
