@@ -55,3 +55,12 @@ def test_interval_join_finds_each_pair_once(spark):
     assert sorted(pairs) == sorted(want)
     plan = ordered.interval_join(left, right, ["k"], ("s", "e"), ("u", "v"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_parts_are_found_by_halving(spark):
+    """For any number of cuts, those not above a place are counted."""
+    places = spark.range(-1, 45).select(F.struct(F.col("id").alias("c0")).alias("at"))
+    for n in (1, 2, 3, 7, 8, 20):
+        cuts = [2 * k for k in range(n)]
+        got = places.select("at.c0", ordered._part([F.struct(F.lit(c).cast("long").alias("c0")) for c in cuts], F.col("at")).alias("p")).collect()
+        assert all(r.p == bisect_right(cuts, r.c0) for r in got)
