@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,30 @@ def test_products_with_a_dense_inner_index(spark):
     assert (got == a @ b).all()
 
 
+def test_products_of_a_dense_inner_index_are_not_shuffled(spark):
+    a = spark.createDataFrame([(0, i, 0, (3037000499 if i == 4 else i) if i < 8 else None) for i in range(40)] + [(1, 0, 1, 2), (1, None, 1, 3)], "n int, i long, j long, v long")
+    b = linalg.transposed(a)
+    made = linalg.skewed_bmm(a, b, ["n"], heavy=100, side=8)
+    want = {(r.n, r.i, r.j): r.v for r in linalg.bmm(a, b, ["n"]).collect()}
+    rows = made.collect()
+    assert {(r.n, r.i, r.j): r.v for r in rows} == want and len(rows) == len(want)
+    plan = linalg.skewed_bmm(a.where("n = 0").drop("n"), b.where("n = 0").drop("n"), heavy=100, side=8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_products_are_made_in_strips(monkeypatch):
+    monkeypatch.setattr(linalg, "STRIP", 50)
+    monkeypatch.setattr(linalg, "BATCH", 7)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-5, 6, (30, 12)), rng.integers(-5, 6, (12, 20))
+    lists = lambda m: [pa.chunked_array([c]) for c in (pa.array(range(len(m))), pa.array([list(range(12))] * len(m)), pa.array(m.tolist(), pa.list_(pa.int64())))]
+    got = np.zeros((30, 20), int)
+    for i, j, v in linalg._cells([*lists(a), *lists(b.T)], True):
+        assert len(i) <= 7
+        got[i.to_numpy(), j.to_numpy()] += v.to_numpy()
+    assert (got == a @ b).all()
+
+
 def test_windows_of_any_size_and_step(spark):
     rows = [(None, i, i * 10) for i in range(11)] + [(1, i, None if i else 5) for i in range(2)]
     df = spark.createDataFrame(rows, "k int, i long, v long")
