@@ -188,6 +188,15 @@ def test_products_of_a_dense_inner_index_are_not_shuffled(spark):
     assert "Join" not in plan
 
 
+def test_gradients_of_long_products_are_made_in_blocks(spark, monkeypatch):
+    """Every row has each of the weight's columns, so each is an inner index of all rows."""
+    monkeypatch.setattr(linalg.skewed_bmm, "__defaults__", (None, 100, linalg.SIDE))
+    coo = lambda n, m: spark.range(n * m).selectExpr(f"id DIV {m} AS i", f"id % {m} AS j", "CAST(id % 7 AS DOUBLE) AS v")
+    for made in (linalg.matmul_backward(coo(60, 3), coo(60, 4), coo(4, 3))[0], linalg.linear_backward(coo(60, 3), coo(60, 4), coo(3, 4))[0]):
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 240
+
+
 def test_products_are_made_in_strips(monkeypatch):
     monkeypatch.setattr(linalg, "STRIP", 50)
     monkeypatch.setattr(linalg, "BATCH", 7)
