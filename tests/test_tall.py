@@ -57,3 +57,16 @@ def test_transforms(spark):
         df = fourier.rfft(spark.createDataFrame([(x.tolist(),)], "x array<double>"), "x", "h", n)
         assert np.allclose([z.re + 1j * z.im for z in df.first().h], np.fft.rfft(x))
         assert np.allclose(fourier.irfft(df, "h", "back", n).first().back, x)
+
+
+def test_transforms_of_a_prime_length_are_made_by_arrays(spark):
+    """One step of Python a transform, no array expression for each number; missing numbers stay missing, and numbers past the length aren't read."""
+    x = np.random.default_rng(3).normal(size=61)
+    df = spark.createDataFrame([(0, x.tolist()), (1, [*x.tolist(), 5.0]), (2, [None, *x.tolist()[1:]]), (3, None)], "n int, x array<double>")
+    half = fourier.rfft(df, "x", "h", 61)
+    assert "Generate" not in half._jdf.queryExecution().executedPlan().toString()
+    got = {r.n: r for r in fourier.irfft(half, "h", "back", 61).collect()}
+    for n in (0, 1):
+        assert np.allclose([z.re + 1j * z.im for z in got[n].h], np.fft.rfft(x)) and np.allclose(got[n].back, x)
+    for n in (2, 3):
+        assert [z.re for z in got[n].h] == [None] * 31 and got[n].back == [None] * 61
