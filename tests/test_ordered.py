@@ -64,3 +64,12 @@ def test_parts_are_found_by_halving(spark):
         cuts = [2 * k for k in range(n)]
         got = places.select("at.c0", ordered._part([F.struct(F.lit(c).cast("long").alias("c0")) for c in cuts], F.col("at")).alias("p")).collect()
         assert all(r.p == bisect_right(cuts, r.c0) for r in got)
+
+
+def test_intervals_have_a_level_for_two_powers_of_two(spark):
+    rows = spark.range(300).selectExpr("1 AS k", "id AS i", "id * 3 AS s", "id * 3 + (id * id) % 257 AS e")
+    made = ordered.interval_join(rows, rows, ["k"], ("s", "e"), ("s", "e"))
+    spans = [(n * 3, n * 3 + n * n % 257) for n in range(300)]
+    assert sorted((r.left.i, r.right.i) for r in made.collect()) == [(a, b) for a, x in enumerate(spans) for b, y in enumerate(spans) if x[0] <= y[1] and y[0] <= x[1]]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "[2,4,6,8,10]" in plan.replace(" ", "")
