@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import factor, fourier, linalg, sparse, tall
-from .tensor_queries import _A3, _DET, EMB, R, emb, three, vecs
+from .tensor_queries import _A3, _DET, EMB, R, emb, matrices, three, vecs
 
 QUERIES, SQL = {}, {}
 
@@ -31,7 +31,7 @@ def build() -> tuple[dict, dict]:
 
 def rows_of(spark, sf):
     """n, m, b, s."""
-    df = factor.held(three(spark, sf).drop("f"), m=F.col("m"))
+    df = matrices(spark, sf)
     df = factor.held(df, _p=factor.product(F.col("m"), factor.transpose(F.col("m"))))
     return factor.held(df, s=F.transform("_p", lambda r, i: F.transform(r, lambda x, j: x + F.when(i == j, 1.0).otherwise(0.0)))).drop("_p")
 

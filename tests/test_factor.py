@@ -81,3 +81,10 @@ def test_lu_unpack(spark):
 @pytest.mark.parametrize("n", [0, 3])
 def test_counting(spark, n):
     assert list(spark.range(1).select(f.upto(F.lit(n))).first()[0]) == list(range(n))
+
+
+def test_matrices_of_rows_have_no_factors_that_nobody_reads(spark):
+    from gridwright.plans import factor_queries
+
+    plan = factor_queries.rows_of(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "perm" not in plan
