@@ -8,10 +8,18 @@ Every forward and backward operator is one shuffle, with partial sums before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import factor
+
+#: Cells along a side of the tiles in which images by channel are shuffled.
+TILE = 8
 
 
 # axis tables
@@ -289,10 +297,57 @@ def roi_align_backward(grad: DataFrame, rois: DataFrame, height: int, width: int
 
 def ps_roi_align(df: DataFrame, rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float = 1.0) -> DataFrame:
     """Position-sensitive: bin (oi, oj) of output channel c reads input channel (c * out + oi) * out + oj. df: n, c, i, j, v."""
-    cells = _roi_cells(rois, height, width, out, samples, scale, True)
-    bins = df.withColumn("oj", F.pmod(F.col("c"), F.lit(out)).cast("long")).withColumn("oi", F.pmod(F.floor(F.col("c") / out), F.lit(out)).cast("long"))
-    bins = bins.withColumn("c", F.floor(F.col("c") / (out * out)).cast("long"))
-    return cells.join(bins, ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+    def axis(bins: DataFrame, o: str, lo: str, hi: str, size: int) -> DataFrame:
+        at = lambda s: F.col(lo) * scale - 0.5 + (F.col(o) + (s + 0.5) / samples) * _length(lo, hi, scale, True) / out
+        inside = F.filter(F.transform(factor.upto(samples), at), lambda x: x.between(-1, size))
+        bins = factor.held(bins, _x=F.transform(inside, lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(float(size - 1)))))
+        ends = F.flatten(F.transform("_x", lambda x: F.array(F.floor(x), F.least(F.floor(x) + 1, F.lit(size - 1)))))
+        total = lambda i: F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.when((i - F.floor(x)).between(0, 1), (1 - F.abs(x - i)) / samples).otherwise(0.0))
+        return _weighed(bins, ends, lambda i: F.when((i < size) & F.exists("_x", lambda x: (i - F.floor(x)).between(0, 1)), total(i)))
+
+    read = _read_bins(df, rois, axis, height, width, out)
+    return read.groupBy("roi", "c", "oi", "oj").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+
+def _weighed(bins: DataFrame, cells: Column, weight: Callable[[Column], Column]) -> DataFrame:
+    """bins for each tile _t that their cells of an axis lie in, with _w, the weights of the tile's cells: null for one that is not read."""
+    bins = bins.withColumn("_t", F.explode(F.array_distinct(F.transform(cells, lambda i: F.floor(i / TILE).cast("long")))))
+    return factor.held(bins, _w=F.transform(factor.upto(TILE), lambda k: weight(F.col("_t") * TILE + k)))
+
+
+def _packed(df: DataFrame, out: int) -> DataFrame:
+    """Images by channel in tiles: n, the tile, c, oi, oj and the cells' places and values. Rows that a batch holds of a tile go together before anything
+    is shuffled; a tile's rows may come from several batches."""
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    place = (F.pmod("i", F.lit(TILE)) * TILE + F.pmod("j", F.lit(TILE))).cast("short")
+    rows = df.select("n", "c", tile("i").alias("_ti"), tile("j").alias("_tj"), place.alias("_p"), F.col("v").cast("double").alias("v"))
+    keys = ["n", "c", "_ti", "_tj"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("_p", "list"), ("v", "list")])
+            yield from lists.select([*keys, "_p_list", "v_list"]).rename_columns([*keys, "_p", "v"]).to_batches()
+
+    kind = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_p", T.ArrayType(T.ShortType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    packed = rows.mapInArrow(pack, kind)
+    packed = packed.withColumn("oj", F.pmod(F.col("c"), F.lit(out)).cast("long")).withColumn("oi", F.pmod(F.floor(F.col("c") / out), F.lit(out)).cast("long"))
+    return packed.withColumn("c", F.floor(F.col("c") / (out * out)).cast("long"))
+
+
+def _read_bins(df: DataFrame, rois: DataFrame, axis: Callable[..., DataFrame], height: int, width: int, out: int) -> DataFrame:
+    """roi, c, oi, oj, v and weight _w for each cell that a bin of a region reads of a channel of its own. axis: bins and their column along an axis, the
+    region's ends and the axis' length to what _weighed gives. Regions and tiles of images meet by image, tile and bin, and cells come out after that.
+    Spark takes both sides for short: they are told not to broadcast."""
+    bins = rois.select("roi", "n", "x1", "y1", "x2", "y2")
+    for o, t, w, lo, hi, size in (("oi", "_ti", "_wi", "y1", "y2", height), ("oj", "_tj", "_wj", "x1", "x2", width)):
+        bins = bins.withColumn(o, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
+        bins = axis(bins, o, lo, hi, size).withColumnsRenamed({"_t": t, "_w": w})
+    keys = ["n", "_ti", "_tj", "oi", "oj"]
+    met = bins.select("roi", *keys, "_wi", "_wj").join(_packed(df, out).hint("merge"), keys)
+    cells = met.select("roi", "c", "oi", "oj", "_wi", "_wj", F.inline(F.arrays_zip("_p", "v")).alias("_p", "v"))
+    weight = F.get("_wi", F.floor(F.col("_p") / TILE).cast("int")) * F.get("_wj", (F.col("_p") % TILE).cast("int"))
+    return cells.select("roi", "c", "oi", "oj", "v", weight.alias("_w")).where(F.col("_w").isNotNull())
 
 
 def ps_roi_align_backward(grad: DataFrame, rois: DataFrame, height: int, width: int, out: int, samples: int, scale: float = 1.0) -> DataFrame:
@@ -309,14 +364,19 @@ def _pool_cells(rois: DataFrame, height: int, width: int, out: int, scale: float
     for c in ("oi", "oj"):
         each = each.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out - 1).cast("long"))))
     for c, o, lo, hi, n in (("i", "oi", "y1", "y2", height), ("j", "oj", "x1", "x2", width)):
-        a, z = F.round(F.col(lo) * scale), F.round(F.col(hi) * scale)
-        size = F.greatest(z - a + (1 if inclusive else 0), F.lit(1.0 if inclusive else 0.1)) / out
-        low = F.least(F.greatest(F.floor(F.col(o) * size) + a, F.lit(0)), F.lit(n)).cast("long")
-        top = F.least(F.greatest(F.ceil((F.col(o) + 1) * size) + a, F.lit(0)), F.lit(n)).cast("long")
+        low, top = _span(F.col(o), lo, hi, n, out, scale, inclusive)
         each = each.withColumn(c, F.explode(F.when(top > low, F.sequence(low, top - 1))))
     return each
 
 
+def _span(o: Column, lo: str, hi: str, n: int, out: int, scale: float, inclusive: bool) -> tuple[Column, Column]:
+    """The first cell of an axis in bin o, and the one after the last."""
+    a, z = F.round(F.col(lo) * scale), F.round(F.col(hi) * scale)
+    size = F.greatest(z - a + (1 if inclusive else 0), F.lit(1.0 if inclusive else 0.1)) / out
+    low = F.least(F.greatest(F.floor(o * size) + a, F.lit(0)), F.lit(n)).cast("long")
+    return low, F.least(F.greatest(F.ceil((o + 1) * size) + a, F.lit(0)), F.lit(n)).cast("long")
+
+
 def roi_pool_backward(grad: DataFrame, df: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
     """grad: roi, oi, oj, v. Each bin's gradient goes to the cell that was its largest, the first of several."""
     cells = _pool_cells(rois, height, width, out, scale, True).join(df.hint("merge"), ["n", "i", "j"])
@@ -326,9 +386,14 @@ def roi_pool_backward(grad: DataFrame, df: DataFrame, rois: DataFrame, height: i
 
 def ps_roi_pool(df: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
     """Means of the bins' whole cells, each bin of a channel of its own as in ps_roi_align."""
-    bins = df.withColumn("oj", F.pmod(F.col("c"), F.lit(out)).cast("long")).withColumn("oi", F.pmod(F.floor(F.col("c") / out), F.lit(out)).cast("long"))
-    bins = bins.withColumn("c", F.floor(F.col("c") / (out * out)).cast("long"))
-    return _pool_cells(rois, height, width, out, scale, False).join(bins.hint("merge"), ["n", "i", "j", "oi", "oj"]).groupBy("roi", "c", "oi", "oj").agg(F.avg("v").alias("v"))
+
+    def axis(bins: DataFrame, o: str, lo: str, hi: str, size: int) -> DataFrame:
+        low, top = _span(F.col(o), lo, hi, size, out, scale, False)
+        bins = factor.held(bins, _low=low, _top=top)
+        cells = F.when(F.col("_top") > F.col("_low"), F.sequence(F.col("_low"), F.col("_top") - 1))
+        return _weighed(bins, cells, lambda i: F.when((i >= F.col("_low")) & (i < F.col("_top")), 1.0))
+
+    return _read_bins(df, rois, axis, height, width, out).groupBy("roi", "c", "oi", "oj").agg(F.avg("v").alias("v"))
 
 
 def ps_roi_pool_backward(grad: DataFrame, rois: DataFrame, height: int, width: int, out: int, scale: float = 1.0) -> DataFrame:
