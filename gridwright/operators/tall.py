@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from . import factor
+from .grid import vectors
 from .linalg import solve_triangular
 
 MOST_COLUMNS = 2048
@@ -47,11 +48,12 @@ def triangle(a: np.ndarray) -> np.ndarray:
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
     if column.null_count or (np.diff(column.offsets.to_numpy()) != n).any():
         raise ValueError(f"each row needs {n} numbers")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, n)
 
 
-def _fold(n: int):
-    """Arrow function: rows of n numbers in, the n rows of one triangle out."""
+def _fold(n: int, first: np.ndarray | None = None):
+    """Arrow function: rows of n numbers in, the n rows of one triangle out. first: an R that rows are solved against before they are folded, in the same
+    worker: a step of its own would keep a second one beside it in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, step = None, max(CHUNK // n, 2 * n)
@@ -59,6 +61,7 @@ def _fold(n: int):
             rows = _matrix(batch.column(0), n)
             for start in range(0, len(rows), step):
                 part = rows[start : start + step]
+                part = part if first is None else _solved(part, first)
                 r = triangle(part if r is None else np.vstack([r, part]))
         if r is not None:
             yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], ["row"])
@@ -74,12 +77,12 @@ def _width(df: DataFrame, vector: str) -> int:
     return n
 
 
-def tall_r(df: DataFrame, vector: str) -> np.ndarray:
-    """R (n x n, diagonal not negative) of the table whose rows are the arrays of a column."""
+def tall_r(df: DataFrame, vector: str, first: np.ndarray | None = None) -> np.ndarray:
+    """R (n x n, diagonal not negative) of the table whose rows are the arrays of a column. first: an R that they are solved against before that."""
     n = _width(df, vector)
     if not n:
         return np.zeros((0, 0))
-    out = df.select(F.col(vector).cast("array<double>").alias("row")).mapInArrow(_fold(n), "row array<double>")
+    out = df.select(F.col(vector).cast("array<double>").alias("row")).mapInArrow(_fold(n, first), "row array<double>")
     for tasks in (MIDDLE, 1):
         out = out.repartition(tasks).mapInArrow(_fold(n), "row array<double>")
     return np.array([r.row for r in out.collect()]).reshape(-1, n)  # one triangle, whose rows come in order from one task
@@ -96,14 +99,15 @@ def _solved(rows: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def _each(df: DataFrame, vector: str, name: str, n: int, turn) -> DataFrame:
-    """df with turn(its rows of numbers) as a further column."""
+    """df with turn(its rows of numbers) as a further column. The optimiser doesn't copy what isn't deterministic: where the column is exploded, the filter
+    that it makes of it would else compute it in a second worker of each task."""
 
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield pa.array(list(turn(_matrix(x, n))), pa.list_(pa.float64())) if len(x) else pa.array([], pa.list_(pa.float64()))
+            yield vectors(turn(_matrix(x, n)))
 
-    return df.withColumn(name, run(F.col(vector).cast("array<double>")))
+    return df.withColumn(name, run.asNondeterministic()(F.col(vector).cast("array<double>")))
 
 
 def tall_qr(df: DataFrame, vector: str, name: str = "q") -> tuple[DataFrame, np.ndarray]:
@@ -112,7 +116,7 @@ def tall_qr(df: DataFrame, vector: str, name: str = "q") -> tuple[DataFrame, np.
     if not n:
         return df.withColumn(name, F.lit(None).cast("array<double>")), np.zeros((0, 0))
     first = tall_r(df, vector)
-    second = tall_r(_each(df, vector, "_q", n, lambda rows: _solved(rows, first)), "_q")
+    second = tall_r(df, vector, first)
     return _each(df, vector, name, n, lambda rows: _solved(_solved(rows, first), second)), second @ first
 
 

@@ -70,3 +70,15 @@ def test_transforms_of_a_prime_length_are_made_by_arrays(spark):
         assert np.allclose([z.re + 1j * z.im for z in got[n].h], np.fft.rfft(x)) and np.allclose(got[n].back, x)
     for n in (2, 3):
         assert [z.re for z in got[n].h] == [None] * 31 and got[n].back == [None] * 61
+
+
+def test_a_task_of_q_has_one_python_worker(spark, monkeypatch):
+    """Rows are solved and folded by the same worker; only the result has a column made of its own."""
+    made, each = [], tall._each
+    monkeypatch.setattr(tall, "_each", lambda *a: made.append(a) or each(*a))
+    a = np.random.default_rng(5).standard_normal((60, 3))
+    df, r = tall.tall_qr(table(spark, a), "x")
+    q = np.array([row.q for row in df.orderBy("i").collect()])
+    plan = df.select(F.explode("q"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert len(made) == 1 and np.allclose(q @ r, a) and np.allclose(q.T @ q, np.eye(3))
