@@ -3,7 +3,7 @@
 An image table has id columns, one column a dimension (from 0) and a value. What an operator does along a dimension is a table of (o, i, w):
 output place o takes w of input place i. Its length is the dimension's length times the window's; Spark knows it (it is a range) and broadcasts it
 where it is short. An operator of several dimensions joins one axis table for each and sums products of weights (or takes maxima); its gradient is the same join from o to i.
-Every forward and backward operator is one shuffle, with partial sums before it.
+Every forward and backward operator is one shuffle, with partial sums before it; linear maps bring an image's neighbours together before that.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from . import factor
 
 #: Cells along a side of the tiles in which images by channel are shuffled.
 TILE = 8
+#: And of those whose cells meet before they are mapped along axes.
+NEAR = 64
 
 
 # axis tables
@@ -118,10 +120,17 @@ def _joined(df: DataFrame, axes: dict[str, DataFrame], side: str, other: str) ->
 
 
 def _mapped(df: DataFrame, axes: dict[str, DataFrame], ids: list[str], value: str, side: str, other: str) -> DataFrame:
-    cells, weight = _joined(df, axes, side, other)
+    cells, weight = _joined(_near(df, axes, ids), axes, side, other)
     return cells.groupBy(*ids, *[F.col(f"_{c}").alias(c) for c in axes]).agg(F.sum(weight * F.col(value)).alias(value))
 
 
+def _near(df: DataFrame, axes: dict[str, DataFrame], ids: list[str]) -> DataFrame:
+    """df with neighbours of an image in one task, so that partial sums take their products together. As many parts as the session shuffles into, and
+    not fewer for being short: a row becomes many products, whose sums a task holds."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *ids, *[F.floor(F.col(c) / NEAR) for c in axes])
+
+
 def resample(df: DataFrame, axes: dict[str, DataFrame], ids: list[str], value: str = "v") -> DataFrame:
     """Upsampling, average pooling and padding: each output cell is a weighted sum of input cells."""
     return _mapped(df, axes, ids, value, "i", "o")

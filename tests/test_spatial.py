@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwright.operators import spatial
 
@@ -79,3 +80,24 @@ def test_images_by_channel_are_shuffled_in_tiles(spark, name):
     more = (2,) if name == "ps_roi_align" else ()
     plan = getattr(spatial, name)(image, rois, 8, 8, 2, *more)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_neighbours_meet_before_they_are_mapped(spark, monkeypatch):
+    """A row becomes 16 products here: partial sums of scattered cells would be a row for each of them."""
+    rng = np.random.default_rng(4)
+    image = rng.integers(-9, 9, (9, 9)).astype(float)
+    rows = [(0, i, j, float(image[i, j])) for i, j in np.ndindex(9, 9)]
+    df = spark.createDataFrame([rows[k] for k in rng.permutation(81)], "n long, i long, j long, v double").repartition(4)
+    axes = {c: spatial.cubic(spark, 9, 5) for c in "ij"}
+    w = np.zeros((5, 9))
+    for r in axes["i"].collect():
+        w[r.o, r.i] = r.w
+    back = {c: a.select(F.col("o").alias("i"), F.col("i").alias("o"), "w") for c, a in axes.items()}
+    for near in (64, 4):
+        monkeypatch.setattr(spatial, "NEAR", near)
+        for got, want in ((spatial.resample(df, axes, ["n"]), w @ image @ w.T), (spatial.resample_backward(df, back, ["n"]), w @ image @ w.T)):
+            assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+            found = np.full(want.shape, np.nan)
+            for r in got.collect():
+                found[r.i, r.j] = r.v
+            assert np.allclose(found, want)
