@@ -37,3 +37,14 @@ def test_a_key_that_is_null_takes_no_part_in_attention(spark, monkeypatch):
     p = np.exp(x[:, 0] @ x[1:, 1].T)
     want = p / p.sum(1, keepdims=True) @ x[1:, 2]
     assert np.allclose([r.out for r in more.attention(q, kv, 1.0).orderBy("i").collect()], want)
+
+
+def test_blocks_of_distances_are_not_copied_for_each_other(spark, monkeypatch):
+    """Each side is shuffled once, whatever the number of blocks of the other; a pair's task reads them."""
+    monkeypatch.setattr(grid, "ROWS", 5)
+    df = spark.range(17).selectExpr("id AS n", "array(CAST(id AS DOUBLE), 1D) AS a")
+    asked = df.where("n % 3 = 0").withColumnsRenamed({"n": "q", "a": "b"})
+    for made, size in ((linalg.cdist(df, asked, "n", "a", "q", "b"), 17 * 6), (linalg.pdist(df, "n", "a"), 17 * 8)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+        assert made.count() == size
