@@ -188,6 +188,20 @@ def test_products_of_a_dense_inner_index_are_not_shuffled(spark):
     assert "Join" not in plan
 
 
+def test_entries_of_a_dense_product_are_shuffled_once(spark, monkeypatch):
+    """Whatever the number of blocks of the other side; a line longer than a block's row may be is copied to each, as before."""
+    monkeypatch.setattr(linalg, "ENTRIES", 20)
+    monkeypatch.setattr(linalg, "PACK", 2)
+    a = spark.createDataFrame([(i, k, None if i == 7 else i + k) for i in range(40) for k in (0, i % 5 + 1, 6)] + [(None, 0, 5), (3, None, 4)], "i long, j long, v long")
+    want = {(r.i, r.j): r.v for r in linalg.bmm(a, linalg.transposed(a)).collect()}
+    for longest, copied in ((100, False), (2, True)):
+        monkeypatch.setattr(linalg, "LONGEST", longest)
+        made = linalg.skewed_bmm(a, linalg.transposed(a), heavy=100, side=8)
+        assert ("explode" in made._jdf.queryExecution().executedPlan().toString()) == copied
+        rows = made.collect()
+        assert {(r.i, r.j): r.v for r in rows} == want and len(rows) == len(want)
+
+
 def test_gradients_of_long_products_are_made_in_blocks(spark, monkeypatch):
     """Every row has each of the weight's columns, so each is an inner index of all rows."""
     monkeypatch.setattr(linalg.skewed_bmm, "__defaults__", (None, 100, linalg.SIDE))
